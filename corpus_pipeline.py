@@ -1,21 +1,57 @@
-"""A training corpus in five stages."""
+"""A training corpus in five stages; each one's rows are written and read again by the next.
+
+1. quality: documents that the line field rejects go (score below KEEP);
+2. near-duplicates: of each group of linked SimHash fingerprints the document with the smallest id stays;
+3. repeated passages: bytes of 200-byte strings that stand more than once go, in all places;
+4. decontamination: documents that hold a passage near a benchmark item go;
+5. tokens: texts are encoded and decoded by the byte-level vocabulary, with digests of both.
+
+All but the last stage return the columns of documents. Rows without a doc_id pass through the
+second stage; empty tables pass through all.
+"""
 
 from __future__ import annotations
 
-from phosfold.llm import simhash, suffix_dedup
+from pyspark.sql import functions as F
+
+from phosfold.llm import bpe, decontaminate, quality, simhash, suffix_dedup
 from phosfold.llm.common import materialize
+from phosfold.llm.toxicity import held_out
+
+#: A document is rejected when bad is likelier than good.
+KEEP = 0.5
+
 
+def good_documents(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.train(docs, labels, ~held_out(F.col("doc_id"), 4, 2)), KEEP)
 
-def near_duplicates(spark, docs, sf_dir):
+
+def without_near_duplicates(spark, docs, sf_dir):
     return simhash.keep_one(docs)
 
 
-def repeated_passages(spark, docs, sf_dir):
-    return suffix_dedup.clean(docs)
+def without_repeated_passages(spark, docs, sf_dir):
+    return suffix_dedup.remove_repeats(docs)
+
+
+def without_benchmark(spark, docs, sf_dir):
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark, docs, sf_dir):
+    return bpe.token_report(docs, bpe.byte_vocabulary())
 
 
-STAGES = [("simhash_near_dedup", near_duplicates), ("suffix_array_dedup", repeated_passages)]
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("simhash_near_dedup", without_near_duplicates),
+    ("suffix_array_dedup", without_repeated_passages),
+    ("benchmark_decontamination", without_benchmark),
+    ("bpe_round_trip", tokens),
+]
 
+#: No stage but the fourth is expressible in SQL; tests hold the pipeline against plain versions.
 ORACLE_SQL = None
 
 

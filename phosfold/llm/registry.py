@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash, suffix_dedup
+from . import bpe, decontaminate, huffman, interleave, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_huffman": huffman.op2_huffman,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_sharding": sharding.op4_sharding,
+    "op5_url_rules": url_rules.op5_url_rules,
+    "op6_interleave": interleave.op6_interleave,
+    "op7_quality": quality.op7_quality,
+    "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
