@@ -1 +1 @@
-"""functions"""
+"""Column functions: peptides, accessions, statistics."""

@@ -2,5 +2,710 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import accessions as A
+from ..functions import peptides as P
+from ..functions.stats import minus_log10
+from ..operators import enrichment as E
+from ..operators import evidence as V
+from ..operators import mapping as M
+from ..operators import networks as N
+from ..operators import nulls as R
+from ..operators import presentation as D
+from ..operators import significance as S
+from ..operators import thresholds as T
+from ..params import Params
+from ..sources.paths import materialize
+from ..streaming.evidence import drain, windowed_evidence
+from .pipeline import analyse
+from .testbed import duck, table, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+THRESHOLD, REPS, SEED = 30.0, 5, 1
+
+#: Common table expressions that several queries share.
+CTE = {
+    "coll": "SELECT sample, accession, site, avg(value) AS value FROM tb_raw GROUP BY ALL",
+    "evid": f"SELECT sample, accession, site FROM coll WHERE value >= {THRESHOLD}",
+    "comp": "SELECT *, CASE WHEN num_compendia < 1 THEN 0 WHEN num_compendia <= 3 THEN 1 ELSE 2 END AS compendia_class FROM tb_compendia",
+    "evc": "SELECT * FROM evid LEFT JOIN comp USING (accession, site)",
+    "nsite": "SELECT DISTINCT network_id, accession, site FROM tb_network",
+    "msize": "SELECT network_id, count(*) AS m FROM nsite GROUP BY ALL",
+    "deg": "SELECT network_id, kinase, count(*) AS degree FROM tb_network GROUP BY ALL",
+    "quota": "SELECT sample, compendia_class AS stratum, count(*) AS quota FROM evc WHERE compendia_class IS NOT NULL GROUP BY ALL",
+    "drawn": f"""SELECT sample, rep, accession, site FROM (
+        SELECT q.sample, r.rep, c.accession, c.site, q.quota, row_number() OVER (PARTITION BY q.sample, r.rep, q.stratum
+        ORDER BY md5(concat_ws('|', '{SEED}', q.sample, CAST(r.rep AS VARCHAR), c.accession, c.site)), c.accession, c.site) AS rank
+        FROM quota q JOIN comp c ON c.compendia_class = q.stratum CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r) WHERE rank <= quota""",
+    "tried": "SELECT sample, -1 AS rep, accession, site FROM evid UNION ALL SELECT sample, rep, accession, site FROM drawn",
+    "ins": "SELECT network_id, sample, rep, count(*) AS n FROM nsite JOIN tried USING (accession, site) GROUP BY ALL",
+    "ov": "SELECT network_id, kinase, sample, rep, count(*) AS k FROM tb_network JOIN tried USING (accession, site) GROUP BY ALL",
+    "num": "SELECT network_id, kinase, sample, rep, coalesce(k, 0) AS k, m, degree, n FROM deg JOIN msize USING (network_id) JOIN ins USING (network_id) LEFT JOIN ov USING (network_id, kinase, sample, rep)",
+    "enr": """SELECT network_id, kinase, sample, rep, k AS frequency, CASE WHEN k <= greatest(0, degree + n - m) THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE),
+        list_sum([exp(lgamma(degree + 1) - lgamma(i + 1) - lgamma(degree - i + 1) + lgamma(m - degree + 1) - lgamma(n - i + 1) - lgamma(m - degree - n + i + 1)
+        - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1)) FOR i IN range(k, least(degree, n) + 1)])) END AS p FROM num""",
+    "real": "SELECT network_id, kinase, sample, frequency, p FROM enr WHERE rep = -1",
+    "rand": "SELECT network_id, kinase, sample, rep, round(p, 9) AS p FROM enr WHERE rep >= 0",
+    "dropped": f"SELECT sample, kinase, arg_min(rep, md5(concat_ws('|', '{SEED}', sample, kinase, CAST(rep AS VARCHAR)))) AS rep FROM rand GROUP BY ALL",
+    "pool": "SELECT sample, kinase, 1 AS unit, round(p, 9) AS p FROM real UNION ALL SELECT sample, kinase, 0, p FROM rand ANTI JOIN dropped USING (sample, kinase, rep)",
+    "sim": """SELECT first, second, coalesce(shared, 0) / (na + nb - coalesce(shared, 0)) AS jaccard FROM
+        (SELECT a.sample AS first, b.sample AS second, a.n AS na, b.n AS nb FROM (SELECT sample, count(*) n FROM evid GROUP BY 1) a JOIN (SELECT sample, count(*) n FROM evid GROUP BY 1) b ON a.sample < b.sample)
+        LEFT JOIN (SELECT a.sample AS first, b.sample AS second, count(*) AS shared FROM evid a JOIN evid b USING (accession, site) WHERE a.sample < b.sample GROUP BY ALL) USING (first, second)""",
+}
+RAW = ("tb_raw", "coll", "evid")
+BIAS = ("tb_raw", "tb_compendia", "coll", "evid", "comp", "evc")
+BOTH = (*BIAS, "tb_network", "nsite", "msize", "deg", "quota", "drawn", "tried", "ins", "ov", "num", "enr")
+
+
+def ctes(*names: str) -> str:
+    return "WITH " + ", ".join(duck(n) if n.startswith("tb_") else f"{n} AS ({CTE[n]})" for n in names) + " "
+
+
+def query(sql: str | None = None, *names: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = (ctes(*names) if names else "") + sql
+        return f
+
+    return add
+
+
+def collapsed(spark, d):
+    return V.collapse(view(spark, d, "tb_raw"))
+
+
+def chosen(spark, d):
+    return V.by_threshold(collapsed(spark, d), THRESHOLD)
+
+
+def biased(spark, d):
+    return V.with_compendia(chosen(spark, d), view(spark, d, "tb_compendia"))
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+# evidence
+
+
+@query("SELECT sample, kinase, CAST(rank AS INT) AS rank, round(median_p, 6) AS median_p FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(median_p, 9), kinase) AS rank FROM (SELECT sample, kinase, median(p) AS median_p FROM real GROUP BY ALL)) WHERE rank <= 5", *RAW, "tb_network", "nsite", "msize", "deg")
+def flagship_top_kinases(spark, d):
+    medians = E.median_enrichment(E.enrich(view(spark, d, "tb_network"), chosen(spark, d)))
+    return rounded(E.top_kinases(medians.withColumn("median_p", F.round("median_p", 9))), "median_p")
+
+
+SQL["flagship_top_kinases"] = SQL["flagship_top_kinases"].replace("SELECT sample, kinase, CAST", ", ".join(["", *(f"{n} AS ({CTE[n] if n != 'tried' else 'SELECT sample, -1 AS rep, accession, site FROM evid'})" for n in ("tried", "ins", "ov", "num", "enr", "real"))]) + " SELECT sample, kinase, CAST", 1)
+
+for how, call in (("mean", "avg(value)"), ("median", "median(value)"), ("min", "min(value)"), ("max", "max(value)"), ("count", "count(value)")):
+
+    def _collapse(spark, d, how=how):
+        return rounded(V.collapse(view(spark, d, "tb_raw"), how), "value") if how in ("mean", "median") else V.collapse(view(spark, d, "tb_raw"), how)
+
+    _collapse.__name__ = f"collapse_{how}"
+    query(f"SELECT sample, accession, site, {f'round({call}, 6)' if how in ('mean', 'median') else call} AS value FROM tb_raw GROUP BY ALL", "tb_raw")(_collapse)
+
+
+@query("SELECT sample, accession, site, round(avg(value), 6) AS value FROM tb_events WHERE accession IS NOT NULL AND site IS NOT NULL GROUP BY sample, accession, site", "tb_events")
+def collapse_events(spark, d):
+    return rounded(V.collapse(view(spark, d, "tb_events")), "value")
+
+
+@query(f"SELECT sample, accession, site, CAST(coalesce(value >= {THRESHOLD}, false) AS INT) AS flag FROM coll", "tb_raw", "coll")
+def threshold_flags(spark, d):
+    return V.flags(collapsed(spark, d), THRESHOLD)
+
+
+@query("SELECT sample, accession, site, CAST(value <= 20 AS INT) AS flag FROM coll", "tb_raw", "coll")
+def masked_flags_below(spark, d):
+    return V.mask(collapsed(spark, d), 20.0, greater=False)
+
+
+@query("SELECT concat(sample, '_threshold=', CASE t WHEN 10 THEN '10.0' WHEN 25 THEN '25.0' ELSE '40.0' END) AS sample, accession, site FROM coll CROSS JOIN (VALUES (10.0), (25.0), (40.0)) v(t) WHERE value >= t", "tb_raw", "coll")
+def multi_threshold_evidence(spark, d):
+    return V.by_thresholds(collapsed(spark, d), [10, 25, 40])
+
+
+@query("SELECT accession, site, sample, num_compendia, compendia_class FROM evc", *BIAS)
+def evidence_with_compendia(spark, d):
+    return biased(spark, d)
+
+
+@query("SELECT sample, accession, site FROM evid WHERE site LIKE 'S%' OR site LIKE 'T%'", *RAW)
+def evidence_of_type(spark, d):
+    return V.of_type(chosen(spark, d), "ST")
+
+
+@query("SELECT sample, count(*) AS size FROM evid GROUP BY ALL", *RAW)
+def evidence_sizes(spark, d):
+    return V.sizes(chosen(spark, d))
+
+
+@query("SELECT max(size) AS largest, min(size) AS smallest, median(size) AS middle FROM (SELECT sample, count(*) AS size FROM evid GROUP BY ALL)", *RAW)
+def evidence_size_summary(spark, d):
+    return V.size_summary(chosen(spark, d))
+
+
+@query("SELECT sample, count(*) FILTER (value >= 48) AS size, count(*) FILTER (value >= 48) > 100 AS valid FROM coll GROUP BY ALL", "tb_raw", "coll")
+def sample_validity(spark, d):
+    return V.valid_samples(collapsed(spark, d), [48.0, 49.0], min_size=100)
+
+
+@query("SELECT t AS threshold, bool_or(n > 100) AS any_sample, bool_and(n > 100) AS all_samples FROM (SELECT t, sample, count(*) FILTER (value >= t) AS n FROM coll CROSS JOIN (VALUES (CAST(10 AS DOUBLE)), (40), (49)) v(t) GROUP BY ALL) GROUP BY t", "tb_raw", "coll")
+def threshold_validity(spark, d):
+    return V.threshold_validity(collapsed(spark, d), [10, 40, 49], min_size=100)
+
+
+@query("SELECT sample, accession, site FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value DESC, accession, site) AS r FROM coll WHERE value IS NOT NULL) WHERE r <= 200", "tb_raw", "coll")
+def top_n_evidence(spark, d):
+    return V.by_rank(collapsed(spark, d), 200)
+
+
+@query("SELECT sample, accession, site FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY value, accession, site) AS r FROM coll WHERE value IS NOT NULL) WHERE r <= 200", "tb_raw", "coll")
+def bottom_n_evidence(spark, d):
+    return V.by_rank(collapsed(spark, d), 200, greater=False)
+
+
+@query("SELECT sample, round_even(count(*) FILTER (compendia_class = 0) * 100 / count(*), 2) AS class_0, round_even(count(*) FILTER (compendia_class = 1) * 100 / count(*), 2) AS class_1, round_even(count(*) FILTER (compendia_class = 2) * 100 / count(*), 2) AS class_2 FROM evc WHERE compendia_class IS NOT NULL GROUP BY ALL", *BIAS)
+def compendia_distribution(spark, d):
+    return V.class_shares(biased(spark, d))
+
+
+@query("SELECT sample, CAST(stratum AS INT) AS stratum, quota FROM quota", *BIAS, "quota")
+def stratum_sizes(spark, d):
+    return V.stratum_sizes(biased(spark, d))
+
+
+@query("SELECT sample, round(max(value) FILTER (r = 20), 6) AS value FROM (SELECT sample, value, row_number() OVER (PARTITION BY sample ORDER BY value DESC) AS r FROM coll WHERE value IS NOT NULL) GROUP BY ALL", "tb_raw", "coll")
+def nth_values(spark, d):
+    return rounded(V.nth_values(collapsed(spark, d), 20), "value")
+
+
+@query("SELECT min(v) AS threshold FROM (SELECT sample, max(value) FILTER (r = 20) AS v FROM (SELECT sample, value, row_number() OVER (PARTITION BY sample ORDER BY value DESC) AS r FROM coll WHERE value IS NOT NULL) GROUP BY ALL)", "tb_raw", "coll")
+def allowable_threshold(spark, d):
+    return V.allowable_threshold(collapsed(spark, d))
+
+
+@query("SELECT start, sample, accession, site, round(value, 6) AS value, n FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, sample, accession, site, avg(value) AS value, count(*) AS n FROM tb_events WHERE value IS NOT NULL GROUP BY ALL) WHERE value >= 50", "tb_events")
+def windowed_event_evidence(spark, d):
+    return rounded(windowed_evidence(view(spark, d, "tb_events"), 50.0), "value")
+
+
+@query()
+def streamed_event_evidence(spark, d):
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream takes no single file
+    measured = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sample"), F.concat(F.lit("U"), "user_id").alias("accession"), F.concat(F.substr(F.lit("STY"), F.length("event_type") % 3 + 1, F.lit(1)), F.col("event_id") % 50 + 1).alias("site"), "value")
+    return drain(spark, windowed_evidence(measured, 50.0), "events")
+
+
+# thresholds and similarity
+
+
+@query("SELECT first, second, round(jaccard, 6) AS jaccard FROM sim", *RAW, "sim")
+def sample_jaccard(spark, d):
+    return rounded(T.jaccard(chosen(spark, d)), "jaccard")
+
+
+@query("SELECT round(max(jaccard), 6) AS largest, round(avg(jaccard), 6) AS mean, round(median(jaccard), 6) AS middle FROM sim", *RAW, "sim")
+def jaccard_summary(spark, d):
+    return rounded(T.jaccard_summary(T.jaccard(chosen(spark, d))), "largest", "mean", "middle")
+
+
+@query("SELECT round(avg(m), 6) AS mean, round(max(x), 6) AS largest FROM (SELECT s, avg(jaccard) AS m, max(jaccard) AS x FROM (SELECT first AS s, jaccard FROM sim UNION ALL SELECT second, jaccard FROM sim) WHERE jaccard <> 1 GROUP BY s)", *RAW, "sim")
+def jaccard_masked(spark, d):
+    return rounded(T.jaccard_masked(T.jaccard(chosen(spark, d))), "mean", "largest")
+
+
+SWEEP = """, t AS (SELECT CAST(unnest(range(10, 51, 5)) AS DOUBLE) AS threshold), hit AS (SELECT threshold, sample, accession, site FROM coll CROSS JOIN t WHERE value >= threshold),
+per AS (SELECT threshold, sample, count(*) FILTER (value >= threshold) AS size FROM coll CROSS JOIN t GROUP BY ALL),
+sizes AS (SELECT threshold, max(size) AS largest, min(size) AS smallest, median(size) AS middle FROM per GROUP BY ALL HAVING min(size) > 0),
+shared AS (SELECT a.threshold, a.sample AS first, b.sample AS second, count(*) AS c FROM hit a JOIN hit b ON a.threshold = b.threshold AND a.accession = b.accession AND a.site = b.site AND a.sample < b.sample GROUP BY ALL),
+pair AS (SELECT a.threshold, coalesce(c, 0) / (a.size + b.size - coalesce(c, 0)) AS j FROM per a JOIN per b ON a.threshold = b.threshold AND a.sample < b.sample LEFT JOIN shared s ON s.threshold = a.threshold AND s.first = a.sample AND s.second = b.sample WHERE a.size > 0 AND b.size > 0),
+swept AS (SELECT * FROM sizes LEFT JOIN (SELECT threshold, max(j) AS similarity FROM pair GROUP BY ALL) USING (threshold)) """
+
+
+def swept(spark, d):
+    return T.sweep(collapsed(spark, d), T.grid(10, 50, 5))
+
+
+@query()
+def threshold_sweep(spark, d):
+    return rounded(swept(spark, d), "similarity")
+
+
+@query()
+def threshold_by_size(spark, d):
+    return T.by_size(swept(spark, d), 1500)
+
+
+@query()
+def threshold_by_similarity(spark, d):
+    return T.by_similarity(swept(spark, d), 0.02)
+
+
+SQL["threshold_sweep"] = ctes("tb_raw", "coll").rstrip() + SWEEP + "SELECT threshold, largest, smallest, middle, round(similarity, 6) AS similarity FROM swept"
+SQL["threshold_by_size"] = ctes("tb_raw", "coll").rstrip() + SWEEP + "SELECT min(threshold) AS threshold FROM swept WHERE middle <= 1500"
+SQL["threshold_by_similarity"] = ctes("tb_raw", "coll").rstrip() + SWEEP + "SELECT min(threshold) AS threshold FROM swept WHERE similarity < 0.02"
+
+
+@query()
+def recommended_threshold(spark, d):
+    found = T.recommend(collapsed(spark, d), T.grid(10, 50, 5), desired=1500, most=0.02)
+    return spark.createDataFrame([(found,)], "threshold double")
+
+
+# networks and enrichment
+
+
+@query("SELECT network_id, m FROM msize", "tb_network", "nsite", "msize")
+def network_sizes(spark, d):
+    return E.network_sizes(view(spark, d, "tb_network"))
+
+
+@query("SELECT network_id, kinase, degree FROM deg", "tb_network", "deg")
+def kinase_degrees(spark, d):
+    return E.kinase_degrees(view(spark, d, "tb_network"))
+
+
+@query("SELECT DISTINCT kinase FROM tb_network", "tb_network")
+def available_kinases(spark, d):
+    return N.available_kinases(view(spark, d, "tb_network"))
+
+
+@query("SELECT network_id, kinase, accession, site FROM tb_network WHERE kinase IN ('K01', 'K07')", "tb_network")
+def chosen_kinases(spark, d):
+    return E.choose_kinases(view(spark, d, "tb_network"), ["K01", "K07", "K99"])[0]
+
+
+def both(spark, d):
+    drawn = R.draw(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), REPS, SEED)
+    return chosen(spark, d).withColumn("rep", F.lit(-1)).unionByName(drawn)
+
+
+def enriched(spark, d):
+    return E.enrich(view(spark, d, "tb_network"), both(spark, d))
+
+
+@query("SELECT network_id, kinase, sample, rep, frequency, round(p, 6) AS p FROM enr", *BOTH)
+def enrichment_all(spark, d):
+    return rounded(enriched(spark, d), "p")
+
+
+@query("SELECT sample, kinase, round(median(p), 6) AS median_p FROM real GROUP BY ALL", *BOTH, "real")
+def median_enrichment(spark, d):
+    return rounded(E.median_enrichment(enriched(spark, d).where("rep = -1")), "median_p")
+
+
+@query("SELECT sample, kinase, round(median(p), 6) AS median_original, round(median(least(greatest(p / 0.05 * 0.05, 0), 1)), 6) AS median_normalised, count(*) FILTER (p <= 0.05 / 10) AS count_significant, round(avg(CAST(p <= 0.05 / 10 AS INT)), 6) AS fraction_significant FROM real GROUP BY ALL", *BOTH, "real")
+def normalised_summary(spark, d):
+    rows = E.normalised_summary(E.normalise(enriched(spark, d).where("rep = -1")))
+    return rounded(rows, "median_original", "median_normalised", "fraction_significant")
+
+
+@query()
+def overlap_limits(spark, d):
+    return rounded(E.overlap_limits(view(spark, d, "tb_network"), chosen(spark, d)), "limit")
+
+
+@query("SELECT kinase, round(max(m) FILTER (sample = 'data:AF'), 6) AS \"data:AF\", round(max(m) FILTER (sample = 'data:NO'), 6) AS \"data:NO\", round(max(m) FILTER (sample = 'data:RF'), 6) AS \"data:RF\" FROM (SELECT sample, kinase, median(p) AS m FROM real GROUP BY ALL) GROUP BY ALL", *BOTH, "real")
+def enrichment_matrix(spark, d):
+    medians = E.median_enrichment(enriched(spark, d).where("rep = -1"))
+    names = ["data:AF", "data:NO", "data:RF"]
+    wide = E.pivot_unique(medians, "kinase", "sample", "median_p", names)
+    return wide.select("kinase", *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in names])
+
+
+@query("SELECT sample, kinase, round(max(p), 6) AS p, count(*) AS n FROM real GROUP BY ALL", *BOTH, "real")
+def melted_enrichment(spark, d):
+    rows = enriched(spark, d).where("rep = -1")
+    samples = sorted(r[0] for r in view(spark, d, "tb_raw").select("sample").distinct().collect())
+    wide = rows.groupBy("network_id", "kinase").pivot("sample", samples).agg(F.first("p"))
+    long = wide.unpivot([F.col("network_id"), F.col("kinase")], [F.col(f"`{s}`") for s in samples], "sample", "p").where("p is not null")
+    return long.groupBy("sample", "kinase").agg(F.round(F.max("p"), 6).alias("p"), F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT sample, rep, accession, site FROM drawn", *BIAS, "quota", "drawn")
+def random_experiments(spark, d):
+    return both(spark, d).where("rep >= 0").select("sample", "rep", "accession", "site")
+
+
+@query("SELECT accession, site, max(CASE WHEN sample = 'data:AF' AND rep = 0 THEN 1 END) AS \"data:AF:0\", max(CASE WHEN sample = 'data:AF' AND rep = 1 THEN 1 END) AS \"data:AF:1\" FROM drawn GROUP BY ALL", *BIAS, "quota", "drawn")
+def random_experiment_matrix(spark, d):
+    return R.wide_experiments(both(spark, d).where("rep >= 0"), ["data:AF:0", "data:AF:1"])
+
+
+# significance
+
+SUMS = """, dist AS (SELECT sample, kinase, p, count(*) AS c FROM {pool} GROUP BY ALL), ranked AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY sample, kinase ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2 AS rank FROM dist),
+tot AS (SELECT sample, kinase, sum(c) AS total, sum(CAST(c AS DOUBLE) * c * c - c) AS ties FROM dist GROUP BY ALL),
+sums AS (SELECT sample, kinase, {unit}, count(*) AS n, sum(rank) AS rank_sum FROM {pool} JOIN ranked USING (sample, kinase, p) GROUP BY ALL),
+stat AS (SELECT sample, kinase, {unit}, n, total, rank_sum - n * (n + 1) / 2 AS u, n * (total - n) / 12 * ((total + 1) - ties / (total * (total - 1))) AS spread FROM sums JOIN tot USING (sample, kinase)),
+z AS (SELECT *, CASE WHEN spread > 0 THEN (u - n * (total - n) / 2 - 0.5) / sqrt(spread) END AS z FROM stat) """
+
+
+def activity(spark, d):
+    rows = materialize(enriched(spark, d).withColumn("p", F.round("p", 9)), "enrichment")
+    return rows.where("rep = -1").drop("rep"), rows.where("rep >= 0")
+
+
+@query()
+def mann_whitney(spark, d):
+    real, random = activity(spark, d)
+    background = random.join(S.dropped_rep(random, SEED), ["sample", "kinase", "rep"], "left_anti")
+    pool = real.select("sample", "kinase", "p", F.lit(1).alias("unit")).unionByName(background.select("sample", "kinase", "p", F.lit(0).alias("unit")))
+    return S.statistics(S.rank_sums(pool, "unit")).where("unit = 1").select("sample", "kinase", "u", F.round("z", 4).alias("z"))
+
+
+SQL["mann_whitney"] = ctes(*BOTH, "real", "rand", "dropped", "pool").rstrip() + SUMS.format(pool="pool", unit="unit") + "SELECT sample, kinase, CAST(u AS DOUBLE) AS u, round(z, 4) AS z FROM z WHERE unit = 1"
+
+
+@query()
+def leave_one_out_statistics(spark, d):
+    return S.null_statistics(activity(spark, d)[1]).select("sample", "kinase", "rep", "u", F.round("z", 4).alias("z"))
+
+
+SQL["leave_one_out_statistics"] = ctes(*BOTH, "rand").rstrip() + SUMS.format(pool="rand", unit="rep") + "SELECT sample, kinase, rep, CAST(u AS DOUBLE) AS u, round(z, 4) AS z FROM z"
+
+
+@query()
+def activities(spark, d):
+    real, random = activity(spark, d)
+    return rounded(S.activities(real, random, SEED), "z", "mw_p", "fpr")
+
+
+@query()
+def analysis_from_raw(spark, d):
+    found = analyse(view(spark, d, "tb_raw"), view(spark, d, "tb_network"), view(spark, d, "tb_compendia"), Params(threshold=THRESHOLD, reps=REPS))
+    return rounded(found.activities, "z", "mw_p", "fpr")
+
+
+NULLS = ", med AS (SELECT sample, kinase, rep, round(median(p), 9) AS s FROM rand GROUP BY ALL), rm AS (SELECT sample, kinase, round(median(p), 9) AS median_p FROM real GROUP BY ALL) "
+
+
+@query()
+def fpr_at_alpha(spark, d):
+    real, random = activity(spark, d)
+    medians = E.median_enrichment(real).withColumn("median_p", F.round("median_p", 9))
+    nulls = random.groupBy("sample", "kinase", "rep").agg(F.round(F.median("p"), 9).alias("median_p"))
+    rated = S.false_positive_rate(medians, nulls, "median_p").join(S.alpha_quantile(nulls, 0.2, "median_p"), ["sample", "kinase"], "left")
+    return rounded(rated, "median_p", "fpr", "factor")
+
+
+SQL["fpr_at_alpha"] = ctes(*BOTH, "real", "rand").rstrip() + NULLS + f""" SELECT sample, kinase, round(median_p, 6) AS median_p, round(count(*) FILTER (s <= median_p) / count(*), 6) AS fpr,
+round(list_sort(list(s))[CAST(floor({REPS} * 0.2) AS INT) + 1], 6) AS factor FROM rm JOIN med USING (sample, kinase) GROUP BY sample, kinase, median_p"""
+
+
+@query()
+def significant_kinases(spark, d):
+    real, random = activity(spark, d)
+    return S.significant_counts(S.activities(real, random, SEED), 0.3)
+
+
+@query()
+def strongest_kinases(spark, d):
+    real, random = activity(spark, d)
+    found = S.ever_significant(S.significant(S.activities(real, random, SEED), 0.3), 0.3)
+    return S.strongest(found, 5, 0.3)
+
+
+@query()
+def dot_table(spark, d):
+    real, random = activity(spark, d)
+    return D.dots(S.activities(real, random, SEED), 0.3)
+
+
+# coverage and study bias
+
+
+@query("SELECT count(*) AS substrates FROM (SELECT DISTINCT accession, site FROM tb_network)", "tb_network")
+def unique_substrates(spark, d):
+    return N.substrates(view(spark, d, "tb_network"))
+
+
+@query("SELECT phospho_type, round(avg(n), 6) AS substrates FROM (SELECT network_id, CASE WHEN site LIKE 'Y%' THEN 'Y' ELSE 'ST' END AS phospho_type, count(*) AS n FROM nsite GROUP BY ALL) GROUP BY ALL", "tb_network", "nsite")
+def mean_substrates(spark, d):
+    return rounded(N.mean_substrates(view(spark, d, "tb_network")), "substrates")
+
+
+@query("SELECT CAST(num_compendia AS DOUBLE) AS num_compendia, count(*) AS sites FROM tb_compendia GROUP BY ALL", "tb_compendia")
+def study_bias_proteome(spark, d):
+    return N.study_bias(view(spark, d, "tb_compendia"))
+
+
+@query("SELECT CAST(num_compendia AS DOUBLE) AS num_compendia, count(*) AS sites FROM (SELECT DISTINCT accession, site FROM evid) JOIN tb_compendia USING (accession, site) GROUP BY ALL", *RAW, "tb_compendia")
+def study_bias_experiment(spark, d):
+    return N.study_bias(chosen(spark, d), view(spark, d, "tb_compendia"))
+
+
+@query("SELECT sample, CAST(num_compendia AS DOUBLE) AS num_compendia, count(*) AS sites FROM (SELECT DISTINCT sample, accession, site FROM evid) JOIN tb_compendia USING (accession, site) GROUP BY ALL", *RAW, "tb_compendia")
+def study_bias_samples(spark, d):
+    return N.study_bias(chosen(spark, d), view(spark, d, "tb_compendia"), ["sample"])
+
+
+@query("SELECT round(avg(CAST(n.accession IS NOT NULL AS INT)), 6) AS coverage FROM (SELECT DISTINCT accession, site FROM coll) e LEFT JOIN (SELECT DISTINCT accession, site FROM tb_network WHERE kinase < 'K05') n USING (accession, site)", "tb_raw", "coll", "tb_network")
+def experiment_coverage(spark, d):
+    return rounded(N.coverage(collapsed(spark, d), view(spark, d, "tb_network").where("kinase < 'K05'")), "coverage")
+
+
+@query("SELECT sample, round(avg(CAST(n.accession IS NOT NULL AS INT)), 6) AS coverage FROM (SELECT DISTINCT sample, accession, site FROM evid) e LEFT JOIN (SELECT DISTINCT accession, site FROM tb_network WHERE kinase < 'K05') n USING (accession, site) GROUP BY ALL", *RAW, "tb_network")
+def sample_coverage(spark, d):
+    return rounded(N.coverage(chosen(spark, d), view(spark, d, "tb_network").where("kinase < 'K05'"), ["sample"]), "coverage")
+
+
+@query("SELECT accession, site, count(*) AS networks FROM tb_network WHERE kinase = 'K01' GROUP BY ALL", "tb_network")
+def substrate_influence(spark, d):
+    return N.influence(view(spark, d, "tb_network"), "K01")
+
+
+@query("SELECT sample, accession, site, networks FROM evid JOIN (SELECT accession, site, count(*) AS networks FROM tb_network WHERE kinase = 'K01' GROUP BY ALL) USING (accession, site)", *RAW, "tb_network")
+def substrate_influence_samples(spark, d):
+    return N.influence_by_sample(view(spark, d, "tb_network"), chosen(spark, d), "K01")
+
+
+@query("""SELECT first, second, round(avg(s), 6) AS shared, round(avg(s / (na + nb - s)), 6) AS jaccard FROM (SELECT a.network_id, a.kinase AS first, b.kinase AS second, a.degree AS na, b.degree AS nb, coalesce(c, 0) AS s FROM deg a JOIN deg b ON a.network_id = b.network_id AND a.kinase <= b.kinase
+LEFT JOIN (SELECT x.network_id, x.kinase AS k1, y.kinase AS k2, count(*) AS c FROM tb_network x JOIN tb_network y ON x.network_id = y.network_id AND x.accession = y.accession AND x.site = y.site AND x.kinase <= y.kinase GROUP BY ALL) j ON j.network_id = a.network_id AND k1 = a.kinase AND k2 = b.kinase) GROUP BY ALL""", "tb_network", "deg")
+def shared_substrates(spark, d):
+    return rounded(N.shared_substrates(view(spark, d, "tb_network")), "shared", "jaccard")
+
+
+@query("SELECT network_id, count(*) AS edges, count(DISTINCT kinase) AS kinases, max(per_kinase) AS largest, max(per_site) AS fullest FROM (SELECT *, count(*) OVER (PARTITION BY network_id, kinase) AS per_kinase, count(*) OVER (PARTITION BY network_id, accession, site) AS per_site FROM tb_network) GROUP BY ALL", "tb_network")
+def network_profile(spark, d):
+    net = view(spark, d, "tb_network")
+    per_kinase, per_site = Window.partitionBy("network_id", "kinase"), Window.partitionBy("network_id", "accession", "site")
+    rows = net.withColumns({"k": F.count("*").over(per_kinase), "s": F.count("*").over(per_site)})
+    return rows.groupBy("network_id").agg(F.count("*").alias("edges"), F.count_distinct("kinase").alias("kinases"), F.max("k").alias("largest"), F.max("s").alias("fullest"))
+
+
+# pruning and stored nulls
+
+
+@query("SELECT count(DISTINCT (accession, site)) AS sites, count(DISTINCT kinase) AS kinases, CAST(floor(count(DISTINCT (accession, site)) * 10 / count(DISTINCT kinase)) AS BIGINT) AS largest, CAST(floor(count(DISTINCT (accession, site)) * 10 / count(DISTINCT kinase) * 0.2) AS BIGINT) AS low, CAST(floor(count(DISTINCT (accession, site)) * 10 / count(DISTINCT kinase) * 0.4) AS BIGINT) AS high FROM tb_weight WHERE site NOT LIKE 'Y%'", "tb_weight")
+def feasible_size(spark, d):
+    return N.feasible_size(V.of_type(view(spark, d, "tb_weight"), "ST"), 10)
+
+
+@query()
+def pruned_networks(spark, d):
+    long = V.of_type(view(spark, d, "tb_weight"), "ST")
+    return N.prune(long, view(spark, d, "tb_compendia"), 5, 50, 10)
+
+
+@query()
+def pruned_network_hashes(spark, d):
+    return N.network_hash(pruned_networks(spark, d))
+
+
+@query("SELECT sample, size, CASE WHEN size >= 50 THEN (SELECT arg_min(s, abs(s - size)) FROM (VALUES (62), (96), (150), (233), (363), (566), (883)) v(s) WHERE abs(s - size) / size < 0.25) END AS matched FROM (SELECT 'U' || (user_id % 40) AS sample, count(*) AS size FROM events GROUP BY ALL)")
+def nearest_stored_size(spark, d):
+    sizes = table(spark, d, "events").groupBy(F.concat(F.lit("U"), F.col("user_id") % 40).alias("sample")).agg(F.count("*").alias("size"))
+    return R.nearest_size(sizes, R.ladder(50, 1000))
+
+
+@query("SELECT sample, CASE WHEN floor(class_2) > 60 THEN '0_30_70' ELSE '0_50_50' END AS mix FROM (SELECT sample, count(*) FILTER (compendia_class = 2) * 100 / count(*) AS class_2 FROM evc WHERE compendia_class IS NOT NULL GROUP BY ALL)", *BIAS)
+def null_mix(spark, d):
+    return V.class_shares(biased(spark, d)).select("sample", R.mix(F.lit("Y"), F.col("class_2")).alias("mix"))
+
+
+@query()
+def null_routing(spark, d):
+    rows = biased(spark, d)
+    return R.route(V.sizes(rows), V.class_shares(rows), R.ladder(500, 20000), "ST")
+
+
+@query()
+def stored_null_experiments(spark, d):
+    wanted = R.stored_quotas([62, 96], {"0_30_70": [0, 30, 70], "0_50_50": [0, 50, 50]}, spark)
+    drawn = R.draw(view(spark, d, "tb_compendia"), wanted.select("sample", "stratum", "quota"), REPS, SEED)
+    return drawn.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", "rep", "accession", "site")
+
+
+# mapping
+
+
+@query("SELECT DISTINCT l_orderkey, 'P' || l_partkey AS accession FROM lineitem")
+def strip_isoforms(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("P"), "l_partkey", F.lit("-"), F.col("l_suppkey") % 3).alias("a"))
+    return rows.select("l_orderkey", A.strip_isoform(F.col("a")).alias("accession")).distinct()
+
+
+@query("SELECT doc_id, unnest(['D' || doc_id, 'E' || lang, 'F' || source]) AS accession FROM documents")
+def exploded_accessions(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("D"), "doc_id", F.lit(";E"), "lang", F.lit(";F"), "source").alias("accession"))
+    return M.explode_list(rows, "accession")
+
+
+@query("SELECT accession, site, CASE WHEN length(sequence) >= 10 AND substr(sequence, 10, 1) = 'T' THEN substr(sequence, 3, 7) || 't' || substr(sequence, 11, 7) END AS aligned, length(sequence) >= 10 AND substr(sequence, 10, 1) = 'T' AS valid FROM (SELECT accession, 'T10' AS site, sequence FROM tb_sequence)", "tb_sequence")
+def aligned_peptides(spark, d):
+    rows = view(spark, d, "tb_sequence").withColumn("site", F.lit("T10"))
+    return rows.select("accession", "site", P.aligned_peptide(F.col("sequence"), F.col("site")).alias("aligned"), P.valid_site(F.col("sequence"), F.col("site")).alias("valid"))
+
+
+PARTS = ", parts AS (SELECT accession, string_split(sequence, 'TION') AS s FROM tb_sequence WHERE sequence <> ''), each AS (SELECT accession, s, unnest(range(1, len(s))) AS i FROM parts) "
+
+
+@query()
+def peptide_occurrences(spark, d):
+    rows = view(spark, d, "tb_sequence")
+    return rows.select("accession", F.explode(P.occurrences(F.col("sequence"), F.lit("TION"))).alias("place"))
+
+
+SQL["peptide_occurrences"] = ctes("tb_sequence").rstrip() + PARTS + "SELECT accession, CAST(1 + (i - 1) * 4 + list_sum([length(x) FOR x IN s[1:i]]) AS INT) AS place FROM each"
+
+
+@query("SELECT accession, count(*) FILTER (c IN ('S', 'T', 'Y')) AS sites FROM (SELECT accession, unnest(string_split(substr(sequence, 1, length(sequence)), '')) AS c FROM tb_sequence WHERE sequence <> '') GROUP BY accession HAVING count(*) FILTER (c IN ('S', 'T', 'Y')) > 0", "tb_sequence")
+def expanded_modifications(spark, d):
+    """Every S, T and Y of each sequence as a modification of its own."""
+    rows = view(spark, d, "tb_sequence").withColumn("peptide", F.translate("sequence", "STY", "sty"))
+    return rows.select("accession", F.explode(P.modified_positions(F.col("peptide"))).alias("at")).groupBy("accession").agg(F.count("*").alias("sites"))
+
+
+def peptides(spark, d):
+    """The 15 residues around each sequence's tenth residue, which is made a modified serine."""
+    seq = view(spark, d, "tb_sequence").where("length(sequence) >= 17")
+    return seq.select("accession", F.concat(F.substring("sequence", 3, 7), F.lit("s"), F.substring("sequence", 11, 7)).alias("peptide"), F.regexp_replace("sequence", "^(.{9}).", "$1S").alias("sequence"))
+
+
+PEPTIDES = ", pep AS (SELECT accession, substr(sequence, 3, 7) || 's' || substr(sequence, 11, 7) AS peptide, substr(sequence, 1, 9) || 'S' || substr(sequence, 11) AS sequence FROM tb_sequence WHERE length(sequence) >= 17) "
+
+
+@query()
+def site_numbers(spark, d):
+    return peptides(spark, d).select("accession", P.site_number(F.col("sequence"), F.col("peptide")).alias("site"))
+
+
+SQL["site_numbers"] = ctes("tb_sequence").rstrip() + PEPTIDES + "SELECT accession, 'S' || (instr(sequence, upper(peptide)) + 7) AS site FROM pep"
+
+FORMS = ("lower", "p", "after", "probability", "unimod", "upper")
+
+
+def marked(spark, d):
+    rows = peptides(spark, d).withColumn("n", F.substring("accession", 2, 20).cast("long") % 6)
+    left, right = F.substring("peptide", 1, 7), F.substring("peptide", 9, 7)
+    ways = [F.concat(left, F.lit(c), right) for c in ("s", "pS", "S*", "S(0.98)", "S(UniMod_21)", "S")]
+    return rows.select("accession", "n", F.get(F.array(*ways), F.col("n").cast("int")).alias("peptide"))
+
+
+@query()
+def formatted_peptides(spark, d):
+    return marked(spark, d).select("accession", P.peptide_format(F.col("peptide")).alias("form"), P.formatted(F.col("peptide")).alias("peptide"))
+
+
+SQL["formatted_peptides"] = ctes("tb_sequence").rstrip() + PEPTIDES + "SELECT accession, CASE n WHEN 0 THEN 'acceptable' WHEN 1 THEN 'lowercase_p' WHEN 2 THEN 'annotated' WHEN 3 THEN 'maxquant_perc' WHEN 4 THEN 'unimod' ELSE 'uppercase' END AS form, CASE n WHEN 5 THEN upper(peptide) ELSE peptide END AS peptide FROM (SELECT accession, peptide, CAST(substr(accession, 2) AS BIGINT) % 6 AS n FROM pep)"
+
+
+@query()
+def common_peptide_form(spark, d):
+    rows = marked(spark, d).withColumn("form", P.peptide_format(F.col("peptide"))).withColumn("at", F.substring("accession", 2, 20).cast("long"))
+    return M.most_common(rows, "form", "at")
+
+
+SQL["common_peptide_form"] = ctes("tb_sequence").rstrip() + PEPTIDES + "SELECT CASE n WHEN 0 THEN 'acceptable' WHEN 1 THEN 'lowercase_p' WHEN 2 THEN 'annotated' WHEN 3 THEN 'maxquant_perc' WHEN 4 THEN 'unimod' ELSE 'uppercase' END AS value, c AS n FROM (SELECT CAST(substr(accession, 2) AS BIGINT) % 6 AS n, count(*) AS c, min(CAST(substr(accession, 2) AS BIGINT)) AS f FROM pep GROUP BY 1) ORDER BY c DESC, f LIMIT 1"
+
+
+IDS = ("P12345", "P53_HUMAN", "ENSP0000", "NP_001", "gi|12", "UPI01", "A0A024R1X5", "TP53", "J3KP06")
+KINDS = ("UniProtKB", "UniProtKB_AC-ID", "Ensembl_Protein", "RefSeq_Protein", "GI_number", "UniParc", "UniProtKB", "genename/unrecognized", "genename/unrecognized")
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT {list(KINDS)}[l_orderkey % 9 + 1] AS kind FROM lineitem) GROUP BY ALL")
+def accession_types(spark, d):
+    ids = F.get(F.array(*[F.lit(i) for i in IDS]), (F.col("l_orderkey") % 9).cast("int"))
+    return table(spark, d, "lineitem").select(A.accession_type(ids).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, string_agg(a, ';' ORDER BY a) AS accession FROM (SELECT DISTINCT l_orderkey, 'Q' || (l_suppkey % 7) AS a FROM lineitem WHERE l_suppkey % 7 < 5) GROUP BY ALL UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY ALL HAVING min(l_suppkey % 7) >= 5")
+def converted_ids(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("gene"), F.col("l_suppkey") % 7))), ";").alias("genes"))
+    id_map = spark.createDataFrame([(f"gene{i}", f"Q{i}") for i in range(5)], "from_id string, accession string")
+    return A.convert(rows, "genes", id_map).select("l_orderkey", "accession")
+
+
+def mapped(spark, d):
+    seq = view(spark, d, "tb_sequence")
+    raw = peptides(spark, d).select(F.when(F.substring("accession", 2, 20).cast("long") % 10 == 0, F.concat(F.lit("X"), "accession")).otherwise(F.concat("accession", F.lit("-2"))).alias("accession"), "peptide", F.length("sequence").cast("double").alias("value"))
+    fixed = seq.select("accession", F.when(F.length("sequence") >= 17, F.regexp_replace("sequence", "^(.{9}).", "$1S")).otherwise(F.col("sequence")).alias("sequence"), "doc_id")
+    compendia = fixed.where("doc_id % 5 <> 1").select("accession", F.lit("S10").alias("site"), (F.col("doc_id") % 6).cast("int").alias("num_compendia"))
+    return M.map_experiment(raw, fixed.select("accession", "sequence"), compendia)
+
+
+@query()
+def mapped_experiment(spark, d):
+    return mapped(spark, d).rows.select("accession", "site", "peptide", "aligned", "value", "num_compendia", "compendia_class")
+
+
+@query()
+def mapping_rejects(spark, d):
+    return mapped(spark, d).rejects.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def mapping_statistics(spark, d):
+    return rounded(M.mapping_statistics(mapped(spark, d)), "share")
+
+
+MAPPED = PEPTIDES + ", got AS (SELECT accession, CAST(substr(accession, 2) AS BIGINT) AS i, 'S' || (instr(sequence, upper(peptide)) + 7) AS site, sequence FROM pep), verdict AS (SELECT *, CASE WHEN i % 10 = 0 THEN 'accession has no reference sequence' WHEN i % 5 = 1 OR site <> 'S10' THEN 'site is in no compendium' ELSE 'mapped' END AS reason FROM got) "
+SQL["mapped_experiment"] = ctes("tb_sequence").rstrip() + MAPPED + "SELECT accession, site, upper(substr(sequence, 3, 7)) || 's' || substr(sequence, 11, 7) AS peptide, substr(sequence, 3, 7) || 's' || substr(sequence, 11, 7) AS aligned, CAST(length(sequence) AS DOUBLE) AS value, CAST(i % 6 AS INT) AS num_compendia, CASE WHEN i % 6 < 1 THEN 0 WHEN i % 6 <= 3 THEN 1 ELSE 2 END AS compendia_class FROM verdict WHERE reason = 'mapped'"
+SQL["mapping_rejects"] = ctes("tb_sequence").rstrip() + MAPPED + "SELECT reason, count(*) AS n FROM verdict WHERE reason <> 'mapped' GROUP BY ALL"
+SQL["mapping_statistics"] = ctes("tb_sequence").rstrip() + MAPPED + "SELECT reason, count(*) AS sites, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM verdict GROUP BY ALL"
+
+
+@query("SELECT CASE WHEN site LIKE 'Y%' THEN 'Y' ELSE 'ST' END AS phospho_type, sample, count(DISTINCT (accession, site)) AS sites FROM tb_raw WHERE value IS NOT NULL GROUP BY ALL", "tb_raw")
+def measured_sites(spark, d):
+    return M.sites_by_type(view(spark, d, "tb_raw"))
+
+
+@query("SELECT accession, site, CAST(count(DISTINCT e) FILTER (e < 4) AS BIGINT) AS num_compendia, CASE WHEN count(DISTINCT e) FILTER (e < 4) < 1 THEN 0 WHEN count(DISTINCT e) FILTER (e < 4) <= 3 THEN 1 ELSE 2 END AS compendia_class FROM (SELECT 'P' || l_partkey AS accession, substr('STY', CAST(l_suppkey % 3 AS INT) + 1, 1) || l_linenumber AS site, l_orderkey % 6 AS e FROM lineitem) GROUP BY ALL")
+def phosphoproteome(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("accession"), F.concat(F.substr(F.lit("STY"), (F.col("l_suppkey") % 3).cast("int") + 1, F.lit(1)), "l_linenumber").alias("site"), F.concat(F.lit("C"), F.col("l_orderkey") % 6).alias("e"))
+    records = rows.groupBy("accession", "site").agg(F.array_join(F.collect_set("e"), ";").alias("evidence"))
+    return N.phosphoproteome(records, spark.createDataFrame([(f"C{i}",) for i in range(4)], "id string"))
+
+
+# sets, reshaping, presentation
+
+
+@query("SELECT accession, site FROM (SELECT DISTINCT accession, site FROM tb_raw WHERE sample = 'data:AF') INTERSECT SELECT accession, site FROM tb_raw WHERE sample = 'data:NO'", "tb_raw")
+def common_sites(spark, d):
+    rows = view(spark, d, "tb_raw")
+    return rows.where("sample = 'data:AF'").select("accession", "site").intersect(rows.where("sample = 'data:NO'").select("accession", "site"))
+
+
+@query("SELECT accession, site FROM tb_raw WHERE sample = 'data:NF' EXCEPT SELECT accession, site FROM tb_raw WHERE sample = 'data:NO'", "tb_raw")
+def lost_sites(spark, d):
+    rows = view(spark, d, "tb_raw")
+    return rows.where("sample = 'data:NF'").select("accession", "site").subtract(rows.where("sample = 'data:NO'").select("accession", "site"))
+
+
+@query("SELECT accession, site, max(value) FILTER (sample = 'data:AF') AS \"data:AF\", max(value) FILTER (sample = 'data:NO') AS \"data:NO\" FROM coll GROUP BY ALL", "tb_raw", "coll")
+def wide_values(spark, d):
+    return collapsed(spark, d).groupBy("accession", "site").pivot("sample", ["data:AF", "data:NO"]).agg(F.first("value"))
+
+
+@query("SELECT s_suppkey AS id, category, value FROM (SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) UNPIVOT (value FOR category IN (n_name, r_name))")
+def context_cells(spark, d):
+    context = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    order = context.select(F.col("s_suppkey").alias("id"), F.lit(0).alias("position"))
+    return D.context_cells(context, "s_suppkey", ["n_name", "r_name"], order).select("id", "category", "value")
+
+
+@query("SELECT sample, CAST((row_number() OVER (ORDER BY sample) - 1) * 10 + 5 AS INT) AS position FROM (SELECT DISTINCT sample FROM tb_raw)", "tb_raw")
+def axis_positions(spark, d):
+    return N.rank_positions(view(spark, d, "tb_raw"), "sample")
+
+
+@query("SELECT kinase, CAST(row_number() OVER (ORDER BY round(median(p), 9), kinase) AS INT) AS position FROM real WHERE sample = 'data:AF' GROUP BY kinase", *BOTH, "real")
+def ordered_kinases(spark, d):
+    medians = E.median_enrichment(enriched(spark, d).where("rep = -1")).withColumn("median_p", F.round("median_p", 9))
+    return D.ordered_by(medians, "sample", "data:AF", "median_p")
+
+
+@query("SELECT sample, kinase, CASE WHEN p = 0 THEN CAST('inf' AS DOUBLE) ELSE round(-log10(p), 5) END AS score FROM (SELECT sample, kinase, median(p) AS p FROM real GROUP BY ALL)", *BOTH, "real")
+def log_scores(spark, d):
+    medians = E.median_enrichment(enriched(spark, d).where("rep = -1"))
+    return medians.select("sample", "kinase", F.round(minus_log10(F.col("median_p")), 5).alias("score"))

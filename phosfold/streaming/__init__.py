@@ -1 +1 @@
-"""streaming"""
+"""Incremental forms of operators."""
