@@ -68,7 +68,7 @@ RUN_FIELDS = {
 
 def run_information(spark: SparkSession, path: str) -> DataFrame:
     """One row with the fields of a run information text or of its JSON form, and the sizes by compendia."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     if path.endswith(".json"):
         kinds = ", ".join(f"{c} string" for c in RUN_FIELDS)
         return text.select(F.from_json("value", f"{kinds}, compendia array<int>").alias("r")).select("r.*")
