@@ -20,17 +20,19 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .bpe import byte_letters
+from .common import materialize, work_path
 
 LIMIT = 20
 BLOCK = 256
-SEGMENT = 1 << 18
+SEGMENT = 1 << 20
 REMEMBERED = 500_000
 
 
@@ -42,20 +44,48 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.letters = {b: c for c, b in byte_letters().items()}
         self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
         self.words: dict[str, bytes] = {"": b""}
-        self.tail = re.compile(r"([^\W\d_]+)([.,])\Z")
+        self.tail = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
+
+    def plain(self, word: str) -> bool:
+        """Whether the library's normalizer leaves a word as it is and its pattern keeps it in one piece."""
+        return word.isalpha() and (word.isascii() or unicodedata.is_normalized("NFC", word)) and word == word.lower()
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words that are not remembered; a word and the comma or stop behind it are encoded apart."""
-        parts = {w: m.groups() if (m := self.tail.match(w)) and m[1] == m[1].lower() else (w,) for w in words}
-        new = list({p for ps in parts.values() for p in ps if p not in self.words})
-        ids = {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False))}
-        found = {w: b"".join(ids[p] if p in ids else self.words[p] for p in ps) for w, ps in parts.items()}
-        for w, b in (ids | found).items():
-            if len(self.words) < REMEMBERED and len(w) < 64:
-                self.words[w] = b
+        """Ids of words that are not remembered; letters and the marks behind them are encoded apart.
+
+        Plain words go to the library's model at once, all others through the whole library.
+        """
+        known, match, apart, new = self.words, self.tail.match, {}, set()
+        for w in words:
+            m = match(w)
+            if m and self.plain(m[1]):
+                apart[w] = m.groups()
+                new.update(p for p in m.groups() if p not in known)
+            else:
+                new.add(w)
+        found, odd, merge = {}, [], self.model.tokenize
+        for w in new:
+            if self.plain(w):
+                found[w] = array(self.code, [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            else:
+                odd.append(w)
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            found[w] = array(self.code, e.ids).tobytes()
+        for w, b in found.items():
+            if len(known) >= REMEMBERED:
+                break
+            if len(w) < 64:
+                known[w] = b
+        for w, (stem, marks) in apart.items():
+            found[w] = (found[stem] if stem in found else known[stem]) + (found[marks] if marks in found else known[marks])
+            if len(marks) == 1 and len(known) < REMEMBERED and len(w) < 64:
+                known[w] = found[w]
         return found
 
     @staticmethod
@@ -127,16 +157,21 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
-    """Bits of the ids, and the bit offset of each block."""
+def pack(ids: np.ndarray, counts: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> list[tuple[np.ndarray, bytes]]:
+    """(bit offset of each block, bits) of each document; `ids` holds `counts` ids of each, none of them empty."""
     size = lengths[ids].astype(np.int64)
-    stops = np.cumsum(size)
-    total = int(stops[-1]) if ids.size else 0
-    offset = stops - size
+    stops, last = np.cumsum(size), np.cumsum(counts)
+    ends = stops[last - 1]
+    bits = np.diff(ends, prepend=0)
+    # each document begins at a byte
+    starts = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
+    inside = stops - size - np.repeat(ends - bits, counts)
+    offset = inside + np.repeat(starts[:-1] * 8, counts)
     wide = codes[ids].astype(np.uint64) << (64 - (offset & 31) - size).astype(np.uint64)
-    word, n = offset >> 5, (total >> 5) + 2
-    bits = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
-    return bits.astype(np.uint64).astype(">u4").tobytes()[: (total + 7) // 8], offset[::block]
+    word, n = offset >> 5, (int(starts[-1]) >> 2) + 2
+    sums = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+    raw = sums.astype(np.uint64).astype(">u4").tobytes()
+    return [(inside[a:b:block], raw[i:j]) for a, b, i, j in zip((last - counts).tolist(), last.tolist(), starts[:-1].tolist(), starts[1:].tolist())]
 
 
 def lookup(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -174,53 +209,63 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _encoded(batch, path: str, end: int, at_once: int = 256):
-    """(doc_id, ids with the end id) of a batch."""
-    coder = tokenizer(path)
-    for at in range(0, batch.num_rows, at_once):
-        part = batch.slice(at, at_once)
-        for i, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
-            yield i, np.append(ids, coder.kind.type(end))
+def encoded(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text", at_once: int = 256) -> DataFrame:
+    """(doc_id, ids) with the end id; ids are the machine's unsigned integers, two bytes each where the vocabulary allows."""
+
+    def run(stream):
+        for batch in stream:
+            coder = tokenizer(path)
+            stop = array(coder.code, [end]).tobytes()
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                ids = [x.tobytes() + stop for x in coder.encode(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def id_counts(stored: DataFrame, path: str) -> np.ndarray:
     """How often every id occurs over all documents; as many numbers as the vocabulary has ids."""
 
     def run(stream):
-        total = np.zeros(tokenizer(path).size, np.int64)
+        coder = tokenizer(path)
+        total = np.zeros(coder.size, np.int64)
         for batch in stream:
-            ids = [x for _, x in _encoded(batch, path, end)]
-            total += np.bincount(np.concatenate(ids), minlength=total.size) if ids else 0
+            for ids in batch.column(0).to_pylist():
+                total += np.bincount(np.frombuffer(ids, coder.kind), minlength=total.size) if len(ids) > total.size else 0
+            short = b"".join(ids for ids in batch.column(0).to_pylist() if len(ids) <= total.size)
+            total += np.bincount(np.frombuffer(short, coder.kind), minlength=total.size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
-    table = _texts(docs, id_col, text_col).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    table = stored.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(tokenizer(path).size, np.int64)
     counts[table["id"].to_numpy()] = table["n"].to_numpy()
     return counts
 
 
-def write_segments(docs: DataFrame, folder: str, path: str, lengths: np.ndarray, end: int = 1, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, segment: int = SEGMENT) -> None:
-    """Write the documents' ids to `folder`, parts and segments in ascending order of doc_id."""
-    spark = docs.sparkSession
-    rows = _texts(docs, id_col, text_col)
+def write_segments(stored: DataFrame, folder: str, path: str, lengths: np.ndarray, block: int = BLOCK, segment: int = SEGMENT) -> None:
+    """Write (doc_id, ids) to `folder`, parts and segments in ascending order of doc_id."""
+    spark = stored.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)
+    bounds = stored.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)
     bounds = np.array(sorted(set(bounds)))
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
 
     def code(stream):
+        kind = tokenizer(path).kind
         size, codes = shared.value
         for batch in stream:
-            out = [[], [], [], [], []]
-            for i, ids in _encoded(batch, path, end):
-                bits, marks = pack(ids, codes, size, block)
-                for column, value in zip(out, (0 if i is None else 1 + int(np.searchsorted(bounds, i, side="right")), i, ids.size, marks, bits)):
-                    column.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["part", "doc_id", "n", "marks", "bits"])
-
-    coded = rows.mapInArrow(code, "part int, doc_id long, n long, marks array<long>, bits binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                doc_ids, raws = part.column(0).to_pylist(), part.column(1).to_pylist()
+                counts = np.array([len(r) // kind.itemsize for r in raws], np.int64)
+                packed = pack(np.frombuffer(b"".join(raws), kind), counts, codes, size, block)
+                at_part = [0 if i is None else 1 + int(np.searchsorted(bounds, i, side="right")) for i in doc_ids]
+                columns = [pa.array(at_part, pa.int32()), part.column(0), pa.array(counts), pa.array([m for m, _ in packed], pa.list_(pa.int64())), pa.array([b for _, b in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n", "marks", "bits"])
+
+    coded = stored.mapInArrow(code, "part int, doc_id long, n long, marks array<long>, bits binary")
     coded = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
     names = ["part", "segment", "doc_ids", "counts", "marks", "bits"]
     kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
@@ -290,7 +335,8 @@ def word_vocabulary() -> str:
 
 
 def op2_huffman(spark, sf_dir):
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_path(spark, "ids")
-    lengths = code_lengths(id_counts(docs, word_vocabulary()))
-    write_segments(docs, folder, word_vocabulary(), lengths)
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_path(spark, "segments")
+    stored = materialize(encoded(docs, word_vocabulary()), "ids")
+    lengths = code_lengths(id_counts(stored, word_vocabulary()))
+    write_segments(stored, folder, word_vocabulary(), lengths)
     return read_segments(spark, folder, lengths)
