@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 HASHES_AT_ONCE = 1 << 16
+SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -158,7 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = distinct.join(nodes, "fp")
     smallest = linked.groupBy("root").agg(F.min("least").alias("c"))
     of = distinct.join(linked.join(smallest, "root").select("fp", "c"), "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
-    return rows.join(of, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    # copies share a fingerprint: the rows of each are dealt over SALTS tasks
+    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(of, ["fp", "salt"]).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def op10_simhash(spark, sf_dir):
