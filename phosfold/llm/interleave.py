@@ -209,7 +209,8 @@ def document_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op6_interleave(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    media = describe_media(store_media(docs))
+    # written, so that the join deals both sides and can split the references to a common medium
+    media = materialize(describe_media(store_media(docs)), "described")
     pages = document_sequences(docs)
     # the row's id and what it says of itself travel together, so repeated ids stay apart
     keyed = pages.select(F.struct("id", "n_bytes", "chars", F.size("parts").alias("n_parts")).alias("id"), "parts")
