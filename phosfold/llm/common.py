@@ -94,7 +94,3 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -109,6 +109,37 @@ _ALL = np.full(1, ~_U(0))
 _RUN = {"a": pa.int64(), "x": pa.int64(), "d": pa.int64(), "pk": pa.int64(), "c": pa.int32()}
 
 
+def _once(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """One row for equal runs of a batch, with weight 2, and rows that say where they all stand.
+
+    Runs that a batch holds twice are repeated whatever other tasks find, so their places need not
+    meet the other runs of their name: neighbouring ones are joined and filed under their place.
+    This keeps long periodic texts and common passages from sending a row for each repetition.
+    """
+    a, x, d, pk, c = (rows[i] for i in _RUN)
+    if not a.size:
+        return rows
+    order = np.lexsort((x, a))
+    new = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (x[order][1:] != x[order][:-1])]))
+    total, size = np.add.reduceat(c[order], new), np.diff(np.append(new, order.size))
+    one, member = order[new], order[np.repeat(size > 1, size)]
+    at, begin = pk[member] >> 40, pk[member] & 0xFFFFFFFF
+    order = np.lexsort((begin, at, d[member]))
+    of, at, begin, stop = d[member][order], at[order], begin[order], (begin + (pk[member] >> 32 & 0xFF))[order]
+    apart = np.ones(of.size, bool)
+    apart[1:] = (of[1:] != of[:-1]) | (at[1:] != at[:-1]) | (begin[1:] != stop[:-1])
+    cut = np.flatnonzero(apart)
+    of, at, begin, stop = of[cut], at[cut], begin[cut], stop[np.append(cut[1:], of.size) - 1] if cut.size else stop
+    parts = -(-(stop - begin) // 255)
+    which = np.repeat(np.arange(cut.size), parts)
+    begin = begin[which] + 255 * (np.arange(which.size) - np.repeat(np.cumsum(parts) - parts, parts))
+    many = np.minimum(255, stop[which] - begin)
+    place = (of[which].view(_U) ^ (begin.astype(_U) * _U(0x9E3779B97F4A7C15))).view(np.int64)
+    known = (place, begin, of[which], _pack(at[which], many, begin), np.full(which.size, 2))
+    picked = (a[one], x[one], d[one], pk[one], np.minimum(total, 2))
+    return {i: np.concatenate([p, q]).astype(np.int32 if i == "c" else np.int64) for i, p, q in zip(_RUN, picked, known)}
+
+
 def _file(texts, length: int, k: int, hot: np.ndarray | None):
     """Runs of a batch of (bytes, digest, digest bits, start, weight); with `hot`, only those of names in it, and with their bytes."""
     out = {c: [] for c in [*_RUN, *(["content"] if hot is not None else [])]}
@@ -143,8 +174,16 @@ def _distinct_texts(batch: pa.RecordBatch, length: int):
 
 def _scan(texts: DataFrame, length: int, k: int, hot=None) -> DataFrame:
     def rows(batch):
-        items = _distinct_texts(batch, length)
-        yield _file(items, length, k, hot.value if hot is not None else None)
+        found = _file(_distinct_texts(batch, length), length, k, hot.value if hot is not None else None)
+        if hot is None:
+            yield _once(found)
+        else:  # the first of equal runs, with their bytes
+            seen: dict[tuple[int, int], int] = {}
+            weight = [0] * len(found["a"])
+            for i, key in enumerate(zip(found["a"].tolist(), found["x"].tolist())):
+                weight[seen.setdefault(key, i)] += int(found["c"][i])
+            first = sorted(seen.values())
+            yield {c: [v[i] for i in first] for c, v in found.items()} | {"c": [min(2, weight[i]) for i in first]}
 
     schema = "a long, x long, d long, pk long, c int" + (", content binary" if hot is not None else "")
     return texts.mapInArrow(batches(_RUN | ({"content": pa.binary()} if hot is not None else {}), rows), schema)
@@ -298,7 +337,3 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op9_suffix_dedup(spark, sf_dir):
     return removal_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def clean(docs: DataFrame) -> DataFrame:
-    return remove_repeats(docs)
