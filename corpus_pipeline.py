@@ -1,7 +1,8 @@
 """A training corpus in five stages; each one's rows are written and read again by the next.
 
 1. quality: documents that the line field rejects go (score below KEEP);
-2. near-duplicates: of each group of linked SimHash fingerprints the document with the smallest id stays;
+2. near-duplicates: of each group of documents linked by a Jaccard similarity of 0.8 or more of their
+   five-word shingles the one with the smallest id stays;
 3. repeated passages: bytes of 200-byte strings that stand more than once go, in all places;
 4. decontamination: documents that hold a passage near a benchmark item go;
 5. tokens: texts are encoded and decoded by the byte-level vocabulary, with digests of both.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phosfold.llm import bpe, decontaminate, quality, simhash, suffix_dedup
+from phosfold.llm import bpe, decontaminate, near_copies, quality, suffix_dedup
 from phosfold.llm.common import materialize
 from phosfold.llm.toxicity import held_out
 
@@ -28,7 +29,7 @@ def good_documents(spark, docs, sf_dir):
 
 
 def without_near_duplicates(spark, docs, sf_dir):
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def without_repeated_passages(spark, docs, sf_dir):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from phosfold.llm import bpe, common, decontaminate, huffman, interleave, quality, registry, sharding, simhash, suffix_dedup, toxicity, url_rules  # noqa: E402
+from phosfold.llm import bpe, common, decontaminate, huffman, interleave, near_copies, quality, registry, sharding, simhash, suffix_dedup, toxicity, url_rules  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,6 +83,34 @@ def test_simhash(spark, odd, none, docs):
     assert kept.where("doc_id is null").count() == 2
 
 
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("block", [1 << 21, 400])
+def test_pipeline_stage_against_jaccard(spark, odd, none, docs, block):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(120)]
+    copies = [(100 + k, " ".join(words[:k] + ["new"] + words[k + 1 :])) for k in (0, 20, 50, 110)]
+    copies += [(200 + k, " ".join([f"x{k}" if i in (20, 30) else w for i, w in enumerate(words)])) for k in range(4)]
+    for table in (odd, docs, documents(spark, copies)):
+        rows = [(r.doc_id, r.text) for r in table.collect() if r.doc_id is not None]
+        sets = [plain_shingles(t) for _, t in rows]
+        least = [d for d, _ in rows]
+        pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+        for _ in rows:
+            for i, j in pairs:
+                least[i] = least[j] = min(least[i], least[j])
+        got = near_copies.near_copies(table, block)
+        assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter((d, c) for (d, _), c in zip(rows, least))
+        if block > 400:
+            kept = cp.without_near_duplicates(spark, table, SF).where("doc_id is not null")
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+    assert near_copies.keep_one(none).count() == 0
+
+
 def test_close_pairs():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
