@@ -40,7 +40,9 @@ def enrich(networks: DataFrame, evidence: DataFrame, sizes: DataFrame | None = N
     degrees = kinase_degrees(networks)
     inside = networks.select("network_id", *KEYS).distinct().join(evidence, KEYS).groupBy("network_id", "sample", "rep").agg(F.count("*").alias("n"))
     overlap = networks.select("network_id", "kinase", *KEYS).join(evidence, KEYS).groupBy("network_id", "kinase", "sample", "rep").agg(F.count("*").alias("k"))
-    every = degrees.join(sizes, "network_id").join(inside, "network_id")
+    # all networks meet all samples and replicates, whose number the settings bound
+    tried = evidence.select("sample", "rep").distinct().crossJoin(sizes).join(inside, ["network_id", "sample", "rep"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = degrees.join(tried, "network_id")
     found = every.join(overlap, ["network_id", "kinase", "sample", "rep"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     numbers = found.where("k > 0").select("k", "m", "degree", "n").distinct()
     tails = with_hypergeometric_tail(numbers)

@@ -153,6 +153,16 @@ def test_analysis_and_storage(spark, tmp_path):
         enrichment.pivot_unique(net.withColumn("v", F.lit(1)), "kinase", "network_id", "v", ["0"])
 
 
+def test_sample_that_misses_a_network(spark):
+    net = spark.createDataFrame([(0, "A", "P1", "S1"), (0, "B", "P2", "S2"), (1, "A", "P3", "S3"), (1, "C", "P4", "S4")], "network_id int, kinase string, accession string, site string")
+    tried = [("a", -1, "P1", "S1"), ("a", 0, "P3", "S3"), ("b", -1, "P9", "S9")]
+    found = enrichment.enrich(net, spark.createDataFrame(tried, "sample string, rep int, accession string, site string")).collect()
+    got = {(r.network_id, r.kinase, r.sample, r.rep): (r.frequency, round(r.p, 9)) for r in found}
+    met = {(0, "A", "a", -1): (1, 0.5), (1, "A", "a", 0): (1, 0.5)}
+    grid = itertools.product([(0, "A"), (0, "B"), (1, "A"), (1, "C")], [("a", -1), ("a", 0), ("b", -1)])
+    assert len(found) == len(got) and got == {(*k, *s): met.get((*k, *s), (0, 1.0)) for k, s in grid}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "x.fasta").write_text(">sp|P1|name one\nABC\nDEF\n>tr|P2|two\nGG\n")
     assert {tuple(r) for r in readers.fasta(spark, str(tmp_path / "x.fasta")).collect()} == {("P1", "ABCDEF"), ("P2", "GG")}
