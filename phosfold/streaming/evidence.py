@@ -12,7 +12,8 @@ def windowed_evidence(measured: DataFrame, threshold: float, width: str = "1 day
     """(start, sample, accession, site, value, n) of sites whose mean in a window reaches the threshold.
 
     `measured` has (ts, sample, accession, site, value), as a table or a stream; a stream's windows
-    are given out once the watermark has passed them, and rows that come later are left out.
+    are given out once the watermark has passed them, and rows that come later are left out, unless
+    its sink takes the complete state, as `drain` does.
     """
     if measured.isStreaming:
         measured = measured.withWatermark("ts", late)
@@ -21,10 +22,16 @@ def windowed_evidence(measured: DataFrame, threshold: float, width: str = "1 day
 
 
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """All that a finite stream gives, through a Parquet sink that writes each row once; complete windows come out at the end."""
+    """All that a finite stream of aggregates gives, with the windows that the watermark has not passed: each batch writes the whole state, the last one counts."""
     out, state = work_path(spark, name), work_path(spark, f"{name}-state")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    written = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        written.append(number)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/{written[-1]}") if written else spark.createDataFrame([], stream.schema)
 
 
 def running_counts(stream: DataFrame) -> DataFrame:

@@ -206,3 +206,16 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {tuple(r) for r in windowed_evidence(rows, 3.0).collect()}
     # the windows within the watermark's delay stay open
     assert got and got <= want
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_drained_stream_is_the_batch(spark, tmp_path, files):
+    # the mean of the first window falls below the threshold in a later file, and the last windows stay open
+    days = [[("2020-01-01", 9.0), ("2020-01-05", 4.0)], [("2020-01-06", 5.0), ("2020-01-06", 2.0)], [("2020-01-01", -9.0), ("2020-01-07", 8.0)]]
+    for part in days:
+        rows = spark.createDataFrame([(t, "s", "P", "S1", v) for t, v in part], "t string, sample string, accession string, site string, value double").withColumn("ts", F.to_timestamp("t")).drop("t")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in drain(spark, windowed_evidence(stream, 3.0), "t").collect())
+    assert got == sorted(tuple(r) for r in windowed_evidence(spark.read.parquet(str(tmp_path / "in")), 3.0).collect())
+    assert [r[0].day for r in got] == [5, 6, 7]
