@@ -9,13 +9,15 @@ Items and texts are compared in lower case and with white space runs as one spac
 query set: they are dealt into blocks of at most `block_bytes`, and each block is held against all
 documents, so a block has a size bound whatever the number of items.
 
-Items of fewer than `least` characters are too short to tell and match nothing; null and empty
-texts match nothing; repeated rows each get their rows; empty tables give an empty table; other
+Items of fewer than `least` characters match unchanged and as whole words only, where each
+character of a script without spaces is a word; null and empty texts match nothing; repeated rows each get their rows; empty tables give an empty table; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,18 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _letter(c: str) -> bool:
+    """Whether a word goes on through c: not in Thai to Myanmar, Khmer, Chinese, Japanese and Korean."""
+    if "\u0e00" <= c < "\u10a0" or "\u1780" <= c < "\u1800" or "\u2e80" <= c < "\ua4d0" or "\uac00" <= c < "\ufb00" or "\uff66" <= c < "\uffdd" or c >= "\U00020000":
+        return False
+    return c.isalnum() or unicodedata.category(c)[0] == "M"
+
+
+def whole(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] begins and ends where words do."""
+    return not any(0 < at < len(text) and _letter(text[at - 1]) and _letter(text[at]) for at in (start, end))
+
+
 def cut(item: str, errors: int) -> list[tuple[int, str]]:
     """(offset, piece) of errors + 1 pieces of nearly equal length."""
     ends = [len(item) * k // (errors + 1) for k in range(errors + 2)]
@@ -68,12 +82,12 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normal(text)
-            if len(text) < least:
+            if not text:
                 continue
-            errors = int(len(text) * share)
+            errors = int(len(text) * share) if len(text) >= least else 0
             for offset, piece in cut(text, errors):
                 pieces.setdefault(piece, []).append((len(self.items), offset))
-            self.items.append((item_id, text, errors))
+            self.items.append((item_id, text, errors, len(text) < least))
         self.automaton = ahocorasick.Automaton()
         for piece, uses in pieces.items():
             self.automaton.add_word(piece, (len(piece), uses))
@@ -86,12 +100,16 @@ class Matcher:
             return []
         text = normal(text)
         places: dict[int, set[int]] = {}
+        exact: dict[int, int] = {}
         for end, (size, uses) in self.automaton.iter(text):
             for k, offset in uses:
-                places.setdefault(k, set()).add(end + 1 - size - offset)
-        found = []
+                if not self.items[k][3]:
+                    places.setdefault(k, set()).add(end + 1 - size - offset)
+                elif k not in exact and whole(text, end + 1 - size, end + 1):
+                    exact[k] = end + 1
+        found = [(self.items[k][0], 0, end, 0) for k, end in exact.items()]
         for k, starts in places.items():
-            item_id, item, errors = self.items[k]
+            item_id, item, errors, _ = self.items[k]
             best = None
             low = high = None
             for start in [*sorted(starts), None]:

@@ -320,6 +320,15 @@ def test_decontaminate(spark, odd, none, docs):
     assert decontaminate.leaks(none, tests).count() == 0 and decontaminate.leaks(odd, tests.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    tests = spark.createDataFrame([(1, "Who  was Ada?"), (2, "\u65e5\u672c\u306e\u9996\u90fd\u306f\u4f55\u51e6\u3067\u3059\u304b"), (3, "cat"), (4, " "), (5, "x" * 19)], "item_id long, text string")
+    texts = ["so: who was\nada? yes", "\u554f\u984c\u3001\u65e5\u672c\u306e\u9996\u90fd\u306f\u4f55\u51e6\u3067\u3059\u304b\u3068\u805e\u304f", "concatenate, cats", "concat cat", "who was adam?", "x" * 20, "x" * 19, "", None]
+    rows = documents(spark, list(enumerate(texts)))
+    found = collections.Counter(tuple(r) for r in decontaminate.leaks(rows, tests).collect())
+    assert found == {(0, 1, 0, 16, 0): 1, (1, 2, 0, 14, 0): 1, (3, 3, 0, 10, 0): 1, (6, 5, 0, 19, 0): 1}
+    assert {r.doc_id for r in decontaminate.drop_leaks(rows, tests).collect()} == {2, 4, 5, 7, 8}
+
+
 def test_myers():
     rng = random.Random(2)
     for _ in range(300):
