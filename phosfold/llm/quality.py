@@ -8,8 +8,8 @@ are counted as good, and the field is fitted again. Forward-backward marginals o
 weighted by the lines' lengths, give a document's share of good text; a logistic curve fitted on the
 same rows turns it into the score.
 
-The field is fitted on at most `most_rows` labelled rows, those with the smallest hashes of doc_id;
-that is the only bound, and every document is scored on all its lines.
+The field is fitted on whole documents, at most `most_rows` labelled rows of at most `most_bytes` in
+all, those with the smallest hashes of doc_id; every document is scored on all its lines.
 
 Null and empty texts are one empty line; labels without a document, of a null doc_id or a null
 label are not used, and of repeated ones the largest counts; without any label every score is 0.5;
@@ -30,8 +30,6 @@ from .toxicity import held_out, labelled_sample
 LETTER, CAPITAL, DIGIT, SPACE, STOP, BAR, BANG, SYMBOL, WIDE, OTHER, BREAK = range(11)
 KINDS = 11
 SLICE = 1 << 20
-#: Lines of a training sequence; longer documents give several.
-SEQUENCE = 48
 
 
 def _kinds() -> np.ndarray:
@@ -151,49 +149,47 @@ class Field:
         return self
 
     def _climb(self, x, state, first, rounds, rate, shrink):
-        """Adam on the negative log likelihood of label sequences."""
-        starts = np.concatenate([np.arange(a, z, SEQUENCE) for a, z in zip(first[:-1], first[1:])])
-        sizes = np.diff(np.append(starts, len(x)))
-        # sequences stop at their document's end
-        ends = first[np.searchsorted(first, starts, side="right")]
-        sizes = np.minimum(sizes, ends - starts)
+        """Adam on the negative log likelihood of whole label sequences.
+
+        Lines are laid out by their place in the document, long documents first, so that the n-th
+        lines of all documents that have one are neighbours and one step of a recursion is one slice.
+        """
+        sizes = np.diff(first)
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]
+        many = np.searchsorted(-sizes[order], -np.arange(int(sizes.max())), side="left")
+        at = np.concatenate([first[:-1][order[:k]] + t for t, k in enumerate(many)])
+        cuts = np.concatenate([[0], np.cumsum(many)]).tolist()
+        before = np.concatenate([np.arange(a, a + k) for a, k in zip(cuts, many[1:])]) if len(many) > 1 else np.empty(0, np.int64)
+        x, state, rest = x[at], state[at], slice(int(many[0]), None)
+        seen = np.bincount(state[before] * 2 + state[rest], minlength=4).reshape(2, 2)
         m = [np.zeros_like(self.weights), np.zeros((2, 2))]
         v = [np.zeros_like(self.weights), np.zeros((2, 2))]
         total = len(x)
         for step in range(1, rounds + 1):
+            (bb, bg), (gb, gg) = self.pairs.tolist()
             lean = x @ self.weights
-            n, steps = len(starts), len(active)
-            alpha, beta = np.zeros((steps, n, 2)), np.zeros((steps, n, 2))
-            own = np.zeros((steps, n, 2))
-            for t, k in enumerate(active):
-                own[t, :k, 1] = lean[starts[:k] + t]
-                alpha[t, :k] = own[t, :k]
-                if t:
-                    alpha[t, :k] += np.logaddexp.reduce(alpha[t - 1, :k, :, None] + self.pairs[None], axis=1)
-            for t in range(steps - 2, -1, -1):
-                k = active[t + 1]
-                beta[t, :k] = np.logaddexp.reduce(self.pairs[None] + (own[t + 1, :k] + beta[t + 1, :k])[:, None, :], axis=2)
-            norm = np.logaddexp.reduce(alpha[0] + beta[0], axis=1)
-            slope, pair = np.zeros(total), np.zeros((2, 2))
-            for t, k in enumerate(active):
-                at = starts[:k] + t
-                slope[at] = np.exp(alpha[t, :k, 1] + beta[t, :k, 1] - norm[:k]) - state[at]
-                if t:
-                    joint = np.exp(alpha[t - 1, :k, :, None] + self.pairs[None] + (own[t, :k] + beta[t, :k])[:, None, :] - norm[:k, None, None])
-                    pair += joint.sum(0) - np.bincount(state[at - 1] * 2 + state[at], minlength=4).reshape(2, 2)
-            grads = [x.T @ slope / total + shrink * self.weights, pair / total + shrink * self.pairs]
+            ahead, back = lean.copy(), np.zeros(total)
+            for t in range(1, len(many)):
+                odds = ahead[cuts[t - 1] : cuts[t - 1] + many[t]]
+                ahead[cuts[t] : cuts[t + 1]] += np.logaddexp(odds + gg, bg) - np.logaddexp(odds + gb, bb)
+            for t in range(len(many) - 2, -1, -1):
+                odds = lean[cuts[t + 1] : cuts[t + 2]] + back[cuts[t + 1] : cuts[t + 2]]
+                back[cuts[t] : cuts[t] + many[t + 1]] = np.logaddexp(odds + gg, gb) - np.logaddexp(odds + bg, bb)
+            good = 1 / (1 + np.exp(-np.clip(ahead + back, -50, 50)))
+            # joint probabilities of neighbouring lines
+            left, right = ahead[before], lean[rest] + back[rest]
+            joint = np.stack([np.full(left.size, bb), bg + right, gb + left, gg + left + right])
+            joint = np.exp(joint - np.logaddexp.reduce(joint, axis=0)).sum(1).reshape(2, 2)
+            grads = [x.T @ (good - state) / total + shrink * self.weights, (joint - seen) / total + shrink * self.pairs]
             for p, g, a, b in zip((self.weights, self.pairs), grads, m, v):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-9)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 6_000, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
+def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 6_000, most_bytes: int = 64 << 20, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """A field fitted on a bounded sample of the labelled rows."""
-    table = labelled_sample(docs, labels, label, train_rows, most_rows, id_col, text_col).toArrow()
+    table = labelled_sample(docs, labels, label, train_rows, most_rows, most_bytes, id_col, text_col).toArrow()
     field = Field(line_features([b""])[0].shape[1])
     return field.fit(table["text"].to_pylist(), table["y"].to_numpy().astype(np.float64))
 

@@ -380,6 +380,71 @@ def test_held_out(spark, name, label, least):
     assert held_out_auc(rows, labels) >= least
 
 
+def test_pairs_matter_without_effects_of_their_own(spark):
+    """An insult is toxic beside a group mention only; the mention is as common in toxic texts as elsewhere."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1600):
+        words = rng.choices([f"plain{k}" for k in range(40)], k=12)
+        insult, group, slur = i % 4 == 0, i % 2 == 0 if i % 4 else i % 8 == 0, i % 4 == 1
+        # toxic: an insult with the mention, or a slur without it
+        toxic = insult and group or slur and not group
+        words += ["oaf"] * insult + ["tribe"] * group + ["slurry"] * slur
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.lit(True))
+    buckets = set(machine.buckets.tolist())
+    assert set(toxicity.word_terms("tribe")) & buckets
+    assert machine.score("the oaf of the tribe") > 0.7 > 0.5 > machine.score("the oaf alone")
+    # the answer lies in the pair: the linear part of the mention alone says next to nothing
+    assert abs(machine.score("tribe") - machine.score("plain")) < 0.2
+
+
+def test_sample_bounds(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    sample = lambda **k: toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), **k).collect()
+    every = sample(most_rows=1000)
+    assert sample(most_rows=1000) == every and len(every) == docs.where("doc_id < 200").select("doc_id").distinct().count()
+    few = sample(most_rows=1000, most_bytes=20_000)
+    assert 0 < len(few) < len(every) and few == every[: len(few)] and sum(len(r.text.encode()) for r in few[:-1]) < 20_000
+    twice = docs.union(docs).union(docs.withColumn("text", F.concat("text", F.lit(" x"))))
+    assert len(toxicity.labelled_sample(twice, labels, "toxic", F.lit(True), 1000).collect()) == len(every)
+
+
+def test_field_climbs_whole_chains():
+    """The gradient over packed chains is that of the plain likelihood."""
+    rng = np.random.default_rng(3)
+    first = np.array([0, 1, 61, 64, 70])
+    x, state = rng.normal(size=(70, 4)), rng.integers(0, 2, 70)
+    field = quality.Field(4)
+    field._climb(x, state, first, 1, 0.1, 0.0)
+
+    def loss(weights, pairs):
+        total = 0.0
+        for a, z in zip(first, first[1:]):
+            lean = x[a:z] @ weights
+            score = (lean * state[a:z]).sum() + sum(pairs[i, j] for i, j in zip(state[a:z], state[a + 1 : z]))
+            alpha = np.array([0.0, lean[0]])
+            for t in range(1, z - a):
+                alpha = np.array([np.logaddexp(alpha[0] + pairs[0, b], alpha[1] + pairs[1, b]) + b * lean[t] for b in (0, 1)])
+            total += np.logaddexp(*alpha) - score
+        return total
+
+    # the first step of Adam has the gradient's sign and the rate's size
+    at = [np.zeros(4), np.zeros((2, 2))]
+    for k, moved in enumerate((field.weights, field.pairs)):
+        for i in np.ndindex(at[k].shape):
+            up, down = [p.copy() for p in at], [p.copy() for p in at]
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            slope = (loss(*up) - loss(*down)) / 2e-5
+            assert moved[i] == pytest.approx(-0.1 * np.sign(slope), rel=1e-3)
+    before = loss(field.weights, field.pairs)
+    field._climb(x, state, first, 200, 0.05, 0.0)
+    assert loss(field.weights, field.pairs) < before
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_on_odd_inputs(spark, odd, none, module):
     label = "toxic" if module is toxicity else "quality"
