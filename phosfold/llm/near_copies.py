@@ -1,14 +1,20 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by exact Jaccard similarity of word shingles, with SimHash and MinHash as proposers.
 
 Words are those of `simhash`; a document is the set of its five-word shingles, and fewer words
 than a shingle has make one shingle of them all, so texts without words are alike. Two documents
 are linked if their sets' Jaccard similarity is `ALIKE` (4/5) or more.
 
-Equal sets are one node. Nodes that share one of `BANDS` bands of `ROWS` minima each are linked
-loosely: a pair at similarity s shares none with probability (1 - s**ROWS)**BANDS, which is 7e-10
+Equal sets are one node. Nodes whose SimHash fingerprints differ in at most three bits, by the tiled
+exact comparison of `simhash`, are linked loosely. At a similarity of 0.8 fingerprints differ in about
+ten bits and often in more, so nodes that share one of `BANDS` bands of `ROWS` minima each are
+linked loosely as well: a pair at similarity s shares none with probability (1 - s**ROWS)**BANDS, which is 7e-10
 at 0.8 and less above. The loosely linked groups are then compared exactly, all with all, from
 their texts, and what is linked there decides. A group of more than `block` shingles is dealt into
 blocks and every pair of blocks is compared; a task returns a spanning forest of its links.
+
+Rows are known by a hash of all their columns beside their id. Null ids take part: a component's id
+is its smallest id that is not null, and of a component without one any row is kept. Repeated ids are
+rows of their own; null and empty texts are alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
-from .simhash import SALTS, _forest
+from .simhash import SALTS, _forest, links, majority
 
 WIDTH, ALIKE = 5, (4, 5)
 ROWS, BANDS = 4, 40
@@ -65,27 +71,38 @@ def alike(sets: list[np.ndarray], first: int | None = None):
             yield np.full(j.size, i), j
 
 
-def near_copies(docs: DataFrame, block: int = 1 << 21) -> DataFrame:
-    """(doc_id, component_id) for every row with a doc_id; component_id is the smallest id reachable over links."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, id, h, text): each row of `docs` as a whole, its id, a hash of all its columns, and its text."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(*docs.columns).alias("h"), F.col("text").cast("string").alias("text"))
+
+
+def _grouped(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of each row, and (node, root, best) of each node, where best holds the node's first row by (id is null, id, h)."""
 
     def sketch(stream):
         for batch in stream:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), keys], names=["id", "node", "size", "keys"])
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            # the fingerprint is one more key: equal ones propose each other
+            fps = np.array([majority([s]) for s in sets], np.uint64).view(np.int64)
+            keys = pa.array([np.append(bands(s), fp) for s, fp in zip(sets, fps)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([node(s) for s in sets], pa.int64()), pa.array([s.size for s in sets], pa.int64()), pa.array(fps), keys], names=["id", "h", "node", "size", "fp", "keys"])
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(texts.mapInArrow(sketch, "id long, node long, size long, keys array<long>"), "sketches")
-    distinct = materialize(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "sets")
+    texts = _rows(docs).select("id", "h", "text")
+    rows = materialize(texts.mapInArrow(sketch, "id long, h long, node long, size long, fp long, keys array<long>"), "sketches")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best")
+    distinct = materialize(rows.groupBy("node").agg(best, F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
 
     keyed = distinct.select("node", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     smallest = keyed.groupBy("key").agg(F.min("node").alias("m"), F.count("*").alias("n")).where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    loose = components(keyed.join(smallest, ["key", "salt"]).select(F.col("node").alias("u"), F.col("m").alias("v")))
+    shared = keyed.join(smallest, ["key", "salt"]).select(F.col("node").alias("u"), F.col("m").alias("v"))
+    first = distinct.groupBy("fp").agg(F.min("node").alias("node"))
+    near = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    loose = components(shared.union(near.select("a", "b")))
     loose = loose.union(loose.select("root", "root").distinct()).select("node", F.col("root").alias("g"))
 
-    member = loose.join(distinct.select("node", "least", "size"), "node")
+    member = loose.join(distinct.select("node", F.col("best.h").alias("h"), "size"), "node")
     parts = member.groupBy("g").agg(F.ceil(F.sum("size") / block).cast("int").alias("n"))
-    member = materialize(member.join(parts, "g"), "members")
+    member = materialize(member.join(parts, "g").select("node", "g", "n", "h"), "members")
 
     def load(stream):
         for batch in stream:
@@ -94,8 +111,8 @@ def near_copies(docs: DataFrame, block: int = 1 << 21) -> DataFrame:
             held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], held], names=["node", "g", "n", "held"]).filter(right)
 
-    # an id may stand for several texts: only that of the node is kept
-    loaded = member.join(texts, F.col("least") == F.col("id")).select("node", "g", "n", "text").mapInArrow(load, "node long, g long, n int, held array<long>")
+    # a hash may stand for several rows: only those with the node's shingles are kept
+    loaded = member.join(texts, "h").select("node", "g", "n", "text").mapInArrow(load, "node long, g long, n int, held array<long>")
     both = (
         loaded.withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("t", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
@@ -117,15 +134,29 @@ def near_copies(docs: DataFrame, block: int = 1 << 21) -> DataFrame:
 
     star = components(both.groupBy("g", "a", "b").applyInArrow(compare, "u long, v long"))
     star = star.union(star.select("root", "root").distinct())
-    linked = distinct.select("node", "least").join(star, "node")
-    least = linked.groupBy("root").agg(F.min("least").alias("c"))
-    of = distinct.select("node", "least").join(linked.join(least, "root").select("node", "c"), "node", "left").select("node", F.coalesce("c", "least").alias("component_id"))
-    of = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = distinct.select("node", "best").join(star, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "best")
+    return rows.select("id", "node"), of
+
+
+def near_copies(docs: DataFrame, block: int = 1 << 21) -> DataFrame:
+    """(doc_id, component_id) for every row; component_id is the smallest id reachable over links."""
+    rows, of = _grouped(docs, block)
+    least = of.groupBy("root").agg(F.min("best.id").alias("component_id"))
+    of = of.join(least, "root").select("node", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(of, ["node", "salt"]).select(F.col("id").alias("doc_id"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; rows without a doc_id stay."""
-    ids = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, block: int = 1 << 21) -> DataFrame:
+    """One row of each component: the one with the smallest doc_id, of several such the one with the smallest hash of its columns."""
+    _, of = _grouped(docs, block)
+    # equal rows of a batch go on once, so a row that stands very often is shuffled a few times
+    def unlike(stream):
+        for batch in stream:
+            _, at = np.unique(batch.column(2).to_numpy(), return_index=True)
+            yield batch.take(pa.array(np.sort(at)))
+
+    nobody = F.lit(-(1 << 63))
+    rows = _rows(docs).select("row", F.coalesce("id", nobody).alias("k"), "h")
+    rows = rows.mapInArrow(unlike, rows.schema)
+    best = of.groupBy("root").agg(F.min("best").alias("best")).select(F.coalesce("best.id", nobody).alias("k"), F.col("best.h").alias("h"))
+    return rows.join(best, ["k", "h"], "left_semi").dropDuplicates(["k", "h"]).select("row.*")

@@ -40,12 +40,22 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     stops = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *stops[:-1]]
     width = min(width, len(words))
-    total = len(words) - width + 1
-    h, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, total, HASHES_AT_ONCE):
-        to = min(total, at + HASHES_AT_ONCE)
-        part = np.array([h(line[a : b - 1], seed) for a, b in zip(starts[at:to], stops[at + width - 1 : to + width - 1])], "<u8")
+    total, h = len(words) - width + 1, xxhash.xxh64_intdigest
+
+    def parts():
+        for at in range(0, total, HASHES_AT_ONCE):
+            to = min(total, at + HASHES_AT_ONCE)
+            yield np.array([h(line[a : b - 1], seed) for a, b in zip(starts[at:to], stops[at + width - 1 : to + width - 1])], "<u8")
+
+    return majority(parts())
+
+
+def majority(hashes) -> int:
+    """The bits that are set in more than half of the hashes, which come as arrays."""
+    counts, total = np.zeros(64, np.int64), 0
+    for part in hashes:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += part.size
     return int(np.packbits(counts * 2 > total, bitorder="little").view("<u8")[0])
 
 
@@ -168,9 +178,3 @@ def op10_simhash(spark, sf_dir):
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; rows without a doc_id stay."""
-    ids = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -77,10 +77,6 @@ def test_simhash(spark, odd, none, docs):
         got = simhash.near_duplicates(table, tile_rows=16)
         assert collections.Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got.collect()) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns and simhash.keep_one(none).count() == 0
-    assert sorted(r.doc_id for r in kept.where("doc_id in (6, 7)").collect()) == [6]
-    assert kept.where("doc_id is null").count() == 2
 
 
 def plain_shingles(text):
@@ -88,6 +84,10 @@ def plain_shingles(text):
     return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
+def words_of(name):
+    return " ".join(f"{name}{i}" for i in range(30))
+
+
 @pytest.mark.parametrize("block", [1 << 21, 400])
 def test_pipeline_stage_against_jaccard(spark, odd, none, docs, block):
     import corpus_pipeline as cp
@@ -95,19 +95,26 @@ def test_pipeline_stage_against_jaccard(spark, odd, none, docs, block):
     words = [f"w{i}" for i in range(120)]
     copies = [(100 + k, " ".join(words[:k] + ["new"] + words[k + 1 :])) for k in (0, 20, 50, 110)]
     copies += [(200 + k, " ".join([f"x{k}" if i in (20, 30) else w for i, w in enumerate(words)])) for k in range(4)]
+    # ids that stand for several texts, rows without an id, and equal rows
+    copies += [(300, words_of("a")), (300, words_of("b")), (301, words_of("b")), (301, words_of("c")), (None, words_of("c")), (None, words_of("d")), (None, words_of("d")), (302, words_of("e")), (302, words_of("e"))]
     for table in (odd, docs, documents(spark, copies)):
-        rows = [(r.doc_id, r.text) for r in table.collect() if r.doc_id is not None]
+        rows = [(r.doc_id, r.text) for r in table.collect()]
         sets = [plain_shingles(t) for _, t in rows]
-        least = [d for d, _ in rows]
+        group = list(range(len(rows)))
         pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
         for _ in rows:
             for i, j in pairs:
-                least[i] = least[j] = min(least[i], least[j])
+                group[i] = group[j] = min(group[i], group[j])
+        least = {g: min((d for (d, _), h in zip(rows, group) if h == g and d is not None), default=None) for g in group}
         got = near_copies.near_copies(table, block)
-        assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter((d, c) for (d, _), c in zip(rows, least))
+        assert collections.Counter(tuple(r) for r in got.collect()) == collections.Counter((d, least[g]) for (d, _), g in zip(rows, group))
         if block > 400:
-            kept = cp.without_near_duplicates(spark, table, SF).where("doc_id is not null")
-            assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least))
+            kept = cp.without_near_duplicates(spark, table, SF)
+            assert kept.columns == table.columns
+            member = {row: g for row, g in zip(rows, group)}
+            stayed = [(r.doc_id, r.text) for r in kept.collect()]
+            # one row of each group, and that of the group's smallest id
+            assert sorted(member[r] for r in stayed) == sorted(set(group)) and all(r[0] == least[member[r]] for r in stayed)
     assert near_copies.keep_one(none).count() == 0
 
 
@@ -495,7 +502,7 @@ def test_pipeline(spark):
     good, once, cut, clean, tokens = seen[1:]
     assert 0 < good.count() < docs.count()
     # one document of each group stays
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(good).collect()}
+    groups = {r.doc_id: r.component_id for r in near_copies.near_copies(good).collect()}
     assert {r.doc_id for r in once.collect()} == set(groups.values())
     report = {r.doc_id: r for r in suffix_dedup.removal_report(once).collect()}
     for r in cut.collect():
