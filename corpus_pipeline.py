@@ -2,13 +2,13 @@
 
 1. quality: documents that the line field rejects go (score below KEEP);
 2. near-duplicates: of each group of documents linked by a Jaccard similarity of 0.8 or more of their
-   five-word shingles the one with the smallest id stays;
+   five-word shingles, which SimHash tiles and MinHash bands propose, the one with the smallest id stays;
 3. repeated passages: bytes of 200-byte strings that stand more than once go, in all places;
 4. decontamination: documents that hold a passage near a benchmark item go;
 5. tokens: texts are encoded and decoded by the byte-level vocabulary, with digests of both.
 
-All but the last stage return the columns of documents. Rows without a doc_id pass through the
-second stage; empty tables pass through all.
+All but the last stage return the columns of documents. Rows without a doc_id and repeated ids are
+rows like any other; empty tables pass through all.
 """
 
 from __future__ import annotations
