@@ -1,14 +1,17 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and its decoding.
 
-The text is cut by the vocabulary's pattern; inside a cut the merge list decides. How far the
+A text is read in slices that end between a word and white space, where a cut of the vocabulary's
+pattern always ends; inside a cut the merge list decides. How far the
 bytes to the right of a token can still change it is bounded by the merge list alone: going
 through the merges in order, a symbol depends on what its right part depends on, and a symbol
 that a merge takes as its left part depends on the right part and on what that one depends on.
 The largest bound over all symbols is the sufficient lookahead. The transducer keeps a window of
-bytes, merges within it, emits the tokens that end at least the lookahead before the window's end,
-as these are stable, and starts again behind them. Memory is the window, whatever the input.
+bytes of a cut, merges within it, emits the tokens that end at least the lookahead before the window's end
+or in a cut that has ended, as these are stable, and starts again behind them. Ids are handed on slice by
+slice, so memory is a slice and a window, whatever the text; the decoder takes them up one slice after the
+other and keeps the bytes of an unfinished character.
 
-Words that were seen are remembered up to a fixed number, which changes speed and nothing else.
+What the transducer gave for short words is remembered up to a fixed number of them, which changes speed and nothing else.
 
 Null and empty texts have no tokens; repeated rows get equal results; an empty table gives an
 empty table; other columns are ignored.
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 NONE = 1 << 62
 SHIFT = 20
 REMEMBERED = 500_000
+#: Characters of a slice; a slice without white space inside goes through cut by cut.
+SLICE = 1 << 15
 #: The cut of byte-level vocabularies; white space as Unicode has it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -48,6 +53,9 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        kind = file["pre_tokenizer"] or {}
+        if file["normalizer"] or kind.get("type") != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"] or file["model"].get("end_of_word_suffix") or file["model"].get("ignore_merges"):
+            raise ValueError(f"{path} is no byte-level vocabulary whose cuts are those of PATTERN")
         letters, ids = byte_letters(), file["model"]["vocab"]
         self.size = max([*ids.values(), *(t["id"] for t in file["added_tokens"])]) + 1
         self.token_bytes = [b""] * self.size
@@ -85,7 +93,7 @@ class Encoder:
         self.kind = "H" if vocabulary.size <= 1 << 16 else "I"
         self.cut = regex.compile(PATTERN)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
-        self.odd = re.compile(r"\s")
+        self.odd, self.gap = re.compile(r"\s"), regex.compile(r"\P{White_Space}\p{White_Space}")
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merges by rank, leftmost first, within one window."""
@@ -101,34 +109,36 @@ class Encoder:
                 ranks[i] = get(new << SHIFT | ids[i + 1], NONE)
         return ids
 
-    def stream(self, raw: bytes):
-        """Ids of one cut, emitted as soon as they are stable."""
-        v, at = self.v, 0
-        window = 2 * (v.lookahead + v.longest)
-        while at < len(raw):
-            part = raw[at : at + window]
-            ids = self.merge([v.byte_ids[b] for b in part])
-            if at + len(part) == len(raw):
+    def stream(self, raw):
+        """Ids of one cut, emitted as soon as they are stable; `raw` is its bytes, as a whole or in parts."""
+        v, parts = self.v, iter([raw] if isinstance(raw, bytes) else raw)
+        window, held, ended = 2 * (v.lookahead + v.longest), b"", False
+        while True:
+            while not ended and len(held) < window:
+                part = next(parts, None)
+                ended = part is None
+                held += part or b""
+            ids = self.merge([v.byte_ids[b] for b in held[:window]])
+            if ended and len(held) <= window:
                 yield from ids
                 return
-            stop = at + len(part) - v.lookahead
+            stop, at = min(window, len(held)) - v.lookahead, 0
             for i in ids:
                 if at + len(v.token_bytes[i]) > stop:
                     break
                 at += len(v.token_bytes[i])
                 yield i
+            held = held[at:]
 
     def word(self, word: str) -> bytes:
         if (found := self.words.get(word)) is None:
-            raw, v = word.encode(), self.v
-            short = len(raw) <= v.lookahead + v.longest
-            found = array(self.kind, self.merge([v.byte_ids[b] for b in raw]) if short else self.stream(raw)).tobytes()
+            found = array(self.kind, self.stream(word.encode())).tobytes()
             if len(self.words) < self.remembered and len(word) < 64:
                 self.words[word] = found
         return found
 
     def plain(self, text: str) -> bytes:
-        """A text without special tokens, cut by the pattern as a whole."""
+        """A slice, cut by the pattern."""
         return b"".join(map(self.word, self.cut.findall(text)))
 
     def chunk(self, chunk: str) -> bytes | None:
@@ -154,15 +164,51 @@ class Encoder:
                     return self.plain(first) + b"".join(found)
         return self.plain(text)
 
+    def slices(self, text: str, at: int, end: int):
+        """Ids of text[at:end], which holds no special token, slice by slice."""
+        while at < end:
+            stop = end
+            if end - at > SLICE:
+                # the last place in the slice where white space begins, else go on cut by cut until there is one
+                gap = max((m.start() + 1 for m in self.gap.finditer(text, at, at + SLICE)), default=None)
+                if gap is None:
+                    at = yield from self.cut_by_cut(text, at, end)
+                    continue
+                stop = gap
+            yield self.segment(text[at:stop])
+            at = stop
+
+    def cut_by_cut(self, text: str, at: int, end: int):
+        """Ids of the cuts from `at` on, until one ends behind the slice; gives back where that is."""
+        last = at + SLICE
+        for m in self.cut.finditer(text, at, end):
+            parts = (text[i : min(i + SLICE, m.end())].encode() for i in range(m.start(), m.end(), SLICE))
+            ids, held = self.stream(parts), array(self.kind)
+            for i in ids:
+                held.append(i)
+                if len(held) >= SLICE:
+                    yield held.tobytes()
+                    held = array(self.kind)
+            yield held.tobytes()
+            at = m.end()
+            if at >= last:
+                break
+        return at
+
+    def pieces(self, text: str | None):
+        """Arrays of the text's ids, one after the other, each of a bounded size."""
+        kind, at, text = np.dtype(self.kind), 0, text or ""
+        found = self.specials.finditer(text) if self.specials is not None else ()
+        for special in [*found, None]:
+            for part in self.slices(text, at, special.start() if special else len(text)):
+                if part:
+                    yield np.frombuffer(part, kind)
+            if special:
+                yield np.array([self.v.special[special[0]]], kind)
+                at = special.end()
+
     def encode(self, text: str | None) -> np.ndarray:
-        kind = np.dtype(self.kind)
-        if not text:
-            return np.empty(0, kind)
-        if self.specials is None or not any(s in text for s in self.v.special):
-            return np.frombuffer(self.segment(text), kind)
-        parts = self.specials.split(text)
-        ids = [np.array([self.v.special[p]], kind).tobytes() if n % 2 else self.segment(p) for n, p in enumerate(parts)]
-        return np.frombuffer(b"".join(ids), kind)
+        return np.concatenate([np.empty(0, self.kind), *self.pieces(text)])
 
 
 class Decoder:
@@ -189,16 +235,16 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def round_trip(text: str | None, coder: Encoder, decimals: list[str], at_once: int = 1 << 14) -> tuple[int, str, str]:
-    """Number of ids, and digests of the decimal ids and of the decoded text."""
-    ids, written, back = coder.encode(text).tolist(), hashlib.sha256(), hashlib.sha256()
-    decoder = Decoder(coder.v)
-    for at in range(0, len(ids), at_once):
-        part = ids[at : at + at_once]
-        written.update((("," if at else "") + ",".join(map(decimals.__getitem__, part))).encode())
-        back.update(decoder.feed(part).encode())
+def round_trip(text: str | None, coder: Encoder, decimals: list[str]) -> tuple[int, str, str]:
+    """Number of ids, and digests of the decimal ids and of the decoded text, from one slice after the other."""
+    many, written, back, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(coder.v)
+    for part in coder.pieces(text):
+        ids = part.tolist()
+        written.update((("," if many else "") + ",".join(map(decimals.__getitem__, ids))).encode())
+        back.update(decoder.feed(ids).encode())
+        many += len(ids)
     back.update(decoder.close().encode())
-    return len(ids), written.hexdigest(), back.hexdigest()
+    return many, written.hexdigest(), back.hexdigest()
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -193,7 +194,7 @@ def test_bpe(spark, odd, none, docs):
     assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter((i, t or "") for i, t in ODD)
 
 
-def test_bpe_streams_in_constant_memory():
+def test_bpe_streams_in_constant_memory(monkeypatch):
     from tokenizers import Tokenizer
 
     coder, library = bpe.Encoder(bpe.Vocabulary(bpe.byte_vocabulary()), remembered=50), Tokenizer.from_file(bpe.byte_vocabulary())
@@ -203,6 +204,18 @@ def test_bpe_streams_in_constant_memory():
     for t in texts:
         assert coder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
     assert len(coder.words) <= 50
+    # a cut that comes byte by byte, and slices of any size, give the same ids
+    assert list(coder.stream(bytes([b]) for b in b"ab" * 2000)) == library.encode("ab" * 2000, add_special_tokens=False).ids
+    texts += ["!\x1c" * 40, "a!\x1cb \x1d!" * 30]
+    for slice_size in (1, 7, 60):
+        monkeypatch.setattr(bpe, "SLICE", slice_size)
+        for t in texts[: 400 if slice_size > 1 else 100] + texts[-3:]:
+            assert coder.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+            assert all(p.size <= max(4 * slice_size, 4) for p in coder.pieces(t)) or slice_size < 60
+    monkeypatch.undo()
+    # emitted ids are final: what follows cannot change them
+    ids = iter(coder.stream(itertools.chain(iter([b"x" * 600]), iter(lambda: b"yz" * 300, None))))
+    assert len(list(itertools.islice(ids, 5000))) == 5000
     decoder, ids = bpe.Decoder(coder.v), [rng.randrange(coder.v.size) for _ in range(2000)]
     assert "".join(decoder.feed([i]) for i in ids) + decoder.close() == library.decode(ids, skip_special_tokens=False)
 
