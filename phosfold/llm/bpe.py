@@ -198,7 +198,7 @@ class Encoder:
     def pieces(self, text: str | None):
         """Arrays of the text's ids, one after the other, each of a bounded size."""
         kind, at, text = np.dtype(self.kind), 0, text or ""
-        found = self.specials.finditer(text) if self.specials is not None else ()
+        found = self.specials.finditer(text) if any(s in text for s in self.v.special) else ()
         for special in [*found, None]:
             for part in self.slices(text, at, special.start() if special else len(text)):
                 if part:
