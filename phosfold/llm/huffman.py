@@ -4,7 +4,9 @@ Global counts of all ids give the code lengths (package-merge, at most `limit` b
 alone give the canonical code. Each document is coded in blocks of `block` ids; its bits begin at
 a byte, and a checkpoint holds the bit offset of each block. A file holds segments: whole
 documents in ascending order of their id, their numbers of ids, checkpoints and bits. Segments
-are Parquet rows, so any store that Spark writes holds them. Blocks are decoded side by side, one
+are Parquet rows below `segments`, so any store that Spark writes holds them; the code lengths lie
+beside them in `code`, and what is needed for reading is read from the folder alone. Parts are ranges
+of ids of about `PART` bytes each, which rows of one id, or without one, share by their content. Blocks are decoded side by side, one
 table lookup an id; no block needs another one.
 
 Encoding with the tokenizer's library depends on words between spaces and line breaks only, for
@@ -16,6 +18,7 @@ without an id come first; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -24,6 +27,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +37,10 @@ from .common import materialize, work_path
 LIMIT = 20
 BLOCK = 256
 SEGMENT = 1 << 20
+PART = 32 << 20
+#: What a tokenizer file must say for words to be encoded apart (fixed values).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 REMEMBERED = 500_000
 
 
@@ -43,6 +51,11 @@ class WordTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        split, letters = [*(file["pre_tokenizer"] or {}).get("pretokenizers", []), None, None][:2]
+        if not split or not letters or (file["normalizer"] or {}).get("normalizers") != NORMALIZERS or (split.get("pattern"), split.get("behavior"), split.get("invert")) != ({"Regex": CUT}, "Removed", True) or letters["type"] != "ByteLevel" or letters["add_prefix_space"] or letters["use_regex"]:
+            raise ValueError(f"{path} does not lower-case words and drop the white space between them")
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = {b: c for c, b in byte_letters().items()}
@@ -244,60 +257,60 @@ def id_counts(stored: DataFrame, path: str) -> np.ndarray:
     return counts
 
 
-def write_segments(stored: DataFrame, folder: str, path: str, lengths: np.ndarray, block: int = BLOCK, segment: int = SEGMENT) -> None:
-    """Write (doc_id, ids) to `folder`, parts and segments in ascending order of doc_id."""
+def write_segments(stored: DataFrame, folder: str, path: str, counts: np.ndarray, block: int = BLOCK, segment: int = SEGMENT, part: int = PART) -> None:
+    """Write (doc_id, ids) to `folder`, parts and segments in ascending order of doc_id, by the code of the ids' global counts."""
     spark = stored.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = stored.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)
-    bounds = np.array(sorted(set(bounds)))
+    lengths = code_lengths(counts)
+    used = np.flatnonzero(lengths)
+    # one row for each id that occurs
+    table = [(int(i), int(lengths[i])) for i in used]
+    spark.createDataFrame(table, "id int, bits int").coalesce(1).write.parquet(f"{folder}/code")
     shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
-
-    def code(stream):
-        kind = tokenizer(path).kind
-        size, codes = shared.value
-        for batch in stream:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                doc_ids, raws = part.column(0).to_pylist(), part.column(1).to_pylist()
-                counts = np.array([len(r) // kind.itemsize for r in raws], np.int64)
-                packed = pack(np.frombuffer(b"".join(raws), kind), counts, codes, size, block)
-                at_part = [0 if i is None else 1 + int(np.searchsorted(bounds, i, side="right")) for i in doc_ids]
-                columns = [pa.array(at_part, pa.int32()), part.column(0), pa.array(counts), pa.array([m for m, _ in packed], pa.list_(pa.int64())), pa.array([b for _, b in packed], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n", "marks", "bits"])
-
-    coded = stored.mapInArrow(code, "part int, doc_id long, n long, marks array<long>, bits binary")
-    coded = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
-    names = ["part", "segment", "doc_ids", "counts", "marks", "bits"]
-    kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-
-    def row(part, number, held):
+    kind = tokenizer(path).kind
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(counts.sum()) * kind.itemsize // part))
+    keys = ["doc_id", "n", "h", "at"]
+    rows = stored.select("doc_id", F.octet_length("ids").alias("n"), F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("at"), "ids")
+    rows = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    names = ["part", "segment", "block", "doc_ids", "counts", "marks", "bits"]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+
+    def row(here, number, held):
         at, marks = 0, []
         for _, _, m, b in held:
             marks.append(m + at)
             at += len(b) * 8
-        values = (part, number, [h[0] for h in held], [h[1] for h in held], np.concatenate(marks), b"".join(h[3] for h in held))
+        values = (here, number, block, [h[0] for h in held], [h[1] for h in held], np.concatenate(marks), b"".join(h[3] for h in held))
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
     def gather(stream):
-        held, many, here, number = [], 0, None, 0
+        held, many, here, number = [], 0, TaskContext.get().partitionId(), 0
+        size, codes = shared.value
         for batch in stream:
-            for part, i, n, marks, bits in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                if held and (part != here or many >= segment):
-                    yield row(here, number, held)
-                    held, many, number = [], 0, number + 1 if part == here else 0
-                here, many = part, many + n
-                held.append((i, n, np.array(marks, np.int64), bits))
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                raws = some.column(1).to_pylist()
+                each = np.array([len(r) // kind.itemsize for r in raws], np.int64)
+                packed = pack(np.frombuffer(b"".join(raws), kind), each, codes, size, block)
+                for i, n, (marks, bits) in zip(some.column(0).to_pylist(), each.tolist(), packed):
+                    if many >= segment:
+                        yield row(here, number, held)
+                        held, many, number = [], 0, number + 1
+                    held.append((i, n, marks, bits))
+                    many += n
         if held:
             yield row(here, number, held)
 
-    coded.mapInArrow(gather, "part int, segment int, doc_ids array<long>, counts array<long>, marks array<long>, bits binary").write.option("compression", "none").parquet(folder)
+    rows.mapInArrow(gather, "part int, segment int, block int, doc_ids array<long>, counts array<long>, marks array<long>, bits binary").write.option("compression", "none").parquet(f"{folder}/segments")
 
 
-def read_segments(spark, folder: str, lengths: np.ndarray, block: int = BLOCK) -> DataFrame:
+def read_segments(spark, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for every document of `folder`."""
-    stored = spark.read.parquet(folder)
+    code = spark.read.parquet(f"{folder}/code").toArrow()
+    lengths = np.zeros(max([0, *code["id"].to_pylist()]) + 1, np.uint8)
+    lengths[code["id"].to_numpy()] = code["bits"].to_numpy()
+    stored = spark.read.parquet(f"{folder}/segments")
     sizes = stored.select("part", "segment", F.expr("aggregate(counts, 0L, (a, n) -> a + n)").alias("n"))
-    # one row a part; the number of parts is a setting
+    # one row for each part of some megabytes
     parts = sorted(tuple(r) for r in sizes.groupBy("part").agg(F.sum("n")).collect())
     before = dict(zip((p for p, _ in parts), np.cumsum([0, *(n for _, n in parts)]).tolist()))
     first = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
@@ -309,7 +322,7 @@ def read_segments(spark, folder: str, lengths: np.ndarray, block: int = BLOCK) -
     def run(stream):
         table = lookup(shared.value)
         for batch in stream:
-            for part, segment, doc_ids, counts, marks, bits in zip(*(batch.column(c).to_pylist() for c in range(6))):
+            for part, segment, block, doc_ids, counts, marks, bits in zip(*(batch.column(c).to_pylist() for c in range(7))):
                 counts = np.array(counts, np.int64)
                 blocks = -(-counts // block)
                 last = np.cumsum(blocks)
@@ -324,7 +337,7 @@ def read_segments(spark, folder: str, lengths: np.ndarray, block: int = BLOCK) -
                     names=["part", "segment", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    read = stored.select("part", "segment", "doc_ids", "counts", "marks", "bits").mapInArrow(run, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    read = stored.select("part", "segment", "block", "doc_ids", "counts", "marks", "bits").mapInArrow(run, "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return read.join(starts, ["part", "segment"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -337,6 +350,5 @@ def word_vocabulary() -> str:
 def op2_huffman(spark, sf_dir):
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), work_path(spark, "segments")
     stored = materialize(encoded(docs, word_vocabulary()), "ids")
-    lengths = code_lengths(id_counts(stored, word_vocabulary()))
-    write_segments(stored, folder, word_vocabulary(), lengths)
-    return read_segments(spark, folder, lengths)
+    write_segments(stored, folder, word_vocabulary(), id_counts(stored, word_vocabulary()))
+    return read_segments(spark, folder)

@@ -227,9 +227,9 @@ def test_huffman(spark, odd, none, docs):
     library = Tokenizer.from_file(path)
     for table in (odd, docs, none):
         stored = common.materialize(huffman.encoded(table, path), "t")
-        lengths, folder = huffman.code_lengths(huffman.id_counts(stored, path)), common.work_path(spark, "t")
-        huffman.write_segments(stored, folder, path, lengths, block=7, segment=50)
-        got = huffman.read_segments(spark, folder, lengths, block=7).collect()
+        folder = common.work_path(spark, "t")
+        huffman.write_segments(stored, folder, path, huffman.id_counts(stored, path), block=7, segment=50, part=3000)
+        got = huffman.read_segments(spark, folder).collect()
         rows = table.collect()
         ids = collections.defaultdict(list)
         for r in rows:
@@ -245,6 +245,13 @@ def test_huffman(spark, odd, none, docs):
         assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == collections.Counter((i, len(x), crc(x)) for i, xs in ids.items() for x in xs)
 
 
+def test_tokenizer_file_is_checked():
+    with pytest.raises(ValueError):
+        huffman.WordTokenizer(bpe.byte_vocabulary())
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(huffman.word_vocabulary())
+
+
 def test_code_lengths():
     import heapq
 
