@@ -200,7 +200,7 @@ class Machine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 12_000, most_bytes: int = 128 << 20, inputs: int = 4096, seeds: int = 64, beside: int = 256, factors: int = 8, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Machine:
+def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 20_000, most_bytes: int = 256 << 20, inputs: int = 4096, seeds: int = 64, beside: int = 256, factors: int = 8, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Machine:
     """A machine fitted on a bounded sample of the labelled rows."""
     sample = labelled_sample(docs, labels, label, train_rows, most_rows, most_bytes, id_col, text_col)
     counts = materialize(bucket_counts(sample), "counts")
