@@ -328,6 +328,40 @@ def test_url_rules(spark):
     assert {r.mined_rule for r in judged if r.mined_rule} == {"path=shop"}
 
 
+def plain_rules(rows, least, lift, z):
+    """All combinations of tokens, counted one by one."""
+    share = sum(bad for _, bad in rows) / len(rows)
+    seen, hits = collections.Counter(), collections.Counter()
+    for held, bad in rows:
+        for k in range(1, len(held) + 1):
+            for some in itertools.combinations(sorted(held), k):
+                seen[some] += 1
+                hits[some] += bad
+    found = {s: hits[s] / n for s, n in seen.items() if hits[s] >= least and hits[s] / n >= lift * share and hits[s] / n - share >= z * (share * (1 - share) / n) ** 0.5}
+    return {s: c for s, c in found.items() if not any(set(p) < set(s) for p in found)}
+
+
+def test_mined_rules_against_counting(spark):
+    rng = random.Random(8)
+    urls = [(i, f"http://{rng.choice(['www.', 'm.', ''])}{rng.choice(['win', 'news', 'shop', 'blog'])}.{rng.choice(['biz', 'info'])}/{rng.choice(['a', 'b', 'c'])}/{rng.choice(['x', 'y'])}/{i}?{rng.choice(['ref', 'id'])}={i}") for i in range(900)]
+    # a pair of tokens matters and neither of the two does much on its own; one token matters alone
+    chance = lambda u: 0.9 if "win" in u and "/a/" in u else 0.6 if "?ref" in u and "biz" in u else 0.2
+    marks = [(i, int(rng.random() >= chance(u)), 0) for i, u in urls]
+    pages, labels = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    held = {}
+    for i, u in urls:
+        host, *path = u.split("?")[0].split("//")[1].split("/")
+        held[i] = {f"host={h}" for h in host.split(".")} | {f"path={p}" for p in path if not p.isdigit()} | {"query=" + u.split("?")[1].split("=")[0]}
+    want = plain_rules([(held[i], 1 - q) for i, q, _ in marks], 20, 1.25, 2.58)
+    assert any(len(s) > 1 for s in want) and len(want) > 3
+    for r in url_rules.judge(pages, labels).collect():
+        fired = [(c, -len(s), " ".join(s)) for s, c in want.items() if set(s) <= held[r.page_id]]
+        assert (r.verdict, r.mined_rule) == (("block", max(fired)[2]) if fired else ("allow", None))
+        assert not fired or r.confidence == pytest.approx(max(fired)[0])
+    # with labels of one kind no rule stands out
+    assert url_rules.judge(pages, labels.withColumn("quality", F.lit(0))).where("verdict = 'block'").count() == 0
+
+
 def test_decontaminate(spark, odd, none, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.leaks(docs, items).collect()}
