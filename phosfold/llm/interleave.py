@@ -5,7 +5,8 @@ that the page gives them. References name media by digest (`media:sha256:<hex>`)
 digest resolves them against a table of stored media. Payloads stay where they are stored: what is
 joined is the digest and what was computed from the stored bytes, never the bytes.
 
-Media hold bytes as 8-bit grey samples in the PGM format, in rows of 192.
+Media hold bytes as 8-bit grey samples in the PGM format, in rows of 192. Each distinct medium is
+stored once, however many rows have it.
 
 A caption is the text of the figcaption of the reference's figure, else the alt text; it belongs to
 its reference and is no text part. Scripts, styles and comments are left out. Null and empty pages
@@ -25,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import in_filter, key_filter, materialize
 
 WIDTH = 192
+#: Digests that a task remembers to shuffle each medium once.
+SEEN = 100_000
 PREFIX = "media:sha256:"
 PARTS = "array<struct<position: int, kind: string, text: string, ref: string, caption: string>>"
 _PART = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())])
@@ -115,10 +118,11 @@ def interleaved(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
-    """(id, position, kind, text, ref, caption, and the columns of `media` but its digest) for every part; `media` has one row a digest."""
+    """(id, position, kind, text, ref, caption, medium) for every part; `media` has one row a digest, and medium holds its other columns."""
     parts = sequences.select("id", F.inline("parts"))
     digest = F.when(F.col("ref").startswith(PREFIX), F.substring("ref", len(PREFIX) + 1, 64))
-    return parts.withColumn("digest", digest).join(media, "digest", "left").drop("digest")
+    known = media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("medium"))
+    return parts.withColumn("digest", digest).join(known, "digest", "left").drop("digest")
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -151,16 +155,50 @@ def features(width: int, height: int, samples: bytes) -> str:
     return f"{width}x{height} mean={mean:.4f} spread={spread:.4f} across={step(grey[:, 1:], grey[:, :-1]):.4f} down={step(grey[1:], grey[:-1]):.4f}"
 
 
-def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(digest, stored) for every row, written to the shared folder."""
+def _payloads(batch: pa.RecordBatch, at_once: int = 512):
+    """Lists of stored forms of a batch's texts and their digests, some at a time."""
+    for at in range(0, batch.num_rows, at_once):
+        stored = [to_pgm(payload_of(t)[1]) for t in batch.column(0).slice(at, at_once).to_pylist()]
+        yield [hashlib.sha256(s).hexdigest() for s in stored], stored
 
-    def run(stream):
-        for batch in stream:
-            for at in range(0, batch.num_rows, 512):
-                stored = [to_pgm(payload_of(t)[1]) for t in batch.column(0).slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s).hexdigest() for s in stored]), pa.array(stored, pa.binary())], names=["digest", "stored"])
 
-    return materialize(docs.select(F.col(text_col).cast("string")).mapInArrow(run, "digest string, stored binary"), "media")
+def store_media(docs: DataFrame, text_col: str = "text", filter_bits: int = 27) -> DataFrame:
+    """(digest, stored) for every distinct medium, written to the shared folder.
+
+    Digests that occur more than once are known by a filter of a fixed size; only media that may be
+    among them are shuffled, each once for a task, to be stored once.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+
+    def digests(stream):
+        for batch in stream:
+            many: dict[str, int] = {}
+            for some, _ in _payloads(batch):
+                for d in some:
+                    many[d] = many.get(d, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], names=["digest", "n"])
+
+    low = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    often = texts.mapInArrow(digests, "digest string, n long").groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
+    shared = spark.sparkContext.broadcast(key_filter(often.select(low.alias("k")), "k", filter_bits))
+
+    def stored(repeated: bool):
+        def run(stream):
+            seen: set[str] = set()
+            for batch in stream:
+                for some, forms in _payloads(batch):
+                    hit = in_filter(shared.value, np.array([int(d[:15], 16) for d in some], np.uint64)).tolist()
+                    rows = [(d, f) for d, f, h in zip(some, forms, hit) if h == repeated and d not in seen]
+                    rows = list(dict(rows).items())
+                    if repeated:
+                        seen.update(d for d, _ in rows[: max(0, SEEN - len(seen))])
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.string()), pa.array([f for _, f in rows], pa.binary())], names=["digest", "stored"])
+
+        return texts.mapInArrow(run, "digest string, stored binary")
+
+    once = stored(True).groupBy("digest").agg(F.first("stored").alias("stored"))
+    return materialize(stored(False).unionByName(once), "media")
 
 
 def describe_media(stored: DataFrame) -> DataFrame:
@@ -169,19 +207,15 @@ def describe_media(stored: DataFrame) -> DataFrame:
 
     def run(stream):
         for batch in stream:
-            rows, seen = [], set()
+            rows = []
             for digest, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if digest in seen:
-                    continue
-                seen.add(digest)
                 raw = raw.as_py()
                 width, height, samples = from_pgm(raw)
                 rows.append((digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), features(width, height, samples)))
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.mapInArrow(run, schema).groupBy("digest").agg(*[F.first(c).alias(c) for c in names[1:]])
+    return stored.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def page_of(text: str | None) -> str:
@@ -192,28 +226,37 @@ def page_of(text: str | None) -> str:
 
 
 def document_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, texts, parts) for every document: its page's parts, without the texts themselves but with their number of characters."""
+    """(id, n_bytes, parts) for every document: its length in bytes and the parts of its page."""
 
     def run(stream):
         for batch in stream:
-            texts = batch.column(1).to_pylist()
-            rows = [parse(page_of(t)) for t in texts]
-            chars = [sum(len(p["text"]) for p in ps if p["kind"] == "text") for ps in rows]
-            parts = pa.array([[p | {"text": None} for p in ps] for ps in rows], pa.list_(_PART))
-            sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(chars, pa.int64()), parts], names=["id", "n_bytes", "chars", "parts"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                texts = some.column(1).to_pylist()
+                parts = pa.array([parse(page_of(t)) for t in texts], pa.list_(_PART))
+                sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0), sizes, parts], names=["id", "n_bytes", "parts"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, chars long, parts {PARTS}")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, parts {PARTS}")
 
 
 def op6_interleave(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # written, so that the join deals both sides and can split the references to a common medium
     media = materialize(describe_media(store_media(docs)), "described")
-    pages = document_sequences(docs)
-    # the row's id and what it says of itself travel together, so repeated ids stay apart
-    keyed = pages.select(F.struct("id", "n_bytes", "chars", F.size("parts").alias("n_parts")).alias("id"), "parts")
-    found = resolve(keyed, media).where("kind = 'media'")
-    shown = F.concat_ws(" ", "feature", F.format_string("part=%d/%d chars=%d caption=%s", F.col("position") + 1, "id.n_parts", "id.chars", "caption"))
-    return found.select(F.col("id.id").alias("doc_id"), "id.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", shown.alias("feature"))
+    parts = F.col("parts")
+    chars = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.coalesce(F.length(p["text"]), F.lit(0)))
+    # the row's id and what it says of itself travel together, so repeated ids stay apart; its texts have no digest to be joined by
+    keyed = document_sequences(docs).select(F.struct("id", "n_bytes", chars.alias("chars"), F.size(parts).alias("n_parts")).alias("id"), F.filter(parts, lambda p: p["kind"] == "media").alias("parts"))
+    found = resolve(keyed, media)
+    shown = F.concat_ws(" ", "medium.feature", F.format_string("part=%d/%d chars=%d caption=%s", F.col("position") + 1, "id.n_parts", "id.chars", "caption"))
+    return found.select(F.col("id.id").alias("doc_id"), "id.n_bytes", "medium.payload_bytes", "medium.payload_sha256", "medium.tail_crc32", "medium.media_bytes", "medium.media_sha256", shown.alias("feature"))
+
+
+def interleaved_pages(spark, sf_dir):
+    """Every part of every page in its order; references are held against the media stored for the documents."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    media = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("digest", F.octet_length("stored").alias("media_bytes"))
+    found = resolve(interleaved(pages), media)
+    return found.select(F.col("id").alias("page_id"), "position", "kind", "text", "ref", "caption", "medium.media_bytes")

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_interleave": interleave.op6_interleave,
+    "interleaved_pages": interleave.interleaved_pages,
     "op7_quality": quality.op7_quality,
     "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,

@@ -156,7 +156,6 @@ def plain_removal(texts, length):
 def test_suffix_dedup(spark, odd, none, docs):
     for table, length in ((odd, 200), (docs, 200), (odd.where("length(text) < 2000 or text is null"), 16)):
         rows = table.select("doc_id", "text").collect()
-        rows = [r for r in rows if len(r.text or "") < 30000]
         table = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
         want = collections.Counter((r.doc_id, *p) for r, p in zip(rows, plain_removal([r.text for r in rows], length)))
         assert collections.Counter(map(tuple, suffix_dedup.removal_report(table, length=length, filter_bits=12).collect())) == want
@@ -405,12 +404,16 @@ def test_myers():
 
 
 def test_interleave(spark, odd, none, tmp_path):
-    got = interleave.describe_media(interleave.store_media(odd))
-    want = {interleave.payload_of(t)[1] for _, t in ODD}
-    assert {r.payload_sha256 for r in got.collect()} == {hashlib.sha256(p).hexdigest() for p in want}
+    want = sorted(hashlib.sha256(p).hexdigest() for p in {interleave.payload_of(t)[1] for _, t in ODD})
+    for bits in (6, 27):  # a filter that every digest passes as well
+        got = interleave.describe_media(interleave.store_media(odd.repartition(3), filter_bits=bits))
+        assert sorted(r.payload_sha256 for r in got.collect()) == want
     rows = interleave.document_sequences(odd)
     resolved = interleave.resolve(rows, got).where("kind = 'media'")
-    assert resolved.count() == len(ODD) and resolved.where("payload_sha256 is null").count() == 0
+    assert resolved.count() == len(ODD) and resolved.where("medium is null").count() == 0
+    # sequences keep their texts, but for white space around them, in front of their medium
+    texts = collections.Counter((r.id, *(p.text for p in r.parts)) for r in rows.collect())
+    assert texts == collections.Counter((i, *([t.strip()] if (t or "").strip() else []), None) for i, t in ODD)
     assert interleave.document_sequences(none).count() == 0 and interleave.describe_media(interleave.store_media(none)).count() == 0
     page = "<html><title>T</title><script>var x='<p>no</p>'</script><p>one &amp; two</p><figure><img src='media:sha256:aa' alt='alt'><figcaption>cap <b>tion</b></figcaption></figure>three<img src=b.png alt=four><img><!-- no --></html>"
     parts = interleave.parse(page)
@@ -418,13 +421,122 @@ def test_interleave(spark, odd, none, tmp_path):
         (0, "text", "T", None, None), (1, "text", "one & two", None, None), (2, "media", None, "media:sha256:aa", "cap tion"), (3, "text", "three", None, None), (4, "media", None, "b.png", "four"),
     ]
     pages = spark.createDataFrame([(1, page), (2, None), (3, ""), (1, page)], "page_id long, html string").withColumn("parts", F.lit(1))
-    media = spark.createDataFrame([("aa", 5)], "digest string, size int")
+    media = spark.createDataFrame([("aa", 5, 1)], "digest string, size int, position int")
     found = interleave.resolve(interleave.interleaved(pages), media)
-    assert collections.Counter((r.id, r.position, r["size"]) for r in found.where("kind = 'media'").collect()) == {(1, 2, 5): 2, (1, 4, None): 2}
+    assert collections.Counter((r.id, r.position, r.medium and r.medium["size"]) for r in found.where("kind = 'media'").collect()) == {(1, 2, 5): 2, (1, 4, None): 2}
     with pytest.raises(ValueError):
         interleave.from_pgm(b"P6\n1 1\n255\nabc")
 
 
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+def rows_of(spark, name):
+    df = registry.QUERIES[name](spark, SF)
+    return [r.asDict() for r in df.collect()], df.columns
+
+
+def test_contracts_of_rows(spark, docs):
+    """The registered queries' columns against plain versions, over the whole small table."""
+    from tokenizers import Tokenizer
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    raws = {i: t.encode() for i, t in texts.items()}
+    got, _ = rows_of(spark, "op2_huffman")
+    library, start = Tokenizer.from_file(huffman.word_vocabulary()), 0
+    ids = {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in texts.items()}
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted(texts)
+    for r in sorted(got, key=lambda r: r["start"]):
+        x = ids[r["doc_id"]]
+        assert r == {"doc_id": r["doc_id"], "start": start, "n_tokens": len(x), "ids_crc32": zlib.crc32(np.array(x, "<u4").tobytes())}
+        start += len(x)
+
+    got, _ = rows_of(spark, "op4_sharding")
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == {(i, len(b) + 8, zlib.crc32(b)) for i, b in raws.items()} and len(got) == len(raws)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)} and {r["shard"] for r in got} == set(range(24))
+    by_shard = collections.defaultdict(list)
+    for r in got:
+        by_shard[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in by_shard.values()) and len({len(x) for x in by_shard.values()}) <= 2
+
+    got, _ = rows_of(spark, "op6_interleave")
+    for r in got:
+        raw = raws[r["doc_id"]]
+        padded = raw + b" " * (-len(raw) % 192) if raw else b" " * 192
+        stored = b"P5\n192 %d\n255\n" % (len(padded) // 192) + padded
+        assert {k: v for k, v in r.items() if k != "feature"} == {"doc_id": r["doc_id"], "n_bytes": len(raw), "payload_bytes": len(padded), "payload_sha256": sha(padded), "tail_crc32": zlib.crc32(padded[-16:]), "media_bytes": len(stored), "media_sha256": sha(stored)}
+        mean = np.frombuffer(padded, np.uint8).mean()
+        assert f" mean={mean:.4f} " in r["feature"]
+    assert len(got) == len(raws)
+    same = collections.defaultdict(set)
+    for r in got:
+        same[texts[r["doc_id"]]].add(r["feature"])
+    assert all(len(f) == 1 for f in same.values())
+
+    got, _ = rows_of(spark, "op8_bpe")
+    library = Tokenizer.from_file(bpe.byte_vocabulary())
+    for r in got:
+        x = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r == {"doc_id": r["doc_id"], "n_tokens": len(x), "ids_sha256": sha(",".join(map(str, x))), "decoded_sha256": sha(library.decode(x, skip_special_tokens=False))}
+    assert len(got) == len(raws)
+
+    got, columns = rows_of(spark, "op9_suffix_dedup")
+    assert columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {tuple(r.values()) for r in got} == {(i, *p) for i, p in zip(texts, plain_removal(texts.values(), 200))}
+
+    got, columns = rows_of(spark, "op10_simhash")
+    assert {(r["doc_id"], r["fingerprint"]) for r in got} == {(i, f"{plain_fingerprint(t):016x}") for i, t in texts.items()} and columns == ["doc_id", "fingerprint", "component_id"]
+
+
+def test_contracts_of_pages(spark):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got, _ = rows_of(spark, "op5_url_rules")
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        rest = pages[r["page_id"]].url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] + [len(rest)])
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+        path = rest[cut : min([rest.find(c, cut) for c in "?#" if c in rest[cut:]] + [len(rest)])]
+        fits = [(len(h + p), h + p, v) for h, p, v in url_rules.LISTED if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
+        assert r["verdict"] == (max(fits)[2] if fits else "block" if r["mined_rule"] else "allow")
+    got, _ = rows_of(spark, "interleaved_pages")
+    parts = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: r["position"]):
+        parts[r["page_id"]].append((r["position"], r["kind"], r["text"], r["ref"], r["caption"]))
+    assert {i: [tuple(p.values()) for p in interleave.parse(r.html)] for i, r in pages.items() if interleave.parse(r.html)} == parts
+
+
+def test_leaks_against_all_passages(spark, docs):
+    """Items with up to their budget of edits, put into documents, against the distance to every passage."""
+    rng = random.Random(11)
+    items = {r.item_id: decontaminate.normal(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(12).collect()}
+    texts = [r.text for r in docs.orderBy(F.length("text")).limit(60).collect()]
+    rows = []
+    for k, t in enumerate(texts):
+        item = items[rng.choice(sorted(items))]
+        edits, chars = rng.randint(0, int(len(item) * 0.08)), list(item)
+        for _ in range(edits):
+            at = rng.randrange(len(chars))
+            kind = rng.randrange(3)
+            chars[at : at + (kind != 0)] = [] if kind == 1 else [rng.choice("abcxyz")]
+        rows.append((k, f"{t or ''} {''.join(chars)} {t or ''}"[:4000] if k % 3 else t))
+
+    def nearest(p, t):
+        row = np.zeros(len(t) + 1, np.int64)
+        codes, steps = np.array([ord(c) for c in t], np.int64), np.arange(len(t) + 1)
+        for i, c in enumerate(p):
+            new = np.concatenate([[i + 1], np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)])
+            row = np.minimum.accumulate(new - steps) + steps
+        return int(row[1:].min()) if len(t) else len(p)
+
+    want = {(k, i): d for k, t in rows for i, p in items.items() if (d := nearest(p, decontaminate.normal(t))) <= int(len(p) * 0.05)}
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), tests).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in found} == want and len(want) > 15 and max(want.values()) > 2
+
+
 def held_out_auc(rows, labels):
     scores = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     good, bad = [s for s, y in scores if y], [s for s, y in scores if not y]
