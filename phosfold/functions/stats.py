@@ -1,14 +1,18 @@
-"""Statistical column expressions; everything stays in the JVM."""
+"""Statistical column expressions, and the hypergeometric tail."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Below this the factorials are tabulated, from here on Stirling's series is exact to 1e-14.
 _SMALL = 16
+_FACTORIALS = np.array([math.lgamma(i + 1) for i in range(_SMALL)])
 
 
 def nan_to_null(value: Column) -> Column:
@@ -16,38 +20,57 @@ def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def log_factorial(n: Column) -> Column:
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_SMALL)])
-    x = F.greatest(n.cast("double"), F.lit(1.0))
-    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
-    return F.when(n < _SMALL, F.get(table, n.cast("int"))).otherwise(series)
+def log_factorials(n: np.ndarray) -> np.ndarray:
+    x = np.maximum(n, 1).astype(np.float64)
+    series = (x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    return np.where(n < _SMALL, _FACTORIALS[np.clip(n, 0, _SMALL - 1)], series)
 
 
-def with_hypergeometric_tail(rows: DataFrame, name: str = "tail") -> DataFrame:
-    """`rows` (k, m, degree, n) with P(X >= k) for n draws from m items of which `degree` count.
+def hypergeometric_tail(k: np.ndarray, m: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """P(X >= k) for n draws from m items of which g count.
 
     The first term comes from log factorials, the others from the ratio of neighbours. Above the
-    mean the upper side is summed, below it the lower one, so the sum is always the smaller one.
+    mean the upper side is summed, below it the lower one, so the sum is always the smaller one; its
+    terms fall away from there, and beyond nine standard deviations and some more they add nothing.
+    """
+    low, high, up = np.maximum(0, g + n - m), np.minimum(g, n), k * m > n * g
+    i = np.where(up, k, k - 1)
+    inside = (i >= low) & (i <= high)
+    at = np.where(inside, i, low)
+    f = log_factorials
+    term = np.exp(f(g) - f(at) - f(g - at) + f(m - g) - f(n - at) - f(m - g - n + at) - f(m) + f(n) + f(m - n))
+    term = np.where(inside, term, 0.0)
+    total, share = term.copy(), g / np.maximum(m, 1)
+    spread = np.sqrt(n * share * (1 - share) * (m - n) / np.maximum(m - 1, 1))
+    left = np.minimum(np.where(up, high - at, at - low), np.ceil(9 * spread) + 30).astype(np.int64)
+    order = np.argsort(-left, kind="stable")
+    term, at, up_, g_, n_, m_, left = (x[order] for x in (term, at.astype(np.float64), up, g, n, m, left))
+    sums = total[order]
+    for step in range(int(left.max(initial=0))):
+        many = int(np.searchsorted(-left, -step, side="left"))
+        t, x, u = term[:many], at[:many], up_[:many]
+        above = (g_[:many] - x) * (n_[:many] - x) / ((x + 1) * (m_[:many] - g_[:many] - n_[:many] + x + 1))
+        below = x * (m_[:many] - g_[:many] - n_[:many] + x) / ((g_[:many] - x + 1) * (n_[:many] - x + 1))
+        t *= np.where(u, above, below)
+        x += np.where(u, 1, -1)
+        sums[:many] += t
+    total[order] = sums
+    return np.where(k <= low, 1.0, np.where(k > high, 0.0, np.where(up, np.minimum(total, 1.0), np.maximum(1 - total, 0.0))))
+
+
+def with_hypergeometric_tail(rows: DataFrame, name: str = "tail") -> DataFrame:
+    """`rows` (k, m, degree, n, ...) with P(X >= k) for n draws from m items of which `degree` count.
+
+    The sum runs over hundreds of terms whose number differs from row to row, which built-in functions
+    would interpret term by term; it is done for a whole Arrow batch at a time.
     """
-    k, m, g, n = (F.col(c).cast("long") for c in ("k", "m", "degree", "n"))
-    rows = rows.withColumns({"_low": F.greatest(F.lit(0).cast("long"), g + n - m), "_high": F.least(g, n), "_up": k * m > n * g})
-    rows = rows.withColumn("_at", F.when(F.col("_up"), k).otherwise(k - 1))
-    i = F.col("_at")
-    parts = F.array(g, i, g - i, m - g, n - i, m - g - n + i, m, n, m - n)
-    rows = rows.withColumn("_f", F.when((i >= F.col("_low")) & (i <= F.col("_high")), F.transform(parts, log_factorial)))
-    f = lambda j: F.get("_f", F.lit(j))
-    rows = rows.withColumn("_p", F.exp(f(0) - f(1) - f(2) + f(3) - f(4) - f(5) - f(6) + f(7) + f(8)))
-    steps = F.when(F.col("_up"), F.col("_high") - i).otherwise(i - F.col("_low"))
-    rows = rows.withColumn("_s", F.when(steps > 0, F.sequence(F.lit(1).cast("long"), steps)).otherwise(F.array().cast("array<long>")))
-
-    def step(a, j):
-        up, down = i + j - 1, i - j + 1
-        ratio = F.when(F.col("_up"), (g - up) * (n - up) / ((up + 1) * (m - g - n + up + 1))).otherwise(down * (m - g - n + down) / ((g - down + 1) * (n - down + 1)))
-        return F.array(a[0] * ratio, a[1] + a[0] * ratio)
-
-    total = F.aggregate("_s", F.array("_p", "_p"), step)[1]
-    tail = F.when(k <= F.col("_low"), 1.0).when(k > F.col("_high"), 0.0).when(F.col("_up"), F.least(total, F.lit(1.0))).otherwise(F.greatest(1 - total, F.lit(0.0)))
-    return rows.withColumn(name, tail).drop("_low", "_high", "_up", "_at", "_f", "_p", "_s")
+
+    def run(stream):
+        for batch in stream:
+            numbers = [batch.column(c).to_numpy().astype(np.int64) for c in ("k", "m", "degree", "n")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hypergeometric_tail(*numbers))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def erfc(x: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import clip, with_hypergeometric_tail
+from ..sources.paths import materialize
+from . import nulls
 from .evidence import KEYS
 
 
@@ -25,11 +27,13 @@ def choose_kinases(networks: DataFrame, kinases: list[str]) -> tuple[DataFrame,
     return networks.where(F.col("kinase").isin(kinases)), sorted(set(kinases) - known)
 
 
-def enrich(networks: DataFrame, evidence: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+def enrich(networks: DataFrame, evidence: DataFrame, sizes: DataFrame | None = None, compendia: DataFrame | None = None, cuts: DataFrame | None = None, stratum: str = "compendia_class") -> DataFrame:
     """(network_id, kinase, sample, rep, frequency, p) for all kinases of all networks.
 
-    Real evidence and replicates go through one join. The number of evidence sites in a network is
-    counted from its distinct sites, without the kinases; kinases that meet no evidence get
+    `evidence` has (sample, accession, site), and rep if it holds replicates; `cuts` are cutoffs of random
+    experiments on `compendia` (see `nulls`), which are added as replicates 0, 1, ... A network's kinases
+    are gathered for each site, so one join of sites gives the evidence inside each network and its
+    overlap with each kinase, and only counts are shuffled behind it. Kinases that meet no evidence get
     frequency 0 and p 1. `sizes` keeps the sizes of full networks when kinases were chosen before.
     The probability is computed once for each distinct set of its four numbers.
     """
@@ -38,12 +42,21 @@ def enrich(networks: DataFrame, evidence: DataFrame, sizes: DataFrame | None = N
     evidence = evidence.select("sample", "rep", *KEYS).distinct()
     sizes = network_sizes(networks) if sizes is None else sizes
     degrees = kinase_degrees(networks)
-    inside = networks.select("network_id", *KEYS).distinct().join(evidence, KEYS).groupBy("network_id", "sample", "rep").agg(F.count("*").alias("n"))
-    overlap = networks.select("network_id", "kinase", *KEYS).join(evidence, KEYS).groupBy("network_id", "kinase", "sample", "rep").agg(F.count("*").alias("k"))
+    # dealt by site for both the gathering and the join
+    held = nulls.spread(networks).groupBy("network_id", *KEYS).agg(F.collect_list("kinase").alias("kinases"))
+    met, tried = held.join(evidence, KEYS), evidence.select("sample", "rep").distinct()
+    unit = ["network_id", "sample", "rep"]
+    each = met.select(*unit, "kinases")
+    if cuts is not None:
+        each = each.unionByName(nulls.members(held, compendia, cuts, stratum).select(*unit, "kinases"))
+        tried = tried.unionByName(cuts.select("sample", "rep").distinct())
+    # a row without a kinase counts the site itself
+    counts = each.select(*unit, F.explode(F.array_append("kinases", F.lit(None).cast("string"))).alias("kinase")).groupBy(*unit, "kinase").agg(F.count("*").alias("k"))
+    counts = materialize(counts, "overlaps")
+    inside = counts.where("kinase is null").select(*unit, F.col("k").alias("n"))
     # all networks meet all samples and replicates, whose number the settings bound
-    tried = evidence.select("sample", "rep").distinct().crossJoin(sizes).join(inside, ["network_id", "sample", "rep"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    every = degrees.join(tried, "network_id")
-    found = every.join(overlap, ["network_id", "kinase", "sample", "rep"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    grid = degrees.join(sizes, "network_id").crossJoin(tried)
+    found = grid.join(inside, unit, "left").join(counts.where("kinase is not null"), [*unit, "kinase"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "k": F.coalesce("k", F.lit(0))})
     numbers = found.where("k > 0").select("k", "m", "degree", "n").distinct()
     tails = with_hypergeometric_tail(numbers)
     return found.join(tails, ["k", "m", "degree", "n"], "left").select("network_id", "kinase", "sample", "rep", F.col("k").alias("frequency"), F.coalesce("tail", F.lit(1.0)).alias("p"))

@@ -1,29 +1,92 @@
-"""Random experiments that match a sample's study bias, drawn by hash order, and where to find stored ones."""
+"""Random experiments that match a sample's study bias, drawn by hash order, and where to find stored ones.
+
+A draw takes the sites of a class whose hash keys are smallest. So a whole experiment is one cutoff
+for each class, and whether a site is in it follows from the site's own key: what needs the sites of
+experiments joins a small table of cutoffs and never moves the experiments themselves.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import materialize
 from .evidence import KEYS, unique_compendia
 
+#: Keys are products of two linear forms modulo this prime.
+PRIME = (1 << 31) - 1
+#: Rows of cutoffs (samples x classes x replicates) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 
-def draw_order(seed: int, *keys) -> Column:
-    """The order of a draw: depends on the seed and the keys and on nothing else."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
+def numbers(of: Column, many: int) -> Column:
+    """`many` (at most 4) numbers of 28 bits from a digest of a text."""
+    digest = F.md5(of)
+    return F.array(*[F.conv(F.substring(digest, 1 + 7 * k, 7), 16, 10).cast("long") for k in range(many)])
 
-def draw(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, stratum: str = "compendia_class") -> DataFrame:
-    """(sample, rep, accession, site): for each sample and replicate exactly `quota` sites of each stratum, without replacement.
 
-    `quotas` has (sample, stratum, quota). A stratum is ranked within one sample and replicate, so
-    the work of a task is a stratum of the compendia and not all replicates.
+def draw_key(site: Column, draw: Column) -> Column:
+    """The key of a site (two numbers) in a draw (four numbers): small keys are taken first."""
+    return ((draw[0] * site[0] + draw[1]) % PRIME) * ((draw[2] * site[1] + draw[3]) % PRIME) % PRIME
+
+
+def _sites(compendia: DataFrame, stratum: str) -> DataFrame:
+    return unique_compendia(compendia).select(*KEYS, F.col(stratum).alias("stratum")).where("stratum is not null").withColumn("xy", numbers(F.concat_ws("|", *KEYS), 2))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt by site over all shuffle partitions: each of them is work for all draws, however small it is."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
+
+
+def _few(rows: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(rows) if many <= BROADCAST_ROWS else rows
+
+
+def cutoffs(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, stratum: str = "compendia_class") -> DataFrame:
+    """(sample, rep, stratum, draw, cut): the last site that each draw takes, by (key, accession, site).
+
+    `quotas` has (sample, stratum, quota); exactly `quota` sites of each class are drawn without
+    replacement, or all if there are fewer. Only keys near the expected cutoff are ranked: eight standard
+    deviations on either side and some more; a draw whose cutoff should lie elsewhere is ranked as a whole.
     """
-    sites = unique_compendia(compendia).select(*KEYS, F.col(stratum).alias("stratum"))
-    wanted = quotas.where("quota > 0").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rows = wanted.join(sites, "stratum").withColumn("draw", draw_order(seed, "sample", "rep", *KEYS))
-    rank = F.row_number().over(Window.partitionBy("sample", "rep", "stratum").orderBy("draw", *KEYS))
-    return rows.withColumn("rank", rank).where("rank <= quota").select("sample", "rep", *KEYS)
+    group = ["sample", "rep", "stratum"]
+    sites = spread(_sites(compendia, stratum))
+    sizes = sites.groupBy("stratum").agg(F.count("*").alias("size"))
+    wanted = quotas.where("quota > 0").join(sizes, "stratum").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    wanted = wanted.withColumn("draw", numbers(F.concat_ws("|", F.lit(str(seed)), "sample", F.col("rep").cast("string")), 4))
+    apart = 8 * F.sqrt("quota") + 16
+    at = lambda n: n / F.col("size") * float(PRIME)
+    wanted = materialize(wanted.withColumns({"low": at(F.col("quota") - apart), "high": at(F.col("quota") + apart)}), "wanted")
+    some, many = wanted.where("quota < size"), wanted.count()
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("key", *KEYS)))
+
+    keyed = sites.join(_few(some, many), "stratum").withColumn("key", draw_key(F.col("xy"), F.col("draw"))).where("key < high")
+    below = keyed.groupBy(*group).agg(F.count_if(F.col("key") < F.col("low")).alias("below"))
+    cut = F.struct("key", *KEYS).alias("cut")
+    near = ranked(keyed.where("key >= low")).join(below, group).where("rank = quota - below")
+    found = materialize(near.select(*group, "draw", cut), "cutoffs")
+    missed = some.join(found, group, "left_anti")
+    if missed.take(1):
+        whole = sites.join(_few(missed, many), "stratum").withColumn("key", draw_key(F.col("xy"), F.col("draw")))
+        found = found.unionByName(ranked(whole).where("rank = quota").select(*group, "draw", cut))
+    every = wanted.where("quota >= size").select(*group, "draw", F.struct(F.lit(PRIME).cast("long").alias("key"), F.lit("").alias("accession"), F.lit("").alias("site")).alias("cut"))
+    return materialize(found.unionByName(every), "cutoffs")
+
+
+def members(rows: DataFrame, compendia: DataFrame, cuts: DataFrame, stratum: str = "compendia_class") -> DataFrame:
+    """`rows` (accession, site, ...) with (sample, rep) of each draw that takes their site."""
+    taken = F.struct(draw_key(F.col("xy"), F.col("draw")).alias("key"), *KEYS) <= F.col("cut")
+    found = spread(rows).join(_sites(compendia, stratum), KEYS).join(_few(cuts, cuts.count()), "stratum")
+    return found.where(taken).select(*rows.columns, "sample", "rep")
+
+
+def draw(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, stratum: str = "compendia_class") -> DataFrame:
+    """(sample, rep, accession, site): for each sample and replicate exactly `quota` sites of each stratum, without replacement."""
+    cuts = cutoffs(compendia, quotas, reps, seed, stratum)
+    return members(unique_compendia(compendia).select(*KEYS), compendia, cuts, stratum).select("sample", "rep", *KEYS)
 
 
 def wide_experiments(drawn: DataFrame, names: list[str]) -> DataFrame:

@@ -27,7 +27,24 @@ from .testbed import duck, table, view
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-THRESHOLD, REPS, SEED = 30.0, 5, 1
+THRESHOLD, REPS, SEED, ALPHA = 30.0, 150, 1, 0.05
+#: Experiments of the wide form, which has a column for each.
+WIDE_REPS = 5
+#: Samples of the test bed.
+SAMPLES = [f"data:{flag}{status}" for flag in "ANR" for status in "FO"]
+
+
+def _number(k: int) -> str:
+    return f"CAST('0x' || substr(h, {1 + 7 * k}, 7) AS BIGINT)"
+
+
+def _drawn(quota: str, reps: int) -> str:
+    """The definition of a draw: each class is ordered by the sites' keys and the first ones are taken."""
+    return f"""SELECT sample, rep, accession, site FROM (SELECT q.sample, q.rep, s.sid, q.quota, row_number() OVER (PARTITION BY q.sample, q.rep, q.stratum
+        ORDER BY ((a * x + b) % {R.PRIME}) * ((c * y + d) % {R.PRIME}) % {R.PRIME}, sid) AS rank FROM sited s JOIN
+        (SELECT *, {", ".join(f"{_number(k)} AS {n}" for k, n in enumerate("abcd"))} FROM (SELECT *, md5(concat_ws('|', '{SEED}', sample, CAST(rep AS VARCHAR))) AS h FROM {quota} CROSS JOIN (SELECT unnest(range({reps})) AS rep))) q USING (stratum))
+        JOIN sited USING (sid) WHERE rank <= quota"""
+
 
 #: Common table expressions that several queries share.
 CTE = {
@@ -39,14 +56,15 @@ CTE = {
     "msize": "SELECT network_id, count(*) AS m FROM nsite GROUP BY ALL",
     "deg": "SELECT network_id, kinase, count(*) AS degree FROM tb_network GROUP BY ALL",
     "quota": "SELECT sample, compendia_class AS stratum, count(*) AS quota FROM evc WHERE compendia_class IS NOT NULL GROUP BY ALL",
-    "drawn": f"""SELECT sample, rep, accession, site FROM (
-        SELECT q.sample, r.rep, c.accession, c.site, q.quota, row_number() OVER (PARTITION BY q.sample, r.rep, q.stratum
-        ORDER BY md5(concat_ws('|', '{SEED}', q.sample, CAST(r.rep AS VARCHAR), c.accession, c.site)), c.accession, c.site) AS rank
-        FROM quota q JOIN comp c ON c.compendia_class = q.stratum CROSS JOIN (SELECT unnest(range({REPS})) AS rep) r) WHERE rank <= quota""",
+    "sited": f"SELECT *, {_number(0)} AS x, {_number(1)} AS y FROM (SELECT accession, site, compendia_class AS stratum, md5(accession || '|' || site) AS h, row_number() OVER (ORDER BY accession, site) AS sid FROM comp)",
+    "drawn": _drawn("quota", REPS),
+    "few": _drawn("quota", WIDE_REPS),
     "tried": "SELECT sample, -1 AS rep, accession, site FROM evid UNION ALL SELECT sample, rep, accession, site FROM drawn",
+    "real_only": "SELECT sample, -1 AS rep, accession, site FROM evid",
     "ins": "SELECT network_id, sample, rep, count(*) AS n FROM nsite JOIN tried USING (accession, site) GROUP BY ALL",
     "ov": "SELECT network_id, kinase, sample, rep, count(*) AS k FROM tb_network JOIN tried USING (accession, site) GROUP BY ALL",
-    "num": "SELECT network_id, kinase, sample, rep, coalesce(k, 0) AS k, m, degree, n FROM deg JOIN msize USING (network_id) JOIN ins USING (network_id) LEFT JOIN ov USING (network_id, kinase, sample, rep)",
+    "grid": "SELECT network_id, kinase, sample, rep, m, degree FROM deg JOIN msize USING (network_id) CROSS JOIN (SELECT DISTINCT sample, rep FROM tried)",
+    "num": "SELECT network_id, kinase, sample, rep, coalesce(k, 0) AS k, m, degree, coalesce(n, 0) AS n FROM grid LEFT JOIN ins USING (network_id, sample, rep) LEFT JOIN ov USING (network_id, kinase, sample, rep)",
     "enr": """SELECT network_id, kinase, sample, rep, k AS frequency, CASE WHEN k <= greatest(0, degree + n - m) THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE),
         list_sum([exp(lgamma(degree + 1) - lgamma(i + 1) - lgamma(degree - i + 1) + lgamma(m - degree + 1) - lgamma(n - i + 1) - lgamma(m - degree - n + i + 1)
         - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1)) FOR i IN range(k, least(degree, n) + 1)])) END AS p FROM num""",
@@ -60,11 +78,17 @@ CTE = {
 }
 RAW = ("tb_raw", "coll", "evid")
 BIAS = ("tb_raw", "tb_compendia", "coll", "evid", "comp", "evc")
-BOTH = (*BIAS, "tb_network", "nsite", "msize", "deg", "quota", "drawn", "tried", "ins", "ov", "num", "enr")
+ENRICHED = ("ins", "ov", "grid", "num", "enr")
+BOTH = (*BIAS, "tb_network", "nsite", "msize", "deg", "quota", "sited", "drawn", "tried", *ENRICHED)
+REAL = (*RAW, "tb_network", "nsite", "msize", "deg", "tried=real_only", *ENRICHED, "real")
+#: Computed once in each query that uses them.
+KEPT = ("coll", "drawn", "few", "enr", "rand", "num")
 
 
 def ctes(*names: str) -> str:
-    return "WITH " + ", ".join(duck(n) if n.startswith("tb_") else f"{n} AS ({CTE[n]})" for n in names) + " "
+    """Common table expressions by name; `a=b` gives the one of b the name a."""
+    named = [(n, of or n) for n, _, of in (x.partition("=") for x in names)]
+    return "WITH " + ", ".join(duck(n) if n.startswith("tb_") else f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({CTE[of]})" for n, of in named) + " "
 
 
 def query(sql: str | None = None, *names: str):
@@ -96,14 +120,12 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 # evidence
 
 
-@query("SELECT sample, kinase, CAST(rank AS INT) AS rank, round(median_p, 6) AS median_p FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(median_p, 9), kinase) AS rank FROM (SELECT sample, kinase, median(p) AS median_p FROM real GROUP BY ALL)) WHERE rank <= 5", *RAW, "tb_network", "nsite", "msize", "deg")
+@query("SELECT sample, kinase, CAST(rank AS INT) AS rank, round(median_p, 6) AS median_p FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY round(median_p, 9), kinase) AS rank FROM (SELECT sample, kinase, median(p) AS median_p FROM real GROUP BY ALL)) WHERE rank <= 5", *REAL)
 def flagship_top_kinases(spark, d):
     medians = E.median_enrichment(E.enrich(view(spark, d, "tb_network"), chosen(spark, d)))
     return rounded(E.top_kinases(medians.withColumn("median_p", F.round("median_p", 9))), "median_p")
 
 
-SQL["flagship_top_kinases"] = SQL["flagship_top_kinases"].replace("SELECT sample, kinase, CAST", ", ".join(["", *(f"{n} AS ({CTE[n] if n != 'tried' else 'SELECT sample, -1 AS rep, accession, site FROM evid'})" for n in ("tried", "ins", "ov", "num", "enr", "real"))]) + " SELECT sample, kinase, CAST", 1)
-
 for how, call in (("mean", "avg(value)"), ("median", "median(value)"), ("min", "min(value)"), ("max", "max(value)"), ("count", "count(value)")):
 
     def _collapse(spark, d, how=how):
@@ -198,11 +220,11 @@ def windowed_event_evidence(spark, d):
     return rounded(windowed_evidence(view(spark, d, "tb_events"), 50.0), "value")
 
 
-@query()
+@query(SQL["windowed_event_evidence"])
 def streamed_event_evidence(spark, d):
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream takes no single file
     measured = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sample"), F.concat(F.lit("U"), "user_id").alias("accession"), F.concat(F.substr(F.lit("STY"), F.length("event_type") % 3 + 1, F.lit(1)), F.col("event_id") % 50 + 1).alias("site"), "value")
-    return drain(spark, windowed_evidence(measured, 50.0), "events")
+    return rounded(drain(spark, windowed_evidence(measured, 50.0), "events"), "value")
 
 
 # thresholds and similarity
@@ -255,7 +277,9 @@ SQL["threshold_by_size"] = ctes("tb_raw", "coll").rstrip() + SWEEP + "SELECT min
 SQL["threshold_by_similarity"] = ctes("tb_raw", "coll").rstrip() + SWEEP + "SELECT min(threshold) AS threshold FROM swept WHERE similarity < 0.02"
 
 
-@query()
+@query(ctes("tb_raw", "coll").rstrip() + SWEEP + """, found AS (SELECT greatest((SELECT min(threshold) FROM swept WHERE middle <= 1500), (SELECT min(threshold) FROM swept WHERE similarity < 0.02)) AS best),
+top AS (SELECT min(v) AS most FROM (SELECT sample, max(value) FILTER (r = 20) AS v FROM (SELECT sample, value, row_number() OVER (PARTITION BY sample ORDER BY value DESC) AS r FROM coll WHERE value IS NOT NULL) GROUP BY ALL))
+SELECT round(least(best, most), 2) AS threshold FROM found, top WHERE best IS NOT NULL""")
 def recommended_threshold(spark, d):
     found = T.recommend(collapsed(spark, d), T.grid(10, 50, 5), desired=1500, most=0.02)
     return spark.createDataFrame([(found,)], "threshold double")
@@ -284,61 +308,69 @@ def chosen_kinases(spark, d):
     return E.choose_kinases(view(spark, d, "tb_network"), ["K01", "K07", "K99"])[0]
 
 
-def both(spark, d):
-    drawn = R.draw(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), REPS, SEED)
-    return chosen(spark, d).withColumn("rep", F.lit(-1)).unionByName(drawn)
+def cutoffs(spark, d):
+    return R.cutoffs(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), REPS, SEED)
 
 
 def enriched(spark, d):
-    return E.enrich(view(spark, d, "tb_network"), both(spark, d))
+    return E.enrich(view(spark, d, "tb_network"), chosen(spark, d), None, view(spark, d, "tb_compendia"), cutoffs(spark, d))
+
+
+def really_enriched(spark, d):
+    return E.enrich(view(spark, d, "tb_network"), chosen(spark, d))
 
 
-@query("SELECT network_id, kinase, sample, rep, frequency, round(p, 6) AS p FROM enr", *BOTH)
+# four places: over these many rows differences of 1e-10 between sums of log factorials show in the sixth
+@query("SELECT network_id, kinase, sample, rep, frequency, round(p, 4) AS p FROM enr", *BOTH)
 def enrichment_all(spark, d):
-    return rounded(enriched(spark, d), "p")
+    return rounded(enriched(spark, d), "p", places=4)
 
 
-@query("SELECT sample, kinase, round(median(p), 6) AS median_p FROM real GROUP BY ALL", *BOTH, "real")
+@query("SELECT sample, kinase, round(median(p), 6) AS median_p FROM real GROUP BY ALL", *REAL)
 def median_enrichment(spark, d):
-    return rounded(E.median_enrichment(enriched(spark, d).where("rep = -1")), "median_p")
+    return rounded(E.median_enrichment(really_enriched(spark, d)), "median_p")
 
 
-@query("SELECT sample, kinase, round(median(p), 6) AS median_original, round(median(least(greatest(p / 0.05 * 0.05, 0), 1)), 6) AS median_normalised, count(*) FILTER (p <= 0.05 / 10) AS count_significant, round(avg(CAST(p <= 0.05 / 10 AS INT)), 6) AS fraction_significant FROM real GROUP BY ALL", *BOTH, "real")
+@query("SELECT sample, kinase, round(median(p), 6) AS median_original, round(median(least(greatest(p / 0.2 * 0.05, 0), 1)), 6) AS median_normalised, count(*) FILTER (p <= 0.2 / 10) AS count_significant, round(avg(CAST(p <= 0.2 / 10 AS INT)), 6) AS fraction_significant FROM real GROUP BY ALL", *REAL)
 def normalised_summary(spark, d):
-    rows = E.normalised_summary(E.normalise(enriched(spark, d).where("rep = -1")))
+    rows = E.normalised_summary(E.normalise(really_enriched(spark, d), default=0.2))
     return rounded(rows, "median_original", "median_normalised", "fraction_significant")
 
 
-@query()
+@query("""SELECT sample, round(avg(largest), 6) AS "limit" FROM (SELECT sample, network_id, max(j) AS largest FROM (SELECT sample, network_id, m, n, size, unnest(range(0, CAST(least(size, n) AS BIGINT) + 1)) AS j
+FROM (SELECT network_id, CAST(floor(avg(degree)) AS BIGINT) AS size FROM deg GROUP BY ALL) JOIN msize USING (network_id) JOIN ins USING (network_id))
+WHERE j < least(size, n) AND (SELECT max(exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(m - size + 1) - lgamma(n - i + 1) - lgamma(m - size - n + i + 1) - lgamma(m + 1) + lgamma(n + 1) + lgamma(m - n + 1))) FROM (SELECT unnest(range(greatest(j + 1, size + n - m), CAST(least(size, n) AS BIGINT) + 1)) AS i)) > 0 GROUP BY ALL) GROUP BY ALL""", *RAW, "tb_network", "nsite", "msize", "deg", "tried=real_only", "ins")
 def overlap_limits(spark, d):
     return rounded(E.overlap_limits(view(spark, d, "tb_network"), chosen(spark, d)), "limit")
 
 
-@query("SELECT kinase, round(max(m) FILTER (sample = 'data:AF'), 6) AS \"data:AF\", round(max(m) FILTER (sample = 'data:NO'), 6) AS \"data:NO\", round(max(m) FILTER (sample = 'data:RF'), 6) AS \"data:RF\" FROM (SELECT sample, kinase, median(p) AS m FROM real GROUP BY ALL) GROUP BY ALL", *BOTH, "real")
+@query("SELECT kinase, " + ", ".join(f"round(max(m) FILTER (sample = '{n}'), 6) AS \"{n}\"" for n in SAMPLES) + " FROM (SELECT sample, kinase, median(p) AS m FROM real GROUP BY ALL) GROUP BY ALL", *REAL)
 def enrichment_matrix(spark, d):
-    medians = E.median_enrichment(enriched(spark, d).where("rep = -1"))
-    names = ["data:AF", "data:NO", "data:RF"]
-    wide = E.pivot_unique(medians, "kinase", "sample", "median_p", names)
-    return wide.select("kinase", *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in names])
+    medians = E.median_enrichment(really_enriched(spark, d))
+    wide = E.pivot_unique(medians, "kinase", "sample", "median_p", SAMPLES)
+    return wide.select("kinase", *[F.round(F.col(f"`{n}`"), 6).alias(n) for n in SAMPLES])
 
 
-@query("SELECT sample, kinase, round(max(p), 6) AS p, count(*) AS n FROM real GROUP BY ALL", *BOTH, "real")
+@query("SELECT sample, kinase, round(max(p), 6) AS p, count(*) AS n FROM real GROUP BY ALL", *REAL)
 def melted_enrichment(spark, d):
-    rows = enriched(spark, d).where("rep = -1")
-    samples = sorted(r[0] for r in view(spark, d, "tb_raw").select("sample").distinct().collect())
-    wide = rows.groupBy("network_id", "kinase").pivot("sample", samples).agg(F.first("p"))
-    long = wide.unpivot([F.col("network_id"), F.col("kinase")], [F.col(f"`{s}`") for s in samples], "sample", "p").where("p is not null")
-    return long.groupBy("sample", "kinase").agg(F.round(F.max("p"), 6).alias("p"), F.count("*").alias("n"))
+    rows = really_enriched(spark, d)
+    wide = rows.groupBy("network_id", "kinase").pivot("sample", SAMPLES).agg(F.first("p"))
+    long = V.long_form(wide, {c: c for c in SAMPLES}, ["network_id", "kinase"]).where("value is not null")
+    return long.groupBy("sample", "kinase").agg(F.round(F.max("value"), 6).alias("p"), F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT sample, rep, accession, site FROM drawn", *BIAS, "quota", "drawn")
+@query("SELECT sample, rep, accession, site FROM drawn", *BIAS, "quota", "sited", "drawn")
 def random_experiments(spark, d):
-    return both(spark, d).where("rep >= 0").select("sample", "rep", "accession", "site")
+    return R.draw(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), REPS, SEED)
+
+
+EXPERIMENTS = [f"{s}:{r}" for s in SAMPLES for r in range(WIDE_REPS)]
 
 
-@query("SELECT accession, site, max(CASE WHEN sample = 'data:AF' AND rep = 0 THEN 1 END) AS \"data:AF:0\", max(CASE WHEN sample = 'data:AF' AND rep = 1 THEN 1 END) AS \"data:AF:1\" FROM drawn GROUP BY ALL", *BIAS, "quota", "drawn")
+@query("SELECT accession, site, " + ", ".join(f"max(CASE WHEN sample || ':' || rep = '{e}' THEN 1 END) AS \"{e}\"" for e in EXPERIMENTS) + " FROM few GROUP BY ALL", *BIAS, "quota", "sited", "few")
 def random_experiment_matrix(spark, d):
-    return R.wide_experiments(both(spark, d).where("rep >= 0"), ["data:AF:0", "data:AF:1"])
+    drawn = R.draw(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), WIDE_REPS, SEED)
+    return R.wide_experiments(drawn, EXPERIMENTS)
 
 
 # significance
@@ -374,51 +406,75 @@ def leave_one_out_statistics(spark, d):
 SQL["leave_one_out_statistics"] = ctes(*BOTH, "rand").rstrip() + SUMS.format(pool="rand", unit="rep") + "SELECT sample, kinase, rep, CAST(u AS DOUBLE) AS u, round(z, 4) AS z FROM z"
 
 
-@query()
+#: Activities by their definition: one-sided normal tails by Simpson's rule, and shares of null statistics that are no larger.
+TAIL = "CASE WHEN z IS NULL THEN 1 ELSE least(1, (9 - z) / 3000 * list_sum([(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (z + i * (9 - z) / 1000) ** 2) FOR i IN range(0, 1001)]) / sqrt(2 * pi())) END"
+ACT = (
+    SUMS.format(pool="pool", unit="unit").replace(" AS (", "_real AS (").replace("FROM dist", "FROM dist_real").replace("JOIN ranked", "JOIN ranked_real").replace("FROM sums JOIN tot", "FROM sums_real JOIN tot_real").replace("FROM stat", "FROM stat_real")
+    + SUMS.format(pool="rand", unit="rep")
+    + f""", act AS (SELECT r.sample, r.kinase, CAST(any_value(r.u) AS DOUBLE) AS u, any_value(r.z) AS z, CASE WHEN count(n.sample) = 0 THEN 1 ELSE count(*) FILTER (coalesce(n.z, -99) >= coalesce(r.z, -99)) / count(n.sample) END AS fpr
+FROM z_real r LEFT JOIN z n USING (sample, kinase) WHERE r.unit = 1 GROUP BY r.sample, r.kinase), act_p AS (SELECT *, {TAIL} AS mw_p FROM act) """
+)
+ACTS = (*BOTH, "real", "rand", "dropped", "pool")
+
+
+def acted(sql: str) -> str:
+    return ctes(*ACTS).rstrip() + ACT + sql
+
+
+def active(spark, d):
+    return S.activities(*activity(spark, d), SEED)
+
+
+@query(acted("SELECT sample, kinase, u, round(z, 4) AS z, round(mw_p, 5) AS mw_p, round(fpr, 6) AS fpr FROM act_p"))
 def activities(spark, d):
-    real, random = activity(spark, d)
-    return rounded(S.activities(real, random, SEED), "z", "mw_p", "fpr")
+    return active(spark, d).select("sample", "kinase", "u", F.round("z", 4).alias("z"), F.round("mw_p", 5).alias("mw_p"), F.round("fpr", 6).alias("fpr"))
 
 
 @query()
 def analysis_from_raw(spark, d):
     found = analyse(view(spark, d, "tb_raw"), view(spark, d, "tb_network"), view(spark, d, "tb_compendia"), Params(threshold=THRESHOLD, reps=REPS))
-    return rounded(found.activities, "z", "mw_p", "fpr")
+    return found.activities.select("sample", "kinase", F.round("z", 3).alias("z"), F.round("fpr", 6).alias("fpr"))
+
+
+# the same on serine and threonine alone
+CTE |= {f"st_{n}": f"SELECT * FROM tb_{n} WHERE site LIKE 'S%' OR site LIKE 'T%'" for n in ("raw", "compendia", "network")}
+for _name, _of in (("coll", "raw"), ("comp", "compendia"), ("nsite", "network"), ("deg", "network"), ("ov", "network")):
+    CTE[f"st_{_name}"] = CTE[_name].replace(f"tb_{_of}", f"st_{_of}")
+ST = [{"coll": "coll=st_coll", "comp": "comp=st_comp", "nsite": "nsite=st_nsite", "deg": "deg=st_deg", "ov": "ov=st_ov"}.get(n, n) for n in ACTS]
+SQL["analysis_from_raw"] = ctes("tb_raw", "tb_compendia", "tb_network", "st_raw", "st_compendia", "st_network", *[n for n in ST if not n.startswith("tb_")]).rstrip() + ACT + "SELECT sample, kinase, round(z, 3) AS z, round(fpr, 6) AS fpr FROM act"
 
 
 NULLS = ", med AS (SELECT sample, kinase, rep, round(median(p), 9) AS s FROM rand GROUP BY ALL), rm AS (SELECT sample, kinase, round(median(p), 9) AS median_p FROM real GROUP BY ALL) "
+FACTORS = f"SELECT sample, kinase, list_sort(list(s))[CAST(floor({REPS} * {ALPHA}) AS INT) + 1] AS factor FROM med GROUP BY ALL"
 
 
-@query()
+@query(ctes(*BOTH, "real", "rand").rstrip() + NULLS + f", factors AS ({FACTORS}) SELECT sample, kinase, round(median_p, 6) AS median_p, round(count(*) FILTER (s <= median_p) / count(*), 6) AS fpr, round(any_value(factor), 6) AS factor FROM rm JOIN med USING (sample, kinase) JOIN factors USING (sample, kinase) GROUP BY sample, kinase, median_p")
 def fpr_at_alpha(spark, d):
     real, random = activity(spark, d)
-    medians = E.median_enrichment(real).withColumn("median_p", F.round("median_p", 9))
-    nulls = random.groupBy("sample", "kinase", "rep").agg(F.round(F.median("p"), 9).alias("median_p"))
-    rated = S.false_positive_rate(medians, nulls, "median_p").join(S.alpha_quantile(nulls, 0.2, "median_p"), ["sample", "kinase"], "left")
-    return rounded(rated, "median_p", "fpr", "factor")
+    return rounded(S.fpr_at_alpha(E.median_enrichment(real), random, ALPHA, places=9), "median_p", "fpr", "factor")
 
 
-SQL["fpr_at_alpha"] = ctes(*BOTH, "real", "rand").rstrip() + NULLS + f""" SELECT sample, kinase, round(median_p, 6) AS median_p, round(count(*) FILTER (s <= median_p) / count(*), 6) AS fpr,
-round(list_sort(list(s))[CAST(floor({REPS} * 0.2) AS INT) + 1], 6) AS factor FROM rm JOIN med USING (sample, kinase) GROUP BY sample, kinase, median_p"""
+@query(ctes(*BOTH, "real", "rand").rstrip() + NULLS + f", factors AS ({FACTORS}) SELECT sample, kinase, round(median(p), 6) AS median_original, round(median(least(greatest(p / factor * 0.05, 0), 1)), 6) AS median_normalised, count(*) FILTER (p <= factor / 10) AS count_significant, round(avg(CAST(p <= factor / 10 AS INT)), 6) AS fraction_significant FROM (SELECT sample, kinase, round(p, 9) AS p FROM real) JOIN factors USING (sample, kinase) GROUP BY ALL")
+def normalised_by_factors(spark, d):
+    real, random = activity(spark, d)
+    factors = S.fpr_at_alpha(E.median_enrichment(real), random, ALPHA, places=9).select("sample", "kinase", "factor")
+    return rounded(E.normalised_summary(E.normalise(real, factors)), "median_original", "median_normalised", "fraction_significant")
 
 
-@query()
+@query(acted(f"SELECT sample, count(*) FILTER (fpr < {ALPHA}) AS kinases FROM act GROUP BY sample UNION ALL SELECT NULL, count(DISTINCT kinase) FILTER (fpr < {ALPHA}) FROM act"))
 def significant_kinases(spark, d):
-    real, random = activity(spark, d)
-    return S.significant_counts(S.activities(real, random, SEED), 0.3)
+    return S.significant_counts(active(spark, d), ALPHA)
 
 
-@query()
+@query(acted(f"SELECT sample, string_agg(kinase, ',' ORDER BY rank) AS kinases FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY z DESC NULLS LAST, kinase) AS rank FROM act WHERE fpr < {ALPHA}) WHERE rank <= 5 GROUP BY sample"))
 def strongest_kinases(spark, d):
-    real, random = activity(spark, d)
-    found = S.ever_significant(S.significant(S.activities(real, random, SEED), 0.3), 0.3)
-    return S.strongest(found, 5, 0.3)
+    found = S.ever_significant(S.significant(active(spark, d), ALPHA), ALPHA)
+    return S.strongest(found, 5, ALPHA)
 
 
-@query()
+@query(acted(f"SELECT kinase, sample, CAST(dense_rank() OVER (ORDER BY sample) * 10 - 5 AS INT) AS x, CAST(dense_rank() OVER (ORDER BY kinase) * 10 - 5 AS INT) AS y, round(-log10(mw_p), 3) AS size, CAST(fpr <= {ALPHA} AS INT) AS colour FROM act_p"))
 def dot_table(spark, d):
-    real, random = activity(spark, d)
-    return D.dots(S.activities(real, random, SEED), 0.3)
+    return rounded(D.dots(active(spark, d), ALPHA), "size", places=3)
 
 
 # coverage and study bias
@@ -513,15 +569,24 @@ def null_mix(spark, d):
     return V.class_shares(biased(spark, d)).select("sample", R.mix(F.lit("Y"), F.col("class_2")).alias("mix"))
 
 
-@query()
+STORED = R.ladder(500, 20000)
+
+
+@query(f"SELECT sample, CASE WHEN matched IS NULL THEN 'drawn' ELSE 'stored' END AS source, matched, '0_30_70' AS mix FROM (SELECT sample, CASE WHEN size >= 50 THEN (SELECT arg_min(s, abs(s - size)) FROM (VALUES {', '.join(f'({s})' for s in STORED)}) v(s) WHERE abs(s - size) / size < 0.25) END AS matched FROM (SELECT sample, count(*) AS size FROM evc GROUP BY ALL)) WHERE sample IN (SELECT sample FROM evc WHERE compendia_class IS NOT NULL)", *BIAS)
 def null_routing(spark, d):
     rows = biased(spark, d)
-    return R.route(V.sizes(rows), V.class_shares(rows), R.ladder(500, 20000), "ST")
+    return R.route(V.sizes(rows), V.class_shares(rows), STORED, "ST")
 
 
-@query()
+MIXES = {"0_30_70": [0, 30, 70], "0_50_50": [0, 50, 50]}
+# sizes of the ladder and each class's part of them, cut to whole sites
+CTE["stored_quota"] = "SELECT concat(mix, '/', size) AS sample, stratum, CAST(floor(size * share / 100) AS BIGINT) AS quota FROM (VALUES " + ", ".join(f"('{m}', {k}, {s})" for m, f in MIXES.items() for k, s in enumerate(f)) + ") v(mix, stratum, share) CROSS JOIN (VALUES (62), (96)) z(size)"
+CTE["stored_drawn"] = _drawn("(SELECT * FROM stored_quota WHERE quota > 0)", REPS)
+
+
+@query("SELECT split_part(sample, '/', 1) AS mix, CAST(split_part(sample, '/', 2) AS INT) AS size, rep, accession, site FROM stored_drawn", "tb_compendia", "comp", "stored_quota", "sited", "stored_drawn")
 def stored_null_experiments(spark, d):
-    wanted = R.stored_quotas([62, 96], {"0_30_70": [0, 30, 70], "0_50_50": [0, 50, 50]}, spark)
+    wanted = R.stored_quotas([62, 96], MIXES, spark)
     drawn = R.draw(view(spark, d, "tb_compendia"), wanted.select("sample", "stratum", "quota"), REPS, SEED)
     return drawn.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", "rep", "accession", "site")
 
@@ -699,13 +764,13 @@ def axis_positions(spark, d):
     return N.rank_positions(view(spark, d, "tb_raw"), "sample")
 
 
-@query("SELECT kinase, CAST(row_number() OVER (ORDER BY round(median(p), 9), kinase) AS INT) AS position FROM real WHERE sample = 'data:AF' GROUP BY kinase", *BOTH, "real")
+@query("SELECT kinase, CAST(row_number() OVER (ORDER BY round(median(p), 9), kinase) AS INT) AS position FROM real WHERE sample = 'data:AF' GROUP BY kinase", *REAL)
 def ordered_kinases(spark, d):
-    medians = E.median_enrichment(enriched(spark, d).where("rep = -1")).withColumn("median_p", F.round("median_p", 9))
+    medians = E.median_enrichment(really_enriched(spark, d)).withColumn("median_p", F.round("median_p", 9))
     return D.ordered_by(medians, "sample", "data:AF", "median_p")
 
 
-@query("SELECT sample, kinase, CASE WHEN p = 0 THEN CAST('inf' AS DOUBLE) ELSE round(-log10(p), 5) END AS score FROM (SELECT sample, kinase, median(p) AS p FROM real GROUP BY ALL)", *BOTH, "real")
+@query("SELECT sample, kinase, CASE WHEN p = 0 THEN CAST('inf' AS DOUBLE) ELSE round(-log10(p), 5) END AS score FROM (SELECT sample, kinase, median(p) AS p FROM real GROUP BY ALL)", *REAL)
 def log_scores(spark, d):
-    medians = E.median_enrichment(enriched(spark, d).where("rep = -1"))
+    medians = E.median_enrichment(really_enriched(spark, d))
     return medians.select("sample", "kinase", F.round(minus_log10(F.col("median_p")), 5).alias("score"))

@@ -39,7 +39,7 @@ def binary_evidence(raw: DataFrame, compendia: DataFrame, params: Params) -> Dat
 def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: Params, kinases: list[str] | None = None) -> Analysis:
     """Evidence, enrichment of it and of random experiments that match its study bias, and activities.
 
-    Real evidence is replicate -1; so one join with the networks serves it and all random experiments.
+    Real evidence is replicate -1 of the enrichment, random experiments are the others.
     """
     networks = evidence.of_type(networks, params.phospho_type)
     sizes = enrichment.network_sizes(networks)
@@ -48,9 +48,9 @@ def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: P
     if params.m_from == "filtered":
         sizes = enrichment.network_sizes(networks)
     real = binary_evidence(raw, compendia, params)
-    drawn = nulls.draw(evidence.of_type(compendia, params.phospho_type), evidence.stratum_sizes(real, params.stratum), params.reps, params.seed, params.stratum)
-    both = real.select("sample", F.lit(-1).alias("rep"), "accession", "site").unionByName(drawn)
-    rows = materialize(enrichment.enrich(networks, both, sizes), "enrichment")
+    sites = evidence.of_type(compendia, params.phospho_type)
+    cuts = nulls.cutoffs(sites, evidence.stratum_sizes(real, params.stratum), params.reps, params.seed, params.stratum)
+    rows = materialize(enrichment.enrich(networks, real.select("sample", "accession", "site"), sizes, sites, cuts, params.stratum), "enrichment")
     found, random = rows.where("rep = -1").drop("rep"), rows.where("rep >= 0")
     return Analysis(real, found, random, significance.activities(found, random, params.seed, params.drop))
 
