@@ -30,6 +30,30 @@ def long_form(wide: DataFrame, columns: dict[str, str], keys: list[str] | None =
     return long.withColumn("value", nan_to_null(F.col("value")))
 
 
+def wide_form(long: DataFrame, names: list[str], keys: list[str] | None = None, column: str = "sample", value: str = "value") -> DataFrame:
+    """One value column for each name."""
+    return long.groupBy(*(KEYS if keys is None else keys)).pivot(column, names).agg(F.first(value))
+
+
+def transpose(wide: DataFrame, index: str, names: list[str], new_index: str) -> DataFrame:
+    """Columns become rows and the values of `index`, which are `names`, become columns."""
+    columns = [c for c in wide.columns if c != index]
+    long = wide.unpivot([F.col(index)], [F.col(f"`{c}`") for c in columns], new_index, "_value")
+    return wide_form(long, names, [new_index], index, "_value")
+
+
+def shared_sites(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Distinct sites that both samples have."""
+    of = lambda s: rows.where(F.col("sample") == s).select(*KEYS)
+    return of(first).intersect(of(second))
+
+
+def only_sites(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Distinct sites of the first sample that the second has not."""
+    of = lambda s: rows.where(F.col("sample") == s).select(*KEYS)
+    return of(first).subtract(of(second))
+
+
 def collapse(raw: DataFrame, agg: str = "mean") -> DataFrame:
     """One value for each site and sample; missing values and rows without a key are left out."""
     how = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "count": F.count}[agg]

@@ -144,9 +144,9 @@ def substrates(networks: DataFrame) -> DataFrame:
 
 
 def mean_substrates(networks: DataFrame) -> DataFrame:
-    """(phospho_type, substrates): mean over networks of distinct sites."""
-    kind = F.when(F.substring("site", 1, 1) == "Y", "Y").otherwise("ST")
-    each = networks.select("network_id", *KEYS, kind.alias("phospho_type")).distinct().groupBy("network_id", "phospho_type").agg(F.count("*").alias("n"))
+    """(phospho_type, substrates): mean over networks of distinct sites; other residues count for no type."""
+    kind = F.when(F.substring("site", 1, 1) == "Y", "Y").when(F.substring("site", 1, 1).isin("S", "T"), "ST")
+    each = networks.select("network_id", *KEYS, kind.alias("phospho_type")).where("phospho_type is not null").distinct().groupBy("network_id", "phospho_type").agg(F.count("*").alias("n"))
     return each.groupBy("phospho_type").agg(F.avg("n").alias("substrates"))
 
 
@@ -189,6 +189,13 @@ def shared_substrates(networks: DataFrame) -> DataFrame:
     return each.groupBy("first", "second").agg(F.avg("shared").alias("shared"), F.avg("jaccard").alias("jaccard"))
 
 
+def profile(networks: DataFrame) -> DataFrame:
+    """(network_id, edges, kinases, largest, fullest): edges of a network, of its largest kinase and of its fullest site."""
+    per = lambda *by: F.count("*").over(Window.partitionBy("network_id", *by))
+    rows = networks.withColumns({"_k": per("kinase"), "_s": per(*KEYS)})
+    return rows.groupBy("network_id").agg(F.count("*").alias("edges"), F.count_distinct("kinase").alias("kinases"), F.max("_k").alias("largest"), F.max("_s").alias("fullest"))
+
+
 def phosphoproteome(records: DataFrame, compendia_ids: DataFrame) -> DataFrame:
     """(accession, site, num_compendia, compendia_class) from records (accession, site, evidence list) and the ids that are compendia."""
     seen = records.select(*KEYS, F.explode_outer(F.split("evidence", ";")).alias("id")).withColumn("id", F.trim("id"))

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .evidence import KEYS, allowable_threshold, passes
 
 
-def jaccard(evidence: DataFrame, by: str = "sample", within: list[str] | None = None) -> DataFrame:
+def jaccard(evidence: DataFrame, by: str = "sample", within: list[str] | None = None, units: DataFrame | None = None) -> DataFrame:
     """(within, first, second, jaccard) for each pair of different samples, 0 where both are empty.
 
+    `units` (within, sample) lists the samples, with those that have no evidence; else those of `evidence` count.
     Shared sites come from a join on the site; a site's samples are few, whatever the number of sites.
     """
     within = within or []
     rows = evidence.select(*within, F.col(by).alias("s"), *KEYS).distinct()
     size = rows.groupBy(*within, "s").agg(F.count("*").alias("n"))
+    if units is not None:
+        size = units.select(*within, F.col(by).alias("s")).distinct().join(size, [*within, "s"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     pairs = rows.withColumnRenamed("s", "first").join(rows.withColumnRenamed("s", "second"), [*within, *KEYS]).where("first < second")
     shared = pairs.groupBy(*within, "first", "second").agg(F.count("*").alias("shared"))
     a, b = size.withColumnRenamed("s", "first").withColumnRenamed("n", "na"), size.withColumnRenamed("s", "second").withColumnRenamed("n", "nb")

@@ -62,5 +62,10 @@ def prefixed(columns: list[str], chosen: list[str] | None = None, prefix: str =
     return {(c if c in columns else prefix + c): (c if c.startswith(prefix) else prefix + c) for c in chosen}
 
 
+def renamed(columns: list[str], prefix: str, name: str) -> dict[str, str]:
+    """Old to new names of columns with a prefix: the data set's name stands in its place."""
+    return {c: name + c.removeprefix(prefix) for c in columns if c.startswith(prefix)}
+
+
 def as_bool(text: str) -> bool:
     return str(text).strip().lower() in ("yes", "true", "t", "y", "1")

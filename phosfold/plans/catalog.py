@@ -505,14 +505,19 @@ def study_bias_samples(spark, d):
     return N.study_bias(chosen(spark, d), view(spark, d, "tb_compendia"), ["sample"])
 
 
-@query("SELECT round(avg(CAST(n.accession IS NOT NULL AS INT)), 6) AS coverage FROM (SELECT DISTINCT accession, site FROM coll) e LEFT JOIN (SELECT DISTINCT accession, site FROM tb_network WHERE kinase < 'K05') n USING (accession, site)", "tb_raw", "coll", "tb_network")
+@query("SELECT round(avg(CAST(n.accession IS NOT NULL AS INT)), 6) AS coverage FROM (SELECT DISTINCT accession, site FROM coll) e LEFT JOIN (SELECT DISTINCT accession, site FROM tb_network) n USING (accession, site)", "tb_raw", "coll", "tb_network")
 def experiment_coverage(spark, d):
-    return rounded(N.coverage(collapsed(spark, d), view(spark, d, "tb_network").where("kinase < 'K05'")), "coverage")
+    return rounded(N.coverage(collapsed(spark, d), view(spark, d, "tb_network")), "coverage")
 
 
-@query("SELECT sample, round(avg(CAST(n.accession IS NOT NULL AS INT)), 6) AS coverage FROM (SELECT DISTINCT sample, accession, site FROM evid) e LEFT JOIN (SELECT DISTINCT accession, site FROM tb_network WHERE kinase < 'K05') n USING (accession, site) GROUP BY ALL", *RAW, "tb_network")
+@query("SELECT sample, round(avg(CAST(n.accession IS NOT NULL AS INT)), 6) AS coverage FROM (SELECT DISTINCT sample, accession, site FROM evid) e LEFT JOIN (SELECT DISTINCT accession, site FROM tb_network) n USING (accession, site) GROUP BY ALL", *RAW, "tb_network")
 def sample_coverage(spark, d):
-    return rounded(N.coverage(chosen(spark, d), view(spark, d, "tb_network").where("kinase < 'K05'"), ["sample"]), "coverage")
+    return rounded(N.coverage(chosen(spark, d), view(spark, d, "tb_network"), ["sample"]), "coverage")
+
+
+@query("SELECT network_id, round(avg(CAST(e.accession IS NOT NULL AS INT)), 6) AS coverage FROM nsite LEFT JOIN (SELECT DISTINCT accession, site FROM evid) e USING (accession, site) GROUP BY ALL", *RAW, "tb_network", "nsite")
+def network_coverage(spark, d):
+    return rounded(N.coverage(view(spark, d, "tb_network"), chosen(spark, d), ["network_id"]), "coverage")
 
 
 @query("SELECT accession, site, count(*) AS networks FROM tb_network WHERE kinase = 'K01' GROUP BY ALL", "tb_network")
@@ -533,10 +538,7 @@ def shared_substrates(spark, d):
 
 @query("SELECT network_id, count(*) AS edges, count(DISTINCT kinase) AS kinases, max(per_kinase) AS largest, max(per_site) AS fullest FROM (SELECT *, count(*) OVER (PARTITION BY network_id, kinase) AS per_kinase, count(*) OVER (PARTITION BY network_id, accession, site) AS per_site FROM tb_network) GROUP BY ALL", "tb_network")
 def network_profile(spark, d):
-    net = view(spark, d, "tb_network")
-    per_kinase, per_site = Window.partitionBy("network_id", "kinase"), Window.partitionBy("network_id", "accession", "site")
-    rows = net.withColumns({"k": F.count("*").over(per_kinase), "s": F.count("*").over(per_site)})
-    return rows.groupBy("network_id").agg(F.count("*").alias("edges"), F.count_distinct("kinase").alias("kinases"), F.max("k").alias("largest"), F.max("s").alias("fullest"))
+    return N.profile(view(spark, d, "tb_network"))
 
 
 # pruning and stored nulls
@@ -606,9 +608,9 @@ def exploded_accessions(spark, d):
     return M.explode_list(rows, "accession")
 
 
-@query("SELECT accession, site, CASE WHEN length(sequence) >= 10 AND substr(sequence, 10, 1) = 'T' THEN substr(sequence, 3, 7) || 't' || substr(sequence, 11, 7) END AS aligned, length(sequence) >= 10 AND substr(sequence, 10, 1) = 'T' AS valid FROM (SELECT accession, 'T10' AS site, sequence FROM tb_sequence)", "tb_sequence")
+@query("SELECT accession, c || 10 AS site, CASE WHEN substr(sequence, 10, 1) = c THEN substr(sequence, 3, 7) || lower(c) || substr(sequence, 11, 7) END AS aligned, coalesce(substr(sequence, 10, 1) = c, false) AS valid FROM tb_protein CROSS JOIN (VALUES ('S'), ('T'), ('Y')) v(c)", "tb_protein")
 def aligned_peptides(spark, d):
-    rows = view(spark, d, "tb_sequence").withColumn("site", F.lit("T10"))
+    rows = view(spark, d, "tb_protein").withColumn("site", F.explode(F.array(F.lit("S10"), F.lit("T10"), F.lit("Y10"))))
     return rows.select("accession", "site", P.aligned_peptide(F.col("sequence"), F.col("site")).alias("aligned"), P.valid_site(F.col("sequence"), F.col("site")).alias("valid"))
 
 
@@ -632,56 +634,80 @@ def expanded_modifications(spark, d):
 
 
 def peptides(spark, d):
-    """The 15 residues around each sequence's tenth residue, which is made a modified serine."""
-    seq = view(spark, d, "tb_sequence").where("length(sequence) >= 17")
-    return seq.select("accession", F.concat(F.substring("sequence", 3, 7), F.lit("s"), F.substring("sequence", 11, 7)).alias("peptide"), F.regexp_replace("sequence", "^(.{9}).", "$1S").alias("sequence"))
+    """(accession, place, peptide, sequence): the 15 residues around one S, T or Y of each protein, which is in lower case."""
+    rows = view(spark, d, "tb_protein").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "accession")
+    skipped = F.length(F.regexp_extract(F.substr("sequence", F.col("ahead_of") + 1), "^[^STY]*", 0))
+    rows = rows.withColumn("place", F.col("ahead_of") + skipped + 1).where("place <= length(sequence)")
+    site = F.concat(F.substr("sequence", "place", F.lit(1)), F.col("place").cast("string"))
+    return rows.select("accession", "place", P.aligned_peptide(F.col("sequence"), site).alias("peptide"), "sequence")
 
 
-PEPTIDES = ", pep AS (SELECT accession, substr(sequence, 3, 7) || 's' || substr(sequence, 11, 7) AS peptide, substr(sequence, 1, 9) || 'S' || substr(sequence, 11) AS sequence FROM tb_sequence WHERE length(sequence) >= 17) "
+PEPTIDES = ", spots AS (SELECT accession, sequence, ahead_of + length(regexp_extract(substr(sequence, ahead_of + 1), '^[^STY]*')) + 1 AS place FROM tb_protein), pep AS (SELECT accession, place, sequence, substr(sequence, greatest(1, place - 7), place - greatest(1, place - 7)) AS ahead, substr(sequence, place, 1) AS residue, substr(sequence, place + 1, 7) AS behind, ahead || lower(residue) || behind AS peptide FROM spots WHERE place <= length(sequence)) "
+FOUND = "residue || (instr(sequence, upper(peptide)) + length(ahead))"
 
 
-@query()
+@query(ctes("tb_protein").rstrip() + PEPTIDES + f"SELECT accession, place, {FOUND} AS site FROM pep")
 def site_numbers(spark, d):
-    return peptides(spark, d).select("accession", P.site_number(F.col("sequence"), F.col("peptide")).alias("site"))
+    return peptides(spark, d).select("accession", "place", P.site_number(F.col("sequence"), F.col("peptide")).alias("site"))
 
 
-SQL["site_numbers"] = ctes("tb_sequence").rstrip() + PEPTIDES + "SELECT accession, 'S' || (instr(sequence, upper(peptide)) + 7) AS site FROM pep"
-
-FORMS = ("lower", "p", "after", "probability", "unimod", "upper")
+#: Ways to mark a residue, their form, and whether the peptide comes out with the residue in lower case, in upper case, or as null; a sign between two
+#: residues that may be modified belongs to the one before it.
+MARKS = [
+    ("{s}", "acceptable", "lower"), ("p{S}", "lowercase_p", "lower"), ("{S}*", "annotated", "lower"), ("{S}(0.98)", "maxquant_perc", "lower"), ("{S}(UniMod_21)", "unimod", "lower"), ("{S}", "uppercase", "upper"),
+    ("{S}(ph)", "annotated", "lower"), ("{S}[Phospho]", "annotated", "lower"), ("^{S}", "annotated", "next"), ("{S}(Phospho)", "annotated", "lower"), ("[ph]{S}", "annotated", "next"), ("{S}(2)", "unrecognized", "null"), ("{S}(0.10)", "maxquant_perc", "upper"), ("{S}*#", "annotated", "null"),
+]
 
 
 def marked(spark, d):
-    rows = peptides(spark, d).withColumn("n", F.substring("accession", 2, 20).cast("long") % 6)
-    left, right = F.substring("peptide", 1, 7), F.substring("peptide", 9, 7)
-    ways = [F.concat(left, F.lit(c), right) for c in ("s", "pS", "S*", "S(0.98)", "S(UniMod_21)", "S")]
-    return rows.select("accession", "n", F.get(F.array(*ways), F.col("n").cast("int")).alias("peptide"))
+    """Each peptide with its residue marked in one of the ways, in turn."""
+    rows = peptides(spark, d)
+    at = F.instr(F.translate("peptide", "sty", "***"), "*")
+    left, c, right = F.substr("peptide", F.lit(1), at - 1), F.substr("peptide", at, F.lit(1)), F.substr("peptide", at + 1)
+    ways = []
+    for way, _, _ in MARKS:
+        before, upper, behind = way.partition("{S}") if "{S}" in way else way.partition("{s}")
+        ways.append(F.concat(left, F.lit(before), F.upper(c) if upper == "{S}" else c, F.lit(behind), right))
+    n = (F.col("place") % len(MARKS)).cast("int")
+    # dealt anew, so that the choice is made once and not wherever the peptide is looked at
+    return rows.select("accession", "place", F.get(F.array(*ways), n).alias("peptide")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "accession", "place")
 
 
-@query()
-def formatted_peptides(spark, d):
-    return marked(spark, d).select("accession", P.peptide_format(F.col("peptide")).alias("form"), P.formatted(F.col("peptide")).alias("peptide"))
+def _by_mark(values: list[str]) -> str:
+    return "CASE place % " + str(len(MARKS)) + " " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
 
 
-SQL["formatted_peptides"] = ctes("tb_sequence").rstrip() + PEPTIDES + "SELECT accession, CASE n WHEN 0 THEN 'acceptable' WHEN 1 THEN 'lowercase_p' WHEN 2 THEN 'annotated' WHEN 3 THEN 'maxquant_perc' WHEN 4 THEN 'unimod' ELSE 'uppercase' END AS form, CASE n WHEN 5 THEN upper(peptide) ELSE peptide END AS peptide FROM (SELECT accession, peptide, CAST(substr(accession, 2) AS BIGINT) % 6 AS n FROM pep)"
+FORM = _by_mark([f"'{form}'" for _, form, _ in MARKS])
+CAME = _by_mark([{"lower": "peptide", "upper": "upper(peptide)", "null": "NULL", "next": "CASE WHEN ahead[-1] IN ('S', 'T', 'Y') THEN ahead[:-2] || lower(ahead[-1]) || residue || behind ELSE peptide END"}[out] for _, _, out in MARKS])
 
 
-@query()
+@query(ctes("tb_protein").rstrip() + PEPTIDES + f"SELECT accession, place, {FORM} AS form, {CAME} AS peptide FROM pep")
+def formatted_peptides(spark, d):
+    return marked(spark, d).select("accession", "place", P.peptide_format(F.col("peptide")).alias("form"), P.formatted(F.col("peptide")).alias("peptide"))
+
+
+@query(ctes("tb_protein").rstrip() + PEPTIDES + f"SELECT {FORM} AS value, count(*) AS n FROM pep GROUP BY value ORDER BY n DESC, min(place), min(accession) LIMIT 1")
 def common_peptide_form(spark, d):
-    rows = marked(spark, d).withColumn("form", P.peptide_format(F.col("peptide"))).withColumn("at", F.substring("accession", 2, 20).cast("long"))
-    return M.most_common(rows, "form", "at")
+    rows = marked(spark, d).withColumn("form", P.peptide_format(F.col("peptide")))
+    return M.most_common(rows, "form", "place")
+
 
+#: How identifiers of each kind are made from a number, and their kinds.
+IDS = [("P{n}", "UniProtKB"), ("N{n}_HUMAN", "UniProtKB_AC-ID"), ("ENSG{n}_HUMAN", "UniProtKB_AC-ID"), ("ENSP{n}", "Ensembl_Protein"), ("ENST{n}", "Ensembl_Transcript"), ("ENSG{n}", "Ensembl"), ("NP_{n}", "RefSeq_Protein"), ("XM_{n}", "RefSeq_Nucleotide"), ("gi|{n}", "GI_number"), ("UPI{n}", "UniParc"), ("UniRef50_P{n}", "UniRef50"), ("UniRef90_P{n}", "UniRef90"), ("UniRef100_P{n}", "UniRef100"), ("CCDS{n}", "CCDS"), ("R{n}-2", "genename/unrecognized"), ("O{n}-2", "UniProtKB"), ("GENE{n}", "genename/unrecognized"), ("NR_{n}", "genename/unrecognized")]
 
-SQL["common_peptide_form"] = ctes("tb_sequence").rstrip() + PEPTIDES + "SELECT CASE n WHEN 0 THEN 'acceptable' WHEN 1 THEN 'lowercase_p' WHEN 2 THEN 'annotated' WHEN 3 THEN 'maxquant_perc' WHEN 4 THEN 'unimod' ELSE 'uppercase' END AS value, c AS n FROM (SELECT CAST(substr(accession, 2) AS BIGINT) % 6 AS n, count(*) AS c, min(CAST(substr(accession, 2) AS BIGINT)) AS f FROM pep GROUP BY 1) ORDER BY c DESC, f LIMIT 1"
 
+def _made(text: str) -> str:
+    head, tail = text.split("{n}")
+    return f"concat('{head}', lpad({{number}}, 5, '0'), '{tail}')"
 
-IDS = ("P12345", "P53_HUMAN", "ENSP0000", "NP_001", "gi|12", "UPI01", "A0A024R1X5", "TP53", "J3KP06")
-KINDS = ("UniProtKB", "UniProtKB_AC-ID", "Ensembl_Protein", "RefSeq_Protein", "GI_number", "UniParc", "UniProtKB", "genename/unrecognized", "genename/unrecognized")
 
+_ID = "CASE CAST(l_partkey % " + str(len(IDS)) + " AS INT) " + " ".join(f"WHEN {k} THEN {_made(text)}" for k, (text, _) in enumerate(IDS)) + " END"
 
-@query(f"SELECT kind, count(*) AS n FROM (SELECT {list(KINDS)}[l_orderkey % 9 + 1] AS kind FROM lineitem) GROUP BY ALL")
+
+@query(f"SELECT DISTINCT {_ID.format(number='CAST(l_partkey % 100000 AS VARCHAR)')} AS id, CASE CAST(l_partkey % {len(IDS)} AS INT) {' '.join(f'WHEN {k} THEN ' + repr(kind) for k, (_, kind) in enumerate(IDS))} END AS kind FROM lineitem")
 def accession_types(spark, d):
-    ids = F.get(F.array(*[F.lit(i) for i in IDS]), (F.col("l_orderkey") % 9).cast("int"))
-    return table(spark, d, "lineitem").select(A.accession_type(ids).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    ids = table(spark, d, "lineitem").select(F.expr(_ID.format(number="CAST(l_partkey % 100000 AS STRING)")).alias("id")).distinct()
+    return ids.select("id", A.accession_type(F.col("id")).alias("kind"))
 
 
 @query("SELECT l_orderkey, string_agg(a, ';' ORDER BY a) AS accession FROM (SELECT DISTINCT l_orderkey, 'Q' || (l_suppkey % 7) AS a FROM lineitem WHERE l_suppkey % 7 < 5) GROUP BY ALL UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY ALL HAVING min(l_suppkey % 7) >= 5")
@@ -692,34 +718,37 @@ def converted_ids(spark, d):
 
 
 def mapped(spark, d):
-    seq = view(spark, d, "tb_sequence")
-    raw = peptides(spark, d).select(F.when(F.substring("accession", 2, 20).cast("long") % 10 == 0, F.concat(F.lit("X"), "accession")).otherwise(F.concat("accession", F.lit("-2"))).alias("accession"), "peptide", F.length("sequence").cast("double").alias("value"))
-    fixed = seq.select("accession", F.when(F.length("sequence") >= 17, F.regexp_replace("sequence", "^(.{9}).", "$1S")).otherwise(F.col("sequence")).alias("sequence"), "doc_id")
-    compendia = fixed.where("doc_id % 5 <> 1").select("accession", F.lit("S10").alias("site"), (F.col("doc_id") % 6).cast("int").alias("num_compendia"))
-    return M.map_experiment(raw, fixed.select("accession", "sequence"), compendia)
+    """Every peptide of every protein: of each tenth document under an unknown accession, at each eleventh place with residues that the protein has not."""
+    known = view(spark, d, "tb_protein")
+    accession = F.when(F.regexp_extract("accession", "^D([0-9]+)", 1).cast("long") % 10 == 0, F.concat(F.lit("X"), "accession")).otherwise(F.concat("accession", F.lit("-2")))
+    peptide = F.when(F.col("place") % 11 == 0, F.concat(F.lit("123456789"), "peptide")).otherwise(F.col("peptide"))
+    raw = peptides(spark, d).select(accession.alias("accession"), F.regexp_replace(peptide, "^123456789", "XQXQXQXQX").alias("peptide"), F.length("sequence").cast("double").alias("value"))
+    places = known.select("accession", "sequence", F.explode(P.modified_positions(F.translate("sequence", "STY", "sty"))).alias("place")).withColumn("place", F.col("place") + 1)
+    sites = places.where("place % 5 <> 1").select("accession", F.concat(F.substr("sequence", "place", F.lit(1)), F.col("place").cast("string")).alias("site"), (F.col("place") % 6).cast("int").alias("num_compendia"))
+    return M.map_experiment(raw, known.select("accession", "sequence"), sites)
 
 
-@query()
+#: What the same rows come to, from the definitions.
+MAPPED = PEPTIDES + f""", tried AS (SELECT accession, place, sequence, CASE WHEN place % 11 = 0 THEN 'XQXQXQXQX' || ahead ELSE ahead END AS ahead, residue, behind, CAST(regexp_extract(accession, '^D([0-9]+)', 1) AS BIGINT) % 10 = 0 AS unknown FROM pep),
+got AS (SELECT *, upper(ahead || residue || behind) AS whole, upper(ahead) || lower(residue) || upper(behind) AS peptide, instr(sequence, whole) + length(ahead) AS n FROM tried),
+verdict AS (SELECT *, residue || n AS site, CASE WHEN unknown THEN '{M.NO_SEQUENCE}' WHEN instr(sequence, whole) = 0 THEN '{M.NO_ALIGNMENT}' WHEN n % 5 = 1 THEN '{M.NO_COMPENDIA}' ELSE 'mapped' END AS reason FROM got) """
+
+
+@query(ctes("tb_protein").rstrip() + MAPPED + "SELECT DISTINCT accession, site, peptide, substr(sequence, greatest(1, n - 7), n - greatest(1, n - 7)) || lower(residue) || substr(sequence, n + 1, 7) AS aligned, CAST(length(sequence) AS DOUBLE) AS value, CAST(n % 6 AS INT) AS num_compendia, CASE WHEN n % 6 < 1 THEN 0 WHEN n % 6 <= 3 THEN 1 ELSE 2 END AS compendia_class FROM verdict WHERE reason = 'mapped'")
 def mapped_experiment(spark, d):
     return mapped(spark, d).rows.select("accession", "site", "peptide", "aligned", "value", "num_compendia", "compendia_class")
 
 
-@query()
+@query(ctes("tb_protein").rstrip() + MAPPED + f"SELECT reason, count(*) AS n FROM (SELECT DISTINCT reason, accession, peptide, CASE WHEN reason = '{M.NO_COMPENDIA}' THEN site END AS site FROM verdict WHERE reason <> 'mapped') GROUP BY reason")
 def mapping_rejects(spark, d):
-    return mapped(spark, d).rejects.groupBy("reason").agg(F.count("*").alias("n"))
+    return mapped(spark, d).rejects.select("reason", "accession", "peptide", "site").distinct().groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(ctes("tb_protein").rstrip() + MAPPED + f"SELECT reason, sites, round(sites / sum(sites) OVER (), 6) AS share, peptides FROM (SELECT reason, count(DISTINCT (accession, CASE WHEN reason IN ('mapped', '{M.NO_COMPENDIA}') THEN site ELSE '' END)) AS sites, count(DISTINCT (accession, peptide)) AS peptides FROM verdict GROUP BY reason)")
 def mapping_statistics(spark, d):
     return rounded(M.mapping_statistics(mapped(spark, d)), "share")
 
 
-MAPPED = PEPTIDES + ", got AS (SELECT accession, CAST(substr(accession, 2) AS BIGINT) AS i, 'S' || (instr(sequence, upper(peptide)) + 7) AS site, sequence FROM pep), verdict AS (SELECT *, CASE WHEN i % 10 = 0 THEN 'accession has no reference sequence' WHEN i % 5 = 1 OR site <> 'S10' THEN 'site is in no compendium' ELSE 'mapped' END AS reason FROM got) "
-SQL["mapped_experiment"] = ctes("tb_sequence").rstrip() + MAPPED + "SELECT accession, site, upper(substr(sequence, 3, 7)) || 's' || substr(sequence, 11, 7) AS peptide, substr(sequence, 3, 7) || 's' || substr(sequence, 11, 7) AS aligned, CAST(length(sequence) AS DOUBLE) AS value, CAST(i % 6 AS INT) AS num_compendia, CASE WHEN i % 6 < 1 THEN 0 WHEN i % 6 <= 3 THEN 1 ELSE 2 END AS compendia_class FROM verdict WHERE reason = 'mapped'"
-SQL["mapping_rejects"] = ctes("tb_sequence").rstrip() + MAPPED + "SELECT reason, count(*) AS n FROM verdict WHERE reason <> 'mapped' GROUP BY ALL"
-SQL["mapping_statistics"] = ctes("tb_sequence").rstrip() + MAPPED + "SELECT reason, count(*) AS sites, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM verdict GROUP BY ALL"
-
-
 @query("SELECT CASE WHEN site LIKE 'Y%' THEN 'Y' ELSE 'ST' END AS phospho_type, sample, count(DISTINCT (accession, site)) AS sites FROM tb_raw WHERE value IS NOT NULL GROUP BY ALL", "tb_raw")
 def measured_sites(spark, d):
     return M.sites_by_type(view(spark, d, "tb_raw"))
@@ -737,26 +766,31 @@ def phosphoproteome(spark, d):
 
 @query("SELECT accession, site FROM (SELECT DISTINCT accession, site FROM tb_raw WHERE sample = 'data:AF') INTERSECT SELECT accession, site FROM tb_raw WHERE sample = 'data:NO'", "tb_raw")
 def common_sites(spark, d):
-    rows = view(spark, d, "tb_raw")
-    return rows.where("sample = 'data:AF'").select("accession", "site").intersect(rows.where("sample = 'data:NO'").select("accession", "site"))
+    return V.shared_sites(view(spark, d, "tb_raw"), "data:AF", "data:NO")
 
 
 @query("SELECT accession, site FROM tb_raw WHERE sample = 'data:NF' EXCEPT SELECT accession, site FROM tb_raw WHERE sample = 'data:NO'", "tb_raw")
 def lost_sites(spark, d):
-    rows = view(spark, d, "tb_raw")
-    return rows.where("sample = 'data:NF'").select("accession", "site").subtract(rows.where("sample = 'data:NO'").select("accession", "site"))
+    return V.only_sites(view(spark, d, "tb_raw"), "data:NF", "data:NO")
 
 
-@query("SELECT accession, site, max(value) FILTER (sample = 'data:AF') AS \"data:AF\", max(value) FILTER (sample = 'data:NO') AS \"data:NO\" FROM coll GROUP BY ALL", "tb_raw", "coll")
+@query("SELECT accession, site, " + ", ".join(f"max(value) FILTER (sample = '{n}') AS \"{n}\"" for n in SAMPLES) + " FROM coll GROUP BY ALL", "tb_raw", "coll")
 def wide_values(spark, d):
-    return collapsed(spark, d).groupBy("accession", "site").pivot("sample", ["data:AF", "data:NO"]).agg(F.first("value"))
+    return V.wide_form(collapsed(spark, d), SAMPLES)
+
+
+@query("SELECT sample, " + ", ".join(f"round(max(m) FILTER (kinase = 'K{k:02d}'), 6) AS K{k:02d}" for k in range(20)) + " FROM (SELECT sample, kinase, median(p) AS m FROM real GROUP BY ALL) GROUP BY ALL", *REAL)
+def transposed_matrix(spark, d):
+    names = [f"K{k:02d}" for k in range(20)]
+    wide = E.pivot_unique(E.median_enrichment(really_enriched(spark, d)), "kinase", "sample", "median_p", SAMPLES)
+    return rounded(V.transpose(wide, "kinase", names, "sample"), *names)
 
 
-@query("SELECT s_suppkey AS id, category, value FROM (SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) UNPIVOT (value FOR category IN (n_name, r_name))")
+@query("SELECT s_suppkey AS id, position, category, value FROM (SELECT s_suppkey, n_name, r_name, CAST(row_number() OVER (ORDER BY s_suppkey) * 10 - 5 AS INT) AS position FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) UNPIVOT (value FOR category IN (n_name, r_name))")
 def context_cells(spark, d):
     context = table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey")).join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
-    order = context.select(F.col("s_suppkey").alias("id"), F.lit(0).alias("position"))
-    return D.context_cells(context, "s_suppkey", ["n_name", "r_name"], order).select("id", "category", "value")
+    order = N.rank_positions(context, "s_suppkey").withColumnRenamed("s_suppkey", "id")
+    return D.context_cells(context, "s_suppkey", ["n_name", "r_name"], order)
 
 
 @query("SELECT sample, CAST((row_number() OVER (ORDER BY sample) - 1) * 10 + 5 AS INT) AS position FROM (SELECT DISTINCT sample FROM tb_raw)", "tb_raw")

@@ -22,12 +22,14 @@ VIEWS = {
     "tb_network": "SELECT DISTINCT cast(l_orderkey % 10 as int) AS network_id, {line:kinase accession site} FROM lineitem",
     "tb_weight": "SELECT accession, site, kinase, avg(l_extendedprice) AS weight FROM (SELECT {line:accession site kinase}, l_extendedprice FROM lineitem) t GROUP BY accession, site, kinase",
     "tb_sequence": "SELECT concat('D', doc_id) AS accession, upper(regexp_replace(text, '[^A-Za-z]', ''{all})) AS sequence, doc_id FROM documents",
+    # whole texts as proteins of at most 400 residues
+    "tb_protein": "SELECT concat('D', doc_id, '.', part) AS accession, substr(residues, part * 400 + 1, 400) AS sequence, cast(8 + (doc_id * 7 + part) % 97 as int) AS ahead_of FROM (SELECT doc_id, residues, {parts} AS part FROM (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', ''{all})) AS residues FROM documents) t WHERE residues <> '') u",
     "tb_events": "SELECT ts, event_type AS sample, concat('U', user_id) AS accession, concat(substr('STY', cast(length(event_type) % 3 as int) + 1, 1), event_id % 50 + 1) AS site, value FROM events",
 }
 
 
 def _sql(view: str, text: str, all_: str) -> str:
-    sql = VIEWS[view].replace("{all}", all_)
+    sql = VIEWS[view].replace("{all}", all_).replace("{parts}", "explode(sequence(0, cast((length(residues) - 1) div 400 as int)))" if text == "string" else "unnest(range(0, (length(residues) - 1) // 400 + 1))")
     while "{line:" in sql:
         head, tail = sql.split("{line:", 1)
         names, rest = tail.split("}", 1)

@@ -45,10 +45,16 @@ def test_formats(spark):
 
 
 def test_detection(spark):
-    cases = {"AApSK": "lowercase_p", "AS(UniMod_21)K": "unimod", "AS(0.9)K": "maxquant_perc", "A(x)K": "annotated", "AS*K": "annotated", "A-1": "unrecognized", "AsK": "acceptable", "AmK": "other_lowercase", "AAA": "uppercase"}
+    cases = {
+        "AApSK": ("lowercase_p", "AAsK"), "AS(UniMod_21)K": ("unimod", "AsK"), "AS(0.9)K": ("maxquant_perc", "AsK"), "A(x)K": ("unrecognized", None), "AS*K": ("annotated", "AsK"), "A-1": ("unrecognized", None),
+        "AsK": ("acceptable", "AsK"), "AmK": ("unrecognized", None), "AmKsT": ("acceptable", "AMKsT"), "AAA": ("uppercase", "AAA"), "AS(2)K": ("unrecognized", None), "AS(0.9)K(x)": ("unrecognized", None),
+        "AS(ph)K": ("annotated", "AsK"), "AS(Phospho)K": ("annotated", "AsK"), "A[ph]SK": ("annotated", "AsK"), "[Phospho]YAK": ("annotated", "yAK"), "AKT[ph]": ("annotated", "AKt"), "K.AT#DY#K.R": ("annotated", "AtDyK"), "^SAK": ("annotated", "sAK"),
+        "AS*T#K": ("annotated", None), "AA*K": ("annotated", None),
+    }
     rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", P.peptide_format(F.col("p")).alias("f"), P.formatted(F.col("p")).alias("g")).collect()
-    assert {r.p: r.f for r in rows} == cases
-    assert {r.p: r.g for r in rows}["AS*K"] == "AsK"
+    assert {r.p: (r.f, r.g) for r in rows} == cases
+    frame = spark.createDataFrame([("AsK",), ("A-1",), ("A-2",)], "p string")
+    assert P.column_format(frame, "p") == "unrecognized" and P.column_format(frame.union(frame.where("p = 'AsK'")).union(frame.where("p = 'AsK'")), "p") == "acceptable"
     frame = spark.createDataFrame([("AAAYAAA",), ("CCCSCCC",)], "p string")
     assert P.column_format(frame, "p") == "centered"
     assert [r.p for r in P.autoformat(frame, "p").collect()] == ["AAAyAAA", "CCCsCCC"]
@@ -66,6 +72,16 @@ def test_accessions(spark):
     assert {r.x: r.accession for r in A.convert(rows, "x", ids).collect()} == {"a;b": "P1;P2", "c": None, "d;e": None}
 
 
+def test_accession_kinds(spark):
+    kinds = {
+        "P12345": "UniProtKB", "P12345-2": "UniProtKB", "A0A024R1X5": "UniProtKB", "P53_HUMAN": "UniProtKB_AC-ID", "ENSG_HUMAN": "UniProtKB_AC-ID", "UPI_HUMAN": "UniProtKB_AC-ID", "UPI01": "UniParc", "UniRef50_P12345": "UniRef50",
+        "UniRef90_P12345": "UniRef90", "UniRef100_P12345": "UniRef100", "CCDS123": "CCDS", "ENSG01": "Ensembl", "ENSP01": "Ensembl_Protein", "ENST01": "Ensembl_Transcript", "NM_1": "RefSeq_Nucleotide", "XM_1": "RefSeq_Nucleotide",
+        "NP_1": "RefSeq_Protein", "XP_1": "RefSeq_Protein", "gi|12": "GI_number", "TP53": "genename/unrecognized", "J3KP06": "genename/unrecognized", "NR_1": "genename/unrecognized", "WP_1": "genename/unrecognized",
+    }
+    rows = spark.createDataFrame([(k,) for k in kinds], "a string").select("a", A.accession_type(F.col("a")).alias("k")).collect()
+    assert {r.a: r.k for r in rows} == kinds
+
+
 def test_hypergeometric(spark):
     rows = [(k, m, g, n) for m in (1, 5, 10, 40) for g in range(0, m + 1, max(1, m // 4)) for n in range(0, m + 1, max(1, m // 4)) for k in range(0, min(g, n) + 2)]
     rows.append((30, 5000, 400, 300))
