@@ -146,6 +146,20 @@ def stored_quotas(sizes: list[int], shares: dict[str, list[float]], spark) -> Da
     return spark.createDataFrame(rows, "mix string, size int, sample string, stratum int, quota int")
 
 
+def use_stored(route: DataFrame, stored: DataFrame) -> DataFrame:
+    """(network_id, kinase, sample, rep, frequency, p) of the samples that `route` sends to storage: the stored replicates of their mix and size."""
+    sent = route.where("source = 'stored'").select("sample", "mix", F.col("matched").alias("size"))
+    return stored.drop("sample").join(sent, ["mix", "size"]).select("network_id", "kinase", "sample", "rep", "frequency", "p")
+
+
+def merge(*parts: DataFrame) -> DataFrame:
+    """Stored experiments of several folders or runs; of a mix and size that stand in more than one the first part counts."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(missing(part, out))
+    return out
+
+
 def missing(wanted: DataFrame, done: DataFrame) -> DataFrame:
     """What is still to be stored."""
     return wanted.join(done.select("mix", "size").distinct(), ["mix", "size"], "left_anti")

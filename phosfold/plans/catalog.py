@@ -21,7 +21,7 @@ from ..operators import thresholds as T
 from ..params import Params
 from ..sources.paths import materialize
 from ..streaming.evidence import drain, windowed_evidence
-from .pipeline import analyse
+from .pipeline import analyse, pregenerate
 from .testbed import duck, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,6 +593,16 @@ def stored_null_experiments(spark, d):
     return drawn.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", "rep", "accession", "site")
 
 
+# the same on serine and threonine, enriched
+CTE["stored_tried"] = "SELECT sample, rep, accession, site FROM stored_drawn"
+
+
+@query("SELECT split_part(sample, '/', 1) AS mix, CAST(split_part(sample, '/', 2) AS INT) AS size, network_id, kinase, rep, frequency, round(p, 4) AS p FROM enr", "tb_compendia", "tb_network", "st_compendia", "st_network", "comp=st_comp", "stored_quota", "sited", "stored_drawn", "nsite=st_nsite", "msize", "deg=st_deg", "tried=stored_tried", "ins", "ov=st_ov", "grid", "num", "enr")
+def pregenerated_enrichment(spark, d):
+    made = pregenerate(view(spark, d, "tb_network"), view(spark, d, "tb_compendia"), Params(reps=REPS, seed=SEED), [62, 96], MIXES)
+    return made.select("mix", "size", "network_id", "kinase", "rep", "frequency", F.round("p", 4).alias("p"))
+
+
 # mapping
 
 

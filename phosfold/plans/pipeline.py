@@ -36,10 +36,23 @@ def binary_evidence(raw: DataFrame, compendia: DataFrame, params: Params) -> Dat
     return evidence.with_compendia(chosen, compendia)
 
 
-def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: Params, kinases: list[str] | None = None) -> Analysis:
+def pregenerate(networks: DataFrame, compendia: DataFrame, params: Params, sizes: list[int], mixes: dict[str, list[float]], done: DataFrame | None = None) -> DataFrame:
+    """(mix, size, network_id, kinase, sample, rep, frequency, p) of random experiments for every class mix and size that is not `done`."""
+    networks, sites = evidence.of_type(networks, params.phospho_type), evidence.of_type(compendia, params.phospho_type)
+    wanted = nulls.stored_quotas(sizes, mixes, networks.sparkSession)
+    if done is not None:
+        wanted = nulls.missing(wanted, done)
+    cuts = nulls.cutoffs(sites, wanted.select("sample", "stratum", "quota"), params.reps, params.seed)
+    nobody = networks.sparkSession.createDataFrame([], "sample string, accession string, site string")
+    rows = enrichment.enrich(networks, nobody, enrichment.network_sizes(networks), sites, cuts)
+    return rows.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", *rows.columns)
+
+
+def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: Params, kinases: list[str] | None = None, stored: DataFrame | None = None) -> Analysis:
     """Evidence, enrichment of it and of random experiments that match its study bias, and activities.
 
-    Real evidence is replicate -1 of the enrichment, random experiments are the others.
+    Real evidence is replicate -1 of the enrichment, random experiments are the others. With `stored`
+    experiments (see `pregenerate`), samples near one of their sizes use them and the others draw their own.
     """
     networks = evidence.of_type(networks, params.phospho_type)
     sizes = enrichment.network_sizes(networks)
@@ -48,9 +61,18 @@ def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: P
     if params.m_from == "filtered":
         sizes = enrichment.network_sizes(networks)
     real = binary_evidence(raw, compendia, params)
-    sites = evidence.of_type(compendia, params.phospho_type)
-    cuts = nulls.cutoffs(sites, evidence.stratum_sizes(real, params.stratum), params.reps, params.seed, params.stratum)
-    rows = materialize(enrichment.enrich(networks, real.select("sample", "accession", "site"), sizes, sites, cuts, params.stratum), "enrichment")
+    sites, quotas, route = evidence.of_type(compendia, params.phospho_type), evidence.stratum_sizes(real, params.stratum), None
+    if stored is not None:
+        # one row for each stored size
+        known = sorted(r[0] for r in stored.select("size").distinct().collect())
+        route = materialize(nulls.route(evidence.sizes(real), evidence.class_shares(real), known, params.phospho_type).join(stored.select("mix", F.col("size").alias("matched")).distinct().withColumn("there", F.lit(True)), ["mix", "matched"], "left").withColumn("source", F.when(F.col("there"), "stored").otherwise("drawn")), "route")
+        quotas = quotas.join(route.where("source = 'stored'").select("sample"), "sample", "left_anti")
+    cuts = nulls.cutoffs(sites, quotas, params.reps, params.seed, params.stratum)
+    rows = enrichment.enrich(networks, real.select("sample", "accession", "site"), sizes, sites, cuts, params.stratum)
+    if route is not None:
+        chosen = stored if kinases is None else stored.where(F.col("kinase").isin(kinases))
+        rows = rows.unionByName(nulls.use_stored(route, chosen.where(F.col("rep") < params.reps)))
+    rows = materialize(rows, "enrichment")
     found, random = rows.where("rep = -1").drop("rep"), rows.where("rep >= 0")
     return Analysis(real, found, random, significance.activities(found, random, params.seed, params.drop))
 

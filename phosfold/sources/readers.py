@@ -92,6 +92,30 @@ def results(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Par
     return {n: spark.read.parquet(f"{folder}/{n}") for n in sorted(names)}, Params.from_json(settings)
 
 
+def stored_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """What `save_nulls` wrote: enrichment of random experiments with their class mix and size, which choose the folders read."""
+    return spark.read.parquet(folder).withColumns({"mix": F.col("mix").cast("string"), "size": F.col("size").cast("int")})
+
+
+def wide_results(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(kinase, sample, value) from a table with a row for each kinase and a column for each sample, as tsv or csv."""
+    wide = delimited(spark, path)
+    index, *samples = wide.columns
+    return wide.unpivot([F.col(f"`{index}`").alias("kinase")], [F.col(f"`{c}`") for c in samples], "sample", value).withColumn(value, F.col(value).cast("double"))
+
+
+def result_tables(spark: SparkSession, activities: str, fpr: str) -> DataFrame:
+    """(sample, kinase, mw_p, fpr) from the two wide tables that a run leaves."""
+    return wide_results(spark, activities, "mw_p").join(wide_results(spark, fpr, "fpr"), ["kinase", "sample"], "full_outer").select("sample", "kinase", "mw_p", "fpr")
+
+
+def long_results(spark: SparkSession, path: str) -> DataFrame:
+    """(sample, kinase, mw_p, fpr) from long tables (data, kinase, activity, false positive rate), as workflow runs leave them."""
+    rows = delimited(spark, path)
+    sample, kinase, p, fpr = rows.columns[:4]
+    return rows.select(F.col(f"`{sample}`").alias("sample"), F.col(f"`{kinase}`").alias("kinase"), F.col(f"`{p}`").cast("double").alias("mw_p"), F.col(f"`{fpr}`").cast("double").alias("fpr"))
+
+
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
     """(name, valid, reason): the networks below a folder; a valid one has tables and a run information."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.evidence import wide_form
 from ..operators.mapping import Mapped, mapping_statistics
 from ..operators.nulls import wide_experiments
 from ..params import Params
@@ -26,6 +27,24 @@ def save_results(spark: SparkSession, tables: dict[str, DataFrame], params: Para
     spark.createDataFrame([(params.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
 
 
+def save_tables(tables: dict[str, DataFrame], folder: str, kind: str = "tsv") -> None:
+    """Tables as files of one kind (tsv, csv, json or parquet), one folder each."""
+    if kind not in ("tsv", "csv", "json", "parquet"):
+        raise ValueError("kind is tsv, csv, json or parquet")
+    for name, table in tables.items():
+        writer = table.write.mode("overwrite")
+        if kind in ("tsv", "csv"):
+            writer.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(f"{folder}/{name}.{kind}")
+        else:
+            writer.format(kind).save(f"{folder}/{name}.{kind}")
+
+
+def save_wide_activities(activities: DataFrame, folder: str, samples: list[str], kind: str = "tsv") -> None:
+    """Activities and false positive rates with a row for each kinase and a column for each sample."""
+    wide = lambda value: wide_form(activities, samples, ["kinase"], "sample", value)
+    save_tables({"mann_whitney_activities": wide("mw_p"), "mann_whitney_fpr": wide("fpr")}, folder, kind)
+
+
 def save_nulls(enriched: DataFrame, folder: str) -> None:
     """Stored null enrichment, in one folder for each class mix and size."""
     enriched.write.mode("append").partitionBy("mix", "size").parquet(folder)
