@@ -263,23 +263,26 @@ def merged(spans, length: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, text_col: str, length: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of `docs` that may have repeated strings, with `_spans`, and the rest, which the fixed-size filter of digests keeps out of the shuffle."""
+    """The rows of `docs` that may have repeated strings, with their spans as last column, and the rest, which the fixed-size filter of digests keeps out of the shuffle."""
     spark = docs.sparkSession
     spans = materialize(repeated_spans(docs, text_col, length, filter_bits), "spans")
     some = spark.sparkContext.broadcast(key_filter(spans.select("d").distinct(), "d", filter_bits))
     text_at = docs.columns.index(text_col)
+    # names that no column of the table has
+    mark_at = max((len(c) - len(c.lstrip("_")) for c in docs.columns), default=0) + 1
+    d_col, w_col, may_col, spans_col = ("_" * mark_at + n for n in ("d", "w", "may", "spans"))
 
     def mark(stream):
         for batch in stream:
             keys = [digest((t or "").encode()) for t in batch.column(text_at).to_pylist()]
             d, w = pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32())
             may = pa.array(in_filter(some.value, d.to_numpy())) if len(keys) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, d, w, may], names=[*batch.schema.names, "_d", "_w", "_may"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, d, w, may], names=[*batch.schema.names, d_col, w_col, may_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_d", T.LongType()), T.StructField("_w", T.IntegerType()), T.StructField("_may", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(d_col, T.LongType()), T.StructField(w_col, T.IntegerType()), T.StructField(may_col, T.BooleanType())])
     marked = docs.mapInArrow(mark, schema)
-    hit = marked.where("_may").join(spans.select(F.col("d").alias("_d"), F.col("w").alias("_w"), F.col("spans").alias("_spans")), ["_d", "_w"], "left")
-    return hit.select(*docs.columns, "_spans"), marked.where("not _may").select(*docs.columns)
+    hit = marked.where(F.col(may_col)).join(spans.select(F.col("d").alias(d_col), F.col("w").alias(w_col), F.col("spans").alias(spans_col)), [d_col, w_col], "left")
+    return hit.select(*docs.columns, spans_col), marked.where(~F.col(may_col)).select(*docs.columns)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, filter_bits: int = 27) -> DataFrame:
@@ -290,7 +293,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, f
     def cut(stream):
         for batch in stream:
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
                     raw, kept, last = text.encode(), [], 0
                     for i, j in merged(spans, length).tolist():

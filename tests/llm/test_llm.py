@@ -25,7 +25,7 @@ ODD = [
     (None, "no id at all here"), (None, None), (8, LONG), (9, LONG + " tail"), (10, "x" * 900), (11, PASSAGE + " left " + "é" * 300), (12, "right " + PASSAGE),
     (13, "é<|endoftext|>\x00 \U0001f600 it's 12  34"), (14, "ab" * 400 + "\n\n"),
 ]
-COLUMNS = ["text", "score", "fp", "n", "d", "w", "part", "a", "x", "size", "shard", "component_id"]
+COLUMNS = ["text", "_d", "_w", "_may", "_spans", "score", "fp", "n", "d", "w", "part", "a", "x", "size", "shard", "component_id"]
 
 
 def documents(spark, rows):
