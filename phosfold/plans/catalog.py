@@ -359,9 +359,11 @@ def melted_enrichment(spark, d):
     return long.groupBy("sample", "kinase").agg(F.round(F.max("value"), 6).alias("p"), F.count("*").alias("n"))
 
 
-@query("SELECT sample, rep, accession, site FROM drawn", *BIAS, "quota", "sited", "drawn")
+@query("SELECT sample, accession, site, string_agg(rep, ',' ORDER BY rep) AS reps FROM drawn GROUP BY ALL", *BIAS, "quota", "sited", "drawn")
 def random_experiments(spark, d):
-    return R.draw(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), REPS, SEED)
+    """The replicates that take each site; a site's draws lie in one partition, so gathering them moves nothing."""
+    drawn = R.draw(view(spark, d, "tb_compendia"), V.stratum_sizes(biased(spark, d)), REPS, SEED)
+    return drawn.groupBy("sample", "accession", "site").agg(F.array_join(F.array_sort(F.collect_list("rep")), ",").alias("reps"))
 
 
 EXPERIMENTS = [f"{s}:{r}" for s in SAMPLES for r in range(WIDE_REPS)]
