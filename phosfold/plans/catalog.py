@@ -735,8 +735,8 @@ def mapped(spark, d):
     accession = F.when(F.regexp_extract("accession", "^D([0-9]+)", 1).cast("long") % 10 == 0, F.concat(F.lit("X"), "accession")).otherwise(F.concat("accession", F.lit("-2")))
     peptide = F.when(F.col("place") % 11 == 0, F.concat(F.lit("123456789"), "peptide")).otherwise(F.col("peptide"))
     raw = peptides(spark, d).select(accession.alias("accession"), F.regexp_replace(peptide, "^123456789", "XQXQXQXQX").alias("peptide"), F.length("sequence").cast("double").alias("value"))
-    places = known.select("accession", "sequence", F.explode(P.modified_positions(F.translate("sequence", "STY", "sty"))).alias("place")).withColumn("place", F.col("place") + 1)
-    sites = places.where("place % 5 <> 1").select("accession", F.concat(F.substr("sequence", "place", F.lit(1)), F.col("place").cast("string")).alias("site"), (F.col("place") % 6).cast("int").alias("num_compendia"))
+    places = known.select("accession", F.posexplode(F.split("sequence", "")).alias("at", "residue")).where("residue in ('S', 'T', 'Y')").withColumn("place", F.col("at") + 1)
+    sites = places.where("place % 5 <> 1").select("accession", F.concat("residue", F.col("place").cast("string")).alias("site"), (F.col("place") % 6).cast("int").alias("num_compendia"))
     return M.map_experiment(raw, known.select("accession", "sequence"), sites)
 
 
