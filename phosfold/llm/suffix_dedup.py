@@ -12,10 +12,12 @@ positions are discarded early, on samples that miss nothing:
    with the rank name of its half-length prefix at the sampled position. A name that occurs once
    discards its whole run; a run that occurs twice as a whole is repeated past the threshold.
 2. Runs that share a name and differ are named again at nine tenths of the length.
-3. The positions that are left get the rank pair (name of the first half, name of the second
-   half, at an offset of half the length); Spark sorts the pairs and equal pairs are repeated.
+3. The positions that are left are ranked by prefixes of growing width (25, 50, 100, 200 bytes):
+   in each round Spark sorts the pairs of ranks that lie the ranked width apart (at last: what is
+   left to the length), equal pairs get one rank, and unique ranks are discarded.
 
-Names are 64-bit hashes and always compared in pairs (two names, or a name and a content hash).
+Names are 64-bit hashes and always compared in pairs (two names, or a name and a content hash);
+the ranks that follow from them are exact.
 Nothing is sampled away: samples only decide what is proved unique or repeated early.
 
 Texts are known by an 87-bit digest, so equal texts share one result, ids may be null or repeated,
@@ -37,6 +39,8 @@ from pyspark.sql import types as T
 from .common import batches, in_filter, key_filter, materialize
 
 STARTS_AT_ONCE = 1 << 19
+#: Rounds of prefix doubling; the first width is the length divided by 2 ** ROUNDS.
+ROUNDS = 3
 _U = np.uint64
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -226,30 +230,56 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, f
         yield {c: [v for p in parts for v in p[c]] for c in columns}
 
     second = _graded(second_in.mapInArrow(batches(columns, joined), "a long, x long, d long, pk long, c int, open boolean, content binary"))
-    second = materialize(second.where("(whole and open) or split").withColumn("nth", F.row_number().over(Window.partitionBy("a", "x").orderBy(F.desc("whole"), "d", "pk"))), "runs")
+    nth = F.row_number().over(Window.partitionBy("a", "x").orderBy(F.desc("whole"), "d", "pk"))
+    second = second.where("(whole and open) or split").withColumn("nth", nth).withColumn("run", F.monotonically_increasing_id())
+    second = materialize(second, "runs")
 
-    pair = {"r1": pa.int64(), "r2": pa.int64(), "d": pa.int64(), "pk": pa.int64(), "open": pa.bool_()}
-
-    def ranked(batch):
-        out = {c: [] for c in pair}
-        for d, pk, content, is_open in zip(*(batch.column(c).to_pylist() for c in ("d", "pk", "content", "open"))):
-            h = names(content, half).view(np.int64)
-            n = len(content) - length + 1
-            out["r1"].append(h[:n])
-            out["r2"].append(h[length - half : length - half + n])
-            out["d"].append(np.full(n, d))
-            out["pk"].append(_pack(pk >> 40 & 0x7FFFFF, 1, (pk & 0xFFFFFFFF) + np.arange(n)))
-            out["open"].append(np.full(n, is_open))
-        yield {c: np.concatenate(v) if v else [] for c, v in out.items()}
-
-    left = second.where("split and nth = 1").select("d", "pk", "content", F.expr("open and not whole").alias("open"))
-    ranks = left.mapInArrow(batches(pair, ranked), "r1 long, r2 long, d long, pk long, open boolean")
-    third = ranks.withColumn("n", F.count("*").over(Window.partitionBy("r1", "r2"))).where("n > 1 and open")
+    left = second.where("split and nth = 1").select("run", "content", F.expr("open and not whole").alias("open"))
+    found = _doubled(left, length).select(F.shiftright("id", 13).alias("run"), F.shiftright("id", 4).bitwiseAND(F.lit(511)).alias("j"))
+    third = found.join(second.select("run", "d", "pk"), "run").select("d", F.expr("(pk & ~((1L << 40) - 1)) | (1L << 32) | ((pk & ((1L << 32) - 1)) + j)").alias("pk"))
 
     spans = _spans(first.where("whole")).unionByName(_spans(second.where("whole and open"))).unionByName(_spans(third))
     return spans.groupBy("d", "w").agg(F.collect_set("sn").alias("spans"))
 
 
+def offsets(length: int) -> list[int]:
+    """The offset of each round: the width ranked so far, at the end what is left to `length`."""
+    width = -(-length // (1 << ROUNDS))
+    return [width << i for i in range(ROUNDS - 1)] + [length - (width << (ROUNDS - 1))]
+
+
+def _doubled(left: DataFrame, length: int) -> DataFrame:
+    """The ids of the starts in `left(run, content, open)` whose `length`-byte string occurs again there, if open.
+
+    An id holds the run, 9 bits of the start within it, a bit for open and 3 bits of a part. A start
+    has 2 ** ROUNDS parts of the first width; each round sorts the rank pairs of two parts that lie
+    the round's offset apart, gives equal pairs one rank (the smallest id that has them), discards
+    parts whose rank is unique and brings the ranks of a start's parts together for the next pair.
+    """
+    steps, width = offsets(length), -(-length // (1 << ROUNDS))
+    at = [sum(o for bit, o in enumerate(steps) if p >> bit & 1) for p in range(1 << ROUNDS)]
+    columns = {"id": pa.int64(), "r1": pa.int64(), "r2": pa.int64()}
+
+    def first_pairs(batch):
+        out = {c: [np.empty(0, np.int64)] for c in columns}
+        for run, content, is_open in zip(*(batch.column(c).to_pylist() for c in ("run", "content", "open"))):
+            h, n = names(content, width).view(np.int64), len(content) - length + 1
+            start = (run << 13) + (np.arange(n) << 4) + (8 if is_open else 0)
+            for part in range(len(at) // 2):
+                out["id"].append(start + part)
+                for c, o in (("r1", at[2 * part]), ("r2", at[2 * part + 1])):
+                    out[c].append(h[o : o + n])
+        yield {c: np.concatenate(v) for c, v in out.items()}
+
+    pairs, by_pair = left.mapInArrow(batches(columns, first_pairs), "id long, r1 long, r2 long"), Window.partitionBy("r1", "r2")
+    for more in range(ROUNDS - 1, -1, -1):
+        ranked = pairs.select("id", F.min("id").over(by_pair).alias("rank"), F.count("*").over(by_pair).alias("n")).where("n > 1")
+        if not more:
+            return ranked.where("id & 8 != 0").select("id")
+        halves = ranked.select(F.expr("(id & ~7L) | ((id & 7) >> 1)").alias("id"), F.expr("if(id & 1 = 0, rank, null)").alias("r1"), F.expr("if(id & 1 = 1, rank, null)").alias("r2"))
+        pairs = halves.groupBy("id").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2")).where("r1 is not null and r2 is not null")
+
+
 def merged(spans, length: int) -> np.ndarray:
     """Disjoint [start, stop) rows of the bytes that the runs cover."""
     raw = np.asarray(spans, np.int64)
