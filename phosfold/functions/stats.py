@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +92,35 @@ def normal_tail(z: Column) -> Column:
     return 0.5 * erfc(z / math.sqrt(2))
 
 
+#: A sample of at most so many values without ties has an exact Mann-Whitney tail.
+EXACT_UP_TO = 8
+
+
+@lru_cache(64)
+def _rank_sum_tails(few: int, many: int) -> np.ndarray:
+    """P(U >= u) for u = 0 .. few * many, from the Gaussian binomial coefficient in whole numbers."""
+    ways = np.zeros(few * many + 1, object)
+    ways[0] = 1
+    for i in range(1, few + 1):
+        if many + i <= few * many:
+            ways[many + i :] = ways[many + i :] - ways[: -(many + i)]
+        for start in range(min(i, ways.size)):
+            ways[start::i] = np.add.accumulate(ways[start::i])
+    total = math.comb(few + many, few)
+    return np.array([w / total for w in np.add.accumulate(ways[::-1])[::-1]], np.float64)
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_rank_sum_tail(u: pd.Series, n: pd.Series, rest: pd.Series) -> pd.Series:
+    """P(U >= u) of samples of n and `rest` values without ties; null for a null u."""
+    out = np.full(len(u), np.nan)
+    known = np.flatnonzero(u.notna().to_numpy())
+    for i in known:
+        few, many = sorted((int(n.iloc[i]), int(rest.iloc[i])))
+        out[i] = _rank_sum_tails(few, many)[int(u.iloc[i])]
+    return pd.Series(out)
+
+
 def minus_log10(p: Column) -> Column:
     """-log10(p), infinite for 0."""
     return F.when(p == 0, F.lit(float("inf"))).otherwise(-F.log10(p))

@@ -121,9 +121,15 @@ def prune(long: DataFrame, compendia: DataFrame | None, networks: int, kinase_si
 
 
 def network_hash(networks: DataFrame) -> DataFrame:
-    """(network_id, hash): the same for the same edges in any order."""
+    """(network_id, hash): the same for the same edges in any order.
+
+    Edges are digested in 4,096 buckets by the first digits of their own digest and the buckets'
+    digests in one row, so no row holds a network.
+    """
     edge = F.sha2(F.concat_ws("|", "kinase", *KEYS), 256)
-    return networks.withColumn("e", edge).groupBy("network_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("e")), ""), 256).alias("hash"))
+    digest = lambda rows: F.sha2(F.array_join(F.array_sort(F.collect_list(rows)), ""), 256)
+    buckets = networks.withColumn("e", edge).groupBy("network_id", F.substring("e", 1, 3).alias("b")).agg(digest("e").alias("e"))
+    return buckets.groupBy("network_id").agg(digest(F.concat("b", "e")).alias("hash"))
 
 
 def available_kinases(networks: DataFrame) -> DataFrame:

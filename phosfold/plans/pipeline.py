@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import enrichment, evidence, nulls, significance
+from ..operators import networks as pruning
 from ..params import Params
 from ..sources.paths import materialize
+from ..sources.writers import save_networks, save_nulls
 
 
 @dataclass
@@ -48,6 +50,25 @@ def pregenerate(networks: DataFrame, compendia: DataFrame, params: Params, sizes
     return rows.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", *rows.columns)
 
 
+def build_networks(weighted: DataFrame, compendia: DataFrame, folder: str, params: Params, networks: int, kinase_size: int, site_limit: int, by_compendia: bool = True, sizes: list[int] | None = None, mixes: dict[str, list[float]] | None = None, done: DataFrame | None = None) -> DataFrame:
+    """(network_id, kinase, accession, site) of pruned networks, saved below `folder` with their hashes.
+
+    Only sites of the phospho type that compendia know are pruned; with `by_compendia`, each number
+    of compendia apart. A size that the sites can't give is refused before anything is drawn. With
+    `sizes` and `mixes`, random experiments over the new networks are stored as well. Networks in
+    `done` are kept as they are, which takes up an interrupted build.
+    """
+    known = evidence.unique_compendia(compendia).select(*evidence.KEYS)
+    long = evidence.of_type(weighted, params.phospho_type).join(known, evidence.KEYS, "left_semi")
+    built = pruning.prune(long, compendia if by_compendia else None, networks, kinase_size, site_limit, params.seed, done)
+    built = materialize(built if done is None else done.select(built.columns).unionByName(built), "networks")
+    save_networks(built, f"{folder}/networks")
+    pruning.network_hash(built).write.mode("overwrite").parquet(f"{folder}/hashes")
+    if sizes and mixes:
+        save_nulls(pregenerate(built, compendia, params, sizes, mixes), f"{folder}/nulls")
+    return built
+
+
 def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: Params, kinases: list[str] | None = None, stored: DataFrame | None = None) -> Analysis:
     """Evidence, enrichment of it and of random experiments that match its study bias, and activities.
 

@@ -50,8 +50,12 @@ def save_nulls(enriched: DataFrame, folder: str) -> None:
     enriched.write.mode("append").partitionBy("mix", "size").parquet(folder)
 
 
-def save_networks(networks: DataFrame, folder: str) -> None:
-    networks.write.mode("overwrite").partitionBy("network_id").parquet(folder)
+def save_networks(networks: DataFrame, folder: str, kind: str = "parquet") -> None:
+    """Networks in a folder each, as Parquet or tsv."""
+    if kind not in ("parquet", "tsv"):
+        raise ValueError("kind is parquet or tsv")
+    writer = networks.write.mode("overwrite").partitionBy("network_id")
+    writer.parquet(folder) if kind == "parquet" else writer.option("header", True).option("sep", "\t").csv(folder)
 
 
 def save_wide(enriched: DataFrame, path: str, names: list[str]) -> None:

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from phosfold.operators import enrichment, evidence, mapping, networks, nulls, presentation, significance, thresholds
 from phosfold.params import Params, as_bool, prefixed, renamed
-from phosfold.plans.pipeline import analyse, pregenerate
+from phosfold.functions.stats import EXACT_UP_TO
+from phosfold.plans.pipeline import analyse, build_networks, pregenerate
 from phosfold.sources import readers, writers
 from phosfold.streaming.evidence import drain, running_counts, windowed_evidence
 
@@ -77,6 +79,22 @@ def test_mann_whitney_against_pairs(spark):
     assert {(r.z, r.mw_p) for r in significance.null_statistics(flat).collect()} == {(None, 1.0)}
 
 
+def test_mann_whitney_of_few_values_is_exact(spark):
+    rng = random.Random(4)
+    for n, rest in ((1, 1), (1, 4), (3, 5), (5, 3), (4, 4), (EXACT_UP_TO, 3)):
+        values = [i / 100 for i in rng.sample(range(100), n + rest)]
+        rows = [("s", "k", 1 if i < n else 0, p) for i, p in enumerate(values)]
+        found = significance.statistics(significance.rank_sums(spark.createDataFrame(rows, "sample string, kinase string, unit int, p double"), "unit"))
+        r = found.where("unit = 1").first()
+        wins = [sum(a < b for a in s for b in set(values) - set(s)) for s in map(set, itertools.combinations(values, n))]
+        assert r.mw_p == pytest.approx(sum(w >= r.u for w in wins) / len(wins), abs=1e-12)
+    # equal values, or more than a few on both sides: the normal tail
+    for values in ([0.5] * 3 + [0.25] * 4, [i / 50 for i in range(20)]):
+        rows = spark.createDataFrame([("s", "k", i % 2, p) for i, p in enumerate(values)], "sample string, kinase string, unit int, p double")
+        for r in significance.statistics(significance.rank_sums(rows, "unit")).collect():
+            assert r.mw_p == pytest.approx(math.erfc(r.z / math.sqrt(2)) / 2, abs=1e-12)
+
+
 def test_draws(spark):
     sites = spark.createDataFrame([(f"P{i}", "S1", i % 6) for i in range(60)], "accession string, site string, num_compendia int")
     quota = spark.createDataFrame([("a", 0, 4), ("a", 1, 7), ("a", 2, 5)], "sample string, stratum int, quota long")
@@ -111,7 +129,36 @@ def test_pruning(spark):
         networks.prune(long, sites, 1, 1000, 2)
     with pytest.raises(ValueError):
         networks.weights(wide.union(wide.withColumn("K0", F.col("K0") + 1)), "ST")
-    assert networks.network_hash(built).select("hash").distinct().count() == 3
+    hashes = {r.network_id: r.hash for r in networks.network_hash(built).collect()}
+    assert len(set(hashes.values())) == 3
+    assert {r.network_id: r.hash for r in networks.network_hash(built.repartition(5, "site")).collect()} == hashes
+    assert networks.network_hash(built.where("kinase <> 'K0' or network_id > 0")).where("network_id = 0").first().hash != hashes[0]
+
+
+def test_building_networks(spark, tmp_path):
+    rng = random.Random(2)
+    weighted = spark.createDataFrame([(f"P{i}", "S1" if i % 5 else "Y1", f"K{k}", rng.random() + 0.01) for i in range(100) for k in range(3)], "accession string, site string, kinase string, weight double")
+    comp = spark.createDataFrame([(f"P{i}", "S1" if i % 5 else "Y1", i % 4) for i in range(90)], "accession string, site string, num_compendia int")
+    params, folder = Params(reps=3), str(tmp_path / "built")
+    for by_compendia in (True, False):
+        built = build_networks(weighted, comp, folder, params, 3, 12, 2, by_compendia, [20], {"30_30_40": [30, 30, 40]})
+        saved = spark.read.parquet(f"{folder}/networks")
+        edge = lambda df: sorted((r.network_id, r.kinase, r.accession, r.site) for r in df.collect())
+        assert edge(saved) == edge(built) and built.where("site like 'Y%'").count() == 0
+        assert built.join(comp, ["accession", "site"], "left_anti").count() == 0
+        assert {r["count"] for r in built.groupBy("network_id", "kinase").count().collect()} <= {12, 13, 14, 15}
+        assert built.groupBy("network_id", "accession", "site").count().agg(F.max("count")).first()[0] <= 2
+        assert sorted(map(tuple, spark.read.parquet(f"{folder}/hashes").collect())) == sorted(map(tuple, networks.network_hash(built).collect()))
+    assert readers.stored_nulls(spark, f"{folder}/nulls").select("size", "rep").distinct().count() == 3
+    part = built.where("network_id < 2")
+    again = build_networks(weighted, comp, str(tmp_path / "again"), params, 3, 12, 2, False, done=part)
+    assert edge(again) == edge(built)
+    with pytest.raises(ValueError):
+        build_networks(weighted, comp, folder, params, 1, 1000, 2)
+    writers.save_networks(built, str(tmp_path / "tsv"), "tsv")
+    assert edge(spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "tsv"))) == edge(built)
+    with pytest.raises(ValueError):
+        writers.save_networks(built, folder, "xml")
 
 
 def test_mapping(spark):
