@@ -167,6 +167,20 @@ def test_suffix_dedup(spark, odd, none, docs):
         suffix_dedup.repeated_spans(odd, length=1000)
 
 
+@pytest.mark.parametrize("rounds", (1, 3))
+def test_doubling_rounds(spark, monkeypatch, rounds):
+    monkeypatch.setattr(suffix_dedup, "ROUNDS", rounds)
+    rng = random.Random(rounds)
+    for length in (4, 9, 13):
+        steps = suffix_dedup.offsets(length)
+        assert len(steps) == rounds and sorted(steps[:-1]) == steps[:-1]
+        runs = [(i, bytes(rng.choice(b"ab") for _ in range(length + rng.randint(0, 9))), rng.random() < 0.7) for i in range(12)] + [(12, b"a" * (length + 5), True)]
+        seen = collections.Counter(c[j : j + length] for _, c, _ in runs for j in range(len(c) - length + 1))
+        want = sorted((i, j) for i, c, is_open in runs for j in range(len(c) - length + 1) if is_open and seen[c[j : j + length]] > 1)
+        found = suffix_dedup._doubled(spark.createDataFrame(runs, "run long, content binary, open boolean"), length)
+        assert sorted((r.id >> 13, r.id >> 4 & 511) for r in found.collect()) == want and want
+
+
 def test_runs_cover_every_start(monkeypatch):
     rng = np.random.default_rng(0)
     for raw in (rng.integers(0, 3, 5000, dtype=np.uint8).tobytes(), b"a" * 3000, b"abc" * 900):
