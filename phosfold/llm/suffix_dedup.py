@@ -41,6 +41,8 @@ from .common import batches, in_filter, key_filter, materialize
 STARTS_AT_ONCE = 1 << 19
 #: Rounds of prefix doubling; the first width is the length divided by 2 ** ROUNDS.
 ROUNDS = 3
+#: Arrays of rank pairs that a task holds before it hands them on.
+PAIRS_AT_ONCE = 1 << 10
 _U = np.uint64
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -269,6 +271,9 @@ def _doubled(left: DataFrame, length: int) -> DataFrame:
                 out["id"].append(start + part)
                 for c, o in (("r1", at[2 * part]), ("r2", at[2 * part + 1])):
                     out[c].append(h[o : o + n])
+            if len(out["id"]) > PAIRS_AT_ONCE:
+                yield {c: np.concatenate(v) for c, v in out.items()}
+                out = {c: [np.empty(0, np.int64)] for c in columns}
         yield {c: np.concatenate(v) for c, v in out.items()}
 
     pairs, by_pair = left.mapInArrow(batches(columns, first_pairs), "id long, r1 long, r2 long"), Window.partitionBy("r1", "r2")
