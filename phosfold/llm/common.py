@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_POWERS: dict[str, np.ndarray] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -48,6 +49,23 @@ def batches(columns: dict[str, pa.DataType], rows: Callable[[pa.RecordBatch], It
     return run
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least `n` powers of an odd base and of its inverse, modulo 2**64, for hashes of all stretches from prefix sums."""
+    if _POWERS.get("up", np.empty(0)).size < n:
+        size, base = 1 << max(16, n.bit_length()), 0x9E3779B97F4A7C15
+        _POWERS["up"] = np.cumprod(np.full(size, base, np.uint64))
+        _POWERS["down"] = np.cumprod(np.full(size, pow(base, -1, 1 << 64), np.uint64))
+    return _POWERS["up"], _POWERS["down"]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes with their bits spread, in place."""
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def key_filter(keys: DataFrame, column: str, bits: int = 27) -> np.ndarray:
     """A bit map of 2**bits bits with the low bits of every long key set.
 

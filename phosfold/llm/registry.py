@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, huffman, interleave, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
+from . import alignment, bpe, decontaminate, huffman, interleave, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 SQL: dict[str, str] = {}
