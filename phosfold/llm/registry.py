@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, huffman, interleave, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
+from . import alignment, bpe, decontaminate, huffman, interleave, negatives, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_simhash": simhash.op10_simhash,
     "op11_alignment": alignment.op11_alignment,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_hard_negatives": negatives.OP12_SQL}
