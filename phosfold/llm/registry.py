@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, bpe, decontaminate, huffman, interleave, negatives, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
+from . import alignment, bpe, decontaminate, huffman, interleave, negatives, quality, sharding, simhash, substring_dedup, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "op11_alignment": alignment.op11_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
 SQL: dict[str, str] = {"op12_hard_negatives": negatives.OP12_SQL}
