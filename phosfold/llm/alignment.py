@@ -7,8 +7,8 @@ verified on the tokens' bytes, never taken from the text. Anchors split a docume
 two windows of ids have in common is worked out once for each distinct tuple of ids and remembered up to
 a fixed number of them: the groups between common ends, and the id pairs that end together.
 
-Tokens: what either tokenizer gave for a chunk that begins with a space after other characters is
-remembered too; no cut of A and no piece of B reaches over such a place (checked when the files are read).
+Texts are tokenised part by part; a part begins with a space behind another character, and no cut of A
+and no piece of B reaches over such a place (checked when the files are read).
 
 Links are counted over all documents. The number of distinct id pairs has no small bound, so only the
 commonest ones, at most `hot_pairs`, are broadcast; links of rarer pairs meet their counts in a join.
@@ -23,7 +23,6 @@ before a space, so a very long text costs a slice, its longest stretch without a
 from __future__ import annotations
 
 import hashlib
-import re
 from itertools import islice
 
 import numpy as np
@@ -31,22 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Vocabulary
+from .bpe import PATTERN, Encoder, Vocabulary
 from .common import materialize, mixed, powers
 
-#: Characters that go through the aligner together.
-SLICE = 1 << 19
-#: Chunks and windows that a worker remembers.
-REMEMBERED = 400_000
+#: Characters of a part of a text, and those that go through the aligner together.
+SLICE, TOGETHER = 1 << 19, 1 << 20
+#: Windows that a worker remembers.
+REMEMBERED = 250_000
 #: Id pairs whose counts are broadcast (16 MB).
 HOT_PAIRS = 1 << 20
 SHIFT = 20
 MARK = "▁"
-_RUN = re.compile(r" +[^ ]*")
 
 
 class Pieces:
-    """Ids of chunks by the sentencepiece model; None where its bytes are not the chunk's."""
+    """Ids of parts by the sentencepiece model."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -61,22 +59,12 @@ class Pieces:
         if self.model.encode(" a  b ", out_type=str) != self.model.encode(" a", out_type=str) + [MARK, MARK + "b", MARK]:
             raise ValueError(f"{path} does not keep white space as it is")
         self.kind = "H" if len(self.token_bytes) <= 1 << 16 else "I"
-        self.chunks: dict[str, bytes | None] = {}
-
-    def chunk(self, chunk: str) -> bytes | None:
-        """A chunk without its first space."""
-        ids = self.model.encode(chunk) if chunk else [self.model.piece_to_id(MARK)]
-        same = b"".join(map(self.token_bytes.__getitem__, ids)) == b" " + chunk.encode()
-        found = np.array(ids, self.kind).tobytes() if same else None
-        if len(self.chunks) < REMEMBERED and len(chunk) < 64:
-            self.chunks[chunk] = found
-        return found
+        self.space = [m.piece_to_id(MARK)]
 
     def encode(self, part: str) -> bytes | None:
-        """Ids of a part that begins with a space."""
-        chunks = [m[1:] for m in _RUN.findall(part)] if "  " in part or part[-1] == " " else part[1:].split(" ")
-        found = [self.chunks[c] if c in self.chunks else self.chunk(c) for c in chunks]
-        return None if None in found else b"".join(found)
+        """Ids of a part that begins with a space; None if their bytes are not the part's."""
+        ids = self.model.encode(part[1:]) if len(part) > 1 else self.space
+        return np.array(ids, self.kind).tobytes() if b"".join(map(self.token_bytes.__getitem__, ids)) == part.encode() else None
 
 
 def parts(text: str):
@@ -91,42 +79,55 @@ def parts(text: str):
 
 
 class Aligner:
-    """Both tokenizers and what is remembered of windows."""
+    """Both tokenizers, and what is remembered of windows."""
 
     def __init__(self, a_path: str, b_path: str, remembered: int = REMEMBERED):
-        self.a, self.b, self.remembered = Encoder(Vocabulary(a_path)), Pieces(b_path), remembered
+        import tiktoken
+
+        v = Vocabulary(a_path)
+        self.a, self.b, self.remembered = Encoder(v, remembered), Pieces(b_path), remembered
+        # where ids are in the order of the merges, they are the ranks that the faster library takes
+        order = [made & (1 << SHIFT) - 1 for _, made in sorted((x >> SHIFT, x) for x in v.pairs.values())]
+        ranks = {t: i for i, t in enumerate(v.token_bytes) if i not in v.special.values()}
+        self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if order == sorted(set(order)) else None
         random = np.random.default_rng(11)
         self.tables = []
-        for token_bytes in (self.a.v.token_bytes, self.b.token_bytes):
+        for token_bytes in (v.token_bytes, self.b.token_bytes):
             sizes = np.array([len(t) for t in token_bytes], np.int64)
             spaced = np.array([t[:1] == b" " for t in token_bytes])
             self.tables.append((sizes, spaced, random.integers(0, 1 << 63, len(token_bytes), np.uint64) * np.uint64(2) + np.uint64(1)))
-        self.windows: dict[tuple[bytes, bytes], tuple[str, list[int]]] = {}
+        # an id within a group, at the end of one and at the end of a window
+        a_text, b_text = ([f"{i}{mark}" for mark in marks for i in range(len(t))] for t, marks in ((v.token_bytes, ",|"), (self.b.token_bytes, (",", ";", "\n"))))
+        self.written, self.b_from = a_text + b_text, len(a_text)
+        #: Number of each window by its ids of A, a mark that is no id, and its ids of B; the groups of each as text; its links; where they begin.
+        self.windows: dict[bytes, int] = {}
+        self.between = b"\xff" * max(np.dtype(k).itemsize for k in (self.a.kind, self.b.kind))
+        self.texts: list[str] = []
+        self.links, self.begins = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def a_ids(self, part: str) -> bytes:
-        return b"".join(self.a.slices(part, 0, len(part)))
-
-    def window(self, a: bytes, b: bytes) -> tuple[str, list[int]]:
-        """The groups of a window as text, and its links as a << SHIFT | b."""
-        if (found := self.windows.get((a, b))) is not None:
-            return found
-        a_ids, b_ids = np.frombuffer(a, self.a.kind).tolist(), np.frombuffer(b, self.b.kind).tolist()
-        a_bytes, b_bytes = self.a.v.token_bytes, self.b.token_bytes
-        if b"".join(map(a_bytes.__getitem__, a_ids)) != b"".join(map(b_bytes.__getitem__, b_ids)):
+        if self.fast is None or len(part) > 2 * SLICE:
+            return b"".join(self.a.slices(part, 0, len(part)))
+        return np.array(self.fast.encode_ordinary(part), self.a.kind).tobytes()
+
+    def groups(self, *windows: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """For windows of ids of A and of B: their groups as text, all their links as a << SHIFT | b, and how many each has."""
+        kinds = [np.dtype(self.a.kind), np.dtype(self.b.kind)]
+        ids = [np.frombuffer(b"".join(w), k).astype(np.int64) for w, k in zip(windows, kinds)]
+        last = [np.cumsum(np.fromiter(map(len, w), np.int64, len(w))) // k.itemsize - 1 for w, k in zip(windows, kinds)]
+        joined = [b"".join(map(t.__getitem__, i.tolist())) for t, i in zip((self.a.v.token_bytes, self.b.token_bytes), ids)]
+        ends = [np.cumsum(sizes[i]) for i, (sizes, _, _) in zip(ids, self.tables)]
+        if joined[0] != joined[1] or not np.array_equal(ends[0][last[0]], ends[1][last[1]]):
             raise ValueError("the tokenizers give different bytes between two anchors")
-        groups, links, a_end, b_end, j, a_from, b_from = [], [], 0, 0, 0, 0, 0
-        for i, x in enumerate(a_ids, 1):
-            a_end += len(a_bytes[x])
-            while b_end < a_end:
-                b_end += len(b_bytes[b_ids[j]])
-                j += 1
-            if a_end == b_end:
-                groups.append(",".join(map(str, a_ids[a_from:i])) + "|" + ",".join(map(str, b_ids[b_from:j])))
-                links.append(x << SHIFT | b_ids[j - 1])
-                a_from, b_from = i, j
-        if len(self.windows) < self.remembered:
-            self.windows[a, b] = ";".join(groups), links
-        return ";".join(groups), links
+        ending = []
+        for mine, others in (ends, ends[::-1]):
+            ending.append(others[np.minimum(np.searchsorted(others, mine), others.size - 1)] == mine)
+        group = [np.cumsum(e) - e for e in ending]
+        codes = [ids[0] + ending[0] * len(self.a.v.token_bytes), ids[1] + ending[1] * len(self.b.token_bytes) + self.b_from]
+        codes[1][last[1]] += len(self.b.token_bytes)
+        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+        texts = "".join(map(self.written.__getitem__, np.concatenate(codes)[order].tolist())).split("\n")[:-1]
+        return texts, ids[0][ending[0]] << SHIFT | ids[1][ending[1]], np.diff(np.append(0, group[0][last[0]] + 1))
 
     def split(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the windows begin in `a` and in `b`."""
@@ -160,22 +161,37 @@ class Aligner:
         return first, which
 
     def align(self, a: list[bytes], b: list[bytes]):
-        """For parts with ids `a` and `b`: the groups of each as text, (part, link) codes that are distinct, and how often each is there."""
-        ids = [np.frombuffer(b"".join(a), self.a.kind), np.frombuffer(b"".join(b), self.b.kind)]
+        """For parts with ids `a` and `b`: the groups of each as text, and its distinct links as (part, link, how often)."""
+        raw = [b"".join(a), b"".join(b)]
+        ids = [np.frombuffer(r, k) for r, k in zip(raw, (self.a.kind, self.b.kind))]
         at = list(self.split(*ids))
         first, which = self.numbered(ids, at)
-        ends = [np.append(i[1:], x.size) for i, x in zip(at, ids)]
-        found = [self.window(*(x[i[w] : j[w]].tobytes() for x, i, j in zip(ids, at, ends))) for w in first.tolist()]
-        begins = np.searchsorted(at[0], np.cumsum([0, *(len(x) // np.dtype(self.a.kind).itemsize for x in a)]))
-        texts = list(map([t for t, _ in found].__getitem__, which.tolist()))
-        flat, many = np.array([c for _, links in found for c in links], np.int64), np.array([len(links) for _, links in found])
-        offset, count = (np.cumsum(many) - many)[which], many[which]
-        links = flat[np.arange(int(count.sum())) + np.repeat(offset - (np.cumsum(count) - count), count)]
-        part = np.repeat(np.repeat(np.arange(len(a)), np.diff(begins)), count)
-        order = np.lexsort((links, part))
-        links, part = links[order], part[order]
-        new = np.flatnonzero(np.concatenate([[True], (links[1:] != links[:-1]) | (part[1:] != part[:-1])]))
-        return [texts[i:j] for i, j in zip(begins[:-1].tolist(), begins[1:].tolist())], part[new], links[new], np.diff(np.append(new, links.size))
+        begin = [(i[first] * x.itemsize).tolist() for i, x in zip(at, ids)]
+        end = [(np.append(i[1:], x.size)[first] * x.itemsize).tolist() for i, x in zip(at, ids)]
+        (a_raw, b_raw), between = raw, self.between
+        keys = [a_raw[i:j] + between + b_raw[k:n] for i, j, k, n in zip(begin[0], end[0], begin[1], end[1])]
+        number = list(map(self.windows.get, keys))
+        new = [w for w, n in enumerate(number) if n is None]
+        texts, links, begins = self.texts, self.links, self.begins
+        if new:
+            found, more, many = self.groups(*([r[i[w] : j[w]] for w in new] for r, i, j in zip(raw, begin, end)))
+            here = dict(zip((keys[w] for w in new), range(len(texts), len(texts) + len(new))))
+            for w, n in zip(new, here.values()):
+                number[w] = n
+            texts, links, begins = texts + found, np.concatenate([links, more]), np.concatenate([begins, begins[-1] + np.cumsum(many)])
+            if len(self.windows) + len(new) <= self.remembered:
+                self.windows |= here
+                self.texts, self.links, self.begins = texts, links, begins
+        number = np.array(number)[which]
+        part_at = np.searchsorted(at[0], np.cumsum([0, *(len(x) // ids[0].itemsize for x in a)]))
+        written = list(map(texts.__getitem__, number.tolist()))
+        count = begins[number + 1] - begins[number]
+        all_links = links[np.arange(int(count.sum())) + np.repeat(begins[number] - (np.cumsum(count) - count), count)]
+        part = np.repeat(np.repeat(np.arange(len(a)), np.diff(part_at)), count)
+        both = np.sort(part << (2 * SHIFT) | all_links)
+        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+        edges = part_at.tolist()
+        return [written[i:j] for i, j in zip(edges, edges[1:])], both[new] >> (2 * SHIFT), both[new] & (1 << (2 * SHIFT)) - 1, np.diff(np.append(new, both.size))
 
 
 class _Document:
@@ -227,7 +243,7 @@ def aligned(texts, aligner: Aligner):
                 break
             held.append((doc, aligner.a_ids(p), b))
             size += len(p)
-            if size >= SLICE:
+            if size >= TOGETHER:
                 flush()
                 size = 0
         if not held:

@@ -86,7 +86,7 @@ def test_long_texts_in_parts(spark, docs, paths, monkeypatch):
     coder = alignment.Aligner(*paths, remembered=50)
     found = list(alignment.aligned([t for _, t in rows], coder))
     assert [(n, m, g, s) for n, m, g, s, _, _ in found] == [next((r[1], r[2], r[3], r[7]) for r in want if r[0] == d) for d, _ in rows]
-    assert found[1][:4] == (0, 0, 0, "") and len(coder.windows) == 50
+    assert found[1][:4] == (0, 0, 0, "") and len(coder.windows) <= 50
     assert "".join(alignment.parts(text)) == " " + text and len(list(alignment.parts(text))) > 50
 
 
@@ -95,6 +95,8 @@ def test_equal_hashes_of_different_windows(paths, monkeypatch):
     parts = [" one two three two", " two four one"]
     a, b = [coder.a_ids(p) for p in parts], [coder.b.encode(p) for p in parts]
     want = coder.align(a, b)
+    coder.fast = None
+    assert [coder.a_ids(p) for p in parts] == a
     monkeypatch.setattr(alignment, "mixed", lambda h: h & 0)
     again = coder.align(a, b)
     assert again[0] == want[0] and all((x == y).all() for x, y in zip(again[1:], want[1:]))
