@@ -12,8 +12,9 @@ starts in a document with a smaller id. So the first document keeps a repeated p
    search: where the match reaches the width, the interval gives the smallest owner of that window.
 4. Windows whose smallest owner is below a document's own id are its repeated ones.
 
-Names with more than `crowd` classes would make a shard too large; their windows are known by 128-bit hashes
-and the smallest owner comes from a plain aggregation, which no group is too large for.
+Names with more than `crowd` classes would make a shard too large: the windows of their runs are filed again
+by longer stretches (nine tenths of the width, at last the width itself, where a name is one window and equal
+runs become one before they meet), and go through the same steps.
 
 Ids are whole numbers. Rows without an id neither lose words nor take any from others; rows with equal ids
 take none from each other; equal rows get equal results. Null and empty texts have no words; an empty table
@@ -39,7 +40,7 @@ WIDTH, GRAM = 50, 12
 LONG_WORD = 256
 #: Bytes that are scanned together, words of a piece of a long text, words that are hashed at once.
 GROUP, PIECE, AT_ONCE = 1 << 20, 1 << 16, 1 << 14
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 CROWD = 1024
 _U = np.uint64
 _GAP = np.zeros(256, bool)
@@ -222,30 +223,54 @@ def indexed(a: list[int], x: list[int], owner: list[int], contents: list[bytes],
     return {"a": np.array(a, np.int64)[of[new]], "x": np.array(x, np.int64)[of[new]], "j": start[new], "many": np.diff(np.append(new, of.size)), "least": found[new]}
 
 
-def _crowded(contents: DataFrame, width: int) -> DataFrame:
-    """The same for names that too many runs share: the smallest owner of each window by 128-bit hashes."""
-    types = {"h1": pa.int64(), "h2": pa.int64(), "a": pa.int64(), "x": pa.int64(), "j": pa.int64(), "owner": pa.int64()}
+_FILED = {"a2": pa.int64(), "x2": pa.int64(), "doc_id": pa.int64(), "content": pa.binary(), "a": pa.int64(), "x": pa.int64(), "j": pa.int64()}
+
+
+def _filed_again(contents: DataFrame, width: int, gram: int) -> DataFrame:
+    """The windows of runs in shorter runs that share a longer stretch, with the place of each in its run."""
 
     def run(stream):
         for batch in stream:
             a, x, owner = (batch.column(k).to_numpy() for k in range(3))
-            out = {c: [np.empty(0, np.int64)] for c in types}
-            for k, c in enumerate(batch.column(3).to_pylist()):
-                words = c.split()
-                for name, seed in (("h1", 1), ("h2", 2)):
-                    out[name].append(gram_hashes(np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], _U), width).view(np.int64))
-                many = len(words) - width + 1
-                out["j"].append(np.arange(many))
-                for name, v in (("a", a), ("x", x), ("owner", owner)):
-                    out[name].append(np.full(many, v[k]))
-                if len(out["j"]) > 2000:
-                    yield _batch({n: np.concatenate(v) for n, v in out.items()}, types)
-                    out = {n: [np.empty(0, np.int64)] for n in types}
-            yield _batch({n: np.concatenate(v) for n, v in out.items()}, types)
-
-    windows = contents.mapInArrow(run, _schema(types))
-    least = windows.groupBy("h1", "h2").agg(F.min("owner").alias("least"))
-    return windows.join(least, ["h1", "h2"]).select("a", "x", "j", F.lit(1).cast("long").alias("many"), "least")
+            texts = batch.column(3).to_pylist()
+            for at in range(0, len(texts), 2000):
+                group = _Group([(k, 0, c) for k, c in enumerate(texts[at : at + 2000], at)], width, gram)
+                pieces = group.contents()
+                hashed = np.array([xxhash.xxh3_64_intdigest(c) for c in pieces], _U).view(np.int64)
+                yield _batch({"a2": group.name.view(np.int64), "x2": hashed, "doc_id": owner[group.doc], "content": pieces, "a": a[group.doc], "x": x[group.doc], "j": group.place}, _FILED)
+
+    return contents.mapInArrow(run, _schema(_FILED))
+
+
+def _least(contents: DataFrame, sizes: DataFrame, width: int, grams: list[int], crowd: int) -> DataFrame:
+    """(a, x, j, many, least) for runs (a, x, doc_id, content); `sizes` has the number of classes and words of each name."""
+    sc = contents.sparkSession.sparkContext
+    words = sizes.agg(F.sum("words")).first()[0] or 0
+    crowds = sc.broadcast(key_filter(sizes.where(F.col("classes") > crowd).select("a"), "a", 20))
+
+    def side(crowded: bool):
+        def run(stream):
+            for batch in stream:
+                yield batch.filter(pa.array(in_filter(crowds.value, batch.column(0).to_numpy()) == crowded))
+
+        return contents.mapInArrow(run, _schema(_CONTENTS)) if grams else contents
+
+    def shard(table: pa.Table) -> pa.Table:
+        a, x, owner, content = (table.column(c).to_pylist() for c in _CONTENTS)
+        out = indexed(a, x, owner, content, width)
+        return pa.table({c: pa.array(out[c], t) for c, t in _FOUND.items()})
+
+    spread = F.pmod(F.xxhash64("a"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
+    found = side(False).select(*_CONTENTS).groupBy(spread.alias("shard")).applyInArrow(shard, _schema(_FOUND))
+    if not grams:
+        return found
+    filed = materialize(_filed_again(side(True), width, grams[0]), "filed")
+    classes = filed.groupBy(F.col("a2").alias("a"), F.col("x2").alias("x")).agg(F.min("doc_id").alias("doc_id"), F.first("content").alias("content"))
+    classes = materialize(classes, "classes")
+    more = _least(classes, classes.groupBy("a").agg(F.count("*").alias("classes"), F.sum(F.lit(2 * width)).alias("words")), width, grams[1:], crowd)
+    more = more.select(F.col("a").alias("a2"), F.col("x").alias("x2"), F.col("j").alias("ahead"), "many", "least")
+    more = filed.select("a2", "x2", "a", "x", "j").distinct().join(more, ["a2", "x2"])
+    return found.unionByName(more.select("a", "x", (F.col("j") + F.col("ahead")).alias("j"), "many", "least"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD, filter_bits: int = 27) -> DataFrame:
@@ -267,25 +292,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield _batch({"k": owner_keys(*(batch.column(k).to_numpy().copy() for k in range(3)))}, {"k": pa.int64()})
 
     owners = sc.broadcast(key_filter(classes.select("a", "x", "owner").mapInArrow(keyed, "k long"), "k", filter_bits))
-    crowds = sc.broadcast(key_filter(classes.where(F.col("classes") > crowd).select("a").distinct(), "a", 20))
-    words = classes.agg(F.sum(F.col("n") + (width - 1))).first()[0] or 0
     contents = materialize(_scan(texts, width, gram, hot, owners), "contents")
-
-    def side(crowded: bool):
-        def run(stream):
-            for batch in stream:
-                yield batch.filter(pa.array(in_filter(crowds.value, batch.column(0).to_numpy()) == crowded))
-
-        return contents.mapInArrow(run, _schema(_CONTENTS))
-
-    def shard(table: pa.Table) -> pa.Table:
-        a, x, owner, content = (table.column(c).to_pylist() for c in _CONTENTS)
-        out = indexed(a, x, owner, content, width)
-        return pa.table({c: pa.array(out[c], t) for c, t in _FOUND.items()})
-
-    shards = max(1, -(-words // SHARD_WORDS))
-    spread = F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int")
-    least = side(False).groupBy(spread.alias("shard")).applyInArrow(shard, _schema(_FOUND)).unionByName(_crowded(side(True), width))
+    sizes = classes.groupBy("a").agg(F.first("classes").alias("classes"), F.sum(F.col("n") + (width - 1)).alias("words"))
+    least = _least(contents, sizes, width, sorted({max(gram, width * 9 // 10), width}), crowd)
     hits = found.join(least, ["a", "x"]).where(F.col("least") < F.col("doc_id"))
     spans = hits.select("doc_id", "d", (F.shiftleft(F.col("s") + F.col("j"), 8) + F.col("many")).alias("sn"))
     return spans.groupBy("doc_id", "d").agg(F.collect_set("sn").alias("spans"))
