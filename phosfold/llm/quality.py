@@ -8,8 +8,12 @@ are counted as good, and the field is fitted again. Forward-backward marginals o
 weighted by the lines' lengths, give a document's share of good text; a logistic curve fitted on the
 same rows turns it into the score.
 
-The field is fitted on whole documents, at most `most_rows` labelled rows of at most `most_bytes` in
-all, those with the smallest hashes of doc_id; every document is scored on all its lines.
+The field is fitted on whole documents, at most `most_rows` labelled rows of at most `most_bytes` and `most_lines`
+in all, those with the smallest hashes of doc_id; every document is scored on all its lines.
+
+A text of very many lines goes through in slices of lines with one line of overlap: forward values are kept
+where slices begin, and backward values meet them from the last slice on. Beside the text this holds a slice's features and
+20 bytes a line at most; a very long line holds 8 bytes for each of its words.
 
 Null and empty texts are one empty line; labels without a document, of a null doc_id or a null
 label are not used, and of repeated ones the largest counts; without any label every score is 0.5;
@@ -18,10 +22,12 @@ repeated rows get equal results; an empty table gives an empty table; other colu
 
 from __future__ import annotations
 
+import re
 from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +35,9 @@ from .toxicity import held_out, labelled_sample
 
 LETTER, CAPITAL, DIGIT, SPACE, STOP, BAR, BANG, SYMBOL, WIDE, OTHER, BREAK = range(11)
 KINDS = 11
-SLICE = 1 << 20
+#: Bytes, and lines, whose features are held at once.
+SLICE, LINES = 1 << 20, 1 << 14
+_WORD = re.compile(rb"\S+")
 
 
 def _kinds() -> np.ndarray:
@@ -43,27 +51,23 @@ def _kinds() -> np.ndarray:
 KIND = _kinds()
 
 
-def line_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines, their lengths, first line of each document and the end)."""
-    lines = [raw.count(b"\n") + 1 for raw in raws]
-    first = np.concatenate([[0], np.cumsum(lines)]).astype(np.int64)
-    total = int(first[-1])
+def _fresh(line: bytes) -> float:
+    """The share of a line's words that are new in it."""
+    if len(line) <= SLICE:
+        words = line.lower().split()
+        return len(set(words)) / len(words) if words else 1
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(m[0].lower()) for m in _WORD.finditer(line)), np.uint64)
+    return np.unique(hashes).size / hashes.size if hashes.size else 1
+
+
+def _own(lines: list[bytes], again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(features of lines without their neighbours', their lengths)."""
+    total, line = len(lines), 0
     counts = np.zeros(total * KINDS)
-    again, fresh = np.zeros(total), np.ones(total)
-    line = 0
-    for raw, begin, many in zip(raws, first.tolist(), lines):
-        split = raw.split(b"\n")
-        words = [s.lower().split() for s in split]
-        fresh[begin : begin + many] = [len(set(w)) / len(w) if w else 1 for w in words]
-        if many > 1:
-            if len(set(split)) < many:
-                seen: dict[bytes, int] = {}
-                for s in split:
-                    seen[s] = seen.get(s, 0) + 1
-                again[begin : begin + many] = [seen[s] > 1 and len(s) > 0 for s in split]
-    buffer = b"\n".join(raws)
+    fresh = np.fromiter(map(_fresh, lines), np.float64, total)
+    buffer = b"\n".join(lines)
     for at in range(0, len(buffer), SLICE):
-        part = KIND[np.frombuffer(buffer[at : at + SLICE], np.uint8)]
+        part = KIND[np.frombuffer(buffer, np.uint8, min(SLICE, len(buffer) - at), at)]
         of = line + np.cumsum(part == BREAK) - (part == BREAK)
         low = int(of[0])
         found = np.bincount((of - low) * KINDS + part)
@@ -72,13 +76,80 @@ def line_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     counts = counts.reshape(total, KINDS)
     length = counts[:, :BREAK].sum(1)
     word = counts[:, SPACE] + 1
-    own = np.column_stack([np.sqrt(counts[:, :BREAK] / np.maximum(length, 1)[:, None]), np.log1p(length) / 5, np.log(np.maximum(length, 1) / word) / 3, np.minimum(1, (counts[:, SYMBOL] + counts[:, BANG] + counts[:, BAR]) / word), counts[:, CAPITAL] / np.maximum(counts[:, LETTER] + counts[:, CAPITAL], 1), again, fresh, np.sqrt(1 - fresh)])
+    return np.column_stack([np.sqrt(counts[:, :BREAK] / np.maximum(length, 1)[:, None]), np.log1p(length) / 5, np.log(np.maximum(length, 1) / word) / 3, np.minimum(1, (counts[:, SYMBOL] + counts[:, BANG] + counts[:, BAR]) / word), counts[:, CAPITAL] / np.maximum(counts[:, LETTER] + counts[:, CAPITAL], 1), again, fresh, np.sqrt(1 - fresh)]), length
+
+
+def _beside(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The features of lines beside their neighbours'; `first` has where documents begin and the end."""
     before, behind = np.zeros_like(own), np.zeros_like(own)
     before[1:], behind[:-1] = own[:-1], own[1:]
     before[first[:-1]], behind[first[1:] - 1] = 0, 0
-    edge = np.zeros((total, 3))
+    edge = np.zeros((len(own), 3))
     edge[first[:-1], 0], edge[first[1:] - 1, 1], edge[:, 2] = 1, 1, 1
-    return np.hstack([own, before, behind, edge]), length, first
+    return np.hstack([own, before, behind, edge])
+
+
+def line_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all lines, their lengths, first line of each document and the end)."""
+    lines, again, first = [], [], [0]
+    for raw in raws:
+        split = raw.split(b"\n")
+        lines += split
+        first.append(len(lines))
+        if len(split) > 1 and len(set(split)) < len(split):
+            seen: dict[bytes, int] = {}
+            for s in split:
+                seen[s] = seen.get(s, 0) + 1
+            again += [seen[s] > 1 and len(s) > 0 for s in split]
+        else:
+            again += [False] * len(split)
+    first = np.array(first, np.int64)
+    own, length = _own(lines, np.array(again, np.float64))
+    return _beside(own, first), length, first
+
+
+def _slices(raw: bytes):
+    """The lines of a text, LINES at a time or what SLICE bytes hold."""
+    at = 0
+    while at <= len(raw):
+        lines, size = [], 0
+        while at <= len(raw) and len(lines) < LINES and size < SLICE:
+            stop = raw.find(b"\n", at)
+            stop = len(raw) if stop < 0 else stop
+            lines.append(raw[at:stop])
+            size, at = size + stop - at, stop + 1
+        yield lines
+
+
+def sliced_features(raw: bytes):
+    """(features, lengths) of a text's lines, slice by slice; the same as `line_features` gives of the whole."""
+    hashes = np.concatenate([np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)) for lines in _slices(raw)])
+    hashes.sort()
+    twice = hashes[1:][hashes[1:] == hashes[:-1]]
+    del hashes
+
+    def again(lines):
+        found = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+        at = np.minimum(np.searchsorted(twice, found), max(0, twice.size - 1))
+        return (twice[at] == found) & (np.fromiter(map(len, lines), np.int64, len(lines)) > 0) if twice.size else np.zeros(len(lines), bool)
+
+    # a slice goes out once the line behind it is known
+    before, held, held_length, start = None, None, None, True
+    for lines in _slices(raw):
+        own, length = _own(lines, again(lines).astype(np.float64))
+        if held is not None:
+            yield _with_edges(before, held, own[:1], start, False), held_length
+            before, start = held[-1:], False
+        held, held_length = own, length
+    yield _with_edges(before, held, None, start, True), held_length
+
+
+def _with_edges(before, own, behind, start: bool, end: bool) -> np.ndarray:
+    """Features of a slice between the line before it and the line behind it."""
+    rows = [x for x in (before, own, behind) if x is not None]
+    x = _beside(np.vstack(rows), np.array([0, sum(map(len, rows))]))[0 if before is None else 1 :][: len(own)]
+    x[0, -3], x[-1, -2] = float(start), float(end)
+    return x
 
 
 class Field:
@@ -111,19 +182,65 @@ class Field:
         q = np.clip(q, 1e-4, 1 - 1e-4)
         return np.log(q / (1 - q))
 
+    def long_share(self, raw: bytes) -> np.ndarray:
+        """`share` of one text, slice by slice: forward values where slices begin, then backwards from the last slice."""
+        (bb, bg), (gb, gg) = np.exp(self.pairs).tolist()
+        leans, weights, cap = [], [], 50.0
+        for x, length in sliced_features(raw):
+            leans.append(x @ self.weights)
+            weights.append(length.astype(np.float32))
+
+        def forward(lean, came):
+            ahead = lean.tolist()
+            for t, own in enumerate(ahead):
+                if came is not None:
+                    o = exp(max(-cap, min(cap, came)))
+                    own += log((o * gg + bg) / (o * gb + bb))
+                ahead[t] = came = own
+            return ahead
+
+        came, begins = None, []
+        for lean in leans:
+            begins.append(came)
+            came = forward(lean, came)[-1]
+        good = total = later = 0.0
+        for k in range(len(leans) - 1, -1, -1):
+            lean, ahead = leans[k].tolist(), forward(leans[k], begins[k])
+            back = [0.0] * len(lean)
+            for t in range(len(lean) - 1, -1, -1):
+                back[t] = later
+                o = exp(max(-cap, min(cap, later + lean[t])))
+                later = log((o * gg + gb) / (o * bg + bb))
+            weight = np.maximum(weights[k].astype(np.float64), 1e-9)
+            good += float((weight / (1 + np.exp(-np.clip(np.array(ahead) + np.array(back), -cap, cap)))).sum())
+            total += float(weight.sum())
+        q = np.clip(good / total, 1e-4, 1 - 1e-4)
+        return np.array([np.log(q / (1 - q))])
+
     def scores(self, texts: list[str | None]) -> list[float]:
-        """Scores of texts, some megabytes of them at a time."""
-        out, held, size = [], [], 0
-        for text in [*texts, None]:
-            if len(out) + len(held) == len(texts) or size > SLICE:
-                if held:
-                    x, length, first = line_features(held)
-                    s = self.slope * self.share(self.marginals(x @ self.weights, first), length, first) + self.offset
-                    out += (1 / (1 + np.exp(-np.clip(s, -30, 30)))).tolist()
-                held, size = [], 0
-            held.append((text or "").encode())
-            size += len(held[-1])
-        return out
+        """Scores of texts, those of some megabytes and some thousand lines at a time."""
+        out, held, size, lines = [], [], 0, 0
+
+        def flush():
+            if held:
+                x, length, first = line_features(held)
+                out.append(self.share(self.marginals(x @ self.weights, first), length, first))
+                held.clear()
+
+        for text in texts:
+            raw = (text or "").encode()
+            many = raw.count(b"\n") + 1
+            if lines + many > LINES or size + len(raw) > SLICE:
+                flush()
+                size = lines = 0
+            if many > LINES or len(raw) > SLICE:
+                out.append(self.long_share(raw))
+                continue
+            held.append(raw)
+            size, lines = size + len(raw), lines + many
+        flush()
+        s = self.slope * np.concatenate([np.empty(0), *out]) + self.offset
+        return (1 / (1 + np.exp(-np.clip(s, -30, 30)))).tolist()
 
     def fit(self, texts: list[str], y: np.ndarray, rounds: int = 120, rate: float = 0.1, shrink: float = 1e-4, passes: int = 2) -> Field:
         if not texts:
@@ -187,9 +304,9 @@ class Field:
                 p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-9)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 6_000, most_bytes: int = 64 << 20, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field:
+def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 6_000, most_bytes: int = 64 << 20, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_lines: int = 1 << 18) -> Field:
     """A field fitted on a bounded sample of the labelled rows."""
-    table = labelled_sample(docs, labels, label, train_rows, most_rows, most_bytes, id_col, text_col).toArrow()
+    table = labelled_sample(docs, labels, label, train_rows, most_rows, most_bytes, id_col, text_col, most_lines).toArrow()
     field = Field(line_features([b""])[0].shape[1])
     return field.fit(table["text"].to_pylist(), table["y"].to_numpy().astype(np.float64))
 

@@ -43,6 +43,8 @@ STARTS_AT_ONCE = 1 << 19
 ROUNDS = 3
 #: Arrays of rank pairs that a task holds before it hands them on.
 PAIRS_AT_ONCE = 1 << 10
+#: Runs with their bytes that a task holds before it hands them on.
+ROWS_AT_ONCE = 1 << 12
 _U = np.uint64
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -147,9 +149,9 @@ def _once(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def _file(texts, length: int, k: int, hot: np.ndarray | None):
-    """Runs of a batch of (bytes, digest, digest bits, start, weight); with `hot`, only those of names in it, and with their bytes."""
-    out = {c: [] for c in [*_RUN, *(["content"] if hot is not None else [])]}
-    for raw, d, w, base, c in texts:
+    """Runs of a batch of (bytes, digest, digest bits, start, weight); with `hot`, only those of names in it, and with the places of their bytes."""
+    out = {c: [] for c in [*_RUN, *(["of", "i", "j"] if hot is not None else [])]}
+    for nth, (raw, d, w, base, c) in enumerate(texts):
         for at, part in pieces(raw, length):
             a, s, n = runs(part, length, k)
             if hot is not None:
@@ -163,8 +165,9 @@ def _file(texts, length: int, k: int, hot: np.ndarray | None):
             out["pk"].append(_pack(w, n, s + (at + base)))
             out["c"].append(np.full(a.size, c, np.int32))
             if hot is not None:
-                out["content"] += [bytes(part[i:j]) for i, j in zip(where, to)]
-    return {c: v if c == "content" else np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
+                for name, v in (("of", np.full(a.size, nth)), ("i", s + at), ("j", s + at + n + (length - 1))):
+                    out[name].append(v)
+    return {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
 
 
 def _distinct_texts(batch: pa.RecordBatch, length: int):
@@ -180,16 +183,22 @@ def _distinct_texts(batch: pa.RecordBatch, length: int):
 
 def _scan(texts: DataFrame, length: int, k: int, hot=None) -> DataFrame:
     def rows(batch):
-        found = _file(_distinct_texts(batch, length), length, k, hot.value if hot is not None else None)
         if hot is None:
-            yield _once(found)
-        else:  # the first of equal runs, with their bytes
-            seen: dict[tuple[int, int], int] = {}
-            weight = [0] * len(found["a"])
-            for i, key in enumerate(zip(found["a"].tolist(), found["x"].tolist())):
-                weight[seen.setdefault(key, i)] += int(found["c"][i])
-            first = sorted(seen.values())
-            yield {c: [v[i] for i in first] for c, v in found.items()} | {"c": [min(2, weight[i]) for i in first]}
+            yield _once(_file(_distinct_texts(batch, length), length, k, None))
+            return
+        # the first of equal runs, with their bytes, which are cut out as rows are handed on
+        texts = list(_distinct_texts(batch, length))
+        found = _file(texts, length, k, hot.value)
+        if not found["a"].size:
+            return
+        order = np.lexsort((np.arange(found["a"].size), found["x"], found["a"]))
+        a, x = found["a"][order], found["x"][order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (x[1:] != x[:-1])]))
+        first, weight = order[new], np.minimum(2, np.add.reduceat(found["c"][order], new)).astype(np.int32)
+        for at in range(0, first.size, ROWS_AT_ONCE):
+            some = first[at : at + ROWS_AT_ONCE]
+            spans = zip(*(found[c][some].tolist() for c in ("of", "i", "j")))
+            yield {c: found[c][some] for c in _RUN} | {"c": weight[at : at + ROWS_AT_ONCE], "content": [texts[of][0][i:j] for of, i, j in spans]}
 
     schema = "a long, x long, d long, pk long, c int" + (", content binary" if hot is not None else "")
     return texts.mapInArrow(batches(_RUN | ({"content": pa.binary()} if hot is not None else {}), rows), schema)
@@ -225,11 +234,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, f
     def again(batch):
         for d, pk, content, is_open in zip(*(batch.column(c).to_pylist() for c in ("d", "pk", "content", "open"))):
             rows = _file([(content, d, pk >> 40 & 0x7FFFFF, pk & 0xFFFFFFFF, 1 if is_open else 2)], length, most, _ALL)
-            yield rows | {"open": [is_open] * len(rows["a"])}
+            cut = [content[i:j] for i, j in zip(rows.pop("i").tolist(), rows.pop("j").tolist())]
+            yield {c: rows[c].tolist() for c in _RUN} | {"open": [is_open] * len(cut), "content": cut}
 
     def joined(batch):
-        parts = list(again(batch))
-        yield {c: [v for p in parts for v in p[c]] for c in columns}
+        held: dict[str, list] = {c: [] for c in columns}
+        for part in again(batch):
+            for c, v in held.items():
+                v += part[c]
+            if len(held["a"]) >= ROWS_AT_ONCE:
+                yield held
+                held = {c: [] for c in columns}
+        yield held
 
     second = _graded(second_in.mapInArrow(batches(columns, joined), "a long, x long, d long, pk long, c int, open boolean, content binary"))
     nth = F.row_number().over(Window.partitionBy("a", "x").orderBy(F.desc("whole"), "d", "pk"))

@@ -52,10 +52,11 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds == fold
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: int, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most_rows: int, most_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", most_lines: int | None = None) -> DataFrame:
     """(text, y) of labelled rows that `train`, a condition on doc_id, lets through, in the order of their ids' hashes.
 
-    At most `most_rows` rows, and no more once their texts reach `most_bytes`. Of documents with one
+    At most `most_rows` rows, and no more once their texts reach `most_bytes` or would pass `most_lines` lines;
+    texts with more than an eighth of these are not learnt from. Of documents with one
     id the one with the smallest hash is taken. The sample is written once and read by all that fits on it.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -64,8 +65,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     found = materialize(found.select("doc_id", F.xxhash64("doc_id").alias("nth"), "y", "text"), "sample")
     order = Window.orderBy("nth", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = found.select("doc_id", "nth", F.octet_length("text").alias("n")).withColumn("held", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    within = sizes.where(F.col("held") < most_bytes).select("doc_id")
+    sizes = found.select("doc_id", "nth", F.octet_length("text").alias("n"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
+    fits = F.lit(True)
+    if most_lines is not None:
+        sizes, fits = sizes.where(F.col("lines") <= most_lines // 8), F.coalesce(F.sum("lines").over(order), F.lit(0)) + F.col("lines") <= most_lines
+    within = sizes.withColumns({"held": F.coalesce(F.sum("n").over(order), F.lit(0)), "fits": fits}).where((F.col("held") < most_bytes) & F.col("fits")).select("doc_id")
     return found.join(F.broadcast(within), "doc_id").orderBy("nth", "doc_id").select("text", "y")
 
 

@@ -695,3 +695,33 @@ def test_pipeline(spark):
     for _, stage in cp.STAGES:
         nothing = stage(spark, nothing, SF)
     assert nothing.count() == 0
+
+
+def test_quality_of_texts_of_many_lines(monkeypatch):
+    rng = random.Random(7)
+    texts = ["\n".join(rng.choice(("", "a b a", "| x | 12", "Some words here.", "##!!", "w" * 40, "é é")) for _ in range(n)) for n in (1, 2, 5, 300, 1000)] + ["", "\n", "\n\n", "one line " * 50, "é" * 700]
+    field = quality.Field(quality.line_features([b""])[0].shape[1])
+    field.weights = np.random.default_rng(3).normal(0, 0.4, field.weights.size)
+    field.pairs, field.slope, field.offset = np.array([[0.7, -0.2], [-0.4, 0.9]]), 1.3, -0.2
+    want = field.scores(texts)
+    whole = [quality.line_features([t.encode()]) for t in texts]
+    assert np.allclose(want, [1 / (1 + np.exp(-(1.3 * field.share(field.marginals(x @ field.weights, f), n, f)[0] - 0.2))) for x, n, f in whole])
+    for lines, size in ((1, 50), (3, 1 << 20), (64, 90)):
+        monkeypatch.setattr(quality, "LINES", lines)
+        monkeypatch.setattr(quality, "SLICE", size)
+        for t, (x, n, _) in zip(texts, whole):
+            parts = list(quality.sliced_features(t.encode()))
+            assert np.allclose(np.vstack([p for p, _ in parts]), x) and np.array_equal(np.concatenate([k for _, k in parts]), n)
+        assert np.allclose(field.scores(texts), want, rtol=1e-9)
+
+
+def test_quality_of_a_million_lines_in_bounded_memory():
+    import tracemalloc
+
+    field = quality.Field(quality.line_features([b""])[0].shape[1])
+    text = "ab\n" * 1_000_000
+    tracemalloc.start()
+    score = field.scores([text])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90 << 20 and abs(score - 0.5) < 1e-6
