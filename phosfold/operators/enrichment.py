@@ -46,12 +46,11 @@ def enrich(networks: DataFrame, evidence: DataFrame, sizes: DataFrame | None = N
     held = nulls.spread(networks).groupBy("network_id", *KEYS).agg(F.collect_list("kinase").alias("kinases"))
     met, tried = held.join(evidence, KEYS), evidence.select("sample", "rep").distinct()
     unit = ["network_id", "sample", "rep"]
-    each = met.select(*unit, "kinases")
+    # a row without a kinase counts the site itself
+    counts = met.select(*unit, F.explode(F.array_append("kinases", F.lit(None).cast("string"))).alias("kinase")).groupBy(*unit, "kinase").agg(F.count("*").alias("k"))
     if cuts is not None:
-        each = each.unionByName(nulls.members(held, compendia, cuts, stratum).select(*unit, "kinases"))
+        counts = counts.unionByName(nulls.overlaps(held, compendia, cuts, stratum))
         tried = tried.unionByName(cuts.select("sample", "rep").distinct())
-    # a row without a kinase counts the site itself
-    counts = each.select(*unit, F.explode(F.array_append("kinases", F.lit(None).cast("string"))).alias("kinase")).groupBy(*unit, "kinase").agg(F.count("*").alias("k"))
     counts = materialize(counts, "overlaps")
     inside = counts.where("kinase is null").select(*unit, F.col("k").alias("n"))
     # all networks meet all samples and replicates, whose number the settings bound

@@ -7,6 +7,10 @@ experiments joins a small table of cutoffs and never moves the experiments thems
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +19,8 @@ from .evidence import KEYS, unique_compendia
 
 #: Keys are products of two linear forms modulo this prime.
 PRIME = (1 << 31) - 1
-#: Rows of cutoffs (samples x classes x replicates) up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: Draws of one pass, and counts (groups x draws) that a task holds: more draws take more passes.
+DRAWS, COUNTS = 1 << 14, 1 << 23
 
 
 def numbers(of: Column, many: int) -> Column:
@@ -39,8 +43,23 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEYS)
 
 
-def _few(rows: DataFrame, many: int) -> DataFrame:
-    return F.broadcast(rows) if many <= BROADCAST_ROWS else rows
+def _passes(rows: DataFrame, draws: int = DRAWS) -> list[DataFrame]:
+    """`rows` (sample, rep, ...) cut by samples into parts of at most `draws` draws, or one sample: small enough to be broadcast."""
+    many = {r[0]: r[1] for r in rows.groupBy("sample").agg(F.count_distinct("rep")).collect()}
+    parts, held = [], 0
+    for sample in sorted(many):
+        if not parts or held + many[sample] > draws:
+            parts.append([])
+            held = 0
+        parts[-1].append(sample)
+        held += many[sample]
+    return [rows.where(F.col("sample").isin(p)) for p in parts]
+
+
+def _met(sites: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every site with every draw of its class, some samples' draws at a time."""
+    parts = [sites.join(F.broadcast(p), "stratum") for p in _passes(rows)]
+    return reduce(DataFrame.unionByName, parts) if parts else sites.join(F.broadcast(rows), "stratum")
 
 
 def cutoffs(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, stratum: str = "compendia_class") -> DataFrame:
@@ -58,19 +77,19 @@ def cutoffs(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, strat
     apart = 8 * F.sqrt("quota") + 16
     at = lambda n: n / F.col("size") * float(PRIME)
     wanted = materialize(wanted.withColumns({"low": at(F.col("quota") - apart), "high": at(F.col("quota") + apart)}), "wanted")
-    some, many = wanted.where("quota < size"), wanted.count()
+    some = wanted.where("quota < size")
 
     def ranked(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("key", *KEYS)))
 
-    keyed = sites.join(_few(some, many), "stratum").withColumn("key", draw_key(F.col("xy"), F.col("draw"))).where("key < high")
+    keyed = _met(sites, some).withColumn("key", draw_key(F.col("xy"), F.col("draw"))).where("key < high")
     below = keyed.groupBy(*group).agg(F.count_if(F.col("key") < F.col("low")).alias("below"))
     cut = F.struct("key", *KEYS).alias("cut")
     near = ranked(keyed.where("key >= low")).join(below, group).where("rank = quota - below")
     found = materialize(near.select(*group, "draw", cut), "cutoffs")
     missed = some.join(found, group, "left_anti")
     if missed.take(1):
-        whole = sites.join(_few(missed, many), "stratum").withColumn("key", draw_key(F.col("xy"), F.col("draw")))
+        whole = _met(sites, missed).withColumn("key", draw_key(F.col("xy"), F.col("draw")))
         found = found.unionByName(ranked(whole).where("rank = quota").select(*group, "draw", cut))
     every = wanted.where("quota >= size").select(*group, "draw", F.struct(F.lit(PRIME).cast("long").alias("key"), F.lit("").alias("accession"), F.lit("").alias("site")).alias("cut"))
     return materialize(found.unionByName(every), "cutoffs")
@@ -79,10 +98,94 @@ def cutoffs(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, strat
 def members(rows: DataFrame, compendia: DataFrame, cuts: DataFrame, stratum: str = "compendia_class") -> DataFrame:
     """`rows` (accession, site, ...) with (sample, rep) of each draw that takes their site."""
     taken = F.struct(draw_key(F.col("xy"), F.col("draw")).alias("key"), *KEYS) <= F.col("cut")
-    found = spread(rows).join(_sites(compendia, stratum), KEYS).join(_few(cuts, cuts.count()), "stratum")
+    found = _met(spread(rows).join(_sites(compendia, stratum), KEYS), cuts)
     return found.where(taken).select(*rows.columns, "sample", "rep")
 
 
+def _bits(sites: DataFrame, cuts: pa.Table) -> DataFrame:
+    """(accession, site, bits): for each site which draws of `cuts` take it, the draws in the order of (sample, rep)."""
+    draws = sorted(set(zip(cuts["sample"].to_pylist(), cuts["rep"].to_pylist())))
+    place = {d: n for n, d in enumerate(draws)}
+    of: dict[object, list[int]] = {}
+    stratum, at = cuts["stratum"].to_pylist(), np.array([place[d] for d in zip(cuts["sample"].to_pylist(), cuts["rep"].to_pylist())], np.int64)
+    for row, s in enumerate(stratum):
+        of.setdefault(s, []).append(row)
+    numbers, last = np.array(cuts["draw"].to_pylist(), np.int64).reshape(-1, 4), cuts["cut"].to_pylist()
+    key = np.array([c["key"] for c in last], np.int64)
+    shared = sites.sparkSession.sparkContext.broadcast(({s: np.array(rows) for s, rows in of.items()}, at, numbers, key, [(c["accession"], c["site"]) for c in last], len(draws)))
+
+    def run(stream):
+        of, at, numbers, key, last, many = shared.value
+        for batch in stream:
+            accession, site, strata = (batch.column(k).to_pylist() for k in range(3))
+            xy = np.array(batch.column(3).to_pylist(), np.int64).reshape(-1, 2)
+            bits = [b""] * len(batch)
+            groups: dict[object, list[int]] = {}
+            for row, s in enumerate(strata):
+                if s in of:
+                    groups.setdefault(s, []).append(row)
+            for s, rows in groups.items():
+                cut = of[s]
+                a, b, c, d = numbers[cut].T
+                for k in range(0, len(rows), max(1, (1 << 20) // many)):
+                    some = rows[k : k + max(1, (1 << 20) // many)]
+                    x, y = xy[some, :1], xy[some, 1:]
+                    mine = ((a * x + b) % PRIME) * ((c * y + d) % PRIME) % PRIME
+                    taken = np.zeros((len(some), many), bool)
+                    taken[:, at[cut]] = mine < key[cut]
+                    for i, j in zip(*np.nonzero(mine == key[cut])):  # equal keys go by name
+                        taken[i, at[cut[j]]] = (accession[some[i]], site[some[i]]) <= last[cut[j]]
+                    for i, row in zip(some, np.packbits(taken, axis=1)):
+                        bits[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=[*KEYS, "bits"])
+
+    return sites.select(*KEYS, "stratum", "xy").mapInArrow(run, "accession string, site string, bits binary").where("octet_length(bits) > 0")
+
+
+def overlaps(held: DataFrame, compendia: DataFrame, cuts: DataFrame, stratum: str = "compendia_class", draws: int = DRAWS) -> DataFrame:
+    """(network_id, sample, rep, kinase, k) from `held` (network_id, accession, site, kinases): how many sites of each kinase a draw takes; kinase null counts the sites themselves.
+
+    A task sums bit vectors over its rows and hands on one count for each network, kinase and draw, so what is shuffled
+    does not depend on the number of sites. There is a pass for some samples' draws, as many as their counts' memory allows.
+    """
+    spark = held.sparkSession
+    groups = held.select("network_id", F.explode("kinases")).distinct().count() + held.select("network_id").distinct().count()
+    inside = held.select(*KEYS).distinct()
+    sites = materialize(_sites(compendia, stratum).join(inside, KEYS, "left_semi"), "sites")
+    found = []
+    for part in _passes(cuts, max(1, min(draws, COUNTS // max(1, groups)))):
+        table = part.select("sample", "rep", "stratum", "draw", "cut").toArrow()
+        names = sorted(set(zip(table["sample"].to_pylist(), table["rep"].to_pylist())))
+        shared = spark.sparkContext.broadcast(names)
+
+        def run(stream, shared=shared):
+            names, numbers = shared.value, {}
+            sums = np.zeros((0, len(names)), np.int64)
+            for batch in stream:
+                network, kinases, bits = (batch.column(k).to_pylist() for k in range(3))
+                for k in range(0, len(network), 1000):
+                    taken = np.unpackbits(np.frombuffer(b"".join(bits[k : k + 1000]), np.uint8).reshape(-1, -(-len(names) // 8)), axis=1, count=len(names))
+                    pairs = [(i, numbers.setdefault((n, g), len(numbers))) for i, (n, ks) in enumerate(zip(network[k : k + 1000], kinases[k : k + 1000])) for g in (*ks, None)]
+                    row, group = np.array(pairs).T
+                    if len(numbers) > len(sums):
+                        sums = np.concatenate([sums, np.zeros((max(64, 2 * len(numbers)) - len(sums), len(names)), np.int64)])
+                    order = np.argsort(group, kind="stable")
+                    first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0]))
+                    sums[group[order][first]] += np.add.reduceat(taken[row[order]], first, axis=0, dtype=np.int64)
+            # one group at a time: its counts that are not zero
+            for (n, kinase), g in numbers.items():
+                at = np.flatnonzero(sums[g])
+                if at.size:
+                    sample, rep = zip(*(names[i] for i in at.tolist()))
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * at.size, pa.int32()), pa.array(sample), pa.array(rep, pa.int32()), pa.array([kinase] * at.size, pa.string()), pa.array(sums[g][at])], names=["network_id", "sample", "rep", "kinase", "k"])
+
+        joined = held.join(_bits(sites, table), KEYS).select(F.col("network_id").cast("int"), "kinases", "bits")
+        found.append(joined.mapInArrow(run, "network_id int, sample string, rep int, kinase string, k long"))
+    if not found:
+        return spark.createDataFrame([], "network_id int, sample string, rep int, kinase string, k long")
+    return reduce(DataFrame.unionByName, found).groupBy("network_id", "sample", "rep", "kinase").agg(F.sum("k").alias("k"))
+
+
 def draw(compendia: DataFrame, quotas: DataFrame, reps: int, seed: int, stratum: str = "compendia_class") -> DataFrame:
     """(sample, rep, accession, site): for each sample and replicate exactly `quota` sites of each stratum, without replacement."""
     cuts = cutoffs(compendia, quotas, reps, seed, stratum)

@@ -11,7 +11,7 @@ from ..operators import enrichment, evidence, nulls, significance
 from ..operators import networks as pruning
 from ..params import Params
 from ..sources.paths import materialize
-from ..sources.writers import save_networks, save_nulls
+from ..sources.store import NetworkStore
 
 
 @dataclass
@@ -50,23 +50,35 @@ def pregenerate(networks: DataFrame, compendia: DataFrame, params: Params, sizes
     return rows.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", *rows.columns)
 
 
-def build_networks(weighted: DataFrame, compendia: DataFrame, folder: str, params: Params, networks: int, kinase_size: int, site_limit: int, by_compendia: bool = True, sizes: list[int] | None = None, mixes: dict[str, list[float]] | None = None, done: DataFrame | None = None) -> DataFrame:
-    """(network_id, kinase, accession, site) of pruned networks, saved below `folder` with their hashes.
+def fill_nulls(store: NetworkStore, compendia: DataFrame, params: Params, sizes: list[int], mixes: dict[str, list[float]]) -> None:
+    """Store the random experiments that networks of the store lack; draws don't depend on networks, so earlier ones agree with later ones."""
+    for ids, wanted in store.lacking(sizes, list(mixes)).items():
+        networks = store.networks(check=False).where(F.col("network_id").isin(list(ids)))
+        for mix in dict.fromkeys(m for m, _ in wanted):
+            store.add_nulls(pregenerate(networks, compendia, params, [s for m, s in wanted if m == mix], {mix: mixes[mix]}))
+
+
+def build_networks(weighted: DataFrame, compendia: DataFrame, folder: str, params: Params, networks: int, kinase_size: int, site_limit: int, by_compendia: bool = True, sizes: list[int] | None = None, mixes: dict[str, list[float]] | None = None, date: str = "") -> DataFrame:
+    """(network_id, kinase, accession, site) of pruned networks, kept in the store below `folder`.
 
     Only sites of the phospho type that compendia know are pruned; with `by_compendia`, each number
     of compendia apart. A size that the sites can't give is refused before anything is drawn. With
-    `sizes` and `mixes`, random experiments over the new networks are stored as well. Networks in
-    `done` are kept as they are, which takes up an interrupted build.
+    `sizes` and `mixes`, random experiments over the networks are stored as well. What the store has
+    already is kept as it is, which takes up an interrupted build.
     """
-    known = evidence.unique_compendia(compendia).select(*evidence.KEYS)
-    long = evidence.of_type(weighted, params.phospho_type).join(known, evidence.KEYS, "left_semi")
-    built = pruning.prune(long, compendia if by_compendia else None, networks, kinase_size, site_limit, params.seed, done)
-    built = materialize(built if done is None else done.select(built.columns).unionByName(built), "networks")
-    save_networks(built, f"{folder}/networks")
-    pruning.network_hash(built).write.mode("overwrite").parquet(f"{folder}/hashes")
+    known = evidence.unique_compendia(compendia)
+    long = evidence.of_type(weighted, params.phospho_type).join(known.select(*evidence.KEYS), evidence.KEYS, "left_semi")
+    store = NetworkStore(weighted.sparkSession, folder)
+    done = store.manifest("networks").select("network_id").distinct()
+    if done.where(F.col("network_id") < networks).count() < networks:
+        store.add_networks(pruning.prune(long, compendia if by_compendia else None, networks, kinase_size, site_limit, params.seed, done))
+    else:
+        pruning.check_size(long, kinase_size, site_limit)
     if sizes and mixes:
-        save_nulls(pregenerate(built, compendia, params, sizes, mixes), f"{folder}/nulls")
-    return built
+        fill_nulls(store, compendia, params, sizes, mixes)
+    histogram = {r[0]: r[1] for r in known.groupBy("num_compendia").count().collect()}
+    store.save_information(params, date, kinase_size, site_limit, by_compendia, [histogram.get(k, 0) for k in range(max(histogram, default=-1) + 1)])
+    return store.networks()
 
 
 def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: Params, kinases: list[str] | None = None, stored: DataFrame | None = None) -> Analysis:

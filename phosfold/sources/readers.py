@@ -11,12 +11,11 @@ from ..operators.nulls import split_experiment
 from ..params import Params
 
 COMPENDIA = "accession string, site string, num_compendia int, compendia_class int"
-EDGES = "accession string, site string, kinase string"
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, sequence): the second field of a header between bars, and the lines below it joined."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """(accession, sequence): the second field of a header between bars, and the lines below it joined; a `>` begins a record at the beginning of a line only."""
+    records = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "").select(F.regexp_replace("value", "^>", "").alias("value"))
     header, body = F.regexp_extract("value", r"^([^\r\n]*)", 1), F.regexp_extract("value", r"(?s)^[^\r\n]*[\r\n]+(.*)$", 1)
     return records.select(F.get(F.split(header, r"\|"), F.lit(1)).alias("accession"), F.regexp_replace(body, r"\s", "").alias("sequence")).where("accession is not null")
 
@@ -32,9 +31,16 @@ def delimited(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def networks(spark: SparkSession, folder: str, kinases: list[str] | None = None) -> DataFrame:
-    """(network_id, accession, site, kinase) of all tables of a folder; the id is the second part of the file's name."""
-    rows = spark.read.schema(EDGES).option("header", True).option("sep", "\t").csv(folder)
-    rows = rows.select(F.get(F.split(F.col("_metadata.file_name"), "_"), F.lit(1)).try_cast("int").alias("network_id"), "accession", "site", "kinase")
+    """(network_id, accession, site, kinase) of all tables of a folder.
+
+    Columns go by their names, in tables without these by their order (accession, site, kinase); the id is that of the
+    folder `network_id=...` that holds a table, else the second part of the file's name.
+    """
+    rows = spark.read.option("header", True).option("sep", "\t").csv(folder)
+    columns = [c for c in rows.columns if c != "network_id"]
+    columns = ["accession", "site", "kinase"] if {"accession", "site", "kinase"} <= set(columns) else columns[:3]
+    network_id = F.col("network_id").cast("int") if "network_id" in rows.columns else F.get(F.split(F.col("_metadata.file_name"), "_"), F.lit(1)).try_cast("int")
+    rows = rows.select(network_id.alias("network_id"), *(F.col(f"`{c}`").alias(name) for c, name in zip(columns, ("accession", "site", "kinase"))))
     return rows.where(F.col("kinase").isin(kinases)) if kinases else rows
 
 
@@ -83,13 +89,23 @@ def same_network(information: DataFrame, network_id: str) -> bool:
     return row is not None and row[0] == network_id
 
 
-def results(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], Params]:
-    """Saved tables by name, and the settings they were made with."""
+def results(spark: SparkSession, folder: str, schemas: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], Params]:
+    """Saved tables by name, whatever kind they were saved as, and the settings they were made with; `schemas` gives the columns of tables saved as text."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory() and s.getPath().getName() != "params"]
+    names = sorted(s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory() and s.getPath().getName() != "params")
     settings = spark.read.text(f"{folder}/params").first()[0]
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in sorted(names)}, Params.from_json(settings)
+    tables = {}
+    for name in names:
+        base, _, kind = name.rpartition(".")
+        path, schema = f"{folder}/{name}", (schemas or {}).get(base)
+        if kind in ("tsv", "csv") and base:
+            tables[base] = delimited(spark, path, schema)
+        elif kind == "json" and base:
+            tables[base] = (spark.read.schema(schema) if schema else spark.read).json(path)
+        else:
+            tables[base if kind == "parquet" and base else name] = spark.read.parquet(path)
+    return tables, Params.from_json(settings)
 
 
 def stored_nulls(spark: SparkSession, folder: str) -> DataFrame:

@@ -19,10 +19,13 @@ def save_experiment(mapped: Mapped, folder: str, statistics: bool = True, reject
         mapping_statistics(mapped).write.mode("overwrite").parquet(f"{folder}/statistics")
 
 
-def save_results(spark: SparkSession, tables: dict[str, DataFrame], params: Params, folder: str, minimal: bool = True) -> None:
-    """Evidence and activities, with the enrichment tables as well unless minimal, and the settings."""
-    for name, table in tables.items():
-        if not minimal or name in ("evidence", "activities"):
+def save_results(spark: SparkSession, tables: dict[str, DataFrame], params: Params, folder: str, minimal: bool = True, kind: str | None = None) -> None:
+    """Evidence and activities, with the enrichment tables as well unless minimal, and the settings; as Parquet, or as files of a kind (see `save_tables`)."""
+    chosen = {n: t for n, t in tables.items() if not minimal or n in ("evidence", "activities")}
+    if kind is not None:
+        save_tables(chosen, folder, kind)
+    else:
+        for name, table in chosen.items():
             table.write.mode("overwrite").parquet(f"{folder}/{name}")
     spark.createDataFrame([(params.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/params")
 

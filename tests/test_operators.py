@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phosfold.operators import enrichment, evidence, mapping, networks, nulls, presentation, significance, thresholds
 from phosfold.params import Params, as_bool, prefixed, renamed
 from phosfold.functions.stats import EXACT_UP_TO
+from phosfold.sources.store import NetworkStore
 from phosfold.plans.pipeline import analyse, build_networks, pregenerate
 from phosfold.sources import readers, writers
 from phosfold.streaming.evidence import drain, running_counts, windowed_evidence
@@ -139,24 +140,46 @@ def test_building_networks(spark, tmp_path):
     rng = random.Random(2)
     weighted = spark.createDataFrame([(f"P{i}", "S1" if i % 5 else "Y1", f"K{k}", rng.random() + 0.01) for i in range(100) for k in range(3)], "accession string, site string, kinase string, weight double")
     comp = spark.createDataFrame([(f"P{i}", "S1" if i % 5 else "Y1", i % 4) for i in range(90)], "accession string, site string, num_compendia int")
-    params, folder = Params(reps=3), str(tmp_path / "built")
+    params = Params(reps=3)
+    edge = lambda df: sorted((r.network_id, r.kinase, r.accession, r.site) for r in df.collect())
     for by_compendia in (True, False):
+        folder = str(tmp_path / f"built{by_compendia}")
+        store = NetworkStore(spark, folder)
         built = build_networks(weighted, comp, folder, params, 3, 12, 2, by_compendia, [20], {"30_30_40": [30, 30, 40]})
-        saved = spark.read.parquet(f"{folder}/networks")
-        edge = lambda df: sorted((r.network_id, r.kinase, r.accession, r.site) for r in df.collect())
-        assert edge(saved) == edge(built) and built.where("site like 'Y%'").count() == 0
+        assert edge(store.networks()) == edge(built) and built.where("site like 'Y%'").count() == 0
         assert built.join(comp, ["accession", "site"], "left_anti").count() == 0
         assert {r["count"] for r in built.groupBy("network_id", "kinase").count().collect()} <= {12, 13, 14, 15}
         assert built.groupBy("network_id", "accession", "site").count().agg(F.max("count")).first()[0] <= 2
-        assert sorted(map(tuple, spark.read.parquet(f"{folder}/hashes").collect())) == sorted(map(tuple, networks.network_hash(built).collect()))
-    assert readers.stored_nulls(spark, f"{folder}/nulls").select("size", "rep").distinct().count() == 3
-    part = built.where("network_id < 2")
-    again = build_networks(weighted, comp, str(tmp_path / "again"), params, 3, 12, 2, False, done=part)
-    assert edge(again) == edge(built)
+        hashes = store.manifest("networks").select("network_id", "hash").collect()
+        assert sorted(map(tuple, hashes)) == sorted(map(tuple, networks.network_hash(built).collect()))
+    row = readers.run_information(spark, f"{folder}/information").first()
+    assert (row.unique_id, row.networks, row.kinase_size, row.use_compendia) == (store.unique_id(), "3", "12", "False") and sum(row.compendia) == 90
+    assert readers.same_network(readers.run_information(spark, f"{folder}/information"), store.unique_id())
+    # a build that is broken off and taken up again, with more sizes and a write that was never committed
+    mixes, again = {"30_30_40": [30, 30, 40], "0_50_50": [0, 50, 50]}, str(tmp_path / "again")
+    build_networks(weighted, comp, again, params, 2, 12, 2, False, [20], {"30_30_40": [30, 30, 40]})
+    built.write.parquet(f"{again}/networks/broken")
+    once = NetworkStore(spark, folder)
+    assert edge(build_networks(weighted, comp, again, params, 3, 12, 2, False, [20, 30], mixes)) == edge(built)
+    build_networks(weighted, comp, folder, params, 3, 12, 2, False, [20, 30], mixes)
+    rows = lambda s: sorted(map(tuple, s.nulls().select("mix", "size", "network_id", "kinase", "sample", "rep", "frequency", "p").collect()))
+    assert rows(NetworkStore(spark, again)) == rows(once) and len({r[:6] for r in rows(once)}) == len(rows(once)) == 2 * 2 * 3 * 3 * 3
+    assert once.lacking([20, 30], list(mixes)) == {}
+    # what was made on other networks is refused, and so are networks that are not those stored
+    with pytest.raises(ValueError, match="other networks"):
+        once.nulls(built.where("kinase <> 'K0' or network_id > 0"))
+    assert once.nulls(built.where("network_id = 1")).select("network_id").distinct().collect()[0][0] == 1
+    with pytest.raises(ValueError, match="of this id"):
+        once.add_networks(built)
+    path = once.manifest("networks").first().part
+    built.where("kinase <> 'K1'").write.mode("append").parquet(f"{folder}/networks/{path}")
+    with pytest.raises(ValueError, match="not the one"):
+        once.networks()
     with pytest.raises(ValueError):
-        build_networks(weighted, comp, folder, params, 1, 1000, 2)
+        build_networks(weighted, comp, str(tmp_path / "large"), params, 1, 1000, 2)
     writers.save_networks(built, str(tmp_path / "tsv"), "tsv")
-    assert edge(spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "tsv"))) == edge(built)
+    assert edge(readers.networks(spark, str(tmp_path / "tsv"))) == edge(built)
+    assert {r.kinase for r in readers.networks(spark, str(tmp_path / "tsv"), ["K2"]).collect()} == {"K2"}
     with pytest.raises(ValueError):
         writers.save_networks(built, folder, "xml")
 
@@ -259,8 +282,8 @@ def test_sample_that_misses_a_network(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "x.fasta").write_text(">sp|P1|name one\nABC\nDEF\n>tr|P2|two\nGG\n")
-    assert {tuple(r) for r in readers.fasta(spark, str(tmp_path / "x.fasta")).collect()} == {("P1", "ABCDEF"), ("P2", "GG")}
+    (tmp_path / "x.fasta").write_text(">sp|P1|name one\nABC\nDEF\n>sp|P2|beta 1->4 > lyase\r\nGG\r\nHH\r\n>tr|P3|\nI\n")
+    assert {tuple(r) for r in readers.fasta(spark, str(tmp_path / "x.fasta")).collect()} == {("P1", "ABCDEF"), ("P2", "GGHH"), ("P3", "I")}
     folder = tmp_path / "nets" / "one"
     folder.mkdir(parents=True)
     for n in (0, 3):
@@ -313,3 +336,33 @@ def test_drained_stream_is_the_batch(spark, tmp_path, files):
     got = sorted(tuple(r) for r in drain(spark, windowed_evidence(stream, 3.0), "t").collect())
     assert got == sorted(tuple(r) for r in windowed_evidence(spark.read.parquet(str(tmp_path / "in")), 3.0).collect())
     assert [r[0].day for r in got] == [5, 6, 7]
+
+
+def test_bits_of_draws_against_drawn_sites(spark):
+    """Counts by bit vectors are those of the sites that draws take, in one pass or many, for many samples."""
+    rng = random.Random(12)
+    comp = spark.createDataFrame([(f"P{i}", "S1", i % 6) for i in range(400)], "accession string, site string, num_compendia int")
+    edges = sorted({(rng.randrange(3), f"K{rng.randrange(5)}", f"P{rng.randrange(420)}", "S1") for _ in range(1500)})
+    net = spark.createDataFrame(edges, "network_id int, kinase string, accession string, site string")
+    quotas = spark.createDataFrame([(f"s{i}", k, rng.randint(0, 200)) for i in range(500) for k in range(3)], "sample string, stratum int, quota int")
+    cuts = nulls.cutoffs(comp, quotas, 2, 7)
+    held = net.groupBy("network_id", "accession", "site").agg(F.collect_list("kinase").alias("kinases"))
+    drawn = nulls.draw(comp, quotas, 2, 7).join(held, ["accession", "site"])
+    want = drawn.select("network_id", "sample", "rep", F.explode(F.array_append("kinases", F.lit(None).cast("string"))).alias("kinase")).groupBy("network_id", "sample", "rep", "kinase").count()
+    key = lambda df: sorted(map(str, df.collect()))
+    want = sorted(tuple(r) for r in want.fillna("-", ["kinase"]).collect())
+    assert len({r[1] for r in want}) == 500
+    for draws in (1 << 14, 130):
+        assert sorted(tuple(r) for r in nulls.overlaps(held, comp, cuts, draws=draws).fillna("-", ["kinase"]).collect()) == want
+    assert nulls.overlaps(held, comp, cuts.limit(0)).count() == 0
+
+
+def test_saved_bundles_of_all_kinds(spark, tmp_path):
+    params = Params(reps=3, threshold=2.0)
+    tables = {"evidence": spark.createDataFrame([("a", "P1", "S1", 2)], "sample string, accession string, site string, num_compendia int"), "activities": spark.createDataFrame([("a", "K1", 0.5, None)], "sample string, kinase string, mw_p double, fpr double")}
+    schemas = {n: t.schema.simpleString()[7:-1].replace(":", " ") for n, t in tables.items()}
+    for kind in (None, "parquet", "json", "csv", "tsv"):
+        folder = str(tmp_path / str(kind))
+        writers.save_results(spark, tables, params, folder, kind=kind)
+        found, settings = readers.results(spark, folder, schemas)
+        assert settings == params and {n: [tuple(r) for r in t.select(tables[n].columns).collect()] for n, t in found.items()} == {n: [tuple(r) for r in t.collect()] for n, t in tables.items()}
