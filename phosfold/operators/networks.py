@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evidence import KEYS, compendia_class, of_type, unique_compendia
+from .places import numbered
 
 
 def numeric_columns(wide: DataFrame, keep: list[str]) -> list[str]:
@@ -212,4 +213,4 @@ def phosphoproteome(records: DataFrame, compendia_ids: DataFrame) -> DataFrame:
 
 def rank_positions(rows: DataFrame, column: str) -> DataFrame:
     """(value, position): places 5, 15, 25, ... of a column's distinct values on an axis."""
-    return rows.select(column).distinct().withColumn("position", (F.row_number().over(Window.orderBy(column)) - 1) * 10 + 5)
+    return numbered(rows.select(column).distinct(), "position", column).withColumn("position", (F.col("position") - 1) * 10 + 5)

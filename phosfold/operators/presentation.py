@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import minus_log10
+from .places import numbered
 
 GREEK, LATIN = "αβγδεκ", "abgdek"
 
 
 def dots(activity: DataFrame, alpha: float = 0.05, row: str = "kinase", column: str = "sample") -> DataFrame:
     """(kinase, sample, x, y, size, colour): places on the axes, -log10 p as size, significance as colour."""
-    place = lambda c, name: activity.select(c).distinct().withColumn(name, (F.row_number().over(Window.orderBy(c)) - 1) * 10 + 5)
+    place = lambda c, name: numbered(activity.select(c).distinct(), name, c).withColumn(name, (F.col(name) - 1) * 10 + 5)
     rows = activity.join(place(column, "x"), column).join(place(row, "y"), row)
     return rows.select(row, column, "x", "y", minus_log10(F.col("mw_p")).alias("size"), (F.col("fpr") <= alpha).cast("int").alias("colour"))
 
@@ -27,7 +28,7 @@ def ordered_by(activity: DataFrame, column: str, value, wanted: str) -> DataFram
     """The other axis' names in the order of the values in one row or column."""
     other = "kinase" if column == "sample" else "sample"
     rows = activity.where(F.col(column) == value)
-    return rows.select(other, F.row_number().over(Window.orderBy(wanted, other)).alias("position"))
+    return numbered(rows.select(other, wanted), "position", wanted, other).select(other, "position")
 
 
 def printable(text: Column) -> Column:

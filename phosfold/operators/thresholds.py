@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import materialize
 from .evidence import KEYS, allowable_threshold, passes
 
 
@@ -46,14 +47,49 @@ def grid(low: float, high: float, step: float, places: int = 10) -> list[float]:
     return [round(low + k * step, places) for k in range(int((high - low) / step + 1e-9) + 1)]
 
 
+def level(value: Column, thresholds: list[float], greater: bool = True) -> Column:
+    """How many of `thresholds`, from the loosest on, a value passes: a search by halves in one expression."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(passes(value, F.lit(thresholds[middle - 1]), greater), between(middle, high)).otherwise(between(low, middle - 1))
+
+    return between(0, len(thresholds))
+
+
+def _passing(counts: DataFrame, of: list[str], steps: DataFrame, name: str) -> DataFrame:
+    """(of, k, name): from counts by level the number at each threshold, which are those of all levels above it."""
+    # each unit meets each threshold once: a row of the result
+    grid = counts.select(*of).distinct().crossJoin(F.broadcast(steps.select("k")))
+    found = grid.join(counts.select(*of, (F.col("level") - 1).alias("k"), "n"), [*of, "k"], "left")
+    stricter = Window.partitionBy(*of).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    return found.select(*of, "k", F.coalesce(F.sum("n").over(stricter), F.lit(0)).alias(name))
+
+
 def sweep(collapsed: DataFrame, thresholds: list[float], greater: bool = True) -> DataFrame:
-    """(threshold, largest, smallest, middle, similarity) up to the first threshold at which a sample is empty."""
-    rows = collapsed.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    per = rows.groupBy("threshold", "sample").agg(F.count_if(passes(F.col("value"), F.col("threshold"), greater)).alias("size"))
-    sizes = per.groupBy("threshold").agg(F.max("size").alias("largest"), F.min("size").alias("smallest"), F.median("size").alias("middle"))
-    hits = rows.where(passes(F.col("value"), F.col("threshold"), greater))
-    similar = jaccard_summary(jaccard(hits, within=["threshold"]), ["threshold"]).select("threshold", F.col("largest").alias("similarity"))
-    return sizes.where("smallest > 0").join(similar, "threshold", "left")
+    """(threshold, largest, smallest, middle, similarity) up to the first threshold at which a sample is empty.
+
+    All thresholds come from one pass: a row has the number of thresholds it passes, two samples share a site
+    at as many as the lower of theirs, and counts by these numbers are summed from the strictest threshold on.
+    """
+    order = sorted({float(t) for t in thresholds}, reverse=not greater)
+    steps = collapsed.sparkSession.createDataFrame(list(enumerate(order)), "k int, threshold double")
+    rows = collapsed.select("sample", *KEYS, level(F.col("value"), order, greater).alias("level"))
+    per = _passing(rows.groupBy("sample", "level").agg(F.count("*").alias("n")), ["sample"], steps, "size")
+    per = materialize(per, "sizes")
+    sizes = per.groupBy("k").agg(F.max("size").alias("largest"), F.min("size").alias("smallest"), F.median("size").alias("middle"))
+    hits = rows.where("level > 0").groupBy("sample", *KEYS).agg(F.max("level").alias("level"))
+    first, second = (hits.select(*KEYS, F.col("sample").alias(s), F.col("level").alias(f"{s}_level")) for s in ("first", "second"))
+    met = first.join(second, KEYS).where("first < second")
+    both = met.groupBy("first", "second", F.least("first_level", "second_level").alias("level")).agg(F.count("*").alias("n"))
+    shared = _passing(both, ["first", "second"], steps, "shared")
+    a, b = (per.select("k", F.col("sample").alias(s), F.col("size").alias(n)) for s, n in (("first", "na"), ("second", "nb")))
+    each = a.join(b, "k").where("first < second").join(shared, ["first", "second", "k"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    similar = each.groupBy("k").agg(F.max(F.coalesce(F.try_divide(F.col("shared"), F.col("na") + F.col("nb") - F.col("shared")), F.lit(0.0))).alias("similarity"))
+    found = sizes.where("smallest > 0").join(similar, "k", "left").join(steps, "k")
+    return found.select("threshold", "largest", "smallest", "middle", "similarity")
 
 
 def by_size(swept: DataFrame, desired: float, pick: str = "middle", greater: bool = True) -> DataFrame:

@@ -19,9 +19,12 @@ from ..operators import presentation as D
 from ..operators import significance as S
 from ..operators import thresholds as T
 from ..params import Params
-from ..sources.paths import materialize
+from ..sources.paths import materialize, work_path
+from ..sources.readers import networks as read_networks
+from ..sources.store import NetworkStore
+from ..sources.writers import save_networks
 from ..streaming.evidence import drain, windowed_evidence
-from .pipeline import analyse, pregenerate
+from .pipeline import analyse, fill_nulls, pregenerate
 from .testbed import duck, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,15 +585,16 @@ def null_routing(spark, d):
     return R.route(V.sizes(rows), V.class_shares(rows), STORED, "ST")
 
 
+LADDER = R.ladder(50, 1000)
 MIXES = {"0_30_70": [0, 30, 70], "0_50_50": [0, 50, 50]}
 # sizes of the ladder and each class's part of them, cut to whole sites
-CTE["stored_quota"] = "SELECT concat(mix, '/', size) AS sample, stratum, CAST(floor(size * share / 100) AS BIGINT) AS quota FROM (VALUES " + ", ".join(f"('{m}', {k}, {s})" for m, f in MIXES.items() for k, s in enumerate(f)) + ") v(mix, stratum, share) CROSS JOIN (VALUES (62), (96)) z(size)"
+CTE["stored_quota"] = "SELECT concat(mix, '/', size) AS sample, stratum, CAST(floor(size * share / 100) AS BIGINT) AS quota FROM (VALUES " + ", ".join(f"('{m}', {k}, {s})" for m, f in MIXES.items() for k, s in enumerate(f)) + ") v(mix, stratum, share) CROSS JOIN (VALUES " + ", ".join(f"({s})" for s in LADDER) + ") z(size)"
 CTE["stored_drawn"] = _drawn("(SELECT * FROM stored_quota WHERE quota > 0)", REPS)
 
 
 @query("SELECT split_part(sample, '/', 1) AS mix, CAST(split_part(sample, '/', 2) AS INT) AS size, rep, accession, site FROM stored_drawn", "tb_compendia", "comp", "stored_quota", "sited", "stored_drawn")
 def stored_null_experiments(spark, d):
-    wanted = R.stored_quotas([62, 96], MIXES, spark)
+    wanted = R.stored_quotas(LADDER, MIXES, spark)
     drawn = R.draw(view(spark, d, "tb_compendia"), wanted.select("sample", "stratum", "quota"), REPS, SEED)
     return drawn.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", "rep", "accession", "site")
 
@@ -601,10 +605,31 @@ CTE["stored_tried"] = "SELECT sample, rep, accession, site FROM stored_drawn"
 
 @query("SELECT split_part(sample, '/', 1) AS mix, CAST(split_part(sample, '/', 2) AS INT) AS size, network_id, kinase, rep, frequency, round(p, 4) AS p FROM enr", "tb_compendia", "tb_network", "st_compendia", "st_network", "comp=st_comp", "stored_quota", "sited", "stored_drawn", "nsite=st_nsite", "msize", "deg=st_deg", "tried=stored_tried", "ins", "ov=st_ov", "grid", "num", "enr")
 def pregenerated_enrichment(spark, d):
-    made = pregenerate(view(spark, d, "tb_network"), view(spark, d, "tb_compendia"), Params(reps=REPS, seed=SEED), [62, 96], MIXES)
+    made = pregenerate(view(spark, d, "tb_network"), view(spark, d, "tb_compendia"), Params(reps=REPS, seed=SEED), LADDER, MIXES)
     return made.select("mix", "size", "network_id", "kinase", "rep", "frequency", F.round("p", 4).alias("p"))
 
 
+@query(SQL["pregenerated_enrichment"])
+def resumed_null_store(spark, d):
+    """The same experiments from a store that was filled in two runs: some networks with the smaller sizes, then the others and all sizes."""
+    store, comp, params = NetworkStore(spark, work_path(spark, "store")), view(spark, d, "tb_compendia"), Params(reps=REPS, seed=SEED)
+    networks = view(spark, d, "tb_network")
+    store.add_networks(networks.where("network_id < 6"))
+    fill_nulls(store, comp, params, LADDER[:3], MIXES)
+    store.add_networks(networks.where("network_id >= 6"))
+    fill_nulls(store, comp, params, LADDER, MIXES)
+    return store.nulls().select("mix", "size", "network_id", "kinase", "rep", "frequency", F.round("p", 4).alias("p"))
+
+
+@query("SELECT network_id, accession, site, kinase FROM tb_network", "tb_network")
+def saved_networks(spark, d):
+    """Networks as they come back from a store, by way of a folder of tables for other tools."""
+    store, folder = NetworkStore(spark, work_path(spark, "store")), work_path(spark, "networks")
+    store.add_networks(view(spark, d, "tb_network"))
+    save_networks(store.networks(), folder, "tsv")
+    return read_networks(spark, folder)
+
+
 # mapping
 
 
@@ -620,10 +645,12 @@ def exploded_accessions(spark, d):
     return M.explode_list(rows, "accession")
 
 
-@query("SELECT accession, c || 10 AS site, CASE WHEN substr(sequence, 10, 1) = c THEN substr(sequence, 3, 7) || lower(c) || substr(sequence, 11, 7) END AS aligned, coalesce(substr(sequence, 10, 1) = c, false) AS valid FROM tb_protein CROSS JOIN (VALUES ('S'), ('T'), ('Y')) v(c)", "tb_protein")
+@query("SELECT accession, c || place AS site, CASE WHEN substr(sequence, place, 1) = c THEN substr(sequence, greatest(1, place - 7), place - greatest(1, place - 7)) || lower(c) || substr(sequence, place + 1, 7) END AS aligned, substr(sequence, place, 1) = c AS valid FROM (SELECT accession, sequence, unnest(range(1, length(sequence) + 1)) AS place, substr('STY', CAST(place % 3 AS INT) + 1, 1) AS c FROM tb_protein) WHERE substr(sequence, place, 1) IN ('S', 'T', 'Y')", "tb_protein")
 def aligned_peptides(spark, d):
-    rows = view(spark, d, "tb_protein").withColumn("site", F.explode(F.array(F.lit("S10"), F.lit("T10"), F.lit("Y10"))))
-    return rows.select("accession", "site", P.aligned_peptide(F.col("sequence"), F.col("site")).alias("aligned"), P.valid_site(F.col("sequence"), F.col("site")).alias("valid"))
+    """Each S, T and Y of each protein under the residue that its place stands for, which is the right one for a third of them."""
+    rows = peptides(spark, d)
+    site = F.concat(F.substr(F.lit("STY"), F.col("place") % 3 + 1, F.lit(1)), F.col("place").cast("string"))
+    return rows.select("accession", site.alias("site"), P.aligned_peptide(F.col("sequence"), site).alias("aligned"), P.valid_site(F.col("sequence"), site).alias("valid"))
 
 
 PARTS = ", parts AS (SELECT accession, string_split(sequence, 'TION') AS s FROM tb_sequence WHERE sequence <> ''), each AS (SELECT accession, s, unnest(range(1, len(s))) AS i FROM parts) "
@@ -646,15 +673,15 @@ def expanded_modifications(spark, d):
 
 
 def peptides(spark, d):
-    """(accession, place, peptide, sequence): the 15 residues around one S, T or Y of each protein, which is in lower case."""
+    """(accession, place, peptide, sequence): the 15 residues around each S, T and Y of each protein, which is in lower case."""
     rows = view(spark, d, "tb_protein").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "accession")
-    skipped = F.length(F.regexp_extract(F.substr("sequence", F.col("ahead_of") + 1), "^[^STY]*", 0))
-    rows = rows.withColumn("place", F.col("ahead_of") + skipped + 1).where("place <= length(sequence)")
+    places = F.filter(F.transform(F.split("sequence", ""), lambda c, i: F.when(c.isin("S", "T", "Y"), i + 1)), lambda i: i.isNotNull())
+    rows = rows.withColumn("place", F.explode(places))
     site = F.concat(F.substr("sequence", "place", F.lit(1)), F.col("place").cast("string"))
     return rows.select("accession", "place", P.aligned_peptide(F.col("sequence"), site).alias("peptide"), "sequence")
 
 
-PEPTIDES = ", spots AS (SELECT accession, sequence, ahead_of + length(regexp_extract(substr(sequence, ahead_of + 1), '^[^STY]*')) + 1 AS place FROM tb_protein), pep AS (SELECT accession, place, sequence, substr(sequence, greatest(1, place - 7), place - greatest(1, place - 7)) AS ahead, substr(sequence, place, 1) AS residue, substr(sequence, place + 1, 7) AS behind, ahead || lower(residue) || behind AS peptide FROM spots WHERE place <= length(sequence)) "
+PEPTIDES = ", spots AS (SELECT * FROM (SELECT accession, sequence, unnest(range(1, length(sequence) + 1)) AS place FROM tb_protein) WHERE substr(sequence, place, 1) IN ('S', 'T', 'Y')), pep AS (SELECT accession, place, sequence, substr(sequence, greatest(1, place - 7), place - greatest(1, place - 7)) AS ahead, substr(sequence, place, 1) AS residue, substr(sequence, place + 1, 7) AS behind, ahead || lower(residue) || behind AS peptide FROM spots) "
 FOUND = "residue || (instr(sequence, upper(peptide)) + length(ahead))"
 
 

@@ -38,12 +38,14 @@ def binary_evidence(raw: DataFrame, compendia: DataFrame, params: Params) -> Dat
     return evidence.with_compendia(chosen, compendia)
 
 
-def pregenerate(networks: DataFrame, compendia: DataFrame, params: Params, sizes: list[int], mixes: dict[str, list[float]], done: DataFrame | None = None) -> DataFrame:
-    """(mix, size, network_id, kinase, sample, rep, frequency, p) of random experiments for every class mix and size that is not `done`."""
+def pregenerate(networks: DataFrame, compendia: DataFrame, params: Params, sizes: list[int], mixes: dict[str, list[float]], done: DataFrame | None = None, only: list[tuple[str, int]] | None = None) -> DataFrame:
+    """(mix, size, network_id, kinase, sample, rep, frequency, p) of random experiments for every class mix and size that is not `done`, or for those in `only`."""
     networks, sites = evidence.of_type(networks, params.phospho_type), evidence.of_type(compendia, params.phospho_type)
     wanted = nulls.stored_quotas(sizes, mixes, networks.sparkSession)
     if done is not None:
         wanted = nulls.missing(wanted, done)
+    if only is not None:
+        wanted = wanted.where(F.col("sample").isin([f"{m}/{s}" for m, s in only]))
     cuts = nulls.cutoffs(sites, wanted.select("sample", "stratum", "quota"), params.reps, params.seed)
     nobody = networks.sparkSession.createDataFrame([], "sample string, accession string, site string")
     rows = enrichment.enrich(networks, nobody, enrichment.network_sizes(networks), sites, cuts)
@@ -54,8 +56,7 @@ def fill_nulls(store: NetworkStore, compendia: DataFrame, params: Params, sizes:
     """Store the random experiments that networks of the store lack; draws don't depend on networks, so earlier ones agree with later ones."""
     for ids, wanted in store.lacking(sizes, list(mixes)).items():
         networks = store.networks(check=False).where(F.col("network_id").isin(list(ids)))
-        for mix in dict.fromkeys(m for m, _ in wanted):
-            store.add_nulls(pregenerate(networks, compendia, params, [s for m, s in wanted if m == mix], {mix: mixes[mix]}))
+        store.add_nulls(pregenerate(networks, compendia, params, sizes, mixes, only=wanted))
 
 
 def build_networks(weighted: DataFrame, compendia: DataFrame, folder: str, params: Params, networks: int, kinase_size: int, site_limit: int, by_compendia: bool = True, sizes: list[int] | None = None, mixes: dict[str, list[float]] | None = None, date: str = "") -> DataFrame:
