@@ -65,11 +65,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     found = materialize(found.select("doc_id", F.xxhash64("doc_id").alias("nth"), "y", "text"), "sample")
     order = Window.orderBy("nth", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = found.select("doc_id", "nth", F.octet_length("text").alias("n"), (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("lines"))
-    fits = F.lit(True)
+    sizes = found.select("doc_id", "nth", F.octet_length("text").alias("n"))
     if most_lines is not None:
-        sizes, fits = sizes.where(F.col("lines") <= most_lines // 8), F.coalesce(F.sum("lines").over(order), F.lit(0)) + F.col("lines") <= most_lines
-    within = sizes.withColumns({"held": F.coalesce(F.sum("n").over(order), F.lit(0)), "fits": fits}).where((F.col("held") < most_bytes) & F.col("fits")).select("doc_id")
+        lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+        sizes = found.select("doc_id", "nth", F.octet_length("text").alias("n"), lines.alias("lines")).where(F.col("lines") <= most_lines // 8)
+        sizes = sizes.withColumn("all_lines", F.coalesce(F.sum("lines").over(order), F.lit(0)) + F.col("lines")).where(F.col("all_lines") <= most_lines)
+    sizes = sizes.withColumn("held", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    within = sizes.where(F.col("held") < most_bytes).select("doc_id")
     return found.join(F.broadcast(within), "doc_id").orderBy("nth", "doc_id").select("text", "y")
 
 
