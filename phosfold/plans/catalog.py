@@ -749,6 +749,18 @@ def accession_types(spark, d):
     return ids.select("id", A.accession_type(F.col("id")).alias("kind"))
 
 
+@query(f"""SELECT kind, count(*) AS ids, count(*) FILTER (known) AS converted, round(avg(CAST(known AS INT)), 6) AS share FROM (SELECT kind, kind = 'UniProtKB' OR ((kind IN ('Ensembl', 'Ensembl_Protein') OR id LIKE 'GENE%') AND CAST(regexp_extract(id, '[0-9]{{5}}') AS INT) % 3 <> 0) AS known FROM ({SQL["accession_types"]})) GROUP BY kind""")
+def converted_by_kind(spark, d):
+    """Mixed lists of identifiers; proteins lead to genes, genes to names, and two names of three to an accession."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.expr(_ID.format(number="CAST(l_partkey % 100000 AS STRING)")).alias("id"))
+    lists = rows.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("id")), ";").alias("ids"))
+    n = F.regexp_extract("id", "[0-9]{5}", 0)
+    step = lambda kind, start, to: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(start), n).alias("from_id"), F.concat(F.lit(to), n).alias("to_id"))
+    steps = F.array(step("Ensembl_Protein", "ENSP", "ENSG"), step("Ensembl", "ENSG", "GENE"), step("genename/unrecognized", "GENE", "P"))
+    maps = rows.select(F.explode(steps).alias("s")).select("s.*").distinct().where("kind <> 'genename/unrecognized' or cast(substr(from_id, 5) as int) % 3 <> 0")
+    return rounded(A.convert_by_kind(lists, "ids", maps)[1], "share")
+
+
 @query("SELECT l_orderkey, string_agg(a, ';' ORDER BY a) AS accession FROM (SELECT DISTINCT l_orderkey, 'Q' || (l_suppkey % 7) AS a FROM lineitem WHERE l_suppkey % 7 < 5) GROUP BY ALL UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY ALL HAVING min(l_suppkey % 7) >= 5")
 def converted_ids(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("gene"), F.col("l_suppkey") % 7))), ";").alias("genes"))

@@ -99,3 +99,13 @@ def test_normal_tail(spark):
     rows = spark.createDataFrame([(x / 4,) for x in range(-24, 105)], "x double").select("x", stats.erfc(F.col("x")).alias("e")).collect()
     for r in rows:
         assert r.e == pytest.approx(math.erfc(r.x), rel=1e-11, abs=1e-300)
+
+
+def test_conversion_by_kind(spark):
+    maps = spark.createDataFrame([("Ensembl_Protein", "ENSP1", "ENSG1"), ("Ensembl", "ENSG1", "TP53"), ("genename/unrecognized", "TP53", "P04637"), ("genename/unrecognized", "TP53", "Q00001"), ("Ensembl", "LOOP", "P11111"), ("genename/unrecognized", "A", "B"), ("genename/unrecognized", "B", "A")], "kind string, from_id string, to_id string")
+    rows = spark.createDataFrame([(1, "ENSP1;LOOP"), (2, "TP53;P12345"), (3, "A;XM_1"), (4, None)], "n int, ids string")
+    out, shares = A.convert_by_kind(rows, "ids", maps)
+    assert {r.n: r.accession for r in out.collect()} == {1: "P04637;Q00001", 2: "P04637;P12345;Q00001", 3: None, 4: None}
+    assert {r.kind: (r.ids, r.converted, round(r.share, 3)) for r in shares.collect()} == {"Ensembl_Protein": (1, 1, 1.0), "genename/unrecognized": (3, 1, 0.333), "UniProtKB": (1, 1, 1.0), "RefSeq_Nucleotide": (1, 0, 0.0)}
+    short, _ = A.convert_by_kind(rows, "ids", maps, hops=2)
+    assert {r.n: r.accession for r in short.collect()}[1] is None
