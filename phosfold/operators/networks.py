@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.paths import materialize
 from .evidence import KEYS, compendia_class, of_type, unique_compendia
 from .places import numbered
 
@@ -66,44 +68,103 @@ def check_size(long: DataFrame, kinase_size: int, site_limit: int) -> None:
         raise ValueError(f"kinase_size must be at most {row.largest}; {row.low} to {row.high} is recommended")
 
 
-def prune_stratum(edges: pd.DataFrame, size: int, site_limit: int, seed: int) -> pd.DataFrame:
-    """One network on one stratum: in `size` rounds each kinase draws a site by weight among those that are left.
+def clocks(rows: DataFrame, seed: int) -> DataFrame:
+    """`rows` (network_id, stratum, kinase, accession, site, weight) with `clock`: a kinase that draws sites by weight without replacement takes them in this order."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "network_id", "kinase", *KEYS), 11) + 0.5) * 2.0**-53
+    return rows.withColumn("clock", -F.log(uniform) / F.col("weight"))
+
+
+def turn(seed: int, network: int, stratum: int, number: int, kinase: str) -> int:
+    """A kinase's place among the kinases of a round: rounds shuffle them anew."""
+    name = f"{seed}|{network}|{stratum}|{number}|{kinase}".encode()
+    return int.from_bytes(hashlib.blake2b(name, digest_size=7).digest(), "big")
+
+
+_ASKED = "network_id int, stratum int, accession string, site string, round int, turn bigint, kinase string, short boolean"
 
-    Drawing without replacement by weight is the same as taking edges in the order of exponential
-    clocks with the weights as rates; a kinase follows its own clocks and skips full sites.
+
+def _walk(listed: DataFrame, quota: dict[int, int], width: int, seed: int) -> DataFrame:
+    """What each kinase asks for, in the order of its clocks: a slot takes the next site whose last holder (`cut`) is not before it.
+
+    Lists are streamed, in memory of a batch. A list that goes on behind `width` with slots left gives a row marked `short`.
+    """
+    unit = ["network_id", "stratum", "kinase"]
+
+    def run(stream):
+        at = rank = None
+        left = 0
+        for batch in stream:
+            cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            found = []
+            for n, s, k, place, full in zip(cols["network_id"], cols["stratum"], cols["kinase"], cols["place"], zip(cols["c_round"], cols["c_turn"], cols["c_kinase"])):
+                if at != (n, s, k):
+                    at, left, number = (n, s, k), quota[s], 0
+                    rank = (0, turn(seed, n, s, 0, k), k)
+                over = place > width
+                if not left or not over and full[0] is not None and rank > full:
+                    found.append(None)
+                    continue
+                found.append((*rank, over))
+                if not over:
+                    left, number = left - 1, number + 1
+                    rank = (number, turn(seed, n, s, number, k), k)
+            rows = [i for i, f in enumerate(found) if f is not None]
+            kept = batch.take(pa.array(rows, pa.int64()))
+            slot = list(zip(*(found[i] for i in rows))) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(c) for c in ("network_id", "stratum", *KEYS)), pa.array(slot[0], pa.int32()), pa.array(slot[1], pa.int64()), pa.array(slot[2], pa.string()), pa.array(slot[3], pa.bool_())],
+                names=["network_id", "stratum", *KEYS, "round", "turn", "kinase", "short"],
+            )
+
+    return listed.repartition(*unit).sortWithinPartitions(*unit, "place").mapInArrow(run, _ASKED)
+
+
+def settle(rows: DataFrame, quota: dict[int, int], site_limit: int, seed: int, width: int | None = None) -> DataFrame:
+    """(network_id, kinase, accession, site): which edges rounds of draws take, by deferred acceptance.
+
+    In round after round the kinases, in a shuffled order, each take the next site of their clocks (see `clocks`) that
+    has room. Sites want the earliest turns and kinases the earliest clocks, so this is the one stable matching of turns
+    and sites: all kinases ask at once, sites tell the last turn that they have room for, and kinases ask again until
+    nothing changes. The turns before the first one that is still wrong stay right, so it ends, mostly within a few passes.
+
+    Only the first `width` sites of each list are read; it doubles while a kinase could go on behind them.
     """
-    rng = np.random.default_rng(seed)
-    edges = edges.sort_values(["kinase", "accession", "site"], ignore_index=True)
-    clock = -np.log1p(-rng.random(len(edges))) / edges["weight"].to_numpy()
-    site = pd.factorize(edges["accession"] + "\0" + edges["site"])[0]
-    lists = {k: at[np.argsort(clock[at], kind="stable")].tolist()[::-1] for k, at in edges.groupby("kinase").indices.items()}
-    room = np.full(site.max(initial=-1) + 1, site_limit)
-    taken = []
-    names = sorted(lists)
-    for _ in range(size):
-        for k in rng.permutation(len(names)):
-            queue = lists[names[k]]
-            while queue:
-                at = queue.pop()
-                if room[site[at]] > 0:
-                    room[site[at]] -= 1
-                    taken.append(at)
-                    break
-    return edges.loc[taken, ["kinase", "accession", "site"]]
+    rows = rows.where(F.col("stratum").isin([s for s, q in quota.items() if q > 0]))
+    order = F.row_number().over(Window.partitionBy("network_id", "stratum", "kinase").orderBy("clock", *KEYS))
+    width = width or 2 * max(quota.values(), default=0) + 16
+    listed = asked = None
+    slot = F.struct("round", "turn", "kinase")
+    while True:
+        if listed is None:
+            listed = materialize(clocks(rows, seed).select("network_id", "stratum", "kinase", *KEYS, order.alias("place")).where(F.col("place") <= width + 1), "lists")
+        if asked is None:
+            full = listed.sparkSession.createDataFrame([], "network_id int, accession string, site string, c_round int, c_turn bigint, c_kinase string")
+        else:
+            # a kinase asks once for a site, so a list is at most as long as there are kinases
+            held = asked.where("not short").groupBy("network_id", *KEYS).agg(F.count("*").alias("n"), F.collect_list(slot).alias("held")).where(F.col("n") >= site_limit)
+            last = F.element_at(F.array_sort("held"), site_limit)
+            full = held.select("network_id", *KEYS, last["round"].alias("c_round"), last["turn"].alias("c_turn"), last["kinase"].alias("c_kinase"))
+        found = materialize(_walk(listed.join(full, ["network_id", *KEYS], "left"), quota, width, seed), "asked")
+        same = asked is not None and found.count() == asked.count() and not found.join(asked, found.columns, "left_anti").take(1)
+        asked = found
+        if same and not asked.where("short").take(1):
+            return asked.select("network_id", "kinase", *KEYS)
+        if same:
+            width, listed = 2 * width, None
 
 
 def prune(long: DataFrame, compendia: DataFrame | None, networks: int, kinase_size: int, site_limit: int, seed: int = 1, done: DataFrame | None = None) -> DataFrame:
     """(network_id, kinase, accession, site) of `networks` pruned networks.
 
     With compendia, each number of compendia is pruned apart with its part of the kinase size; the
-    strata share no site, so their capacities are apart as well. A task holds one stratum of one
-    network. Networks in `done` are left out, which restarts an interrupted build.
+    strata share no site, so their capacities are apart as well. All networks are settled together, and
+    each only depends on the seed and its number. Networks in `done` are left out, which restarts an interrupted build.
     """
     check_size(long, kinase_size, site_limit)
     if compendia is None:
         rows, quota = long.withColumn("stratum", F.lit(0)), {0: kinase_size}
     else:
-        rows = long.join(unique_compendia(compendia).select(*KEYS, F.col("num_compendia").alias("stratum")), KEYS)
+        rows = long.join(unique_compendia(compendia).select(*KEYS, F.col("num_compendia").cast("int").alias("stratum")), KEYS)
         # one row for each number of compendia
         histogram = {r[0]: r[1] for r in rows.select("stratum", *KEYS).distinct().groupBy("stratum").count().collect()}
         quota = compendia_quota(dict(sorted(histogram.items())), kinase_size)
@@ -112,13 +173,7 @@ def prune(long: DataFrame, compendia: DataFrame | None, networks: int, kinase_si
         ids = ids.join(done.select("network_id").distinct(), "network_id", "left_anti")
     chosen = [r[0] for r in ids.collect()]
     rows = rows.withColumn("network_id", F.explode(F.array(*[F.lit(i) for i in chosen]).cast("array<int>")))
-
-    def one(edges: pd.DataFrame) -> pd.DataFrame:
-        n, s = int(edges["network_id"].iloc[0]), int(edges["stratum"].iloc[0])
-        out = prune_stratum(edges, quota.get(s, 0), site_limit, seed * 1_000_003 + n * 1009 + s)
-        return out.assign(network_id=n)[["network_id", "kinase", "accession", "site"]]
-
-    return rows.groupBy("network_id", "stratum").applyInPandas(one, "network_id int, kinase string, accession string, site string")
+    return settle(rows, quota, site_limit, seed)
 
 
 def network_hash(networks: DataFrame) -> DataFrame:

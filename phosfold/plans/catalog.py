@@ -557,7 +557,7 @@ def feasible_size(spark, d):
 @query()
 def pruned_networks(spark, d):
     long = V.of_type(view(spark, d, "tb_weight"), "ST")
-    return N.prune(long, view(spark, d, "tb_compendia"), 5, 50, 10)
+    return N.prune(long, view(spark, d, "tb_compendia"), 50, 50, 10)
 
 
 @query()

@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,28 @@ def test_pruning(spark):
     assert networks.network_hash(built.where("kinase <> 'K0' or network_id > 0")).where("network_id = 0").first().hash != hashes[0]
 
 
+@pytest.mark.parametrize("sites, kinases, quota, limit, width", [(40, 6, {0: 9, 2: 5}, 2, 3), (60, 8, {0: 12}, 2, None), (12, 5, {0: 12}, 1, 2)])
+def test_settled_edges_are_those_of_turns_one_after_another(spark, sites, kinases, quota, limit, width):
+    rng = random.Random(sites)
+    edges = [(n, s, f"K{k}", f"P{s}.{i}", "S1", rng.random() ** 4 + 1e-3) for n in (3, 8) for s in (0, 2) for i in range(sites) for k in range(kinases) if rng.random() < 0.8]
+    rows = spark.createDataFrame(edges, "network_id int, stratum int, kinase string, accession string, site string, weight double")
+    got = sorted((r.network_id, r.kinase, r.accession) for r in networks.settle(rows, quota, limit, 5, width).collect())
+    lists, room, taken = {}, Counter(), []
+    for r in networks.clocks(rows, 5).collect():
+        lists.setdefault((r.network_id, r.stratum, r.kinase), []).append((r.clock, r.accession))
+    for n, s in ((n, s) for n in (3, 8) for s in quota):
+        queues = {k: sorted(v) for (a, b, k), v in lists.items() if (a, b) == (n, s)}
+        for number in range(quota[s]):
+            for k in sorted(queues, key=lambda k: (networks.turn(5, n, s, number, k), k)):
+                while queues[k]:
+                    site = queues[k].pop(0)[1]
+                    if room[n, site] < limit:
+                        room[n, site] += 1
+                        taken.append((n, k, site))
+                        break
+    assert got == sorted(taken) and got
+
+
 def test_building_networks(spark, tmp_path):
     rng = random.Random(2)
     weighted = spark.createDataFrame([(f"P{i}", "S1" if i % 5 else "Y1", f"K{k}", rng.random() + 0.01) for i in range(100) for k in range(3)], "accession string, site string, kinase string, weight double")
