@@ -75,6 +75,25 @@ def with_hypergeometric_tail(rows: DataFrame, name: str = "tail") -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def with_largest_overlap(rows: DataFrame, name: str = "largest") -> DataFrame:
+    """`rows` (m, degree, n, ...) with the largest overlap below the greatest one whose next overlap has a tail above zero, null without any.
+
+    The tail falls with the overlap, so whole Arrow batches are bisected at once.
+    """
+
+    def run(stream):
+        for batch in stream:
+            m, g, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("m", "degree", "n"))
+            low, high = np.zeros_like(m), np.minimum(g, n)  # the tail of `low` overlaps is above zero, that of `high` + 1 is not
+            while (low < high).any():
+                mid = (low + high + 1) // 2
+                there = hypergeometric_tail(mid, m, g, n) > 0
+                low, high = np.where(there, mid, low), np.where(there, high, mid - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low - 1, mask=low == 0)], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function: a series near zero, a continued fraction in the tail."""
     square = x * x
@@ -115,9 +134,11 @@ def exact_rank_sum_tail(u: pd.Series, n: pd.Series, rest: pd.Series) -> pd.Serie
     """P(U >= u) of samples of n and `rest` values without ties; null for a null u."""
     out = np.full(len(u), np.nan)
     known = np.flatnonzero(u.notna().to_numpy())
-    for i in known:
-        few, many = sorted((int(n.iloc[i]), int(rest.iloc[i])))
-        out[i] = _rank_sum_tails(few, many)[int(u.iloc[i])]
+    sides = np.sort(np.stack([n.to_numpy()[known], rest.to_numpy()[known]], axis=1).astype(np.int64), axis=1)
+    values = u.to_numpy()[known].astype(np.int64)
+    for few, many in np.unique(sides, axis=0):
+        these = (sides == (few, many)).all(axis=1)
+        out[known[these]] = _rank_sum_tails(int(few), int(many))[values[these]]
     return pd.Series(out)
 
 

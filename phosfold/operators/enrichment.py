@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, with_hypergeometric_tail
+from ..functions.stats import clip, with_hypergeometric_tail, with_largest_overlap
 from ..sources.paths import materialize
 from . import nulls
 from .evidence import KEYS
@@ -90,9 +90,8 @@ def overlap_limits(networks: DataFrame, evidence: DataFrame) -> DataFrame:
     mean = kinase_degrees(networks).groupBy("network_id").agg(F.floor(F.avg("degree")).alias("size"))
     inside = networks.select("network_id", *KEYS).distinct().join(evidence, KEYS).groupBy("network_id", "sample").agg(F.count("*").alias("n"))
     rows = inside.join(mean, "network_id").join(network_sizes(networks), "network_id")
-    numbers = rows.select("m", F.col("size").alias("degree"), "n").distinct().withColumn("largest", F.explode(F.sequence(F.lit(0).cast("long"), F.least("degree", "n"))))
-    tails = with_hypergeometric_tail(numbers.withColumn("k", F.col("largest") + 1)).where("tail > 0").groupBy("m", F.col("degree").alias("size"), "n").agg(F.max("largest").alias("largest"))
-    return rows.join(tails, ["m", "size", "n"]).groupBy("sample").agg(F.avg("largest").alias("limit"))
+    found = with_largest_overlap(rows.select("m", F.col("size").alias("degree"), "n").distinct()).where("largest is not null").withColumnRenamed("degree", "size")
+    return rows.join(found, ["m", "size", "n"]).groupBy("sample").agg(F.avg("largest").alias("limit"))
 
 
 def pivot_unique(rows: DataFrame, index: str, column: str, value: str, names: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ from ..sources.paths import materialize, work_path
 from ..sources.readers import networks as read_networks
 from ..sources.store import NetworkStore
 from ..sources.writers import save_networks
-from ..streaming.evidence import drain, windowed_evidence
+from ..streaming.evidence import merged_evidence, windowed_evidence
 from .pipeline import analyse, fill_nulls, pregenerate
 from .testbed import duck, table, view
 
@@ -227,7 +227,7 @@ def windowed_event_evidence(spark, d):
 def streamed_event_evidence(spark, d):
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream takes no single file
     measured = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("sample"), F.concat(F.lit("U"), "user_id").alias("accession"), F.concat(F.substr(F.lit("STY"), F.length("event_type") % 3 + 1, F.lit(1)), F.col("event_id") % 50 + 1).alias("site"), "value")
-    return rounded(drain(spark, windowed_evidence(measured, 50.0), "events"), "value")
+    return rounded(merged_evidence(measured, 50.0, "events"), "value")
 
 
 # thresholds and similarity

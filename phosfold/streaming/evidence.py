@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,34 @@ def windowed_evidence(measured: DataFrame, threshold: float, width: str = "1 day
     return means.where(F.col("value") >= threshold).select(F.col("w.start").alias("start"), "sample", "accession", "site", "value", "n")
 
 
+def merged_evidence(measured: DataFrame, threshold: float, name: str, width: str = "1 day") -> DataFrame:
+    """The windows of `windowed_evidence` over all of a finite stream, however late its rows come, without any state.
+
+    Each batch writes its own sums and counts, under its number, so a batch that is repeated replaces itself; they are
+    merged when the stream is through.
+    """
+    spark, unit = measured.sparkSession, ["start", "sample", "accession", "site"]
+    out, log = work_path(spark, name), work_path(spark, f"{name}-log")
+    parts = measured.where("value is not null").select(F.window("ts", width)["start"].alias("start"), *unit[1:], "value")
+
+    def put(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*unit).agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+        sums.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    parts.writeStream.foreachBatch(put).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    schema = "start timestamp, sample string, accession string, site string, value double, n bigint"
+    # a stream without rows has written nothing
+    there = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    try:
+        sums = there.parquet(out)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        sums = spark.createDataFrame([], schema)
+    total = sums.groupBy(*unit).agg((F.sum("value") / F.sum("n")).alias("value"), F.sum("n").alias("n"))
+    return total.where(F.col("value") >= threshold)
+
+
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """All that a finite stream of aggregates gives, with the windows that the watermark has not passed: each batch writes the whole state, the last one counts."""
     out, state = work_path(spark, name), work_path(spark, f"{name}-state")

@@ -3,6 +3,7 @@
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,12 @@ def test_conversion_by_kind(spark):
     assert {r.kind: (r.ids, r.converted, round(r.share, 3)) for r in shares.collect()} == {"Ensembl_Protein": (1, 1, 1.0), "genename/unrecognized": (3, 1, 0.333), "UniProtKB": (1, 1, 1.0), "RefSeq_Nucleotide": (1, 0, 0.0)}
     short, _ = A.convert_by_kind(rows, "ids", maps, hops=2)
     assert {r.n: r.accession for r in short.collect()}[1] is None
+
+
+def test_largest_overlap_is_that_of_trying_each(spark):
+    rows = [(m, g, n) for m in (1, 7, 60, 3000) for g in (0, 1, 5, 40, 900) for n in (0, 1, 6, 50, 2500) if g <= m and n <= m]
+    got = {(r.m, r.degree, r.n): r.largest for r in stats.with_largest_overlap(spark.createDataFrame(rows, "m bigint, degree bigint, n bigint")).collect()}
+    for m, g, n in rows:
+        k = np.arange(1, min(g, n) + 1)
+        above = np.flatnonzero(stats.hypergeometric_tail(k, *(np.full(k.size, x) for x in (m, g, n))) > 0)
+        assert got[m, g, n] == (int(above[-1]) if above.size else None), (m, g, n)

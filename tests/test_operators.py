@@ -15,7 +15,7 @@ from phosfold.functions.stats import EXACT_UP_TO
 from phosfold.sources.store import NetworkStore
 from phosfold.plans.pipeline import analyse, build_networks, pregenerate
 from phosfold.sources import readers, writers
-from phosfold.streaming.evidence import drain, running_counts, windowed_evidence
+from phosfold.streaming.evidence import drain, merged_evidence, running_counts, windowed_evidence
 
 RAW = "sample string, accession string, site string, value double"
 
@@ -358,6 +358,8 @@ def test_drained_stream_is_the_batch(spark, tmp_path, files):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
     got = sorted(tuple(r) for r in drain(spark, windowed_evidence(stream, 3.0), "t").collect())
     assert got == sorted(tuple(r) for r in windowed_evidence(spark.read.parquet(str(tmp_path / "in")), 3.0).collect())
+    assert got == sorted(tuple(r) for r in merged_evidence(stream, 3.0, "m").collect())
+    assert merged_evidence(stream.where("value > 100"), 3.0, "m").count() == 0
     assert [r[0].day for r in got] == [5, 6, 7]
 
 
