@@ -16,6 +16,8 @@ rows get equal results; an empty table gives an empty table; other columns are i
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ from .common import materialize
 
 #: The rules of the contract: (host, path, verdict).
 LISTED = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-BLOCK = "verdict=block"
+BLOCK, ALLOW = "verdict=block", "verdict=allow"
 
 
 def _lower(c: Column) -> Column:
@@ -56,11 +58,14 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(words(host, r"\.", "host="), words(_lower(path), "/", "path="), F.transform(F.filter(names, lambda n: n != ""), lambda n: F.concat(F.lit("query="), n))))
 
 
-def mine(labelled: DataFrame, least: int = 20, lift: float = 1.25, z: float = 2.58) -> DataFrame:
+def mine(labelled: DataFrame, least: int = 20, lift: float = 1.25, z: float = 2.58, sure: float = 0.5, chance: float = 0.01) -> DataFrame:
     """(rule, tokens, confidence, rare) of each kept rule, from (items) rows that hold tokens and a label; rare is the token to find it by."""
     rows, bad = labelled.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
     share = bad / max(1, rows)
-    model = FPGrowth(itemsCol="items", predictionCol="p", minSupport=min(1.0, least / max(1, rows)), minConfidence=min(1.0, lift * share)).fit(labelled)
+    model = FPGrowth(itemsCol="items", predictionCol="p", minSupport=min(1.0, least / max(1, rows)), minConfidence=min(1.0, max(sure, lift * share))).fit(labelled)
+    label = F.array(F.lit(BLOCK), F.lit(ALLOW))
+    tried = model.freqItemsets.where(~F.arrays_overlap("items", label)).count()
+    z = max(z, NormalDist().inv_cdf(1 - chance / max(1, tried)))
     found = model.associationRules.where(F.col("consequent")[0] == BLOCK)
     apart = (F.col("confidence") - share) / F.sqrt(share * (1 - share) * F.col("confidence") / (F.col("support") * rows))
     # none stands out where all rows are bad
@@ -78,7 +83,7 @@ def mine(labelled: DataFrame, least: int = 20, lift: float = 1.25, z: float = 2.
     return rules.join(wider.select("rule").distinct(), "rule", "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=LISTED, least: int = 20, lift: float = 1.25, z: float = 2.58, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=LISTED, least: int = 20, lift: float = 1.25, z: float = 2.58, sure: float = 0.5, chance: float = 0.01, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, mined_rule, confidence) for every row."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     rows = rows.withColumns(dict(zip(("host", "path"), host_and_path(F.col("url")))))
@@ -86,9 +91,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=LISTED, least: int = 20, li
     items = tokens(F.col("url"), F.col("host"), F.col("path"))
     bad = F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
     known = labels.select(F.col("doc_id").alias("page_id"), "quality", "toxic").groupBy("page_id").agg(bad.alias("bad")).where("bad is not null")
-    marked = F.array(F.when(F.col("bad") == 1, F.lit(BLOCK)).otherwise(F.lit("verdict=allow")))
+    marked = F.array(F.when(F.col("bad") == 1, F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
     labelled = rows.where("host != ''").join(known, "page_id").select(F.concat(items, marked).alias("items"))
-    index = mine(labelled, least, lift, z).select(F.col("rule").alias("mined_rule"), F.col("tokens").alias("wanted"), "confidence", F.col("rare").alias("token"))
+    index = mine(labelled, least, lift, z, sure, chance).select(F.col("rule").alias("mined_rule"), F.col("tokens").alias("wanted"), "confidence", F.col("rare").alias("token"))
     urls = rows.where("listed is null and host != ''").select("url", "host", "path").distinct()
     open_urls = urls.select("url", items.alias("held")).select("url", "held", F.explode("held").alias("token"))
     fired = open_urls.join(index, "token").where(F.size(F.array_except("wanted", "held")) == 0)

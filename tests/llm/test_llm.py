@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import os
 import random
+import statistics
 import zlib
 
 import numpy as np
@@ -341,7 +342,7 @@ def test_url_rules(spark):
     assert {r.mined_rule for r in judged if r.mined_rule} == {"path=shop"}
 
 
-def plain_rules(rows, least, lift, z):
+def plain_rules(rows, least, lift, z, sure, chance):
     """All combinations of tokens, counted one by one."""
     share = sum(bad for _, bad in rows) / len(rows)
     seen, hits = collections.Counter(), collections.Counter()
@@ -350,7 +351,9 @@ def plain_rules(rows, least, lift, z):
             for some in itertools.combinations(sorted(held), k):
                 seen[some] += 1
                 hits[some] += bad
-    found = {s: hits[s] / n for s, n in seen.items() if hits[s] >= least and hits[s] / n >= lift * share and hits[s] / n - share >= z * (share * (1 - share) / n) ** 0.5}
+    tried = sum(n >= least for n in seen.values())
+    z = max(z, statistics.NormalDist().inv_cdf(1 - chance / max(1, tried)))
+    found = {s: hits[s] / n for s, n in seen.items() if hits[s] >= least and hits[s] / n >= max(sure, lift * share) and hits[s] / n - share >= z * (share * (1 - share) / n) ** 0.5}
     return {s: c for s, c in found.items() if not any(set(p) < set(s) for p in found)}
 
 
@@ -365,12 +368,15 @@ def test_mined_rules_against_counting(spark):
     for i, u in urls:
         host, *path = u.split("?")[0].split("//")[1].split("/")
         held[i] = {f"host={h}" for h in host.split(".")} | {f"path={p}" for p in path if not p.isdigit()} | {"query=" + u.split("?")[1].split("=")[0]}
-    want = plain_rules([(held[i], 1 - q) for i, q, _ in marks], 20, 1.25, 2.58)
-    assert any(len(s) > 1 for s in want) and len(want) > 3
+    want = plain_rules([(held[i], 1 - q) for i, q, _ in marks], 20, 1.25, 2.58, 0.5, 0.01)
+    assert any(len(s) > 1 for s in want) and min(want.values()) >= 0.5
     for r in url_rules.judge(pages, labels).collect():
         fired = [(c, -len(s), " ".join(s)) for s, c in want.items() if set(s) <= held[r.page_id]]
         assert (r.verdict, r.mined_rule) == (("block", max(fired)[2]) if fired else ("allow", None))
         assert not fired or r.confidence == pytest.approx(max(fired)[0])
+    # nor with labels that have nothing to do with the urls
+    fair = spark.createDataFrame([(i, int(rng.random() < 0.6), 0) for i, _ in urls], "doc_id long, quality int, toxic int")
+    assert url_rules.judge(pages, fair).where("verdict = 'block'").count() == 0
     # with labels of one kind no rule stands out
     assert url_rules.judge(pages, labels.withColumn("quality", F.lit(0))).where("verdict = 'block'").count() == 0
 
