@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import accessions as A
 from ..functions import peptides as P
 from ..functions.stats import minus_log10
+from ..operators import clustering as C
 from ..operators import enrichment as E
 from ..operators import evidence as V
 from ..operators import mapping as M
@@ -85,7 +86,7 @@ ENRICHED = ("ins", "ov", "grid", "num", "enr")
 BOTH = (*BIAS, "tb_network", "nsite", "msize", "deg", "quota", "sited", "drawn", "tried", *ENRICHED)
 REAL = (*RAW, "tb_network", "nsite", "msize", "deg", "tried=real_only", *ENRICHED, "real")
 #: Computed once in each query that uses them.
-KEPT = ("coll", "drawn", "few", "enr", "rand", "num")
+KEPT = ("coll", "drawn", "few", "enr", "rand", "num", "gap", "medrow")
 
 
 def ctes(*names: str) -> str:
@@ -546,6 +547,58 @@ def network_profile(spark, d):
     return N.profile(view(spark, d, "tb_network"))
 
 
+# trees
+
+
+def _gaps(cells: str) -> str:
+    return f"SELECT x.item AS a, y.item AS b, sqrt(sum((x.v - y.v) * (x.v - y.v))) AS d FROM ({cells}) x JOIN ({cells}) y ON x.c = y.c AND x.item < y.item GROUP BY ALL"
+
+
+def _tree(method: str) -> str:
+    """Merging one pair at a time over `gap`: rows of pairs with what is kept of their distances, and rows of leaves with their paths."""
+    height, kept = ("total / many", "sum(total)") if method == "average" else ("total", "min(total)")
+    return f"""WITH RECURSIVE st AS (SELECT 0 AS step, TRUE AS pair, a, b, d AS total, 1 AS many, '' AS path, CAST(-1 AS DOUBLE) AS made FROM gap
+    UNION ALL SELECT 0, FALSE, i, i, 0, 1, '', CAST(-1 AS DOUBLE) FROM (SELECT a AS i FROM gap UNION SELECT b FROM gap)
+    UNION ALL SELECT step, pair, a, b, {kept}, CAST(sum(many) AS INT), path, made FROM (
+        SELECT step + 1 AS step, pair, CASE WHEN pair THEN least(na, nb) ELSE a END AS a, CASE WHEN pair THEN greatest(na, nb) ELSE nb END AS b, total, many,
+            CASE WHEN NOT pair AND b IN (lo, hi) THEN (CASE WHEN (b = lo) = lo_left THEN '0' ELSE '1' END) || path ELSE path END AS path, CASE WHEN NOT pair AND b IN (lo, hi) THEN h ELSE made END AS made
+        FROM (SELECT *, CASE WHEN a = hi THEN lo ELSE a END AS na, CASE WHEN b = hi THEN lo ELSE b END AS nb FROM st CROSS JOIN (
+            SELECT lo, hi, h, (SELECT max(made) FROM st WHERE NOT pair AND b = lo) < (SELECT max(made) FROM st WHERE NOT pair AND b = hi) OR (SELECT max(made) FROM st WHERE NOT pair AND b = lo) = (SELECT max(made) FROM st WHERE NOT pair AND b = hi) AS lo_left
+            FROM (SELECT x.a AS lo, x.b AS hi, x.h AS h FROM (SELECT min({{'h': round({height}, {C.DIGITS}), 'a': a, 'b': b}}) AS x FROM st WHERE pair)) WHERE h IS NOT NULL)))
+        WHERE NOT pair OR a <> b GROUP BY step, pair, a, b, path, made)
+    SELECT a AS item, CAST(row_number() OVER (ORDER BY path, a) AS INT) AS position FROM st WHERE NOT pair AND step = (SELECT max(step) FROM st)"""
+
+
+CTE["simrow"] = "SELECT first AS item, second AS c, jaccard AS v FROM sim UNION ALL SELECT second, first, jaccard FROM sim UNION ALL SELECT DISTINCT sample, sample, CAST(1 AS DOUBLE) FROM evid"
+CTE["medrow"] = "SELECT kinase AS item, sample AS c, round(median(p), 6) AS v FROM real GROUP BY ALL"
+
+
+def median_cells(spark, d):
+    return rounded(E.median_enrichment(really_enriched(spark, d)), "median_p")
+
+
+@query(f"SELECT a, b, round(d, 6) AS d FROM ({_gaps('SELECT * FROM medrow')})", *REAL, "medrow")
+def kinase_distances(spark, d):
+    return rounded(C.distances(median_cells(spark, d), "kinase", "sample", "median_p"), "d")
+
+
+CTE["gap"] = _gaps("SELECT * FROM medrow")
+CTE["simgap"] = _gaps("SELECT * FROM simrow")
+
+
+@query(f"SELECT * FROM ({_tree('single')})", *REAL, "medrow", "gap")
+def kinase_order(spark, d):
+    return C.ordered(materialize(median_cells(spark, d), "medians"), "kinase", "sample", "median_p", "single")
+
+
+@query(f"SELECT * FROM ({_tree('average')})", *RAW, "sim", "simrow", "gap=simgap")
+def sample_order(spark, d):
+    rows = materialize(chosen(spark, d), "evidence")
+    near, whole = T.jaccard(rows), rows.select("sample").distinct()
+    cells = near.union(near.select("second", "first", "jaccard")).union(whole.select("sample", "sample", F.lit(1.0)))
+    return C.ordered(materialize(cells, "cells"), "first", "second", "jaccard")
+
+
 # pruning and stored nulls
 
 
