@@ -7,6 +7,8 @@ experiments joins a small table of cutoffs and never moves the experiments thems
 
 from __future__ import annotations
 
+import math
+
 from functools import reduce
 
 import numpy as np
@@ -228,15 +230,23 @@ def mix(phospho_type: Column, high_share: Column) -> Column:
     return F.when(phospho_type == "ST", "0_30_70").when(F.floor(high_share) > 60, "0_30_70").otherwise("0_50_50")
 
 
-def nearest_size(sample_sizes: DataFrame, stored: list[int], most_apart: float = 0.25, least: int = 50) -> DataFrame:
-    """(sample, size, matched): the stored size nearest to the sample's, null if none is near enough or the sample is small."""
-    stored = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(i).alias("i")) for i, s in enumerate(stored)])
-    near = F.filter(stored, lambda x: F.abs(x["s"] - F.col("size")) / F.col("size") < most_apart)
-    best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x["s"] - F.col("size")).alias("d"), x["i"].alias("i"), x["s"].alias("s"))))
-    return sample_sizes.select("sample", "size", F.when(F.col("size") >= least, best["s"]).alias("matched"))
+def nearest_size(sample_sizes: DataFrame, stored: DataFrame | list[int], most_apart: float = 0.25, least: int = 50) -> DataFrame:
+    """(sample, size, matched): the stored size nearest to the sample's, the smaller of two, null if none is near enough or the sample is small.
+
+    Sizes are filed by their logarithm in steps as wide as the tolerance, so a size meets only the stored ones of its own
+    step and the two beside it, in one keyed join of distinct sizes.
+    """
+    if isinstance(stored, list):
+        stored = sample_sizes.sparkSession.createDataFrame([(s,) for s in stored], "size int")
+    step = lambda c: F.floor(F.ln(c) / -math.log1p(-most_apart))
+    near = stored.select(F.col("size").alias("_s")).where("_s > 0").distinct().withColumn("_step", F.explode(F.sequence(step("_s") - 1, step("_s") + 1)))
+    apart = F.abs(F.col("_s") - F.col("size"))
+    sizes = sample_sizes.select("size").where(F.col("size") >= F.greatest(F.lit(least), F.lit(1))).distinct().withColumn("_step", step("size"))
+    found = sizes.join(near, "_step").where(apart / F.col("size") < most_apart).groupBy("size").agg(F.min(F.struct(apart.alias("d"), F.col("_s").alias("s")))["s"].alias("matched"))
+    return sample_sizes.select("sample", "size").join(found, "size", "left").select("sample", "size", "matched")
 
 
-def route(sample_sizes: DataFrame, shares: DataFrame, stored: list[int], phospho_type: str, **more) -> DataFrame:
+def route(sample_sizes: DataFrame, shares: DataFrame, stored: DataFrame | list[int], phospho_type: str, **more) -> DataFrame:
     """(sample, source, matched, mix): whether a sample's null comes from storage or has to be drawn."""
     rows = nearest_size(sample_sizes, stored, **more).join(shares.select("sample", "class_2"), "sample")
     source = F.when(F.col("matched").isNotNull(), "stored").otherwise("drawn")

@@ -32,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 THRESHOLD, REPS, SEED, ALPHA = 30.0, 150, 1, 0.05
+#: Replicates that a fixed number of trials takes.
+TRIALS = 100
 #: Experiments of the wide form, which has a column for each.
 WIDE_REPS = 5
 #: Samples of the test bed.
@@ -427,6 +429,9 @@ def acted(sql: str) -> str:
     return ctes(*ACTS).rstrip() + ACT + sql
 
 
+CTE["rand_some"] = f"SELECT network_id, kinase, sample, rep, round(p, 9) AS p FROM enr WHERE rep BETWEEN 0 AND {TRIALS - 1}"
+
+
 def active(spark, d):
     return S.activities(*activity(spark, d), SEED)
 
@@ -450,6 +455,11 @@ ST = [{"coll": "coll=st_coll", "comp": "comp=st_comp", "nsite": "nsite=st_nsite"
 SQL["analysis_from_raw"] = ctes("tb_raw", "tb_compendia", "tb_network", "st_raw", "st_compendia", "st_network", *[n for n in ST if not n.startswith("tb_")]).rstrip() + ACT + "SELECT sample, kinase, round(z, 3) AS z, round(fpr, 6) AS fpr FROM act"
 
 
+@query(ctes(*BOTH, "real", "rand=rand_some", "dropped", "pool").rstrip() + ACT + "SELECT sample, kinase, CAST(u AS DOUBLE) AS u, round(z, 3) AS z, round(fpr, 6) AS fpr FROM act")
+def activities_of_fixed_trials(spark, d):
+    return rounded(S.activities(*activity(spark, d), SEED, trials=TRIALS).select("sample", "kinase", "u", F.round("z", 3).alias("z"), "fpr"), "fpr")
+
+
 NULLS = ", med AS (SELECT sample, kinase, rep, round(median(p), 9) AS s FROM rand GROUP BY ALL), rm AS (SELECT sample, kinase, round(median(p), 9) AS median_p FROM real GROUP BY ALL) "
 FACTORS = f"SELECT sample, kinase, list_sort(list(s))[CAST(floor({REPS} * {ALPHA}) AS INT) + 1] AS factor FROM med GROUP BY ALL"
 
@@ -607,6 +617,22 @@ def feasible_size(spark, d):
     return N.feasible_size(V.of_type(view(spark, d, "tb_weight"), "ST"), 10)
 
 
+@query("SELECT accession, site, kinase, round(weight, 4) AS weight FROM tb_weight WHERE site NOT LIKE 'Y%' AND weight > 0 AND weight >= 20000", "tb_weight")
+def weighted_sites(spark, d):
+    """Weights read from a wide table of texts, in which '-' stands for an edge that is none."""
+    long = view(spark, d, "tb_weight").withColumn("weight", F.when(F.col("weight") >= 20000, F.col("weight").cast("string")).otherwise("-"))
+    wide = long.groupBy("accession", "site").pivot("kinase", [f"K{k:02d}" for k in range(20)]).agg(F.first("weight"))
+    return rounded(N.weights(wide, "ST"), "weight", places=4)
+
+
+@query("SELECT num_compendia, CAST(floor(n / total * m) AS BIGINT) AS sites FROM (SELECT num_compendia, count(*) AS n, (SELECT count(*) FROM tb_compendia) AS total FROM tb_compendia GROUP BY ALL) CROSS JOIN (SELECT min(m) AS m FROM (SELECT m, sum(floor(n / total * m)) AS s FROM (SELECT count(*) AS n, (SELECT count(*) FROM tb_compendia) AS total FROM tb_compendia GROUP BY num_compendia) CROSS JOIN (SELECT unnest(range(50, 400)) AS m) GROUP BY m) WHERE s >= 50)", "tb_compendia")
+def compendia_quotas(spark, d):
+    counts = V.unique_compendia(view(spark, d, "tb_compendia")).groupBy("num_compendia").count()
+    # one row for each number of compendia
+    quota = N.compendia_quota({r[0]: r[1] for r in counts.orderBy("num_compendia").collect()}, 50)
+    return spark.createDataFrame(list(quota.items()), "num_compendia int, sites bigint")
+
+
 @query()
 def pruned_networks(spark, d):
     long = V.of_type(view(spark, d, "tb_weight"), "ST")
@@ -853,6 +879,26 @@ def mapping_statistics(spark, d):
     return rounded(M.mapping_statistics(mapped(spark, d)), "share")
 
 
+OCCURS = ", parts AS (SELECT *, string_split(sequence, upper(peptide)) AS s, place + CASE WHEN place % 3 = 0 THEN 0 ELSE 9 END AS g FROM pep WHERE place % 2 = 0), near AS (SELECT *, list_min([{'d': abs(CAST(1 + (i - 1) * length(peptide) + list_sum([length(x) FOR x IN s[1:i]]) + length(ahead) AS BIGINT) - g), 'n': CAST(1 + (i - 1) * length(peptide) + list_sum([length(x) FOR x IN s[1:i]]) + length(ahead) AS BIGINT)} FOR i IN range(1, len(s))]).n AS n FROM parts)"
+UNKNOWN = "CAST(regexp_extract(accession, '^D([0-9]+)', 1) AS BIGINT) % 10 = 0"
+
+
+@query(ctes("tb_protein").rstrip() + PEPTIDES + OCCURS + f"""
+SELECT CASE WHEN {UNKNOWN} THEN 'X' || accession ELSE accession END AS accession, place, CASE WHEN {UNKNOWN} THEN residue || g ELSE residue || n END AS site, CASE WHEN {UNKNOWN} THEN 'no_sequence' WHEN n = g THEN 'ok' ELSE 'changed' END AS status FROM near
+UNION ALL SELECT CASE WHEN {UNKNOWN} THEN 'X' || accession ELSE accession END, place, CASE WHEN place % 13 > 0 THEN substr('STY', CAST(place % 3 AS INT) + 1, 1) || place END,
+CASE WHEN {UNKNOWN} THEN 'no_sequence' WHEN place % 13 = 0 THEN 'not_found' WHEN substr('STY', CAST(place % 3 AS INT) + 1, 1) = residue THEN 'ok' ELSE 'mismatch' END FROM pep WHERE place % 2 = 1""")
+def checked_sites(spark, d):
+    """All five outcomes: half of the sites come with a peptide and a place that is often wrong, half alone and under a residue that is often wrong."""
+    known = view(spark, d, "tb_protein").select("accession", "sequence")
+    accession = F.when(F.regexp_extract("accession", "^D([0-9]+)", 1).cast("long") % 10 == 0, F.concat(F.lit("X"), "accession")).otherwise(F.col("accession"))
+    rows = peptides(spark, d).select(accession.alias("accession"), "place", "peptide", F.substr("sequence", "place", F.lit(1)).alias("residue"))
+    moved = F.col("place") + F.when(F.col("place") % 3 == 0, 0).otherwise(9)
+    both = rows.where("place % 2 = 0").withColumn("site", F.concat("residue", moved.cast("string")))
+    alone = rows.where("place % 2 = 1").withColumn("site", F.when(F.col("place") % 13 > 0, F.concat(F.substr(F.lit("STY"), F.col("place") % 3 + 1, F.lit(1)), F.col("place").cast("string"))))
+    out = [M.align(both, known, has_site=True), M.align(alone, known, has_peptide=False, has_site=True)]
+    return out[0].unionByName(out[1]).select("accession", "place", "site", "status")
+
+
 @query("SELECT CASE WHEN site LIKE 'Y%' THEN 'Y' ELSE 'ST' END AS phospho_type, sample, count(DISTINCT (accession, site)) AS sites FROM tb_raw WHERE value IS NOT NULL GROUP BY ALL", "tb_raw")
 def measured_sites(spark, d):
     return M.sites_by_type(view(spark, d, "tb_raw"))

@@ -97,8 +97,7 @@ def analyse(raw: DataFrame, networks: DataFrame, compendia: DataFrame, params: P
     real = binary_evidence(raw, compendia, params)
     sites, quotas, route = evidence.of_type(compendia, params.phospho_type), evidence.stratum_sizes(real, params.stratum), None
     if stored is not None:
-        # one row for each stored size
-        known = sorted(r[0] for r in stored.select("size").distinct().collect())
+        known = stored.select("size").distinct()
         route = materialize(nulls.route(evidence.sizes(real), evidence.class_shares(real), known, params.phospho_type).join(stored.select("mix", F.col("size").alias("matched")).distinct().withColumn("there", F.lit(True)), ["mix", "matched"], "left").withColumn("source", F.when(F.col("there"), "stored").otherwise("drawn")), "route")
         quotas = quotas.join(route.where("source = 'stored'").select("sample"), "sample", "left_anti")
     cuts = nulls.cutoffs(sites, quotas, params.reps, params.seed, params.stratum)
