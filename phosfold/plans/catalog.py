@@ -291,6 +291,19 @@ def recommended_threshold(spark, d):
     return spark.createDataFrame([(found,)], "threshold double")
 
 
+@query(SQL["recommended_threshold"].replace("SELECT round(least(best, most), 2) AS threshold FROM found, top WHERE best IS NOT NULL", "SELECT 'found' AS way, round(least(best, most), 2) AS threshold FROM found, top WHERE best IS NOT NULL UNION ALL SELECT 'fallback', 12.5"))
+def automatic_threshold(spark, d):
+    """What is recommended, and the fallback where no threshold leaves as little as is asked for."""
+    rows = collapsed(spark, d)
+    found, none = T.auto(rows, T.grid(10, 50, 5), 1500, 12.5, most=0.02), T.auto(rows, T.grid(10, 50, 5), -1, 12.5, most=-1.0)
+    return spark.createDataFrame([("found", found), ("fallback", none)], "way string, threshold double")
+
+
+@query("SELECT accession, site, sample, value FROM tb_raw WHERE (site LIKE '%S%' OR site LIKE '%T%') AND value IS NOT NULL", "tb_raw")
+def loosely_filtered(spark, d):
+    return V.of_type(view(spark, d, "tb_raw"), "ST", loose=True).where("value is not null").select("accession", "site", "sample", "value")
+
+
 # networks and enrichment
 
 
@@ -840,6 +853,27 @@ def converted_by_kind(spark, d):
     return rounded(A.convert_by_kind(lists, "ids", maps)[1], "share")
 
 
+@query("SELECT DISTINCT 'E' || l_orderkey % 500 AS from_id, 'P' || p.l_partkey AS accession FROM lineitem JOIN (SELECT DISTINCT l_suppkey % 50 AS g, l_partkey FROM lineitem WHERE l_partkey % 7 = 0) p ON l_suppkey % 50 = p.g WHERE l_linenumber = 1")
+def composed_ids(spark, d):
+    """Identifiers to accessions through gene names."""
+    rows = table(spark, d, "lineitem").withColumn("gene", F.concat(F.lit("G"), F.col("l_suppkey") % 50))
+    to_gene = rows.where("l_linenumber = 1").select(F.concat(F.lit("E"), F.col("l_orderkey") % 500).alias("from_id"), "gene").distinct()
+    return A.compose_maps(to_gene, rows.where("l_partkey % 7 = 0").select("gene", F.concat(F.lit("P"), "l_partkey").alias("accession")).distinct())
+
+
+#: Columns of lists: how often they are parted by `;` and by `,`.
+LISTED = {"semicolons": (2, 5), "commas": (7, 3), "single": (11, 12)}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, CASE WHEN greatest(a, b) > 0.1 THEN CASE WHEN a >= b THEN ';' ELSE ',' END END AS sep FROM (SELECT avg(CAST(l_partkey % {x} = 0 AS INT)) AS a, avg(CAST(l_partkey % {x} <> 0 AND l_partkey % {y} = 0 AS INT)) AS b FROM lineitem)" for n, (x, y) in LISTED.items()))
+def list_separators(spark, d):
+    id_, found = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), []
+    for name, (x, y) in LISTED.items():
+        parted = F.when(F.col("l_partkey") % x == 0, F.concat(id_, F.lit(";Q"))).when(F.col("l_partkey") % y == 0, F.concat(id_, F.lit(",Q"))).otherwise(id_)
+        found.append((name, A.separator(table(spark, d, "lineitem").select(parted.alias("ids")), "ids")))
+    return spark.createDataFrame(found, "name string, sep string")
+
+
 @query("SELECT l_orderkey, string_agg(a, ';' ORDER BY a) AS accession FROM (SELECT DISTINCT l_orderkey, 'Q' || (l_suppkey % 7) AS a FROM lineitem WHERE l_suppkey % 7 < 5) GROUP BY ALL UNION ALL SELECT l_orderkey, NULL FROM lineitem GROUP BY ALL HAVING min(l_suppkey % 7) >= 5")
 def converted_ids(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("gene"), F.col("l_suppkey") % 7))), ";").alias("genes"))
