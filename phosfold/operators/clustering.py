@@ -34,11 +34,18 @@ def distances(rows: DataFrame, item: str, column: str, value: str, most: int = M
 
 
 def _height(method: str) -> tuple[Column, list[Column]]:
-    """Distance of two clusters from what is kept of their members' distances, and how that is merged."""
+    """Distance of two clusters from what is kept of their members' distances, and how that is merged.
+
+    Ward's is the distance of the clusters' centres, from the sums of squared distances between and within them.
+    """
+    if method == "ward":
+        between = F.col("total") / F.col("pairs") - F.col("within_a") / (F.col("n_a") * F.col("n_a")) - F.col("within_b") / (F.col("n_b") * F.col("n_b"))
+        square = F.round(2 * F.col("pairs") / (F.col("n_a") + F.col("n_b")) * between, DIGITS)
+        return F.round(F.sqrt(F.greatest(square, F.lit(0.0))), DIGITS), [F.sum("total").alias("total"), F.sum("pairs").alias("pairs")]
     if method == "average":
         return F.round(F.col("total") / F.col("pairs"), DIGITS), [F.sum("total").alias("total"), F.sum("pairs").alias("pairs")]
     if method not in ("single", "complete"):
-        raise ValueError("linkage is single, complete or average")
+        raise ValueError("linkage is single, complete, average or ward")
     best = F.min if method == "single" else F.max
     return F.round("total", DIGITS), [best("total").alias("total"), F.sum("pairs").alias("pairs")]
 
@@ -47,30 +54,36 @@ def linkage(items: DataFrame, pairs: DataFrame, method: str = "average") -> tupl
     """Merges (left, right, height, size) and leaves (item, position) of the tree over `items` (item) with distances `pairs` (a, b, d), a before b.
 
     A cluster is named after its first item. In each round all clusters that are each other's nearest merge, which
-    for these linkages gives the tree of merging one pair at a time. Equal distances go by the names of the nearer and the
+    for these linkages gives the tree of merging one pair at a time. Ward's asks for Euclidean distances. Equal distances go by the names of the nearer and the
     farther cluster. The child made first is on the left, single items before clusters, and leaves are numbered from the left.
     A round keeps a distance for each pair of clusters and a path of turns for each item.
     """
     height, merged = _height(method)
     spark = items.sparkSession
-    leaves = materialize(items.select(F.col("item").cast("string").alias("item")).where("item is not null").distinct().select("item", F.col("item").alias("name"), F.lit("").alias("path"), F.lit(-1.0).alias("made")), "leaves")
-    near = materialize(pairs.select("a", "b", F.col("d").alias("total"), F.lit(1).cast("long").alias("pairs")), "pairs")
+    leaves = materialize(items.select(F.col("item").cast("string").alias("item")).where("item is not null").distinct().select("item", F.col("item").alias("name"), F.lit("").alias("path"), F.lit(-1.0).alias("made"), F.lit(0.0).alias("within")), "leaves")
+    kept = F.col("d") * F.col("d") if method == "ward" else F.col("d")
+    near = materialize(pairs.select("a", "b", kept.alias("total"), F.lit(1).cast("long").alias("pairs")), "pairs")
     found = []
     while near.take(1):
-        best = F.min(F.struct(height.alias("height"), "a", "b")).alias("best")
-        each = near.withColumn("name", F.explode(F.array("a", "b"))).groupBy("name").agg(best)
-        sizes = leaves.groupBy("name").agg(F.count("*").alias("n"), F.first("made").alias("made"))
+        sizes = leaves.groupBy("name").agg(F.count("*").alias("n"), F.first("made").alias("made"), F.first("within").alias("within"))
+        apart = near
+        if method == "ward":
+            # one row for each cluster
+            for side in "ab":
+                apart = apart.join(F.broadcast(sizes.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("within").alias(f"within_{side}"))), side)
+        best = F.min(F.struct(height.alias("height"), "a", "b", "total")).alias("best")
+        each = apart.withColumn("name", F.explode(F.array("a", "b"))).groupBy("name").agg(best)
         mutual = each.groupBy("best").count().where("count = 2").select("best.*")
-        one, two = (sizes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("made").alias(f"m{c}")) for c in "ab")
+        one, two = (sizes.select(F.col("name").alias(c), F.col("n").alias(f"n{c}"), F.col("made").alias(f"m{c}"), F.col("within").alias(f"w{c}")) for c in "ab")
         first = F.struct("ma", "a") < F.struct("mb", "b")
         merges = materialize(
-            mutual.join(one, "a").join(two, "b").select("a", "b", "height", (F.col("na") + F.col("nb")).alias("size"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("left"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("right")), "merges"
+            mutual.join(one, "a").join(two, "b").select("a", "b", "height", (F.col("na") + F.col("nb")).alias("size"), (F.col("wa") + F.col("wb") + F.col("total")).alias("gained"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("left"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("right")), "merges"
         )
         found.append(merges.select("left", "right", "height", "size"))
         # at most half as many as there are items
-        turned = F.broadcast(merges.select(F.explode(F.array("a", "b")).alias("name"), F.col("a").alias("_to"), "height", "left"))
+        turned = F.broadcast(merges.select(F.explode(F.array("a", "b")).alias("name"), F.col("a").alias("_to"), "height", "left", "gained"))
         turn = F.when(F.col("name") == F.col("left"), "0").otherwise("1")
-        leaves = leaves.join(turned, "name", "left").select("item", F.coalesce("_to", "name").alias("name"), F.when(F.col("_to").isNull(), F.col("path")).otherwise(F.concat(turn, "path")).alias("path"), F.coalesce("height", "made").alias("made"))
+        leaves = leaves.join(turned, "name", "left").select("item", F.coalesce("_to", "name").alias("name"), F.when(F.col("_to").isNull(), F.col("path")).otherwise(F.concat(turn, "path")).alias("path"), F.coalesce("height", "made").alias("made"), F.coalesce("gained", "within").alias("within"))
         leaves = materialize(leaves, "leaves")
         moved = F.broadcast(merges.select(F.col("b").alias("_from"), F.col("a").alias("_to")))
         for side in "ab":

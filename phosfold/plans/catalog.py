@@ -579,15 +579,21 @@ def _gaps(cells: str) -> str:
 
 def _tree(method: str) -> str:
     """Merging one pair at a time over `gap`: rows of pairs with what is kept of their distances, and rows of leaves with their paths."""
-    height, kept = ("total / many", "sum(total)") if method == "average" else ("total", "min(total)")
-    return f"""WITH RECURSIVE st AS (SELECT 0 AS step, TRUE AS pair, a, b, d AS total, 1 AS many, '' AS path, CAST(-1 AS DOUBLE) AS made FROM gap
+    height, kept = ("total / many", "sum(total)") if method in ("average", "ward") else ("total", "min(total)")
+    start, pairs, gained = "d", "st WHERE pair", "total"
+    if method == "ward":
+        # squared distances between clusters on rows of pairs, and within each on its leaves
+        each = "(SELECT b AS k, count(*) AS n, max(total) AS w FROM st WHERE NOT pair GROUP BY b)"
+        start, pairs, gained = "d * d", f"st JOIN {each} u ON a = u.k JOIN {each} v ON b = v.k WHERE pair", "CASE WHEN NOT pair AND b IN (lo, hi) THEN (SELECT sum(w) FROM (SELECT max(total) AS w FROM st WHERE NOT pair AND b IN (lo, hi) GROUP BY b)) + (SELECT max(total) FROM st WHERE pair AND a = lo AND b = hi) ELSE total END"
+        height = f"sqrt(greatest(round(2 * many / (u.n + v.n) * (total / many - u.w / (u.n * u.n) - v.w / (v.n * v.n)), {C.DIGITS}), 0))"
+    return f"""WITH RECURSIVE st AS (SELECT 0 AS step, TRUE AS pair, a, b, {start} AS total, 1 AS many, '' AS path, CAST(-1 AS DOUBLE) AS made FROM gap
     UNION ALL SELECT 0, FALSE, i, i, 0, 1, '', CAST(-1 AS DOUBLE) FROM (SELECT a AS i FROM gap UNION SELECT b FROM gap)
     UNION ALL SELECT step, pair, a, b, {kept}, CAST(sum(many) AS INT), path, made FROM (
-        SELECT step + 1 AS step, pair, CASE WHEN pair THEN least(na, nb) ELSE a END AS a, CASE WHEN pair THEN greatest(na, nb) ELSE nb END AS b, total, many,
+        SELECT step + 1 AS step, pair, CASE WHEN pair THEN least(na, nb) ELSE a END AS a, CASE WHEN pair THEN greatest(na, nb) ELSE nb END AS b, {gained} AS total, many,
             CASE WHEN NOT pair AND b IN (lo, hi) THEN (CASE WHEN (b = lo) = lo_left THEN '0' ELSE '1' END) || path ELSE path END AS path, CASE WHEN NOT pair AND b IN (lo, hi) THEN h ELSE made END AS made
         FROM (SELECT *, CASE WHEN a = hi THEN lo ELSE a END AS na, CASE WHEN b = hi THEN lo ELSE b END AS nb FROM st CROSS JOIN (
             SELECT lo, hi, h, (SELECT max(made) FROM st WHERE NOT pair AND b = lo) < (SELECT max(made) FROM st WHERE NOT pair AND b = hi) OR (SELECT max(made) FROM st WHERE NOT pair AND b = lo) = (SELECT max(made) FROM st WHERE NOT pair AND b = hi) AS lo_left
-            FROM (SELECT x.a AS lo, x.b AS hi, x.h AS h FROM (SELECT min({{'h': round({height}, {C.DIGITS}), 'a': a, 'b': b}}) AS x FROM st WHERE pair)) WHERE h IS NOT NULL)))
+            FROM (SELECT x.a AS lo, x.b AS hi, x.h AS h FROM (SELECT min({{'h': round({height}, {C.DIGITS}), 'a': a, 'b': b}}) AS x FROM {pairs})) WHERE h IS NOT NULL)))
         WHERE NOT pair OR a <> b GROUP BY step, pair, a, b, path, made)
     SELECT a AS item, CAST(row_number() OVER (ORDER BY path, a) AS INT) AS position FROM st WHERE NOT pair AND step = (SELECT max(step) FROM st)"""
 
@@ -614,6 +620,11 @@ def kinase_order(spark, d):
     return C.ordered(materialize(median_cells(spark, d), "medians"), "kinase", "sample", "median_p", "single")
 
 
+@query(f"SELECT * FROM ({_tree('ward')})", *REAL, "medrow", "gap")
+def kinase_order_ward(spark, d):
+    return C.ordered(materialize(median_cells(spark, d), "medians"), "kinase", "sample", "median_p", "ward")
+
+
 @query(f"SELECT * FROM ({_tree('average')})", *RAW, "sim", "simrow", "gap=simgap")
 def sample_order(spark, d):
     rows = materialize(chosen(spark, d), "evidence")
