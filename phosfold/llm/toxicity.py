@@ -13,7 +13,8 @@ with the smallest hashes of doc_id; every document is scored on its whole text.
 Null and empty texts have no terms and get the machine's constant; labels without a document, of a
 null doc_id or a null label are not used, of repeated ones the largest counts, and of documents with
 one id one is learned from; without any label every score is 0.5; repeated rows get equal results;
-an empty table gives an empty table; other columns are ignored.
+an empty table gives an empty table; other columns are ignored. Very long texts go whole: beside the text a
+task holds its words once, and its distinct words and terms.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import materialize
 BUCKETS = 1 << 20
 PREFIXES = (3, 5, 7)
 REMEMBERED = 500_000
+#: Pairs of a seed and a bucket that a task counts before it hands them on.
+PAIRS = 1 << 20
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&/\\-_=+~^`@"
 
 
@@ -101,6 +104,18 @@ def separating_buckets(sample: DataFrame, counts: DataFrame, inputs: int, least:
     return np.array([r[0] for r in best.select("bucket").collect()], np.int64)
 
 
+def added(keys: np.ndarray, n: np.ndarray, new: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key with those of new keys, one each."""
+    if not new:
+        return keys, n
+    more, times = np.unique(np.concatenate(new), return_counts=True)
+    every = np.concatenate([keys, more])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if every.size else np.empty(0, np.int64)
+    return every[first], np.add.reduceat(np.concatenate([n, times])[order], first) if first.size else n
+
+
 def companion_buckets(sample: DataFrame, counts: DataFrame, seeds: np.ndarray, inputs: int, least: int = 6) -> np.ndarray:
     """At most `inputs` buckets that change the odds of documents with some seed, whatever their odds on their own.
 
@@ -115,23 +130,32 @@ def companion_buckets(sample: DataFrame, counts: DataFrame, seeds: np.ndarray, i
     place[common] = np.arange(common.size)
     kept = sample.sparkSession.sparkContext.broadcast((place, place[seeds]))
 
+    def rows(keys, n, wide):
+        pair, hot = keys >> 1, n * (keys & 1)
+        return pa.RecordBatch.from_arrays([pa.array((pair // wide).astype(np.int32)), pa.array((pair % wide).astype(np.int32)), pa.array(n), pa.array(hot)], names=["seed", "bucket", "n", "hot"])
+
     def count(stream):
         place, first = kept.value
-        at = {int(p): i for i, p in enumerate(first)}
-        n, hot = np.zeros((2, len(at), int(place.max()) + 1), np.int32)
+        wide, none = int(place.max()) + 1, np.empty(0, np.int64)
+        keys, n, new, size = none, none, [], 0
         for batch in stream:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = place[np.fromiter(terms(text), np.int64)]
+                own = place[np.fromiter(terms(text), np.int64)].astype(np.int64)
                 own = own[own >= 0]
                 for p in own[np.isin(own, first)].tolist():
-                    n[at[p], own] += 1
-                    if y:
-                        hot[at[p], own] += 1
-        i, j = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(j.astype(np.int32)), pa.array(n[i, j]), pa.array(hot[i, j])], names=["seed", "bucket", "n", "hot"])
+                    # a seed, a bucket and whether the document is toxic
+                    new.append((p * wide + own) * 2 + int(bool(y)))
+                    size += own.size
+                    if size >= PAIRS:
+                        keys, n = added(keys, n, new)
+                        new, size = [], 0
+                        if keys.size >= PAIRS:
+                            yield rows(keys, n, wide)
+                            keys, n = none, none
+        yield rows(*added(keys, n, new), wide)
 
     # the seed beside itself counts the seed's documents
-    pairs = materialize(sample.mapInArrow(count, "seed int, bucket int, n int, hot int").groupBy("seed", "bucket").agg(F.sum("n").alias("n"), F.sum("hot").alias("hot")), "pairs")
+    pairs = materialize(sample.mapInArrow(count, "seed int, bucket int, n long, hot long").groupBy("seed", "bucket").agg(F.sum("n").alias("n"), F.sum("hot").alias("hot")), "pairs")
     whole = pairs.where("seed = bucket").select("seed", F.col("n").alias("all"), F.col("hot").alias("all_hot"))
     beside = pairs.where("seed != bucket").join(F.broadcast(whole), "seed")
     part = lambda o, row, column: F.when(o > 0, o * F.log(o * F.col("all") / (row * column))).otherwise(0.0)
