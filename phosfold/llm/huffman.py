@@ -13,7 +13,8 @@ Encoding with the tokenizer's library depends on words between spaces and line b
 tokenizers that drop white space; so each worker remembers a fixed number of words it has seen.
 
 Null and empty texts have just the end id; rows with equal ids keep one order by their bits; rows
-without an id come first; an empty table gives an empty table; other columns are ignored.
+without an id come first; an empty table gives an empty table; other columns are ignored. A very long text is one document of
+a segment of its own, whose ids and bits a task holds whole.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ LIMIT = 20
 BLOCK = 256
 SEGMENT = 1 << 20
 PART = 32 << 20
+#: Parts whose segments' places are summed up in one task.
+GROUP = 1024
 #: What a tokenizer file must say for words to be encoded apart (fixed values).
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -310,12 +313,11 @@ def read_segments(spark, folder: str) -> DataFrame:
     lengths[code["id"].to_numpy()] = code["bits"].to_numpy()
     stored = spark.read.parquet(f"{folder}/segments")
     sizes = stored.select("part", "segment", F.expr("aggregate(counts, 0L, (a, n) -> a + n)").alias("n"))
-    # one row for each part of some megabytes
-    parts = sorted(tuple(r) for r in sizes.groupBy("part").agg(F.sum("n")).collect())
-    before = dict(zip((p for p, _ in parts), np.cumsum([0, *(n for _, n in parts)]).tolist()))
-    first = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(first), "part")
+    # sums before a segment within its group of parts, and one row for each group, which stands for GROUP * PART bytes of ids
+    sizes = sizes.withColumn("group", F.floor(F.col("part") / GROUP))
+    earlier = lambda window: F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier(Window.orderBy("group")).alias("before"))
+    starts = sizes.withColumn("within", earlier(Window.partitionBy("group").orderBy("part", "segment"))).join(groups, "group")
     starts = starts.select("part", "segment", (F.col("before") + F.col("within")).alias("start"))
     shared = spark.sparkContext.broadcast(lengths)
 
