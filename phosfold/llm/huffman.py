@@ -77,20 +77,23 @@ class WordTokenizer:
 
         Plain words go to the library's model at once, all others through the whole library.
         """
-        known, match, apart, new = self.words, self.tail.match, {}, set()
+        known, match, plain, merge = self.words, self.tail.match, self.plain, self.model.tokenize
+        apart, stems, rest = {}, set(), set()
         for w in words:
             m = match(w)
-            if m and self.plain(m[1]):
-                apart[w] = m.groups()
-                new.update(p for p in m.groups() if p not in known)
+            if m and plain(m[1]):
+                apart[w] = stem, marks = m.groups()
+                if stem not in known:
+                    stems.add(stem)
+                if marks not in known:
+                    rest.add(marks)
+            elif plain(w):
+                stems.add(w)
             else:
-                new.add(w)
-        found, odd, merge = {}, [], self.model.tokenize
-        for w in new:
-            if self.plain(w):
-                found[w] = array(self.code, [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            else:
-                odd.append(w)
+                rest.add(w)
+        found, odd = {}, list(rest)
+        for w in stems:
+            found[w] = array(self.code, [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]).tobytes()
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
             found[w] = array(self.code, e.ids).tobytes()
         for w, b in found.items():
@@ -113,13 +116,15 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.lowered(t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        get = self.words.get
-        found = [list(map(get, ws)) for ws in split]
-        missed = {w for ws, fs in zip(split, found) if None in fs for w, f in zip(ws, fs) if f is None}
-        if missed:
-            new = self.learn(missed)
-            found = [[new[w] if f is None else f for w, f in zip(ws, fs)] if None in fs else fs for ws, fs in zip(split, found)]
-        return [np.frombuffer(b"".join(fs), self.kind) for fs in found]
+        known = self.words
+        new = self.learn(set().union(*split).difference(known))
+        # words beyond what is remembered stay for these texts only
+        passing = [w for w in new if w not in known]
+        known.update((w, new[w]) for w in passing)
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, ws)), self.kind) for ws in split]
+        for w in passing:
+            del known[w]
+        return ids
 
 
 _LOADED: dict[str, WordTokenizer] = {}
