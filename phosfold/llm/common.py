@@ -8,9 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text that a task works on at once, beside one text.
+TEXT_AT_ONCE = 1 << 22
+
 _LOCAL: dict[str, str] = {}
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -49,6 +53,17 @@ def batches(columns: dict[str, pa.DataType], rows: Callable[[pa.RecordBatch], It
     return run
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of at most TEXT_AT_ONCE bytes of the texts in `column`, beside the first text of each.
+
+    Spark bounds the rows of an Arrow batch and not their bytes.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = (np.flatnonzero(np.diff(ends // TEXT_AT_ONCE)) + 1).tolist()
+    for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+        yield batch.slice(i, j - i)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least `n` powers of an odd base and of its inverse, modulo 2**64, for hashes of all stretches from prefix sums."""
     if _POWERS.get("up", np.empty(0)).size < n:

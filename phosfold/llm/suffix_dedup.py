@@ -28,6 +28,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, in_filter, key_filter, materialize
+from .common import batches, in_filter, key_filter, materialize, slices
 
 STARTS_AT_ONCE = 1 << 19
 #: Rounds of prefix doubling; the first width is the length divided by 2 ** ROUNDS.
@@ -171,23 +172,28 @@ def _file(texts, length: int, k: int, hot: np.ndarray | None):
 
 
 def _distinct_texts(batch: pa.RecordBatch, length: int):
-    """Each distinct text of a batch once, with weight 2 if it is there more than once."""
-    found: dict[tuple[int, int], list] = {}
-    for t in batch.column(0).to_pylist():
-        raw = (t or "").encode()
-        if len(raw) >= length:
-            found.setdefault(digest(raw), [raw, 0])[1] += 1
-    for (d, w), (raw, c) in found.items():
-        yield raw, d, w, 0, min(c, 2)
+    """The texts of each slice that no earlier row of the batch has, with weight 2 if the batch holds them more than once."""
+
+    def raws():
+        for part in slices(batch, 0):
+            yield [(t or "").encode() for t in part.column(0).to_pylist()]
+
+    count = Counter(digest(raw) for part in raws() for raw in part if len(raw) >= length)
+    for part in raws():
+        keyed = ((raw, digest(raw)) for raw in part if len(raw) >= length)
+        yield [(raw, *key, 0, min(c, 2)) for raw, key in keyed if (c := count.pop(key, 0))]
 
 
 def _scan(texts: DataFrame, length: int, k: int, hot=None) -> DataFrame:
     def rows(batch):
+        for texts in _distinct_texts(batch, length):
+            yield from filed(texts)
+
+    def filed(texts):
         if hot is None:
-            yield _once(_file(_distinct_texts(batch, length), length, k, None))
+            yield _once(_file(texts, length, k, None))
             return
         # the first of equal runs, with their bytes, which are cut out as rows are handed on
-        texts = list(_distinct_texts(batch, length))
         found = _file(texts, length, k, hot.value)
         if not found["a"].size:
             return
@@ -324,7 +330,7 @@ def _with_spans(docs: DataFrame, text_col: str, length: int, filter_bits: int) -
     d_col, w_col, may_col, spans_col = ("_" * mark_at + n for n in ("d", "w", "may", "spans"))
 
     def mark(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, text_at)):
             keys = [digest((t or "").encode()) for t in batch.column(text_at).to_pylist()]
             d, w = pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32())
             may = pa.array(in_filter(some.value, d.to_numpy())) if len(keys) else pa.array([], pa.bool_())
@@ -342,7 +348,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, f
     at = hit.columns.index(text_col)
 
     def cut(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, at)):
             texts = []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if spans:
@@ -369,7 +375,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
 
     def report(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, 1)):
             out = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, last, h = memoryview((text or "").encode()), 0, hashlib.sha256()

@@ -7,11 +7,12 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from phosfold.llm import common, decontaminate, huffman, interleave, near_copies, quality, sharding, simhash, toxicity, url_rules
+from phosfold.llm import common, decontaminate, huffman, interleave, near_copies, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 
 ROOT = Path(__file__).resolve().parents[2]
 ITEM = "the seventh keeper of the lighthouse counted every ship that passed the harbour twice before supper"
@@ -113,6 +114,57 @@ def test_shards(rows):
     assert (got[2].size, got[2].text_crc32) == (len(LONG.encode()) + 8, zlib.crc32(LONG.encode()))
 
 
+def test_slices_by_bytes(monkeypatch):
+    texts = ["é" * 30, None, "", "a" * 500, *["b" * 10] * 20, "c" * 130, ""]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})
+    for most in (1, 50, 100, 1 << 20):
+        monkeypatch.setattr(common, "TEXT_AT_ONCE", most)
+        parts = list(common.slices(batch, 1))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+        assert all(sum(len((t or "").encode()) for t in p.column(1).to_pylist()[1:]) <= most for p in parts)
+    assert [p.num_rows for p in common.slices(batch.slice(0, 0), 1)] == [0]
+
+
+def test_repeats_over_slices(spark):
+    """Passages and copies that meet only in other slices of a batch are found all the same."""
+    passage, rng = "a passage that stands in several texts of a batch " * 5, np.random.default_rng(1)
+    words = lambda: " ".join(map(str, rng.integers(0, 10**9, 60_000)))
+    texts = [words() + chr(65 + i) + passage * (i % 5 == 0) + chr(77 + i) + words() for i in range(12)]
+    assert sum(map(len, texts)) > 3 * common.TEXT_AT_ONCE
+    docs = spark.createDataFrame([*enumerate([*texts, texts[4], None, ""])], "doc_id long, text string").coalesce(1)
+    want = {i: (len(passage), 1) if i % 5 == 0 else (len(texts[4]), 1) if i == 4 else (0, 0) for i in range(12)} | {12: (len(texts[4]), 1), 13: (0, 0), 14: (0, 0)}
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.removal_report(docs, filter_bits=16).collect()} == want
+    left = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs, filter_bits=16).collect()}
+    assert left == {i: t.replace(passage, "") for i, t in enumerate(texts)} | {4: "", 12: "", 13: None, 14: ""}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_memory_beside_a_batch(hot):
+    """What a task takes for the scans doesn't grow with the bytes of a batch."""
+    code = f"""
+import resource
+import numpy as np
+import pyarrow as pa
+from types import SimpleNamespace
+from phosfold.llm import suffix_dedup
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+scan = suffix_dedup._scan(SimpleNamespace(mapInArrow=lambda f, _: f), 200, 100, SimpleNamespace(value=suffix_dedup._ALL) if {hot} else None)
+words = np.random.default_rng(0).integers(0, 10**9, 4_000_000).astype(str)
+batch = lambda n: pa.RecordBatch.from_pydict({{"text": pa.array([" ".join(words[i : i + 400]) for i in range(0, n, 400)], pa.string())}})
+small, large = batch(400_000), batch(4_000_000)
+for _ in scan(iter([small])):
+    pass
+before = used()
+for _ in scan(iter([large])):
+    pass
+print(large.nbytes / 1e6, used() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr
+    size, more = map(float, run.stdout.split())
+    assert size > 38 and more < 60
+
+
 @pytest.mark.parametrize(("call", "most"), [("simhash.fingerprint(text)", 25), ("near_copies.shingles(text)", 25), ("huffman.tokenizer(huffman.word_vocabulary()).encode([text])", 40), ("decontaminate.normal(text)", 15), ("toxicity.terms(text)", 15)])
 def test_memory_beside_a_text(call, most):
     """At most so many bytes for each byte of a text of words, beside what a small text takes."""
