@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 NONE = 1 << 62
 SHIFT = 20
 REMEMBERED = 500_000
@@ -95,6 +97,11 @@ class Encoder:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
         self.odd, self.gap = re.compile(r"\s"), regex.compile(r"\P{White_Space}\p{White_Space}")
 
+    def forget(self) -> None:
+        """Lets go of what is remembered."""
+        self.words.clear()
+        self.chunks.clear()
+
     def merge(self, ids: list[int]) -> list[int]:
         """Merges by rank, leftmost first, within one window."""
         get = self.v.pairs.get
@@ -279,12 +286,14 @@ def token_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row."""
 
     def run(stream):
-        for batch in stream:
-            coder = encoder(path)
-            decimals = list(map(str, range(coder.v.size)))
+        coder = encoder(path)
+        decimals = list(map(str, range(coder.v.size)))
+        for batch in (part for whole in stream for part in slices(whole, 1)):
             out = [round_trip(t, coder, decimals) for t in batch.column(1).to_pylist()]
             arrays = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        # a worker serves other stages as well, beside which the remembered words would lie
+        coder.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

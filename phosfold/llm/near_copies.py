@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, slices
 from .simhash import SALTS, _forest, links, majority
 
 WIDTH, ALIKE = 5, (4, 5)
@@ -80,7 +80,7 @@ def _grouped(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """(id, node) of each row, and (node, root, best) of each node, where best holds the node's first row by (id is null, id, h)."""
 
     def sketch(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, 2)):
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             # the fingerprint is one more key: equal ones propose each other
             fps = np.array([majority([s]) for s in sets], np.uint64).view(np.int64)
@@ -105,7 +105,7 @@ def _grouped(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     member = materialize(member.join(parts, "g").select("node", "g", "n", "h"), "members")
 
     def load(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, 3)):
             sets = [shingles(t) for t in batch.column(3).to_pylist()]
             right = pa.array([node(s) == k for s, k in zip(sets, batch.column(0).to_pylist())], pa.bool_())
             held = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
@@ -153,7 +153,7 @@ def keep_one(docs: DataFrame, block: int = 1 << 21) -> DataFrame:
     def unlike(stream):
         for batch in stream:
             _, at = np.unique(batch.column(2).to_numpy(), return_index=True)
-            yield batch.take(pa.array(np.sort(at)))
+            yield batch if at.size == batch.num_rows else batch.take(pa.array(np.sort(at)))
 
     nobody = F.lit(-(1 << 63))
     rows = _rows(docs).select("row", F.coalesce("id", nobody).alias("k"), "h")

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .toxicity import held_out, labelled_sample
 
 LETTER, CAPITAL, DIGIT, SPACE, STOP, BAR, BANG, SYMBOL, WIDE, OTHER, BREAK = range(11)
@@ -328,7 +329,7 @@ def keep_good(docs: DataFrame, field: Field, threshold: float, text_col: str = "
     shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index(text_col)
 
     def run(stream):
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, at)):
             yield batch.filter(pa.array([s >= threshold for s in shared.value.scores(batch.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from phosfold.llm import common, decontaminate, huffman, interleave, near_copies, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
+from phosfold.llm import bpe, common, decontaminate, huffman, interleave, near_copies, quality, sharding, simhash, suffix_dedup, toxicity, url_rules
 
 ROOT = Path(__file__).resolve().parents[2]
 ITEM = "the seventh keeper of the lighthouse counted every ship that passed the harbour twice before supper"
@@ -138,6 +138,26 @@ def test_repeats_over_slices(spark):
     assert left == {i: t.replace(passage, "") for i, t in enumerate(texts)} | {4: "", 12: "", 13: None, 14: ""}
 
 
+def test_tokens_let_go_of_words(spark):
+    """A worker that goes on to other stages keeps no words of the last one."""
+    docs = spark.createDataFrame([(1, "remembered words of a text"), (2, None)], "doc_id long, text string").coalesce(1)
+
+    class Held:
+        def mapInArrow(self, call, _):
+            return call
+
+        def select(self, *_):
+            return self
+
+        schema = docs.schema
+
+    path = bpe.byte_vocabulary()
+    call = bpe.token_report(Held(), path)
+    out = list(call(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": pa.array(["remembered words of a text", None])})])))
+    assert out[0].to_pydict()["n_tokens"] == [r.n_tokens for r in bpe.token_report(docs, path).orderBy("doc_id").collect()]
+    assert not bpe.encoder(path).words and not bpe.encoder(path).chunks
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_memory_beside_a_batch(hot):
     """What a task takes for the scans doesn't grow with the bytes of a batch."""
