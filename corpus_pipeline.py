@@ -41,7 +41,8 @@ def without_benchmark(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    return bpe.token_report(docs, bpe.byte_vocabulary())
+    # workers serve the other stages as well, beside which remembered words would lie
+    return bpe.token_report(docs, bpe.byte_vocabulary(), forget=True)
 
 
 STAGES = [

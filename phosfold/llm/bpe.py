@@ -282,8 +282,8 @@ def decode_ids(tokens: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def token_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row."""
+def token_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row; with `forget`, workers keep no words after a task."""
 
     def run(stream):
         coder = encoder(path)
@@ -292,8 +292,8 @@ def token_report(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             out = [round_trip(t, coder, decimals) for t in batch.column(1).to_pylist()]
             arrays = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        # a worker serves other stages as well, beside which the remembered words would lie
-        coder.forget()
+        if forget:
+            coder.forget()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
