@@ -40,10 +40,12 @@ from pyspark.sql import types as T
 from .common import batches, in_filter, key_filter, materialize, slices
 
 STARTS_AT_ONCE = 1 << 19
+#: Bytes of short texts that are named together, one after another: arrays that stay in a core's cache.
+BYTES_AT_ONCE = 1 << 15
 #: Rounds of prefix doubling; the first width is the length divided by 2 ** ROUNDS.
 ROUNDS = 3
-#: Arrays of rank pairs that a task holds before it hands them on.
-PAIRS_AT_ONCE = 1 << 10
+#: Runs whose first rank pairs a task makes at once.
+RUNS_AT_ONCE = 1 << 8
 #: Runs with their bytes that a task holds before it hands them on.
 ROWS_AT_ONCE = 1 << 12
 _U = np.uint64
@@ -51,14 +53,16 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _tables(n: int):
-    """Random byte values and the powers of an odd base and of its inverse, modulo 2**64."""
+    """Random byte values, the powers of an odd base and of its inverse, modulo 2**64, places, and two arrays to work in."""
     if _POWERS.get("up", np.empty(0)).size < n:
         size = 1 << max(16, n.bit_length())
         base = 0x9E3779B97F4A7C15
         _POWERS["bytes"] = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
         _POWERS["up"] = np.cumprod(np.full(size, base, _U))
         _POWERS["down"] = np.cumprod(np.full(size, pow(base, -1, 1 << 64), _U))
-    return _POWERS["bytes"], _POWERS["up"], _POWERS["down"]
+        _POWERS["at"] = np.arange(size, dtype=_U)
+        _POWERS["work"] = np.empty((2, size), _U)
+    return _POWERS["bytes"], _POWERS["up"], _POWERS["down"], _POWERS["at"], _POWERS["work"]
 
 
 def names(raw: bytes | memoryview, k: int) -> np.ndarray:
@@ -66,33 +70,50 @@ def names(raw: bytes | memoryview, k: int) -> np.ndarray:
     n = len(raw)
     if n < k:
         return np.empty(0, _U)
-    values, up, down = _tables(n)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(values[np.frombuffer(raw, np.uint8)] * up[:n], out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * down[: n - k + 1]
-    h ^= h >> _U(29)
+    values, up, down, _, work = _tables(n)
+    sums = np.take(values, np.frombuffer(raw, np.uint8), mode="clip", out=work[0, :n])
+    sums *= up[:n]
+    np.cumsum(sums, out=sums)
+    h = sums[k - 1 :].copy()
+    h[1:] -= sums[: n - k]
+    h *= down[: n - k + 1]
+    high = work[1, : h.size]
+    h ^= np.right_shift(h, _U(29), out=high)
     h *= _U(0xBF58476D1CE4E5B9)
-    h ^= h >> _U(32)
+    h ^= np.right_shift(h, _U(32), out=high)
     return h
 
 
-def runs(raw: bytes | memoryview, length: int, k: int):
-    """(name, first start, number of starts) of the runs of `length`-byte strings that share their sampled k-byte substring."""
+def runs(raw: bytes | memoryview, length: int, k: int, sizes: np.ndarray | None = None):
+    """(name, first start, number of starts) of the runs of `length`-byte strings that share their sampled k-byte substring.
+
+    With `sizes`, `raw` is texts of so many bytes, at least `length`, one after another, and runs end with their text.
+    """
     h = names(raw, k)
     w = length - k + 1
     many = h.size - w + 1
     if many < 1:
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    if w == 1:
-        return h, np.arange(many), np.ones(many, np.int64)
+    *_, at, work = _tables(len(raw))
     # hash above, position below: the smallest hash wins, the leftmost of equal ones
-    keyed = (h & ~_U(0xFFFFF)) | np.arange(h.size, dtype=_U)
-    keyed = np.concatenate([keyed, np.full(-h.size % w, ~_U(0))]).reshape(-1, w)
-    ahead = np.minimum.accumulate(keyed, axis=1).ravel()
-    back = np.minimum.accumulate(keyed[:, ::-1], axis=1)[:, ::-1].ravel()
-    at = (np.minimum(back[:many], ahead[w - 1 : w - 1 + many]) & _U(0xFFFFF)).astype(np.int64)
-    new = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return h[at[new]], new, np.diff(np.append(new, many))
+    least, other = work[:, : h.size]
+    np.bitwise_and(h, ~_U(0xFFFFF), out=least)
+    least |= at[: h.size]
+    width = 1
+    while width < w:
+        step = min(width, w - width)
+        least, other = np.minimum(least[:-step], least[step:], out=other[: least.size - step]), least
+        width += step
+    ends = np.array([len(raw)]) if sizes is None else np.cumsum(sizes)
+    new = np.ones(many, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[ends[:-1]] = True
+    start = np.flatnonzero(new)
+    stop = ends[np.searchsorted(ends, start, side="right")] - (length - 1)
+    inside = start < stop
+    start, stop = start[inside], stop[inside]
+    stop[:-1] = np.minimum(stop[:-1], start[1:])
+    return h[(least[start] & _U(0xFFFFF)).astype(np.int64)], start, stop - start
 
 
 def pieces(raw: bytes, length: int):
@@ -101,6 +122,20 @@ def pieces(raw: bytes, length: int):
         yield at, memoryview(raw)[at : at + STARTS_AT_ONCE + length - 1]
 
 
+def _stretches(texts, length: int):
+    """Groups of (number of the text, offset, bytes): short texts together, pieces of long texts alone or with them."""
+    held, size = [], 0
+    for nth, (raw, *_) in enumerate(texts):
+        for at, part in pieces(raw, length):
+            held.append((nth, at, part))
+            size += len(part)
+            if size >= BYTES_AT_ONCE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def digest(raw: bytes) -> tuple[int, int]:
     """A digest of 64 and 23 bits."""
     d = xxhash.xxh3_128_intdigest(raw)
@@ -152,22 +187,29 @@ def _once(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 def _file(texts, length: int, k: int, hot: np.ndarray | None):
     """Runs of a batch of (bytes, digest, digest bits, start, weight); with `hot`, only those of names in it, and with the places of their bytes."""
     out = {c: [] for c in [*_RUN, *(["of", "i", "j"] if hot is not None else [])]}
-    for nth, (raw, d, w, base, c) in enumerate(texts):
-        for at, part in pieces(raw, length):
-            a, s, n = runs(part, length, k)
-            if hot is not None:
-                hit = in_filter(hot, a)
-                a, s, n = a[hit], s[hit], n[hit]
-            to = (s + n + (length - 1)).tolist()
-            where = s.tolist()
-            out["a"].append(a.view(np.int64))
-            out["x"].append(np.array([xxhash.xxh3_64_intdigest(part[i:j]) for i, j in zip(where, to)], _U).view(np.int64))
-            out["d"].append(np.full(a.size, d, np.int64))
-            out["pk"].append(_pack(w, n, s + (at + base)))
-            out["c"].append(np.full(a.size, c, np.int32))
-            if hot is not None:
-                for name, v in (("of", np.full(a.size, nth)), ("i", s + at), ("j", s + at + n + (length - 1))):
-                    out[name].append(v)
+    d, w, base, c = (np.array([t[i] for t in texts], np.int64) for i in range(1, 5))
+    hashed = xxhash.xxh3_64_intdigest
+    for held in _stretches(texts, length):
+        raw = b"".join([part for *_, part in held])
+        sizes = np.array([len(part) for *_, part in held])
+        a, s, n = runs(raw, length, k, sizes)
+        if hot is not None:
+            hit = in_filter(hot, a)
+            a, s, n = a[hit], s[hit], n[hit]
+        to = s + n + (length - 1)
+        ends = np.cumsum(sizes)
+        stretch = np.searchsorted(ends, s, side="right")
+        of = np.array([nth for nth, *_ in held])[stretch]
+        # from places in the group to places in the text
+        shift = (np.array([at for _, at, _ in held]) - ends + sizes)[stretch]
+        out["a"].append(a.view(np.int64))
+        out["x"].append(np.array([hashed(raw[i:j]) for i, j in zip(s.tolist(), to.tolist())], _U).view(np.int64))
+        out["d"].append(d[of])
+        out["pk"].append(_pack(w[of], n, s + shift + base[of]))
+        out["c"].append(c[of].astype(np.int32))
+        if hot is not None:
+            for name, v in (("of", of), ("i", s + shift), ("j", to + shift)):
+                out[name].append(v)
     return {c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in out.items()}
 
 
@@ -176,11 +218,11 @@ def _distinct_texts(batch: pa.RecordBatch, length: int):
 
     def raws():
         for part in slices(batch, 0):
-            yield [(t or "").encode() for t in part.column(0).to_pylist()]
+            yield [t for t in part.column(0).cast(pa.large_binary()).to_pylist() if t and len(t) >= length]
 
-    count = Counter(digest(raw) for part in raws() for raw in part if len(raw) >= length)
+    count = Counter(digest(raw) for part in raws() for raw in part)
     for part in raws():
-        keyed = ((raw, digest(raw)) for raw in part if len(raw) >= length)
+        keyed = ((raw, digest(raw)) for raw in part)
         yield [(raw, *key, 0, min(c, 2)) for raw, key in keyed if (c := count.pop(key, 0))]
 
 
@@ -238,22 +280,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 200, f
     columns = _RUN | {"open": pa.bool_(), "content": pa.binary()}
 
     def again(batch):
-        for d, pk, content, is_open in zip(*(batch.column(c).to_pylist() for c in ("d", "pk", "content", "open"))):
-            rows = _file([(content, d, pk >> 40 & 0x7FFFFF, pk & 0xFFFFFFFF, 1 if is_open else 2)], length, most, _ALL)
-            cut = [content[i:j] for i, j in zip(rows.pop("i").tolist(), rows.pop("j").tolist())]
-            yield {c: rows[c].tolist() for c in _RUN} | {"open": [is_open] * len(cut), "content": cut}
-
-    def joined(batch):
-        held: dict[str, list] = {c: [] for c in columns}
-        for part in again(batch):
-            for c, v in held.items():
-                v += part[c]
-            if len(held["a"]) >= ROWS_AT_ONCE:
-                yield held
-                held = {c: [] for c in columns}
-        yield held
-
-    second = _graded(second_in.mapInArrow(batches(columns, joined), "a long, x long, d long, pk long, c int, open boolean, content binary"))
+        for part in (batch.slice(at, ROWS_AT_ONCE) for at in range(0, batch.num_rows, ROWS_AT_ONCE)):
+            content, d, pk, is_open = (part.column(c).to_pylist() for c in ("content", "d", "pk", "open"))
+            texts = [(raw, i, p >> 40 & 0x7FFFFF, p & 0xFFFFFFFF, 1 if once else 2) for raw, i, p, once in zip(content, d, pk, is_open)]
+            rows = _file(texts, length, most, _ALL)
+            of, i, j = (rows.pop(c) for c in ("of", "i", "j"))
+            for at in range(0, of.size, ROWS_AT_ONCE):
+                some = slice(at, at + ROWS_AT_ONCE)
+                spans = zip(of[some].tolist(), i[some].tolist(), j[some].tolist())
+                yield {c: rows[c][some] for c in _RUN} | {"open": rows["c"][some] == 1, "content": [content[t][i:j] for t, i, j in spans]}
+
+    second = _graded(second_in.mapInArrow(batches(columns, again), "a long, x long, d long, pk long, c int, open boolean, content binary"))
     nth = F.row_number().over(Window.partitionBy("a", "x").orderBy(F.desc("whole"), "d", "pk"))
     second = second.where("(whole and open) or split").withColumn("nth", nth).withColumn("run", F.monotonically_increasing_id())
     second = materialize(second, "runs")
@@ -285,18 +322,20 @@ def _doubled(left: DataFrame, length: int) -> DataFrame:
     columns = {"id": pa.int64(), "r1": pa.int64(), "r2": pa.int64()}
 
     def first_pairs(batch):
-        out = {c: [np.empty(0, np.int64)] for c in columns}
-        for run, content, is_open in zip(*(batch.column(c).to_pylist() for c in ("run", "content", "open"))):
-            h, n = names(content, width).view(np.int64), len(content) - length + 1
-            start = (run << 13) + (np.arange(n) << 4) + (8 if is_open else 0)
-            for part in range(len(at) // 2):
-                out["id"].append(start + part)
-                for c, o in (("r1", at[2 * part]), ("r2", at[2 * part + 1])):
-                    out[c].append(h[o : o + n])
-            if len(out["id"]) > PAIRS_AT_ONCE:
-                yield {c: np.concatenate(v) for c, v in out.items()}
-                out = {c: [np.empty(0, np.int64)] for c in columns}
-        yield {c: np.concatenate(v) for c, v in out.items()}
+        for part in (batch.slice(i, RUNS_AT_ONCE) for i in range(0, batch.num_rows, RUNS_AT_ONCE)):
+            content = part.column("content").to_pylist()
+            h, sizes = names(b"".join(content), width).view(np.int64), np.array([len(c) for c in content])
+            n = sizes - (length - 1)
+            of = np.repeat(np.arange(n.size), n)
+            j = np.arange(of.size) - (np.cumsum(n) - n)[of]
+            place = (np.cumsum(sizes) - sizes)[of] + j
+            run, is_open = (part.column(c).to_numpy(zero_copy_only=False)[of] for c in ("run", "open"))
+            start = (run << 13) + (j << 4) + 8 * is_open
+            yield {
+                "id": np.concatenate([start + p for p in range(len(at) // 2)]),
+                "r1": np.concatenate([h[place + o] for o in at[::2]]),
+                "r2": np.concatenate([h[place + o] for o in at[1::2]]),
+            }
 
     pairs, by_pair = left.mapInArrow(batches(columns, first_pairs), "id long, r1 long, r2 long"), Window.partitionBy("r1", "r2")
     for more in range(ROUNDS - 1, -1, -1):

@@ -9,6 +9,7 @@ import statistics
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -191,6 +192,50 @@ def test_runs_cover_every_start(monkeypatch):
     assert [at for at, _ in suffix_dedup.pieces(b"x" * 450, 200)] == [0, 100, 200]
 
 
+@pytest.mark.parametrize("keys", [None, 1 << 63, ~0])
+def test_short_texts_are_filed_together(monkeypatch, keys):
+    """A group of short texts is named at once and files what each text files alone."""
+    rng, calls, names = random.Random(4), [], suffix_dedup.names
+    hot = None if keys is None else np.array([keys & (1 << 64) - 1], np.uint64)
+    raws = [bytes(rng.choice((b"a", b"ab", bytes(range(256)))[i % 3]) for _ in range(rng.choice((200, 201, 300, 399)))) for i in range(600)]
+    texts = [(raw, *suffix_dedup.digest(raw), rng.choice((0, 7)), rng.choice((1, 2))) for raw in raws]
+    monkeypatch.setattr(suffix_dedup, "names", lambda raw, k: calls.append(len(raw)) or names(raw, k))
+    for k in (100, 180, 200):
+        calls.clear()
+        found = suffix_dedup._file(texts, 200, k, hot)
+        assert sum(calls) == sum(map(len, raws)) and len(calls) <= 1 + sum(calls) // suffix_dedup.BYTES_AT_ONCE
+        alone = [suffix_dedup._file([t], 200, k, hot) for t in texts]
+        if hot is not None:
+            for i, one in enumerate(alone):
+                one["of"] = one["of"] + i
+        assert all(np.array_equal(v, np.concatenate([one[c] for one in alone])) for c, v in found.items()) and found["a"].size
+
+
+def test_first_rank_pairs_are_made_together(spark, monkeypatch):
+    """The runs of a batch are named a group at a time, and a run's pairs lie in it."""
+    rng, calls, names = random.Random(5), [], suffix_dedup.names
+    rows = [(i, bytes(rng.choice(b"ab") for _ in range(rng.randint(13, 30))), i % 3 > 0) for i in range(600)]
+    monkeypatch.setattr(suffix_dedup, "names", lambda raw, k: calls.append(1) or names(raw, k))
+
+    class Left:
+        def mapInArrow(self, call, _):
+            self.call = call
+            return spark.createDataFrame([], "id long, r1 long, r2 long")
+
+    suffix_dedup._doubled(left := Left(), 13)
+    batch = pa.RecordBatch.from_pydict({"run": [r[0] for r in rows], "content": pa.array([r[1] for r in rows], pa.binary()), "open": [r[2] for r in rows]})
+    got = {i: (r1, r2) for b in left.call(iter([batch])) for i, r1, r2 in zip(*b.to_pydict().values())}
+    assert len(calls) <= 1 + len(rows) // suffix_dedup.RUNS_AT_ONCE
+    at = [sum(o for b, o in enumerate(suffix_dedup.offsets(13)) if p >> b & 1) for p in range(8)]
+    want = {}
+    for run, raw, is_open in rows:
+        h = names(raw, 2).view(np.int64)
+        for j in range(len(raw) - 12):
+            for p in range(4):
+                want[(run << 13) + (j << 4) + 8 * is_open + p] = (h[j + at[2 * p]], h[j + at[2 * p + 1]])
+    assert got == want
+
+
 def test_bpe(spark, odd, none, docs):
     from tokenizers import Tokenizer
 
