@@ -109,7 +109,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges(u, v)` that is not its component's smallest node.
 
     Alternating large-star and small-star steps turn each component into a star; every round is
-    written to the shared folder, and the number of rounds grows with the logarithm of a component.
+    written to the shared folder, and the number of rounds grows with the logarithm of a component. A round is kept to
+    five exchanges by joins that Spark can split, as the driver keeps books for every task of a stage.
     """
     spark = edges.sparkSession
     e = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -120,10 +121,18 @@ def components(edges: DataFrame) -> DataFrame:
         if sign == seen or not sign[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = sign
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        small = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+        # as u > v, a node's smaller neighbours are all it needs to know, and each edge is moved once
+        e = materialize(small_star(large_star(e)).distinct(), "edges")
+
+
+def large_star(e: DataFrame) -> DataFrame:
+    """Each edge (u, v) of `e`, u > v, leads from u to the smallest node beside v, v itself included."""
+    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+    return e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+
+
+def small_star(e: DataFrame) -> DataFrame:
+    """Edges from each node of `e`, u > v, and from its smaller neighbours to the smallest of these."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    ends = F.array(*[F.struct(F.col(c).alias("u"), F.col("m").alias("v")) for c in ("u", "v")])
+    return e.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u != v")

@@ -9,7 +9,8 @@ weighted by the lines' lengths, give a document's share of good text; a logistic
 same rows turns it into the score.
 
 The field is fitted on whole documents, at most `most_rows` labelled rows of at most `most_bytes` and `most_lines`
-in all, those with the smallest hashes of doc_id; every document is scored on all its lines.
+in all, those with the smallest hashes of doc_id; every document is scored on all its lines. Tasks describe the lines
+of these rows, and the driver, which fits the field, gets `OWN` numbers and a length for each line and no text.
 
 A text of very many lines goes through in slices of lines with one line of overlap: forward values are kept
 where slices begin, and backward values meet them from the last slice on. Beside the text this holds a slice's features and
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import batches, slices
 from .toxicity import held_out, labelled_sample
 
 LETTER, CAPITAL, DIGIT, SPACE, STOP, BAR, BANG, SYMBOL, WIDE, OTHER, BREAK = range(11)
@@ -90,8 +91,8 @@ def _beside(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.hstack([own, before, behind, edge])
 
 
-def line_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of all lines, their lengths, first line of each document and the end)."""
+def own_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all lines without their neighbours', their lengths, first line of each document and the end)."""
     lines, again, first = [], [], [0]
     for raw in raws:
         split = raw.split(b"\n")
@@ -104,11 +105,19 @@ def line_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             again += [seen[s] > 1 and len(s) > 0 for s in split]
         else:
             again += [False] * len(split)
-    first = np.array(first, np.int64)
-    own, length = _own(lines, np.array(again, np.float64))
+    return *_own(lines, np.array(again, np.float64)), np.array(first, np.int64)
+
+
+def line_features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of all lines, their lengths, first line of each document and the end)."""
+    own, length, first = own_features(raws)
     return _beside(own, first), length, first
 
 
+#: Features of a line without its neighbours'.
+OWN = own_features([b""])[0].shape[1]
+
+
 def _slices(raw: bytes):
     """The lines of a text, LINES at a time or what SLICE bytes hold."""
     at = 0
@@ -246,8 +255,14 @@ class Field:
     def fit(self, texts: list[str], y: np.ndarray, rounds: int = 120, rate: float = 0.1, shrink: float = 1e-4, passes: int = 2) -> Field:
         if not texts:
             return self
-        x, length, first = line_features([(t or "").encode() for t in texts])
-        of = np.repeat(np.arange(len(texts)), np.diff(first))
+        return self.fit_lines(*own_features([(t or "").encode() for t in texts]), y, rounds, rate, shrink, passes)
+
+    def fit_lines(self, own: np.ndarray, length: np.ndarray, first: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1, shrink: float = 1e-4, passes: int = 2) -> Field:
+        """`fit` from what `own_features` gives of the texts."""
+        if first.size < 2:
+            return self
+        x = _beside(own, first)
+        of = np.repeat(np.arange(first.size - 1), np.diff(first))
         state = y[of].astype(np.int64)
         for turn in range(passes):
             self._climb(x, state, first, rounds, rate, shrink)
@@ -307,9 +322,24 @@ class Field:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: Column, most_rows: int = 6_000, most_bytes: int = 64 << 20, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_lines: int = 1 << 18) -> Field:
     """A field fitted on a bounded sample of the labelled rows."""
-    table = labelled_sample(docs, labels, label, train_rows, most_rows, most_bytes, id_col, text_col, most_lines).toArrow()
+    table = described(labelled_sample(docs, labels, label, train_rows, most_rows, most_bytes, id_col, text_col, most_lines)).toArrow().combine_chunks()
+    own, length = (np.concatenate([np.empty(0), *(c.flatten().to_numpy() for c in table[name].chunks)]) for name in ("own", "length"))
+    first = np.concatenate([[0], np.cumsum(table["lines"].to_numpy())])
     field = Field(line_features([b""])[0].shape[1])
-    return field.fit(table["text"].to_pylist(), table["y"].to_numpy().astype(np.float64))
+    return field.fit_lines(own.reshape(-1, OWN), length, first, table["y"].to_numpy().astype(np.float64))
+
+
+def described(sample: DataFrame) -> DataFrame:
+    """(y, lines, own, length) for each row of `sample(text, y)`: how many lines it has, and what `own_features` gives of them."""
+    columns = {"y": pa.int64(), "lines": pa.int64(), "own": pa.list_(pa.float64()), "length": pa.list_(pa.float64())}
+
+    def rows(batch):
+        for part in slices(batch, 0):
+            own, length, first = own_features([t.encode() for t in part.column(0).to_pylist()])
+            cuts = [slice(i, j) for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield {"y": part.column(1).to_numpy(), "lines": np.diff(first), "own": [own[c].ravel() for c in cuts], "length": [length[c] for c in cuts]}
+
+    return sample.select("text", F.col("y").cast("long")).mapInArrow(batches(columns, rows), "y long, lines long, own array<double>, length array<double>")
 
 
 def score_texts(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,6 +141,46 @@ def test_components(spark):
     assert {x: got.get(x, x) for x in root} == root
 
 
+def test_rounds_of_components(spark):
+    """A round of stars by few exchanges gives the edges that the plain definition gives."""
+    rng = random.Random(3)
+    edges = {(max(p), min(p)) for p in (rng.sample(range(60), 2) for _ in range(90))}
+    e = spark.createDataFrame(sorted(edges), "u long, v long")
+    beside = collections.defaultdict(set)
+    for u, v in edges:
+        beside[u].add(v)
+        beside[v].add(u)
+    large = {(y, min(x, *beside[x])) for x in beside for y in beside[x] if y > x}
+    got = common.large_star(e)
+    assert {tuple(r) for r in got.collect()} == large
+    below = collections.defaultdict(set)
+    for u, v in large:
+        below[u].add(v)
+    small = {(x, min(vs)) for u, vs in below.items() for x in (u, *vs) if x != min(vs)}
+    got = common.small_star(got).distinct()
+    assert {tuple(r) for r in got.collect()} == small
+
+
+def test_components_shuffle_little(spark, monkeypatch):
+    """Few exchanges a round: the driver keeps books for every task of each."""
+    plans = []
+    write = common.materialize
+
+    def watched(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, *args)
+
+    monkeypatch.setattr(common, "materialize", watched)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        common.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    # the plan shows an exchange that is used twice at each place
+    assert len(plans) > 2 and max(plans[1:]) <= 7
+
+
 def plain_removal(texts, length):
     seen = collections.Counter()
     raws = [(t or "").encode() for t in texts]
@@ -708,6 +748,21 @@ def test_line_features():
         quality.SLICE = quality_slice
 
 
+def test_field_is_fitted_without_texts_in_the_driver(spark):
+    """The driver gets numbers for each line; the field is that of the texts themselves."""
+    rng = random.Random(4)
+    texts = ["\n".join("".join(rng.choices("ab C1.|", k=rng.randint(0, 30))) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    sample = toxicity.labelled_sample(docs, labels, "quality", F.lit(True), 1000)
+    known = quality.described(sample)
+    assert not any(kind in ("string", "binary") for _, kind in known.dtypes)
+    rows = sample.collect()
+    whole = quality.Field(quality.line_features([b""])[0].shape[1]).fit([r.text for r in rows], np.array([r.y for r in rows], float))
+    field = quality.train(docs, labels, F.lit(True))
+    assert np.array_equal(field.weights, whole.weights) and np.array_equal(field.pairs, whole.pairs) and (field.slope, field.offset) == (whole.slope, whole.offset)
+
+
 def test_marginals_against_enumeration():
     import itertools
 
