@@ -119,3 +119,14 @@ def test_largest_overlap_is_that_of_trying_each(spark):
         k = np.arange(1, min(g, n) + 1)
         above = np.flatnonzero(stats.hypergeometric_tail(k, *(np.full(k.size, x) for x in (m, g, n))) > 0)
         assert got[m, g, n] == (int(above[-1]) if above.size else None), (m, g, n)
+
+
+def test_composed_maps_meet_by_classes(spark):
+    to_gene = [("E1", "G1"), ("E1", "G2"), ("E2", "G2"), ("E2", "G1"), ("E2", "G1"), ("E3", "G3"), ("E4", None), (None, "G3"), ("E5", "G9")]
+    to_accession = [("G1", "P1"), ("G2", "P1"), ("G1", "P2"), ("G2", "P2"), ("G3", "P3"), ("G3", None), (None, "P4"), ("G2", "P5")]
+    ids, accessions = spark.createDataFrame(to_gene, "from_id string, gene string"), spark.createDataFrame(to_accession, "gene string, accession string")
+    found = A.compose_maps(ids, accessions)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(i, a) for i, g in to_gene for h, a in to_accession if g is not None and g == h}
+    # pairs of members come from the last joins as they are, with no search for equal ones behind them
+    assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Project") and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
