@@ -1,5 +1,6 @@
 """Operators against plain versions and hand-worked cases."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -391,3 +392,24 @@ def test_saved_bundles_of_all_kinds(spark, tmp_path):
         writers.save_results(spark, tables, params, folder, kind=kind)
         found, settings = readers.results(spark, folder, schemas)
         assert settings == params and {n: [tuple(r) for r in t.select(tables[n].columns).collect()] for n, t in found.items()} == {n: [tuple(r) for r in t.collect()] for n, t in tables.items()}
+
+
+@pytest.mark.parametrize("few, digits", [(0, 7), (1 << 12, 7), (0, 1), (1 << 12, 1)])
+def test_draws_against_ordering_all_keys(spark, monkeypatch, few, digits):
+    """By cutoffs and with their sites, also where keys are equal and lie far from where they are expected."""
+    monkeypatch.setattr(nulls, "FEW", few)
+    monkeypatch.setattr(nulls, "numbers", lambda of, many: F.array(*[F.conv(F.substring(F.md5(of), 1 + 7 * k, digits), 16, 10).cast("long") for k in range(many)]))
+    number = lambda text, k: int(hashlib.md5(text.encode()).hexdigest()[7 * k : 7 * k + digits], 16)
+    sites = [(f"P{i}", "S1", i % 6) for i in range(90)]
+    quotas = [("a", 0, 4), ("a", 1, 40), ("b", 1, 60), ("b", 2, 29), ("b", 0, 0)]
+    comp, quota = spark.createDataFrame(sites, "accession string, site string, num_compendia int"), spark.createDataFrame(quotas, "sample string, stratum int, quota long")
+    want = {}
+    for sample, stratum, most in quotas:
+        for rep in range(3):
+            a, b, c, d = (number(f"1|{sample}|{rep}", k) for k in range(4))
+            key = lambda s: (((a * number(f"{s[0]}|{s[1]}", 0) + b) % nulls.PRIME) * ((c * number(f"{s[0]}|{s[1]}", 1) + d) % nulls.PRIME) % nulls.PRIME, *s)  # noqa: B023, E731
+            for s in sorted(((p, x) for p, x, n in sites if (n > 0) + (n > 3) == stratum), key=key)[:most]:
+                want.setdefault((sample, *s), []).append(rep)
+    found = [tuple(r) for r in nulls.replicates(comp, quota, 3, 1).collect()]
+    assert {r[:3]: r[3] for r in found} == want and len(found) == len(want)
+    assert sorted(tuple(r) for r in nulls.draw(comp, quota, 3, 1).collect()) == sorted((k[0], rep, *k[1:]) for k, reps in want.items() for rep in reps)
