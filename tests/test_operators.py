@@ -413,3 +413,19 @@ def test_draws_against_ordering_all_keys(spark, monkeypatch, few, digits):
     found = [tuple(r) for r in nulls.replicates(comp, quota, 3, 1).collect()]
     assert {r[:3]: r[3] for r in found} == want and len(found) == len(want)
     assert sorted(tuple(r) for r in nulls.draw(comp, quota, 3, 1).collect()) == sorted((k[0], rep, *k[1:]) for k, reps in want.items() for rep in reps)
+
+
+def test_mapping_looks_for_a_sequence_once(spark, monkeypatch):
+    """Mapped rows and all rejects come from one join with the sequences, which tells unknown accessions from empty sequences."""
+    searched = []
+    monkeypatch.setattr(mapping, "materialize", lambda df, name: searched.append(name) or df.localCheckpoint())
+    monkeypatch.setattr(mapping, "split_known", None)
+    sequences = spark.createDataFrame([("P1", "MASTAYK"), ("P2", None)], "accession string, sequence string")
+    comp = spark.createDataFrame([("P1", "S3", 2), ("P1", "S3", 4)], "accession string, site string, num_compendia int")
+    raw = spark.createDataFrame([("P1-2", "AsTA", 1.0), ("P1", "AsTA", 1.0), ("P1", "MAStA", 1.0), ("P1", "AstA", 2.0), ("P1", "ASTA", 1.0), ("P1", "WsW", 1.0), ("P2;P3", "AsT", 1.0), ("P3", "AsT", 1.0)], "accession string, peptide string, value double")
+    found = mapping.map_experiment(raw, sequences, comp)
+    assert searched == ["aligned"]
+    assert sorted(tuple(r) for r in found.rows.select("accession", "site", "peptide", "aligned", "value", "num_compendia", "compendia_class").collect()) == [("P1", "S3", "AsTA", "MAsTAYK", 1.0, 4, 2), ("P1", "S3", "AsTA", "MAsTAYK", 2.0, 4, 2)]
+    rejects = sorted((r.reason, r.accession, r.peptide, r.site or "", r.value) for r in found.rejects.collect())
+    lost = [(mapping.NO_COMPENDIA, "P1", "AStA", "T4", 2.0), (mapping.NO_COMPENDIA, "P1", "MAStA", "T4", 1.0)]
+    assert rejects == sorted([(mapping.NO_SEQUENCE, "P3", "AsT", "", 1.0)] * 2 + lost + [(mapping.NO_ALIGNMENT, "P1", "WsW", "", 1.0), (mapping.NO_ALIGNMENT, "P2", "AsT", "", 1.0)])
