@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -119,7 +120,42 @@ def _walk(listed: DataFrame, quota: dict[int, int], width: int, seed: int) -> Da
     return listed.repartition(*unit).sortWithinPartitions(*unit, "place").mapInArrow(run, _ASKED)
 
 
-def settle(rows: DataFrame, quota: dict[int, int], site_limit: int, seed: int, width: int | None = None) -> DataFrame:
+UNIT = ["network_id", "stratum", "kinase"]
+
+
+def _masses(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, size, mass): edges and sum of weights of each list."""
+    return rows.groupBy(*by).agg(F.count("*").alias("size"), F.sum("weight").alias("mass"))
+
+
+def _lists(rows: DataFrame, lists: DataFrame, width: int, seed: int) -> DataFrame:
+    """(network_id, stratum, kinase, accession, site, place): the first `width` + 1 sites of each kinase by its clocks.
+
+    `lists` has (network_id, stratum, kinase, size, mass). Of a list about as many clocks lie below a bound as the bound
+    times its mass, so only clocks below one that should leave enough of them are put in order. Lists that get
+    fewer have a larger bound, at last none.
+    """
+    order, most = F.row_number().over(Window.partitionBy(*UNIT).orderBy("clock", *KEYS)), width + 1
+    found, enough = [], most + 8 * most**0.5 + 16
+    for bound in (enough, 32 * enough, None):
+        clocked = clocks(rows, seed)
+        if bound is not None:
+            clocked = clocked.where(F.col("clock") * F.col("mass") < bound)
+        some = materialize(clocked.select(*UNIT, *KEYS, order.alias("place")).where(F.col("place") <= most), "lists")
+        got = some.groupBy(*UNIT).agg(F.count("*").alias("got"))
+        lists = lists.join(got, UNIT, "left").withColumn("short", F.coalesce("got", F.lit(0)) < F.least("size", F.lit(most))).drop("got")
+        short = lists.where("short").drop("short")
+        if bound is None or not short.take(1):
+            found.append(some)
+            break
+        # a row for each list, whose number the settings bound
+        lists = materialize(short, "short")
+        found.append(some.join(F.broadcast(lists.select(*UNIT)), UNIT, "left_anti"))
+        rows = rows.join(F.broadcast(lists.select(*UNIT)), UNIT, "left_semi")
+    return reduce(DataFrame.unionByName, found)
+
+
+def settle(rows: DataFrame, quota: dict[int, int], site_limit: int, seed: int, width: int | None = None, lists: DataFrame | None = None) -> DataFrame:
     """(network_id, kinase, accession, site): which edges rounds of draws take, by deferred acceptance.
 
     In round after round the kinases, in a shuffled order, each take the next site of their clocks (see `clocks`) that
@@ -127,16 +163,21 @@ def settle(rows: DataFrame, quota: dict[int, int], site_limit: int, seed: int, w
     and sites: all kinases ask at once, sites tell the last turn that they have room for, and kinases ask again until
     nothing changes. The turns before the first one that is still wrong stay right, so it ends, mostly within a few passes.
 
-    Only the first `width` sites of each list are read; it doubles while a kinase could go on behind them.
+    Only the first `width` sites of each list are read; it doubles while a kinase could go on behind them. `lists` may give
+    the size and mass of each list (see `_lists`), and `rows` the mass as a column then.
     """
-    rows = rows.where(F.col("stratum").isin([s for s, q in quota.items() if q > 0]))
-    order = F.row_number().over(Window.partitionBy("network_id", "stratum", "kinase").orderBy("clock", *KEYS))
+    wanted = F.col("stratum").isin([s for s, q in quota.items() if q > 0])
+    rows = rows.where(wanted)
+    if lists is None:
+        lists = materialize(_masses(rows, UNIT), "masses")
+        rows = rows.join(F.broadcast(lists.select(*UNIT, "mass")), UNIT)
+    lists = lists.where(wanted)
     width = width or 2 * max(quota.values(), default=0) + 16
     listed = asked = None
     slot = F.struct("round", "turn", "kinase")
     while True:
         if listed is None:
-            listed = materialize(clocks(rows, seed).select("network_id", "stratum", "kinase", *KEYS, order.alias("place")).where(F.col("place") <= width + 1), "lists")
+            listed = _lists(rows, lists, width, seed)
         if asked is None:
             full = listed.sparkSession.createDataFrame([], "network_id int, accession string, site string, c_round int, c_turn bigint, c_kinase string")
         else:
@@ -160,20 +201,27 @@ def prune(long: DataFrame, compendia: DataFrame | None, networks: int, kinase_si
     strata share no site, so their capacities are apart as well. All networks are settled together, and
     each only depends on the seed and its number. Networks in `done` are left out, which restarts an interrupted build.
     """
-    check_size(long, kinase_size, site_limit)
     if compendia is None:
-        rows, quota = long.withColumn("stratum", F.lit(0)), {0: kinase_size}
+        edges = long.withColumn("stratum", F.lit(0))
+    else:
+        edges = long.join(unique_compendia(compendia).select(*KEYS, F.col("num_compendia").cast("int").alias("stratum")), KEYS, "left")
+    # written before it is multiplied by networks: it is counted and summed up first
+    edges = materialize(edges, "edges")
+    check_size(edges, kinase_size, site_limit)
+    edges = edges.where("stratum is not null")
+    if compendia is None:
+        quota = {0: kinase_size}
     else:
-        rows = long.join(unique_compendia(compendia).select(*KEYS, F.col("num_compendia").cast("int").alias("stratum")), KEYS)
         # one row for each number of compendia
-        histogram = {r[0]: r[1] for r in rows.select("stratum", *KEYS).distinct().groupBy("stratum").count().collect()}
+        histogram = {r[0]: r[1] for r in edges.select("stratum", *KEYS).distinct().groupBy("stratum").count().collect()}
         quota = compendia_quota(dict(sorted(histogram.items())), kinase_size)
     ids = long.sparkSession.range(networks).select(F.col("id").cast("int").alias("network_id"))
     if done is not None:
         ids = ids.join(done.select("network_id").distinct(), "network_id", "left_anti")
-    chosen = [r[0] for r in ids.collect()]
-    rows = rows.withColumn("network_id", F.explode(F.array(*[F.lit(i) for i in chosen]).cast("array<int>")))
-    return settle(rows, quota, site_limit, seed)
+    chosen = F.explode(F.array(*[F.lit(r[0]) for r in ids.collect()]).cast("array<int>"))
+    masses = materialize(_masses(edges, ["stratum", "kinase"]), "masses")
+    rows = edges.join(F.broadcast(masses.drop("size")), ["stratum", "kinase"]).withColumn("network_id", chosen)
+    return settle(rows, quota, site_limit, seed, lists=masses.withColumn("network_id", chosen))
 
 
 def network_hash(networks: DataFrame) -> DataFrame:

@@ -429,3 +429,22 @@ def test_mapping_looks_for_a_sequence_once(spark, monkeypatch):
     rejects = sorted((r.reason, r.accession, r.peptide, r.site or "", r.value) for r in found.rejects.collect())
     lost = [(mapping.NO_COMPENDIA, "P1", "AStA", "T4", 2.0), (mapping.NO_COMPENDIA, "P1", "MAStA", "T4", 1.0)]
     assert rejects == sorted([(mapping.NO_SEQUENCE, "P3", "AsT", "", 1.0)] * 2 + lost + [(mapping.NO_ALIGNMENT, "P1", "WsW", "", 1.0), (mapping.NO_ALIGNMENT, "P2", "AsT", "", 1.0)])
+
+
+def test_lists_of_pruning_put_few_edges_in_order(spark, monkeypatch):
+    """The first sites of each list are those of ordering all its clocks, also where one edge has nearly all the weight; few rows are put in order."""
+    rng = random.Random(5)
+    rows = [(n, s, k, f"P{i}", "S1", 1e9 if k == "K1" and i == 7 else rng.random() + 0.01) for n in range(2) for s, k in ((0, "K0"), (0, "K1"), (1, "K0")) for i in range(600 if s == 0 else 5)]
+    frame = spark.createDataFrame(rows, "network_id int, stratum int, kinase string, accession string, site string, weight double")
+    masses, passed = networks._masses(frame, networks.UNIT), []
+    keep = networks.materialize
+    monkeypatch.setattr(networks, "materialize", lambda df, name: (passed.append(networks.clocks(frame, 3).join(masses, networks.UNIT).where("clock * mass < 60").count()) if name == "lists" else None, keep(df, name))[1])
+    found = networks._lists(frame.join(masses.select(*networks.UNIT, "mass"), networks.UNIT), masses, 9, 3)
+    want = {}
+    for r in sorted(networks.clocks(frame, 3).collect(), key=lambda r: (r.clock, r.accession)):
+        want.setdefault((r.network_id, r.stratum, r.kinase), []).append(r.accession)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.place):
+        got.setdefault((r.network_id, r.stratum, r.kinase), []).append(r.accession)
+    assert got == {u: some[:10] for u, some in want.items()}
+    assert len(passed) > 1 and passed[0] < 400 < len(rows)
