@@ -46,9 +46,14 @@ def pregenerate(networks: DataFrame, compendia: DataFrame, params: Params, sizes
         wanted = nulls.missing(wanted, done)
     if only is not None:
         wanted = wanted.where(F.col("sample").isin([f"{m}/{s}" for m, s in only]))
-    cuts = nulls.cutoffs(sites, wanted.select("sample", "stratum", "quota"), params.reps, params.seed)
-    nobody = networks.sparkSession.createDataFrame([], "sample string, accession string, site string")
-    rows = enrichment.enrich(networks, nobody, enrichment.network_sizes(networks), sites, cuts)
+    quotas, full = wanted.select("sample", "stratum", "quota"), enrichment.network_sizes(networks)
+    if max((q for m in mixes.values() for s in sizes for q in nulls.quotas(s, m)), default=0) <= nulls.FEW:
+        # few sites in each: they are drawn with one look at the keys and meet the networks like evidence
+        drawn = materialize(nulls.draw(sites, quotas, params.reps, params.seed), "drawn")
+        rows = enrichment.enrich(networks, drawn, full)
+    else:
+        nobody = networks.sparkSession.createDataFrame([], "sample string, accession string, site string")
+        rows = enrichment.enrich(networks, nobody, full, sites, nulls.cutoffs(sites, quotas, params.reps, params.seed))
     return rows.join(F.broadcast(wanted.select("sample", "mix", "size").distinct()), "sample").select("mix", "size", *rows.columns)
 
 

@@ -448,3 +448,15 @@ def test_lists_of_pruning_put_few_edges_in_order(spark, monkeypatch):
         got.setdefault((r.network_id, r.stratum, r.kinase), []).append(r.accession)
     assert got == {u: some[:10] for u, some in want.items()}
     assert len(passed) > 1 and passed[0] < 400 < len(rows)
+
+
+def test_small_stored_draws_need_no_cutoffs(spark, monkeypatch):
+    """Stored experiments of few sites meet networks like evidence, with the counts that cutoffs give."""
+    comp = spark.createDataFrame([(f"P{i}", "S1", i % 6) for i in range(60)], "accession string, site string, num_compendia int")
+    net = spark.createDataFrame([(n, f"K{k}", f"P{(7 * i + n + k) % 60}", "S1") for n in range(2) for k in range(2) for i in range(9)], "network_id int, kinase string, accession string, site string")
+    made = lambda: sorted(tuple(r) for r in pregenerate(net, comp, Params(reps=2), [20], {"0_50_50": [0, 50, 50]}).collect())
+    monkeypatch.setattr(nulls, "FEW", 0)
+    want = made()
+    monkeypatch.setattr(nulls, "FEW", 1 << 12)
+    monkeypatch.setattr(nulls, "overlaps", None)
+    assert made() == want and len(want) == 8
